@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, sstable, topk
+from . import bpe, decontaminate, language, neardup, sstable, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.find(table(spark, folder, "documents"))
+
+
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = topk.quantised(table(spark, folder, "embeddings"))
     return topk.search(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -54,7 +58,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op3_topk, op5_bpe, op6_token_shards, op8_decontaminate, op10_language)
+    found = (op1_near_dedup, op3_topk, op5_bpe, op6_token_shards, op8_decontaminate, op10_language)
     return {f.__name__: f for f in found}
 
 
