@@ -43,7 +43,7 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 #: Words and pieces of words that a worker remembers; the tables start anew when they are full.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -185,7 +185,6 @@ class WordCodec:
 
     _pieces_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     _plain = re.compile("[!-~¡-¬®-ÿ]*")
-    _split = re.compile(r"[^ \t\n\r]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -223,7 +222,7 @@ class WordCodec:
             held, size = [], 0
             while k < len(texts) and (not held or size < chunk):
                 text = texts[k] or ""
-                held.append(self._split.findall(text.encode("utf-8", "replace").decode()))
+                held.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 size += len(text)
                 k += 1
             if len(self._words) > REMEMBERED:
