@@ -1,12 +1,51 @@
-"""A corpus pipeline: each stage takes what the one before it kept."""
+"""A corpus pipeline: each stage takes what the one before it kept.
+
+Every stage is (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, decontaminate, language, neardup, secrets
+from quarry.llm.queries import held_out
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages go: null texts and texts without a letter.
+
+    The profiles are those of op10: fitted on a bounded sample of the labelled rows of docs.
+    """
+    profiles = language.fit_profiles(docs.where(~held_out()))
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    named = language.predict(packed, profiles, keep=("__row",))
+    return named.where(F.col("lang_pred") != language.UNKNOWN).select("__row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    return neardup.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs, secrets.fitted(spark))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id with the digests of its ids and of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
-from quarry.llm import bpe, decontaminate, language
 
-STAGES: list = []
+STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("decontamination", decontamination), ("secret scan", secret_scan), ("byte-level BPE", encode)]
+#: SQL has neither the profiles, the forest nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

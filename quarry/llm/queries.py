@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neardup, sstable, topk
+from . import bpe, decontaminate, language, licenses, neardup, secrets, sstable, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"), secrets.fitted(spark))
+    return found.select("doc_id", F.posexplode("findings").alias("place", "finding")).select("doc_id", "place", "finding.*")
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,10 +52,23 @@ def op6_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sstable.read(sstable.write(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    machine = toxicity.fit(documents.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(documents.withColumn("held_out", held_out()), machine, keep=("doc_id", "held_out"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """A document's path is source / its thousand / its id: the tables have no paths of their own."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.concat(F.col("doc_id"), F.lit(".txt")))
+    return licenses.scan(table(spark, folder, "documents").withColumn("path", path), "path")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     profiles = language.fit_profiles(documents.where(~held_out()))
@@ -58,7 +76,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_near_dedup, op3_topk, op5_bpe, op6_token_shards, op8_decontaminate, op10_language)
+    found = (op1_near_dedup, op3_topk, op4_secrets, op5_bpe, op6_token_shards, op7_toxicity, op8_decontaminate, op9_licenses, op10_language)
     return {f.__name__: f for f in found}
 
 

@@ -1,0 +1,147 @@
+import math
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import licenses, queries, secrets, toxicity
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+def test_secrets_in_documents(spark, data):
+    """Every planted token value is found, and nothing that is a number, an address or a word."""
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall())
+    want = sorted((d, v) for d, t in texts.items() for v in re.findall('(?i)token = "([0-9a-f]{40})"', t))
+    got = sorted((r.doc_id, r.value) for r in queries.op4_secrets(spark, data).collect())
+    assert want and got == want
+
+
+def test_secrets_odd(spark, odd, empty):
+    trees = secrets.fitted(spark)
+    key = "4f1c9a0be77d23a5c8e6b1904dd27f3a5be01c9e"
+    rows = spark.createDataFrame([(1, f'token = "{key}" x token="{key}"', "a"), (2, f"commit {key} of the", "b"), (3, f"password: {key}", "c"), (4, None, None), (5, f"{'word ' * 20000}secret={key}", "e")], "doc_id long, text string, findings string")
+    found = secrets.scan(rows, trees, into="out").select("doc_id", F.transform("out", lambda x: x["value"]).alias("v"))
+    assert {r.doc_id: r.v for r in found.collect()} == {1: [key, key], 2: [], 3: [key], 4: [], 5: [key]}
+    clean = {r.doc_id: r.text for r in secrets.redact(rows, trees).collect()}
+    assert clean[1] == 'token = "[SECRET]" x token="[SECRET]"' and clean[2].startswith("commit 4f1c") and clean[4] is None and clean[5].endswith("secret=[SECRET]")
+    same = secrets.redact(odd, trees)
+    assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
+    assert secrets.redact(empty, trees).count() == 0
+
+
+def test_forest_accuracy(spark):
+    made = secrets.labelled_findings(spark, per_kind=30).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(5)))
+    trees = secrets.trees_of(secrets.fit(made.where("part <> 0")))
+    seen = made.where("part = 0").withColumn("p", secrets.probability(trees, secrets.features(F.col("value"), F.coalesce("before", F.lit("")))))
+    assert seen.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0] >= 0.93
+
+
+# --- licences ---------------------------------------------------------------------------------
+
+
+def brute_licenses(rows, least=licenses.LEAST):
+    """{(doc_id): (license, origin, license_path)} of rows (doc_id, path, text) with different paths."""
+    counts = [Counter(re.findall(licenses.WORD, t.lower())) for _, t in licenses.TEMPLATES]
+    seen = Counter(w for c in counts for w in c)
+    n = len(counts)
+
+    def vector(c):
+        v = {w: k * (math.log((1 + n) / (1 + seen[w])) + 1 if w in seen else math.log((1 + n) / 2) + 1) for w, k in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    templates = [(name, vector(c)) for (name, _), c in zip(licenses.TEMPLATES, counts)]
+    own, folders = {}, {}
+    for doc, path, text in rows:
+        best = None
+        for k, line in enumerate((text or "").split("\n")):
+            if re.search(licenses.CUE, line):
+                v = vector(Counter(re.findall(licenses.WORD, line.lower())))
+                for name, t in templates:
+                    score = round(sum(x * t.get(w, 0) for w, x in v.items()), 9)
+                    if score >= least:
+                        best = min(filter(None, (best, (-score, name, k))))
+        if best:
+            own[doc] = best
+            if best[2] == 0 and path is not None:
+                folder = path.rpartition("/")[0]
+                folders[folder] = min(filter(None, (folders.get(folder), (path, best[1]))))
+    out = {}
+    for doc, path, _ in rows:
+        if doc in own:
+            out[doc] = (own[doc][1], "own", path)
+            continue
+        out[doc] = (None, None, None)
+        while path:
+            path = path.rpartition("/")[0]
+            if path in folders:
+                out[doc] = (folders[path][1], "inherited", folders[path][0])
+                break
+    return out
+
+
+def as_dict(df):
+    return {r.doc_id: (r.license, r.origin, r.license_path) for r in df.collect()}
+
+
+def test_licenses_equal_brute_force(spark, data):
+    rows = duckdb.sql(f"SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || doc_id || '.txt', text FROM '{data}/documents.parquet'").fetchall()
+    got = as_dict(queries.op9_licenses(spark, data))
+    assert got == brute_licenses(rows)
+
+
+def test_licenses_odd(spark, odd, empty):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License.\nmore"), (2, "a/b/c/x", None), (3, "a/b/COPYING", "Licensed under the Apache License, Version 2.0"), (4, "a/b/d/y", "no word of it"), (5, "z/q", ""), (6, None, "x"),
+        (7, None, "Licensed under CC BY-NC 4.0."), (8, "a/z", "text\nThis work is licensed under the GNU General Public License, version 3."), (9, "top", "a licence to fish and hunt and sing"), (10, "a/A", "Licensed under CC BY-NC 4.0."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert as_dict(licenses.scan(df, "path")) == brute_licenses(rows)
+    assert licenses.scan(df.union(df), "path").count() == 20
+    assert licenses.scan(empty, "__text").count() == 0 and licenses.scan(odd, "__text").count() == odd.count()
+
+
+# --- toxicity ---------------------------------------------------------------------------------
+
+
+def test_kernel_by_definition():
+    def raw(x, y):
+        def grams(w):
+            w, out = toxicity.START + w, Counter()
+            for i in range(len(w)):
+                for j in range(i + 1, len(w)):
+                    for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                        out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+            return out
+
+        a, b = grams(x), grams(y)
+        return sum(v * b[g] for g, v in a.items())
+
+    for x, y in (("idiot", "idxiot"), ("banana", "ananas"), ("worthless", "wrthles")):
+        assert toxicity.kernel(x, y) == pytest.approx(raw(x, y) / math.sqrt(raw(x, x) * raw(y, y)))
+    assert toxicity.kernel("idiot", "i.d.i.o.t") == pytest.approx(1) and toxicity.kernel("at", "xy") == 0
+
+
+def test_toxicity_accuracy(spark, data):
+    folder = data.replace("sf0.01", "sf0.1")
+    got = queries.op7_toxicity(spark, folder)
+    truth = spark.read.parquet(f"{folder}/labels.parquet")
+    both = got.join(truth, "doc_id").where("held_out").toPandas()
+    assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    right = (both.predicted == both.toxic).mean()
+    caught = both[both.toxic == 1].predicted.mean()
+    assert right >= 0.95 and caught >= 0.7 and both.score.between(0, 1).all()
+
+
+def test_toxicity_odd(spark, odd, empty):
+    rows = [(f"the {w} and {v} or", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house"))) for w in ws for v in ws for _ in range(5)]
+    labelled = spark.createDataFrame(rows + [(None, 1), ("x", None)], "text string, label int")
+    machine = toxicity.fit(labelled)
+    tried = spark.createDataFrame([(1, "you idxiot m.o.r.o.n and idiots"), (2, "the house and the apple"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(tried, machine).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert toxicity.score(odd, machine).count() == odd.count() and toxicity.score(empty, machine).count() == 0
+    one = toxicity.fit(labelled.where("label = 1"))
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in toxicity.score(odd, one).collect())
