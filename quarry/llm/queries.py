@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, neardup, secrets, sstable, topk, toxicity
+from . import bpe, decontaminate, language, licenses, neardup, passages, secrets, sstable, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.find(table(spark, folder, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove(table(spark, folder, "documents"))
+
+
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = topk.quantised(table(spark, folder, "embeddings"))
     return topk.search(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -76,7 +80,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_near_dedup, op3_topk, op4_secrets, op5_bpe, op6_token_shards, op7_toxicity, op8_decontaminate, op9_licenses, op10_language)
+    found = (op1_near_dedup, op2_substring_dedup, op3_topk, op4_secrets, op5_bpe, op6_token_shards, op7_toxicity, op8_decontaminate, op9_licenses, op10_language)
     return {f.__name__: f for f in found}
 
 

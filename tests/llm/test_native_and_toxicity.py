@@ -137,8 +137,8 @@ def test_toxicity_accuracy(spark, data):
 
 
 def test_toxicity_odd(spark, odd, empty):
-    rows = [(f"the {w} and {v} or", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house"))) for w in ws for v in ws for _ in range(5)]
-    labelled = spark.createDataFrame(rows + [(None, 1), ("x", None)], "text string, label int")
+    rows = [(f"the {w} and {v}", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house"))) for w in ws for v in ws for _ in range(5)]
+    labelled = spark.createDataFrame(rows + [(None, 0), ("x", None)], "text string, label int")
     machine = toxicity.fit(labelled)
     tried = spark.createDataFrame([(1, "you idxiot m.o.r.o.n and idiots"), (2, "the house and the apple"), (3, None), (4, "")], "doc_id long, text string")
     assert {r.doc_id: r.predicted for r in toxicity.score(tried, machine).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
