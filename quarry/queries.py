@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation  # noqa: F401  (registers its queries)
+from .plans import evaluation, preparation  # noqa: F401  (they register their queries)
 from .plans.registry import QUERIES, SQL
 
 
