@@ -39,7 +39,7 @@ ROWS = 4
 #: Least share of equal minima of a pair that is confirmed on full sets.
 AGREEMENT = 0.6
 #: Members of a bucket that are compared at once.
-BLOCK = 256
+BLOCK = 2048
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -151,17 +151,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
 
-def _across(rows: list[tuple], compare) -> None:
-    """Calls compare(x, y) for the rows (doc_id, component, own, ...) that may still be joined in a group."""
-    blocks = {r[2] for r in rows}
-    if len(blocks) > 1:
-        low = min(blocks)
-        left, right = [r for r in rows if r[2] == low], [r for r in rows if r[2] != low]
-        for x in left:
-            compare(x, right)
-    else:
-        for k, x in enumerate(rows):
-            compare(x, rows[k + 1 :])
+def _possible(k: int, comp: np.ndarray, own: np.ndarray, size: np.ndarray, sig: np.ndarray, start: int = 0) -> np.ndarray:
+    """Places from `start` of the group's rows that row k could have a link to across components."""
+    other = np.flatnonzero((comp[start:] != comp[k]) & (100 * np.minimum(size[start:], size[k]) >= SIMILARITY * np.maximum(size[start:], size[k]))) + start
+    if own.min() != own.max():
+        other = other[own[other] != own[k]]
+    return other[(sig[other] == sig[k]).mean(axis=1) >= AGREEMENT] if len(other) else other
 
 
 def _remaining(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -173,30 +168,26 @@ def _remaining(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFr
 
     def run(batches):
         for key, group in groups(batches, 3):
-            sig = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
             comp, own, size = (np.array([r[k] for r in group], dtype=np.int64) for k in (1, 2, 3))
-            crossing = len(set(own.tolist())) > 1
-            good = np.zeros(len(group), dtype=bool)
-            for k in range(len(group)):
-                other = np.flatnonzero((comp != comp[k]) & (100 * np.minimum(size, size[k]) >= SIMILARITY * np.maximum(size, size[k])) & ((own != own[k]) if crossing else True))
-                if len(other):
-                    good[k] = (sig[other] == sig[k]).mean(axis=1).max() >= AGREEMENT
-            if good.any():
-                chosen = [group[k][:3] for k in np.flatnonzero(good)]
+            sig = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
+            chosen = [r for k, r in enumerate(group) if len(_possible(k, comp, own, size, sig))]
+            if chosen:
                 columns = [pa.array([x] * len(chosen), kind) for x, kind in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
-                columns += [pa.array(c, kind) for c, kind in zip(zip(*chosen), (pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "doc_id", "component", "own"])
+                columns += [pa.array(c, kind) for c, kind in zip(zip(*chosen), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "doc_id", "component", "own", "n_shingles", "sig"])
 
-    return rows.mapInArrow(run, "key long, i int, j int, doc_id long, component long, own int")
+    return rows.mapInArrow(run, "key long, i int, j int, doc_id long, component long, own int, n_shingles long, sig binary")
 
 
 def _late_links(remaining: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the remaining members, confirmed on full sets; within a group only those that join components."""
-    rows = remaining.join(sets, "doc_id").select("key", "i", "j", "doc_id", "component", "own", "members").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = remaining.join(sets, "doc_id").select("key", "i", "j", "doc_id", "component", "own", "n_shingles", "sig", "members").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         for _, group in groups(batches, 3):
-            group = [(*r[:3], np.frombuffer(r[3], U64)) for r in group]
+            comp, own, size = (np.array([r[k] for r in group], dtype=np.int64) for k in (1, 2, 3))
+            sig = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
+            held = [np.frombuffer(r[5], U64) for r in group]
             parent: dict[int, int] = {}
             links = []
 
@@ -205,14 +196,12 @@ def _late_links(remaining: DataFrame, sets: DataFrame) -> DataFrame:
                     x = parent[x]
                 return x
 
-            def compare(x, others):
-                for y in others:
-                    p, q = top(x[1]), top(y[1])
-                    if p != q and linked(x[3], y[3]):
+            for k in range(len(group)):
+                for m in _possible(k, comp, own, size, sig, k + 1).tolist():
+                    p, q = top(int(comp[k])), top(int(comp[m]))
+                    if p != q and linked(held[k], held[m]):
                         parent[max(p, q)] = min(p, q)
-                        links.append((x[0], y[0]))
-
-            _across(group, compare)
+                        links.append((group[k][0], group[m][0]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
