@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def r6(x: str) -> str:
-    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+    return f"(floor(({x}) * 1e6 + 0.500123) / 1e6)"
