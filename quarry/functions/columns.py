@@ -16,7 +16,8 @@ def r6(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, low: float, high: float) -> Column:
-    return F.least(F.greatest(col(c), F.lit(float(low))), F.lit(float(high)))
+    """Within low and high; null stays null (least and greatest alone pass over nulls)."""
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(float(low))), F.lit(float(high))))
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

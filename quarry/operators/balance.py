@@ -28,7 +28,7 @@ def effective_weights(counts: DataFrame, beta: float = 0.999999, cap: float = 5.
     raw = F.when(n > 0, F.lit(1.0) if beta == 0 else (1.0 - beta) / -F.expm1(n * F.log(F.lit(beta))))
     out = counts.withColumn("raw", raw)
     first = out.agg(F.avg("raw").alias("m1"))
-    out = out.crossJoin(F.broadcast(first)).withColumn("capped", F.least(F.col("raw") / F.col("m1"), F.lit(cap)))
+    out = out.crossJoin(F.broadcast(first)).withColumn("capped", F.when(F.col("raw").isNotNull(), F.least(F.col("raw") / F.col("m1"), F.lit(cap))))
     second = out.agg(F.avg("capped").alias("m2"))
     return out.crossJoin(F.broadcast(second)).select(*counts.columns, F.coalesce(F.col("capped") / F.col("m2"), F.lit(0.0)).alias("weight"))
 

@@ -68,9 +68,9 @@ def from_unit_ball(rows: DataFrame) -> DataFrame:
 
 
 def unit_normals(rows: DataFrame, names: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:
-    """Normals of length 1; those shorter than 1e-12 become zero."""
+    """Normals of length 1; those shorter than 1e-12 become zero, missing ones stay null."""
     size = norm(*names)
-    return rows.withColumns({n: F.when(size > 1e-12, F.col(n) / size).otherwise(0.0) for n in names})
+    return rows.withColumns({n: F.when(size > 1e-12, F.col(n) / size).when(size.isNotNull(), 0.0) for n in names})
 
 
 def upward(rows: DataFrame, names: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:

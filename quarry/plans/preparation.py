@@ -165,7 +165,7 @@ def class_point_counts(spark, folder):
 
 
 WEIGHTS = f"""{V.LABELLED}, c AS (SELECT CAST(k AS INTEGER) AS class, CAST(count(label_dim.label) AS BIGINT) AS n FROM range(8) t(k) LEFT JOIN (SELECT label_dim.label, c8 FROM labelled JOIN {DIM} ON labelled.label = label_dim.label WHERE labelled.label < 21) label_dim ON c8 = k GROUP BY 1),
-  w AS (SELECT *, CASE WHEN n > 0 THEN (1 - 0.999) / (1 - pow(0.999, n)) END AS raw FROM c), x AS (SELECT *, least(raw / (SELECT avg(raw) FROM w), 3.0) AS capped FROM w), weighted AS (SELECT class, n, coalesce(capped / (SELECT avg(capped) FROM x), 0) AS weight FROM x)"""
+  w AS (SELECT *, CASE WHEN n > 0 THEN (1 - 0.999) / (1 - pow(0.999, n)) END AS raw FROM c), x AS (SELECT *, CASE WHEN raw IS NOT NULL THEN least(raw / (SELECT avg(raw) FROM w), 3.0) END AS capped FROM w), weighted AS (SELECT class, n, coalesce(capped / (SELECT avg(capped) FROM x), 0) AS weight FROM x)"""
 
 
 def weighted(spark, folder):
