@@ -10,8 +10,8 @@ also starts anywhere else, in the same document or another, are removed.
    recurs the first instance is kept; runs of such windows are the recurring passages, and each
    recurring window stands in exactly one of them.
 3. Automata.  Documents that could hold a passage are dealt into shards of bounded text, and each
-   passage goes to the shards whose documents share one of its anchors.  A shard's passages, cut into
-   blocks so short that every window holds a whole one, are compiled into an Aho-Corasick automaton
+   passage goes to the shards whose documents share one of its anchors.  Blocks of a shard's passages,
+   chosen so that every window holds a whole one, are compiled into an Aho-Corasick automaton
    over words; the shard's documents stream through it, and each block found is extended to the
    longest common run with its passage.  Runs of at least a window are removed.
 
@@ -37,7 +37,7 @@ from ._words import SPACED, U64, grams, split_batch
 WINDOW = 35
 ANCHOR = 18
 #: Characters of candidate documents in a shard, about.
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 6_000_000
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -110,13 +110,15 @@ class Automaton:
 
     def __init__(self, passages: list[str], window: int = WINDOW):
         self.window = window
-        self.block = (window + 1) // 2  # any window holds a whole block, wherever the cuts are
+        self.block = (window + 1) // 2
         self.passages = [h for _, _, _, _, h in split_batch(passages, SPACED)]
         self.vocabulary = np.unique(np.concatenate(self.passages)) if self.passages else np.empty(0, U64)
+        self.numbers = [(np.searchsorted(self.vocabulary, h) + 1).tolist() for h in self.passages]
         places: dict[tuple, list[tuple[int, int]]] = {}
-        for k, hashes in enumerate(self.passages):
-            numbers = (np.searchsorted(self.vocabulary, hashes) + 1).tolist()
-            for at in range(0, len(numbers) - self.block + 1, self.block):
+        for k, numbers in enumerate(self.numbers):
+            windows = len(numbers) - window + 1
+            # a block at `at` is whole in the windows that start up to window - block words before it
+            for at in [*range(window - self.block, windows - 1, window - self.block + 1), windows - 1]:
                 places.setdefault(tuple(numbers[at : at + self.block]), []).append((k, at))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for block, found in places.items():
@@ -131,6 +133,7 @@ class Automaton:
             return gone
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         numbers = np.where(self.vocabulary[at] == hashes, at + 1, 0).tolist()
+        more = self.window - self.block
         seen: dict[tuple[int, int], int] = {}  # (passage, shift) -> end of the last run
         for end, found in self.automaton.iter(tuple(numbers)):
             first = end - self.block + 1
@@ -138,15 +141,22 @@ class Automaton:
                 shift = first - place
                 if seen.get((k, shift), -1) > end:
                     continue
-                passage = self.passages[k]
-                lo, hi = max(0, shift), min(len(hashes), shift + len(passage))
-                differ = np.flatnonzero(hashes[lo:hi] != passage[lo - shift : hi - shift]) + lo
+                own = self.numbers[k]
+                lo, hi = max(0, shift), min(len(numbers), shift + len(own))
+                a, b = first, end + 1
+                while a > lo and first - a < more and numbers[a - 1] == own[a - 1 - shift]:
+                    a -= 1
+                while b < hi and b - a < self.window and numbers[b] == own[b - shift]:
+                    b += 1
+                if b - a < self.window:  # the run round this block is too short
+                    seen[k, shift] = b
+                    continue
+                differ = np.flatnonzero(hashes[lo:hi] != self.passages[k][lo - shift : hi - shift]) + lo
                 cut = int(np.searchsorted(differ, first))
                 a = int(differ[cut - 1]) + 1 if cut else lo
                 b = int(differ[cut]) if cut < len(differ) else hi
                 seen[k, shift] = b
-                if b - a >= self.window:
-                    gone[a:b] = True
+                gone[a:b] = True
         return gone
 
 
@@ -233,5 +243,5 @@ def remove(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     named = passages.withColumn("pid", F.xxhash64("passage", F.lit("passage")))
     routes = named.select("pid", F.explode("anchors").alias("anchor")).join(where, "anchor").select("pid", "shard").distinct()
     routed = routes.join(named.select("pid", "passage"), "pid").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("passage").alias("text"))
-    streams = routed.union(held.select(shard.alias("shard"), F.lit(1), "doc_id", "text")).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    streams = routed.union(held.select(shard.alias("shard"), F.lit(1), "doc_id", "text")).repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind")
     return _stream(streams, window).union(_whole(rows.join(ids, "rid", "left_anti")))
