@@ -238,8 +238,12 @@ def find(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that are kept: one of each component."""
-    gone = written(find(documents).where("not kept").select("doc_id").distinct(), "duplicates").select(F.col("doc_id").alias("__gone"))
+    """The documents, with all their columns, that are kept: one doc_id of each component.
+
+    Rows that share a doc_id stay or go together: they stay if one of them is kept.
+    """
+    gone = find(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = written(gone.select("doc_id"), "duplicates").select(F.col("doc_id").alias("__gone"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
