@@ -193,12 +193,26 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a piece.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, k in vocabulary.items():
+            self.ends[k] = token.endswith("</w>")
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of each piece: many pieces to a text, cut after the ids that end one."""
+        out = []
+        parts = [pieces[at : at + 128] for at in range(0, len(pieces), 128)]
+        for part, raw in zip(parts, self._library([" ".join(part) for part in parts])):
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._library(part)
+        return out
+
     def _learn(self, words: set[str]) -> None:
         plain, other = {}, []
         for w in words:
@@ -210,7 +224,7 @@ class WordCodec:
             self._pieces.clear()
         known = self._pieces
         new = list({p for found in plain.values() for p in found if p not in known})
-        known.update(zip(new, self._library(new)))
+        known.update(zip(new, self._apart(new)))
         for w, found in plain.items():
             self._words[w] = b"".join(map(known.__getitem__, found))
         self._words.update(zip(other, self._library(other)))
