@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, col, is_finite, norm
+from ..functions.columns import clip, col, draw, is_finite, norm
 
 # Metres in a unit, and the full scale of stored intensities.
 UNITS = {"m": 1.0, "cm": 0.01, "mm": 0.001}
@@ -190,3 +192,16 @@ def decay_scan(rows: DataFrame, value: str, order: str, alpha: float, scene: str
     kind = f"cast(array() as array<struct<at:{dict(rows.dtypes)[order]},state:double>>)"
     listed = rows.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
     return listed.select(scene, F.explode(F.aggregate("v", F.expr(kind), step)).alias("s")).select(scene, F.col("s.at").alias(order), F.col("s.state").alias("state"))
+
+
+def augment(points: DataFrame, seed: int = 42, scene: str = "scene_id") -> DataFrame:
+    """Each scene turned about z, scaled by 0.8 to 1.2 and moved (deviation 0.2 an axis); normals are only turned."""
+    s = F.col(scene)
+    part = lambda name: (draw(seed, F.lit(name), s) + 0.5) / float(1 << 32)
+    angle, size = 2.0 * math.pi * part("angle"), 0.8 + 0.4 * part("scale")
+    shift = {a: 0.2 * F.sqrt(-2.0 * F.log(part(f"{a}1"))) * F.cos(2.0 * math.pi * part(f"{a}2")) for a in "xyz"}
+    c, n = F.cos(angle), F.sin(angle)
+    x, y, nx, ny = (F.col(v) for v in ("x", "y", "nx", "ny"))
+    return points.withColumns({
+        "x": (c * x - n * y) * size + shift["x"], "y": (n * x + c * y) * size + shift["y"], "z": F.col("z") * size + shift["z"], "nx": c * nx - n * ny, "ny": n * nx + c * ny,
+    })

@@ -264,3 +264,36 @@ def grid_normals(grid: DataFrame, value: str, step: float, scene: str = "scene_i
     out = grid.withColumns({"sx": sx, "sy": sy})
     size = norm("sx", "sy", F.lit(1.0))
     return out.select(*grid.columns, (-F.col("sx") / size).alias("nx"), (-F.col("sy") / size).alias("ny"), (1.0 / size).alias("nz"))
+
+
+def bilinear(points: DataFrame, grid: DataFrame, value: str = "v", point: str = "point_id") -> DataFrame:
+    """point and the grid's value at x and y, interpolated between the four corners at whole numbers; 0 outside.
+
+    A join by corner: each point asks for four cells.
+    """
+    fx, fy = F.floor("x").cast("int"), F.floor("y").cast("int")
+    corners = F.explode(F.array(*(F.struct((fx + i).alias("gx"), (fy + j).alias("gy"), ((F.lit(1 - i) + (2 * i - 1) * (F.col("x") - fx)) * (F.lit(1 - j) + (2 * j - 1) * (F.col("y") - fy))).alias("w")) for i in (0, 1) for j in (0, 1))))
+    asked = points.select(point, corners.alias("c")).select(point, "c.*")
+    found = asked.join(grid.select("gx", "gy", value), ["gx", "gy"], "left").groupBy(point).agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.count(value).alias("n"))
+    return found.select(point, F.when(F.col("n") == 4, F.col("s")).otherwise(0.0).alias(value))
+
+
+def nearest_raster(points: DataFrame, value: str, size: int, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
+    """scene, row, col and the value of the point nearest to each cell's centre; row 0 is on top."""
+    box = points.groupBy(scene).agg(*(f(a).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = box.withColumn("row", F.explode(steps)).withColumn("col", F.explode(steps))
+    centre = lambda a, k: F.col(f"lo{a}") + (k + 0.5) / size * (F.col(f"hi{a}") - F.col(f"lo{a}"))
+    cells_ = grid.select(scene, (F.col("row") * size + F.col("col")).cast("long").alias("cell"), centre("x", F.col("col")).alias("x"), centre("y", size - 1 - F.col("row")).alias("y"))
+    near = nearest(cells_, points.select(scene, F.col(point).alias("source_id"), "x", "y"), scene, "cell", dims=("x", "y"))
+    out = near.join(points.select(scene, F.col(point).alias("source_id"), F.col(value).alias("value")), [scene, "source_id"])
+    return out.select(scene, F.floor(F.col("cell") / size).cast("int").alias("row"), (F.col("cell") % size).cast("int").alias("col"), "value")
+
+
+def hard_core(points: DataFrame, radius: float, mark: str, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
+    """The points that no point of a lower mark stands nearer to than radius (Matérn's second process)."""
+    other = points.select(scene, F.col(point).alias("__p"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(mark).alias("__m"))
+    apart = (F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2
+    lower = (F.col("__m") < F.col(mark)) | ((F.col("__m") == F.col(mark)) & (F.col("__p") < F.col(point)))
+    on = (points[scene] == other[scene]) & lower & (apart < radius * radius)
+    return points.join(other, on, "left_anti")

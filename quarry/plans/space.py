@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
 from ..operators import gap as G
 from ..operators import prepare as P
 from ..operators import spatial as S
