@@ -1,4 +1,4 @@
-"""Helpers of tasks that read rows sorted by a group."""
+"""Helpers of tasks that read record batches."""
 
 from __future__ import annotations
 
@@ -19,3 +19,10 @@ def groups(batches, width: int):
             held.append(row[width:])
     if held:
         yield key, held
+
+
+def pieces(batches, rows: int = 1000):
+    """The batches in slices of at most `rows` rows, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

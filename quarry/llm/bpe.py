@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._streams import pieces
+
 #: Unicode White_Space, which separates segments; no match of the split pattern crosses from a
 #: character that is not white space to one that is.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Segments and pre-tokens that a worker remembers; both tables start anew when they are full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of text whose new pre-tokens share one queue.
 CHUNK = 1 << 20
 
@@ -223,7 +225,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", ke
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [np.array(x, dtype=np.int32) for x in own.encode_all(batch.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + [pa.array(ids, pa.list_(pa.int32()))], schema.names)
 
@@ -237,7 +239,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep:
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [own.decode_bytes(x or []) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + [pa.array(found, pa.binary())], schema.names)
 
@@ -254,7 +256,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, text: str = "text"
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             count, coded, decoded = [], [], []
             for ids in own.encode_all(batch.column(len(keep)).to_pylist()):
                 count.append(len(ids))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._streams import pieces
 from ._words import ALNUM, split_batch
 
 WINDOW = 10
@@ -148,7 +149,7 @@ def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
         def scan(batches, items=items):
             suite = Suite(items, window)
             kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("item_id", pa.string()), ("item_first", pa.int32())]))
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = batch.column(names.index("__text")).to_pylist()
                 spans, n = batch.column(names.index("__spans")).to_pylist(), [0] * len(texts)
                 for index, count, found in _scan(texts, suite, shard_words):

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._streams import pieces
+
 UNKNOWN = "und"
 #: n-grams kept of each profile and of each document.
 PROFILE_SIZE = 300
@@ -76,7 +78,7 @@ def fit_profiles(training: DataFrame, text: str = "text", lang: str = "lang", do
     )
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found: dict[str, list] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.setdefault(name, []).append(gram_counts(value))
@@ -125,7 +127,7 @@ def predict(documents: DataFrame, profiles: dict[str, list[int]], text: str = "t
 
     def score(batches):
         ranker = Ranker(profiles, size)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [ranker(t) for t in batch.column(len(fields)).to_pylist()]
             columns = batch.columns[: len(fields)] + [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + ["lang_pred", "score"])

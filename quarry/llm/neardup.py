@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._streams import groups
+from ._streams import groups, pieces
 from ._words import SPACED, U64, grams, mix, split_batch
 from .components import components
 
@@ -71,7 +71,7 @@ def signatures(documents: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """doc_id, n_shingles, two 64-bit fingerprints of the set, sig (one byte a minimum) and bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n, first, second, sig, bands = [], [], [], [], []
             for _, _, _, _, hashes in split_batch(batch.column(1).to_pylist(), SPACED, lower=True):
                 found = shingles(hashes)
@@ -94,7 +94,7 @@ def _sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(h).tobytes() for _, _, _, _, h in split_batch(batch.column(1).to_pylist(), SPACED, lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "members"])
 
@@ -121,7 +121,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.where(f"100 * least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
                 good = np.flatnonzero((x == y).mean(axis=1) >= AGREEMENT)
@@ -136,7 +136,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a")), "a").select("a", "b", "m_a", "m_b")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(found, pa.bool_())) for k in (0, 1)], ["a", "b"])
 

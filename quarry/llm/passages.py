@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
+from ._streams import pieces
 from ._words import SPACED, U64, grams, split_batch
 
 WINDOW = 35
@@ -55,7 +56,7 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     """rid, anchor and place of each chosen gram."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rid, value, place = [], [], []
             ids = batch.column(0).to_pylist()
             for index, _, _, _, hashes in split_batch(batch.column(1).to_pylist(), SPACED):
@@ -74,7 +75,7 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
     """wh (hash), rid and start of the windows whose anchor is at one of the row's places."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for index, _, _, _, hashes in split_batch(batch.column(1).to_pylist(), SPACED):
                 chosen, _ = anchors(hashes, window)
@@ -90,7 +91,7 @@ def _passage_rows(rows: DataFrame, window: int) -> DataFrame:
     """passage (text) with its anchors, for each run of the row's starts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             starts = batch.column(1).to_pylist()
             text, keys = [], []
             for index, raw, first, last, hashes in split_batch(batch.column(0).to_pylist(), SPACED):
@@ -180,7 +181,7 @@ def _whole(rows: DataFrame) -> DataFrame:
     """The result of documents that lose nothing."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0).to_pylist()
             yield _result([(ids[index], len(h), 0, _kept(raw, a, b, None)) for index, raw, a, b, h in split_batch(batch.column(1).to_pylist(), SPACED)])
 
@@ -192,7 +193,7 @@ def _stream(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         shard, passages, automaton = None, [], None
-        for batch in batches:
+        for batch in pieces(batches):
             out, texts, ids = [], [], []
 
             def flush():
