@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, language, neardup, secrets
+from quarry.llm._shared import packed, unpacked
 from quarry.llm.queries import held_out
 
 
@@ -19,9 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The profiles are those of op10: fitted on a bounded sample of the labelled rows of docs.
     """
     profiles = language.fit_profiles(docs.where(~held_out()))
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    named = language.predict(packed, profiles, keep=("__row",))
-    return named.where(F.col("lang_pred") != language.UNKNOWN).select("__row.*")
+    named = language.predict(packed(docs), profiles, keep=("__row", "text"))
+    return unpacked(named.where(F.col("lang_pred") != language.UNKNOWN), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

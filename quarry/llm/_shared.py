@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(documents: DataFrame, text: str = "text") -> DataFrame:
+    """__row (all columns but the text, so that their names can't clash) and the text."""
+    return documents.select(F.struct(F.lit(0).alias("__mark"), *(c for c in documents.columns if c != text)).alias("__row"), text)
+
+
+def unpacked(rows: DataFrame, names: list[str], text: str = "text") -> DataFrame:
+    """The columns of packed rows, in the given order."""
+    return rows.select(*(F.col(text) if c == text else F.col("__row").getField(c).alias(c) for c in names))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import packed, unpacked
 from ._streams import pieces
 from ._words import ALNUM, split_batch
 
@@ -139,7 +140,8 @@ def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
     the documents without a shuffle; with several slices of items each goes over what the ones
     before it returned.
     """
-    out = documents.select(*keep, F.col("text").alias("__text"))
+    own = [c for c in keep if c != "text"]
+    out = documents.select(*own, F.col("text").alias("__text"))
     out = out.withColumns({"__spans": F.expr("cast(array() as array<struct<first:int,words:int,item_id:string,item_first:int>>)"), "__n": F.lit(0)})
     names = out.columns
     schema = out.schema
@@ -167,7 +169,7 @@ def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
         " 'end', greatest(s.end, x.first + x.words)), s -> s.n)"
     )
     return out.select(
-        *keep,
+        *(F.col("__text").alias("text") if c == "text" else F.col(c) for c in keep),
         F.col("__n").cast("long").alias("n_words"),
         hits.alias("n_hit"),
         F.expr("array_sort(array_distinct(transform(__spans, x -> x.item_id)))").alias("items"),
@@ -189,5 +191,4 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that no benchmark window occurs in."""
-    packed = documents.select(F.struct(*documents.columns).alias("__row"), F.col("text"))
-    return find(packed, benchmark, keep=("__row",), **options).where("n_hit = 0").select("__row.*")
+    return unpacked(find(packed(documents), benchmark, keep=("__row", "text"), **options).where("n_hit = 0"), documents.columns)

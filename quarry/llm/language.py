@@ -121,15 +121,15 @@ class Ranker:
 
 def predict(documents: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = PROFILE_SIZE) -> DataFrame:
     """The `keep` columns with lang_pred and score of each row; a map over the rows, no shuffle."""
-    chosen = documents.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
-    fields = [f for f in chosen.schema.fields if f.name != "__text"]
-    schema = chosen.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    chosen = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
+    place = keep.index(text) if text in keep else len(keep)
+    schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches):
         ranker = Ranker(profiles, size)
         for batch in pieces(batches):
-            found = [ranker(t) for t in batch.column(len(fields)).to_pylist()]
-            columns = batch.columns[: len(fields)] + [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + ["lang_pred", "score"])
+            found = [ranker(t) for t in batch.column(place).to_pylist()]
+            columns = batch.columns[: len(keep)] + [pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return chosen.mapInArrow(score, schema)
