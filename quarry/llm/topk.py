@@ -12,7 +12,7 @@ the smaller vec_id.
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part as query or
 candidate, as do those without a vec_id; a query has no candidate with its own vec_id, so repeated
 rows of a query don't find each other, while repeated candidates are listed each; a repeated query
-is answered once; empty tables give an empty result; further columns are ignored.
+is answered once, for the least of its vectors; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score; rows and queries have vec_id and weights."""
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("weights").alias("weights"))
     n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
     # each row goes to its block of every query block, each query to its block of every row block
     left = rows.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
