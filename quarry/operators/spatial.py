@@ -297,3 +297,10 @@ def hard_core(points: DataFrame, radius: float, mark: str, scene: str = "scene_i
     lower = (F.col("__m") < F.col(mark)) | ((F.col("__m") == F.col(mark)) & (F.col("__p") < F.col(point)))
     on = (points[scene] == other[scene]) & lower & (apart < radius * radius)
     return points.join(other, on, "left_anti")
+
+
+def mix_edges(points: DataFrame, chosen: Column, k: int = 5, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
+    """x, y and z of the chosen points become the mean of their k nearest neighbours; others stay."""
+    means = knn(points, k, scene, point).groupBy(scene, point).agg(*(F.avg(f"n_{a}").alias(f"__{a}") for a in "xyz"))
+    out = points.withColumn("__chosen", chosen).join(means, [scene, point], "left")
+    return out.withColumns({a: F.when(F.col("__chosen") & F.col(f"__{a}").isNotNull(), F.col(f"__{a}")).otherwise(F.col(a)) for a in "xyz"}).drop("__chosen", "__x", "__y", "__z")

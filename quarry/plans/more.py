@@ -12,6 +12,7 @@ from .evaluation import PER, counts
 from .preparation import SMALL, _draw, rounded, small
 from .registry import query
 from .registry import r6 as q6
+from .space import KNN
 
 
 def _part(name):
@@ -53,3 +54,8 @@ def hard_core_seeds(spark, folder):
 @query(f"WITH {PER} SELECT label, printf('%3d | %8d | %8d', label, support, predicted_support) AS line FROM per")
 def report_lines(spark, folder):
     return M.per_class(counts(spark, folder), 10).select("label", F.format_string("%3d | %8d | %8d", "label", "support", "predicted_support").alias("line"))
+
+
+@query(f"WITH {KNN}, m AS (SELECT scene_id, point_id, avg(n_x) AS mx, avg(n_y) AS my, avg(n_z) AS mz FROM knn WHERE rank <= 5 GROUP BY ALL) SELECT c.scene_id, c.point_id, {q6('CASE WHEN abs(c.intensity) > 0.5 THEN mx ELSE c.x END')} AS x, {q6('CASE WHEN abs(c.intensity) > 0.5 THEN my ELSE c.y END')} AS y, {q6('CASE WHEN abs(c.intensity) > 0.5 THEN mz ELSE c.z END')} AS z FROM cloud_s c JOIN m USING (scene_id, point_id)")
+def mixed_edges(spark, folder):
+    return rounded(S.mix_edges(small(spark, folder), F.abs("intensity") > 0.5).select("scene_id", "point_id", "x", "y", "z"), "x", "y", "z")
