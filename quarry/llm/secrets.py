@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-A candidate is a run of at least 16 characters of keys and encodings; with it go the word before it
-and what stands between them.  The forest judges its length, its character classes and the
+A candidate is a run of at least 16 characters of keys and encodings, whatever stands before it; the word
+before it, if one stands near, is looked for apart.  The forest judges its length, its character classes and the
 transitions between them, how much of it dictionary words cover, whether it looks like a path, an
 address or a number, and its neighbouring word.  It is fitted with Spark ML on labelled findings, and
 its trees become one column expression, so that scanning is a map over the rows with built-in
@@ -22,8 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BODY = r"[A-Za-z0-9+/_=.@:-]"
-#: The word before, what stands between, and the candidate; none of its parts gives back what it took.
-CANDIDATE = rf"(?<!{BODY})(?:[A-Za-z_]{{1,24}}+[ \t]{{0,2}}+[=:]?+[ \t]{{0,2}}+[\"'`]?+)?+{BODY}{{16,}}+"
+#: The candidate alone; a run that begins earlier is never entered, and gives back nothing.
+CANDIDATE = rf"(?<!{BODY}){BODY}{{16,}}+"
+#: The word before (without digits at its end) and what may stand between it and a candidate, at the end of what stands before.
+NEIGHBOUR = r"(?<![A-Za-z_])([A-Za-z_]{1,24})[0-9]{0,4}[\"'`]?[ \t]{0,2}[=:]?[>]?[ \t]{0,2}[\"'`(\[{]?$"
+#: A run that goes from its name to its value.
+NAMED = "^([A-Za-z_]{1,24})[0-9]{0,4}[=:]([^=:]{16,}={0,2})$"
+#: Characters before a candidate in which its neighbouring word is looked for: more than NEIGHBOUR can match.
+REACH = 48
 MARK = "[SECRET]"
 #: Fixed words: what a leaked value is usually called, and what names something harmless.
 NAMES = ("token", "secret", "key", "apikey", "api_key", "access_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "private_key", "client_secret")
@@ -134,13 +140,13 @@ def probability(trees: list, seen: Column) -> Column:
 
 def scan(documents: DataFrame, trees: list, text: str = "text", least: float = 0.5, into: str = "findings") -> DataFrame:
     """Adds the findings of each row, in order: array of (value, before, score)."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CANDIDATE), F.lit(0))
-    split = F.transform(found, lambda x: F.struct(F.regexp_extract(x, rf"({BODY}{{16,}})$", 1).alias("value"), F.regexp_extract(x, r"^([A-Za-z_]{1,24})[^A-Za-z0-9_]", 1).alias("before")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
+    # what stands before each candidate: the text since the one before, and the end of that one, which may be its name
+    gaps = F.zip_with(F.concat(F.array(F.lit("")), found), F.split(whole, CANDIDATE, -1), lambda x, gap: F.concat(F.right(x, F.lit(REACH)), F.right(gap, F.lit(REACH))))
+    split = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda x, gap: F.struct(x.alias("value"), F.regexp_extract(gap, NEIGHBOUR, 1).alias("before")))
     # a candidate that runs from its name to its value (name=value, name:value) is cut after the sign
-    cut = F.transform(
-        split,
-        lambda x: F.when(F.rlike(x["value"], F.lit("^[A-Za-z_]{1,24}[=:][^=:]{16,}$")), F.struct(F.regexp_extract(x["value"], "^[A-Za-z_]+[=:](.*)$", 1).alias("value"), F.regexp_extract(x["value"], "^([A-Za-z_]+)[=:]", 1).alias("before"))).otherwise(x),
-    )
+    cut = F.transform(split, lambda x: F.when(F.rlike(x["value"], F.lit(NAMED)), F.struct(F.regexp_extract(x["value"], NAMED, 2).alias("value"), F.regexp_extract(x["value"], NAMED, 1).alias("before"))).otherwise(x))
     seen = F.transform(cut, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), features(x["value"], x["before"]).alias("seen")))
     scored = F.transform(seen, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), probability(trees, x["seen"]).alias("score")))
     return documents.withColumn(into, F.filter(scored, lambda x: x["score"] >= least))
