@@ -7,6 +7,11 @@ near `idiot`.  Landmark words give the Nyström map of the kernel, in which a li
 map is linear in the kernel values, the machine folds into one weight for each subsequence, and a
 word's decision is exactly the sum over landmarks of its normalised kernel values.
 
+No letter is cut off.  A token's letters are tried joined and, where signs part them, in parts; a stretch
+of more than `WORD_LETTERS` letters (run-on text, scripts without blanks) is tried in windows that begin at
+each of its letters, and its decision is the highest.  Tokens of one or two letters in a row are tried
+joined too, so that `i d i o t` stays near `idiot`.
+
 A document's score is a logistic function of how many of its words the machine takes for insults and
 how surely, fitted on the same labelled rows.
 
@@ -18,6 +23,9 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +35,10 @@ from ._streams import pieces
 
 DECAY = 0.7
 SPAN = 6
-#: Letters of a word that count; what is longer isn't a word but an encoding or a run-on.
+#: Letters of a word; what is longer isn't a word but an encoding or a run-on, and goes through windows.
 WORD_LETTERS = 40
+#: Letters of the windows, one of each width at every letter, and windows that are held at once.
+WIDTHS, HELD = (6, 9, 12), 4000
 #: Labelled rows of each label that may be fitted on, about; words and landmarks of the fit.
 FIT_ROWS, FIT_WORDS, LANDMARKS = 3000, 20_000, 400
 #: Words that a worker remembers.
@@ -43,7 +53,24 @@ _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 def letters_of(token: str) -> str:
     """A token's letters in lower case: signs put between them don't count."""
     low = token.lower()
-    return (low if low.isalpha() else "".join(filter(str.isalpha, low)))[:WORD_LETTERS]
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
+
+
+def parts_of(token: str) -> list[str]:
+    """The stretches of at least three letters that signs part in a token; none if nothing parts it."""
+    low = token.lower()
+    return [] if low.isalpha() else [p for p in re.split(r"[\W\d_]+", low) if len(p) > 2 and p.isalpha()]
+
+
+def words_of(token: str) -> set[str]:
+    """What the fit learns of a token: its letters and its parts, long ones in windows of `WORD_LETTERS` that overlap by half."""
+    found = set()
+    for word in (letters_of(token), *parts_of(token)):
+        if len(word) <= WORD_LETTERS:
+            found.add(word)
+        else:
+            found.update(word[at : at + WORD_LETTERS] for at in range(0, len(word) - WORD_LETTERS // 2, WORD_LETTERS // 2))
+    return {w for w in found if len(w) > 2}
 
 
 def _subsequences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +116,11 @@ class Machine:
     def __init__(self, weights: np.ndarray, offset: float, coefficients: np.ndarray):
         self.weights, self.offset, self.coefficients = weights, offset, coefficients
         self._known: dict[str, float] = {}
+        #: the decisions of parts, where they say more than the joined letters, and the letters of short tokens
+        self._parts: dict[str, list[float]] = {}
+        self._short: dict[str, str] = {}
+        #: the decisions of short tokens in a row
+        self._runs: dict[str, float] = {}
 
     def __getstate__(self):
         at = np.flatnonzero(self.weights)
@@ -107,17 +139,67 @@ class Machine:
         word, key, value = _features(tokens)
         return np.bincount(word, weights=value * self.weights[key], minlength=len(tokens)) + self.offset
 
+    def highest(self, word: str) -> float:
+        """The highest decision of the windows of a long stretch of letters."""
+        best, seen, held = -np.inf, set(), []
+        for width in WIDTHS:
+            for at in range(len(word) - width + 1):
+                window = word[at : at + width]
+                if window not in seen:
+                    seen.add(window)
+                    held.append(window)
+                if len(held) == HELD:
+                    best, held, seen = max(best, float(self.decisions(held).max())), [], set()
+        return max(best, float(self.decisions(held).max())) if held else best
+
+    def _whole(self, words: list[str]) -> list[float]:
+        """The decision of each word over all its letters."""
+        found = iter(self.decisions([w for w in words if len(w) <= WORD_LETTERS]).tolist())
+        return [next(found) if len(w) <= WORD_LETTERS else self.highest(w) for w in words]
+
+    def _learn(self, tokens: list[str]) -> None:
+        words = [letters_of(t) for t in tokens]
+        self._known.update(zip(tokens, self._whole(words)))
+        self._short.update((t, w) for t, w in zip(tokens, words) if len(w) < 3)
+        parted = [(t, p) for t in tokens if (p := parts_of(t)) and (len(p) > 1 or len(p[0]) < len(letters_of(t)))]
+        found = iter(self._whole([w for _, p in parted for w in p]))
+        for token, p in parted:
+            each = [next(found) for _ in p]
+            if max(each) > max(0.0, self._known[token]):
+                self._parts[token] = each
+
+    def _gapped(self, tokens: list[str]) -> list[float]:
+        """The positive decisions of short tokens in a row, joined; signs between them don't count."""
+        rows = []
+        for short, run in groupby(map(self._short.get, tokens), lambda w: w is not None):
+            if short and len(run := [w for w in run if w]) > 1 and len(word := "".join(run)) > 2:
+                rows.append(word)
+        new = [w for w in set(rows) if w not in self._runs]
+        tried = [(w, [w] + [w[at : at + width] for width in WIDTHS for at in range(len(w) - width + 1)]) for w in new if len(w) <= WORD_LETTERS]
+        found = self.decisions([x for _, all_ in tried for x in all_])
+        at = 0
+        for word, all_ in tried:
+            self._runs[word] = float(found[at : at + len(all_)].max())
+            at += len(all_)
+        self._runs.update((w, self.highest(w)) for w in new if len(w) > WORD_LETTERS)
+        return [self._runs[w] for w in rows if self._runs[w] > 0]
+
     def document(self, text: str | None) -> np.ndarray:
         """1, the positive decisions' count and sum (both damped), the highest decision, and the share of positive words."""
         tokens = (text or "").split()
         if not tokens:
             return np.array([1.0, 0.0, 0.0, -1.0, 0.0])
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known = self._known
+        if len(self._known) + len(self._runs) > REMEMBERED:
+            for remembered in (self._known, self._parts, self._short, self._runs):
+                remembered.clear()
+        known, parts = self._known, self._parts
         new = list({t for t in tokens if t not in known})
-        known.update(zip(new, self.decisions([letters_of(t) for t in new]).tolist()))
-        found = np.array(list(map(known.__getitem__, tokens)))
+        for lo in range(0, len(new), HELD):
+            self._learn(new[lo : lo + HELD])
+        each = list(map(known.__getitem__, tokens))
+        if not parts.keys().isdisjoint(tokens):
+            each = [d for t, joined in zip(tokens, each) for d in parts.get(t, (joined,))]
+        found = np.array(each + self._gapped(tokens))
         sure = found[found > 0]
         return np.array([1.0, np.log1p(len(sure)), np.log1p(sure.sum()), max(-1.0, float(found.max())), 10.0 * min(0.2, len(sure) / len(found))])
 
@@ -125,16 +207,23 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.document(text) @ self.coefficients, -30, 30))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton's method; the last column is the offset."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1]) * penalty
+def _svm(x: np.ndarray, bad: np.ndarray, good: np.ndarray, penalty: float, rounds: int = 30, rows: int = 2000) -> np.ndarray:
+    """Linear machine with squared hinge loss by Newton's method; the last entry is the offset.
+
+    Each row of x is an example of both labels with the weights `bad` and `good`; few rows are copied at a time.
+    """
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w)) * penalty
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa = x[active] * weight[active, None]
-        new = np.linalg.solve(x[active].T @ xa + ridge, xa.T @ y[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for lo in range(0, len(x), rows):
+            part = np.hstack((x[lo : lo + rows], np.ones((len(x[lo : lo + rows]), 1))))
+            z = part @ w
+            up, down = np.where(z < 1, bad[lo : lo + rows], 0.0), np.where(-z < 1, good[lo : lo + rows], 0.0)
+            left += part.T @ (part * (up + down)[:, None])
+            right += part.T @ (up - down)
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -177,7 +266,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
     def words(batches):
         for batch in pieces(batches):
             for text_, label_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({t for t in map(letters_of, (text_ or "").split()) if len(t) > 2})
+                found = sorted(set().union(*map(words_of, set((text_ or "").split()))))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label_] * len(found), pa.int32())], ["word", "label"])
 
     counted = chosen.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
@@ -196,13 +285,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
     codes = np.unique(lk)
     table = np.zeros((len(codes) + 1, len(chosen_words)))
     table[np.searchsorted(codes, lk), lw] = lv
-    gram = np.zeros((len(chosen_words), len(chosen_words)))
     word, key, value = _features(tokens)
     at = np.searchsorted(codes, key)
     at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != key)] = len(codes)
     against = np.zeros((len(tokens), len(chosen_words)))
-    for lo in range(0, len(word), 200_000):
-        hi = lo + 200_000
+    for lo in range(0, len(word), 5000):
+        hi = lo + 5000
         np.add.at(against, word[lo:hi], table[at[lo:hi]] * value[lo:hi, None])
     gram = table.T @ table
     values, vectors = np.linalg.eigh(gram)
@@ -210,10 +298,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
     root = vectors[:, keep] / np.sqrt(values[keep])
     x = against @ root
     # a word is an example of each label in the share of sentences that it is seen in
-    many = np.vstack((x, x))
-    y = np.concatenate((np.ones(len(tokens)), -np.ones(len(tokens))))
-    weight = np.concatenate((bad / n_bad, 2.0 * (good + 0.5) / n_good))
-    w = _svm(many, y, weight, penalty=0.004)
+    w = _svm(x, bad / n_bad, 2.0 * (good + 0.5) / n_good, penalty=0.004)
     alpha = root @ w[:-1]
     weights = np.zeros(_DIM)
     weights[codes] = table[:-1] @ alpha

@@ -161,3 +161,15 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.score(odd, machine).count() == odd.count() and toxicity.score(empty, machine).count() == 0
     one = toxicity.fit(labelled.where("label = 1"))
     assert all(r.score < 1e-9 and r.predicted == 0 for r in toxicity.score(odd, one).collect())
+
+
+def test_toxicity_cuts_nothing(spark, data):
+    """Insults after the 40th letter of a token, among signs, and gapped by blanks are seen as written apart."""
+    rows = [(f"the {w} and {v}", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house", "garden", "bread"))) for w in ws for v in ws for _ in range(5)]
+    machine = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    run_on = "applehousegardenbread" * 3
+    for text in (f"{run_on}idiot{run_on}", f"{run_on},idiot", "apple,house,garden,bread,apple,house,garden,bread,idiot,apple", "the i d i o t and", "the m - o - r - o - n", "the id io t"):
+        assert machine.score(text) > 0.5, text
+    for text in (run_on, "apple,house,garden/bread", "the a p p l e", "a b c"):
+        assert machine.score(text) < 0.5, text
+    assert toxicity.letters_of("ab" * 40) == "ab" * 40 and any("idiot" in w for w in toxicity.words_of(run_on + "idiot"))
