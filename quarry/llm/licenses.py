@@ -2,13 +2,15 @@
 
 Every line of a text that speaks of a licence is compared with each template: the cosine of their
 TF-IDF vectors, whose inverse frequencies come from the templates (a word of no template weighs as one
-of a template's rarest).  The best template at or above `least` is the document's own licence; ties go
+of a template's rarest).  So is, with notices, titles and whole texts, a document's header block (the
+paragraphs of its leading comment, or else its first paragraphs, that speak of a licence) and the whole
+text of a licence file (named so, or not a comment and begun with such a paragraph).  The best template at or above `least` is the document's own licence; ties go
 to the name that sorts first.  A document without one inherits from the nearest directory above it
-that has a licence file.  A licence file is one that begins with a licence line; if a directory
+that has a licence file.  A licence file gives its licence if it is named so or begins with it; if a directory
 has several, that of the path that sorts first counts.
 
-Only lines that a cue selects are exploded into words, so the shuffles carry licence lines and
-paths, never texts.  The templates are a fixed small table.  Built-in functions only.
+Only lines, blocks and licence files that a cue selects are exploded into words, so the shuffles carry
+these and paths, never other texts.  The templates are a fixed small table.  Built-in functions only.
 
 Edge cases: null and empty texts have no licence of their own and may inherit; texts are searched
 whole; rows with a null path neither give nor inherit; rows with the same path are joined as one file
@@ -24,6 +26,24 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
+#: Licences with their SPDX ids, as titles and headings write them.
+TITLES = [
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"), ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-2.0", "GNU General Public License version 2"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "GNU General Public License version 3"), ("ISC", "ISC License"), ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"), ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"), ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+SPDX = [(name, f"SPDX-License-Identifier: {name}{end}") for name, ends in (("AGPL-3.0", ("", "-only", "-or-later")), ("CC-BY-4.0", ("",)), ("CC-BY-NC-4.0", ("",)), ("CC-BY-SA-4.0", ("",)), ("GPL-2.0", ("", "-only", "-or-later")), ("GPL-3.0", ("-only", "-or-later")), ("ISC", ("",)), ("LGPL-2.1", ("", "-only", "-or-later")), ("LGPL-3.0", ("", "-only", "-or-later")), ("MPL-2.0", ("",))) for end in ends]
+_GNU = "This {0} is free software{4} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_GNU_REST = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_FREE = [(name, what, kind, version) for name, what, kind, version in (("AGPL-3.0", "program", "Affero ", "3"), ("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "library", "Lesser ", "3"))]
+#: Notices that stand in headers, first sentence and whole.
+NOTICES = [("Apache-2.0", _APACHE), ("MPL-2.0", _MPL)] + [(name, (_GNU + rest).format(what, kind, version, "", ":")) for name, what, kind, version in _FREE for rest in ("", _GNU_REST)]
 #: Fixed texts: how notices name their licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -41,45 +61,79 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    *TITLES,
+    *SPDX,
+    *NOTICES,
 ]
+#: What header blocks and licence files are compared with; the weights of words are of these.
+BLOCKS = TITLES + NOTICES + TEXTS
 CUE = r"(?i)licen[sc]e|copyright|spdx|redistribution"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
+#: Paths of licence files, and how a comment begins and its lines do.
+NAMED = r"(?i)(?:licen[sc]e|copying|notice)[^/]*$"
+COMMENT = r"^(?:/\*|<!--|\"\"\"|[\"']{3}|#|//|--|;|%)"
+COMMENTED = r"^\s*(?:#|//|--|;|%|\*|$)"
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|\"\"\"|[\"']{3})"
 
 
-def template_weights() -> tuple[list[tuple[int, str, str, float]], float]:
+def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], float]:
     """(template, licence, word, weight) with vectors of length 1, and the weight of an unknown word."""
-    words = [Counter(re.findall(WORD, text.lower())) for _, text in TEMPLATES]
+    words = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
     seen = Counter(w for found in words for w in found)
-    idf = {w: math.log((1 + len(TEMPLATES)) / (1 + n)) + 1 for w, n in seen.items()}
+    idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in seen.items()}
     rows = []
-    for k, ((name, _), found) in enumerate(zip(TEMPLATES, words)):
+    for k, ((name, _), found) in enumerate(zip(templates, words)):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in found.items()))
         rows += [(k, name, w, n * idf[w] / norm) for w, n in sorted(found.items())]
-    return rows, math.log((1 + len(TEMPLATES)) / 2) + 1
+    return rows, math.log((1 + len(templates)) / 2) + 1
 
 
-def _idf_table(spark: SparkSession) -> DataFrame:
-    seen = Counter(w for _, text in TEMPLATES for w in set(re.findall(WORD, text.lower())))
-    return spark.createDataFrame([(w, math.log((1 + len(TEMPLATES)) / (1 + n)) + 1) for w, n in seen.items()], "word string, idf double")
+def _idf_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    seen = Counter(w for _, text in templates for w in set(re.findall(WORD, text.lower())))
+    return spark.createDataFrame([(w, math.log((1 + len(templates)) / (1 + n)) + 1) for w, n in seen.items()], "word string, idf double")
 
 
-def own_licenses(documents: DataFrame, row: str, text: str = "text", least: float = LEAST) -> DataFrame:
-    """row, line (its number), license and score of the best licence line of each text that has one."""
-    spark = documents.sparkSession
-    weights, unknown = template_weights()
+def _scored(units: DataFrame, against: list[tuple[str, str]], least: float) -> DataFrame:
+    """row, line, license and score of every template that a unit (row, line, said) comes near."""
+    spark = units.sparkSession
+    weights, unknown = template_weights(against)
     templates = F.broadcast(spark.createDataFrame(weights, "template int, license string, word string, weight double"))
-    idf = F.broadcast(_idf_table(spark))
-    lines = documents.where(F.col(text).rlike(CUE)).select(F.col(row).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
-    lines = lines.distinct()
-    words = lines.select("row", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))).alias("word"))
+    idf = F.broadcast(_idf_table(spark, against))
+    words = units.distinct().select("row", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))).alias("word"))
     counted = words.groupBy("row", "line", "word").agg(F.count("*").alias("n")).join(idf, "word", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     norms = counted.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     dots = counted.join(templates, "word").groupBy("row", "line", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["row", "line"]).select("row", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    return dots.join(norms, ["row", "line"]).select("row", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+
+
+def _blocks(text: Column, named: Column) -> Column:
+    """The header block and, of a licence file, the whole text."""
+    body = F.regexp_replace(text, r"\A\s*+(?:#![^\n]*+\n\s*+)?+", "")
+    lines = F.split(body, "\n")
+    end = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(COMMENTED))), False).cast("int")
+    run = F.array_join(F.when(end == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)))), "\n")
+    head = F.when(body.startswith("/*"), F.substring_index(body, "*/", 1)).when(body.startswith("<!--"), F.substring_index(body, "-->", 1))
+    head = head.when(body.startswith('"""'), F.substring_index(body, '"""', 2)).when(body.startswith("'''"), F.substring_index(body, "'''", 2))
+    comment = F.rlike(body, F.lit(COMMENT))
+    paragraphs = F.split(F.when(comment, F.regexp_replace(head.otherwise(run), MARKS, "")).otherwise(body), r"\n[ \t\r]*+\n")
+    silent = F.array_position(F.transform(paragraphs, lambda x: F.rlike(x, F.lit(CUE))), False).cast("int")
+    first = F.when(silent == 0, paragraphs).otherwise(F.slice(paragraphs, F.lit(1), F.greatest(silent - 1, F.lit(0))))
+    block = F.array_join(F.when(comment, F.filter(paragraphs, lambda x: F.rlike(x, F.lit(CUE)))).otherwise(first), " ")
+    return F.filter(F.array(block, F.when(named | (~comment & (silent != 1)), body)), lambda x: x.isNotNull() & (x != ""))
+
+
+def own_licenses(documents: DataFrame, row: str, text: str = "text", least: float = LEAST, path: str | None = None) -> DataFrame:
+    """row, line (its number; 0 for a block), license and score of the best licence line or block of each text that has one."""
+    chosen = documents.where(F.col(text).rlike(CUE))
+    lines = chosen.select(F.col(row).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
+    named = F.coalesce(F.rlike(F.col(path), F.lit(NAMED)), F.lit(False)) if path else F.lit(False)
+    # block and whole text are told apart by -1 and -2 until the best is known
+    blocks = chosen.select(F.col(row).alias("row"), F.posexplode(_blocks(F.col(text), named)).alias("line", "said")).withColumn("line", -1 - F.col("line"))
+    scored = _scored(lines, TEMPLATES, least).unionByName(_scored(blocks, BLOCKS, least))
     # the best line and licence of a text: a row a text, so no group grows
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("best"))
-    return best.select("row", F.col("best.line").alias("line"), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    return best.select("row", F.greatest(F.col("best.line"), F.lit(0)).alias("line"), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
 def _parents(path: Column) -> Column:
@@ -91,11 +145,11 @@ def _parents(path: Column) -> Column:
 def scan(documents: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
     """The `keep` columns with license, score, origin (own or inherited) and license_path; null without any."""
     rows = documents.select(F.struct(*keep).alias("kept"), F.col(path).alias("path"), F.col(text).alias("text"))
-    own = own_licenses(rows.withColumn("row", F.struct("path", F.xxhash64("text").alias("hash"))), "row", "text", least)
+    own = own_licenses(rows.withColumn("row", F.struct("path", F.xxhash64("text").alias("hash"))), "row", "text", least, "path")
     light = rows.select("kept", "path", F.struct("path", F.xxhash64("text").alias("hash")).alias("row"))
     # a null path would not join as part of a struct comparison, so compare null-safely
     judged = light.join(own, light["row"].eqNullSafe(own["row"]), "left").select("kept", "path", "license", "score", "line")
-    files = judged.where("license is not null and line = 0 and path is not null").select(F.element_at(_parents(F.col("path")), 1).alias("folder"), F.struct("path", "license", "score").alias("file")).groupBy("folder").agg(F.min("file").alias("file"))
+    files = judged.where(F.col("license").isNotNull() & F.col("path").isNotNull() & ((F.col("line") == 0) | F.rlike("path", F.lit(NAMED)))).select(F.element_at(_parents(F.col("path")), 1).alias("folder"), F.struct("path", "license", "score").alias("file")).groupBy("folder").agg(F.min("file").alias("file"))
     missing = judged.where("license is null and path is not null").select("path").distinct()
     above = missing.select("path", F.posexplode(_parents(F.col("path"))).alias("depth", "folder"))
     nearest = above.join(files, "folder").groupBy("path").agg(F.min(F.struct("depth", "file")).alias("found")).select(F.col("path").alias("__path"), F.col("found.file").alias("file"))

@@ -120,6 +120,20 @@ def test_licenses_odd(spark, odd, empty):
     assert licenses.scan(empty, "__text").count() == 0 and licenses.scan(odd, "__text").count() == odd.count()
 
 
+def test_licenses_headers_and_whole_texts(spark):
+    """Titles, SPDX ids, header comments and whole licence files, which give to their directory."""
+    whole = dict(licenses.TEXTS)
+    apache = dict(licenses.NOTICES[:1])["Apache-2.0"]
+    cases = [(name, f"Copyright (c) 2020 Someone\n\n{text}") for name, text in whole.items()]
+    cases += [(name, f"SPDX-License-Identifier: {name}") for name in ("MPL-2.0", "GPL-2.0", "LGPL-3.0", "ISC", "AGPL-3.0")] + [("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;")]
+    cases += [("MPL-2.0", "Mozilla Public License Version 2.0"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmore"), ("Apache-2.0", apache)]
+    cases += [("Apache-2.0", "/*\n * Copyright 2020 Someone\n *\n * " + apache.replace(". ", ".\n * ") + "\n */\nclass X {}"), ("GPL-3.0", "# " + dict(licenses.NOTICES)["GPL-3.0"].replace(", ", ",\n# ") + "\n\nimport x")]
+    rows = [(n, f"d{n}/LICENSE" if n < len(whole) else f"d{n}/x.c", text) for n, (_, text) in enumerate(cases)] + [(1000 + n, f"d{n}/sub/y.c", "int y;") for n in range(len(whole))]
+    got = as_dict(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path"))
+    assert [(want, got[n], text[:60]) for n, (want, text) in enumerate(cases) if got[n][0] != want] == []
+    assert all(got[1000 + n] == (cases[n][0], "inherited", f"d{n}/LICENSE") for n in range(len(whole)))
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
 
