@@ -12,7 +12,7 @@ pairs.  Universal hash minima are cut into bands; documents that agree on a band
    copies costs what its members cost, not its pairs.  No bucket is capped.
 
 Links are 100 * intersection >= similarity * union.  With 28 bands of 4 minima a pair at 0.75 shares no
-band with probability 2e-5; the signature test lets a pair at 0.75 pass with probability 0.9999.
+band with probability 2e-5; the signature test drops a pair at 0.75 with probability below 1e-5.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; long
 texts are used whole; rows with the same doc_id are judged each by its own set, and where such a doc_id
@@ -37,7 +37,7 @@ SIMILARITY = 75
 BANDS = 28
 ROWS = 4
 #: Least share of equal minima of a pair that is confirmed on full sets.
-AGREEMENT = 0.6
+AGREEMENT = 0.55
 #: Members of a bucket that are compared at once.
 BLOCK = 2048
 #: Ids that may be broadcast; more are joined by shuffle.

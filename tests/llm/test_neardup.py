@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -94,3 +95,10 @@ def test_components(spark):
     assert {x: top(x) for x in parent if top(x) != x} == {x: c for x, c in got.items() if x != c}
     none = spark.createDataFrame([], "a long, b long")
     assert components.components(none).count() == 0
+
+
+def test_few_pairs_at_the_limit_are_dropped():
+    """A pair at 0.75 is lost by bands and signature test together with probability below 1e-4."""
+    n, p = neardup.BANDS * neardup.ROWS, neardup.SIMILARITY / 100
+    dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < neardup.AGREEMENT)
+    assert dropped < 1e-5 and dropped + (1 - p**neardup.ROWS) ** neardup.BANDS < 1e-4
