@@ -32,8 +32,10 @@ from ._streams import pieces
 #: character that is not white space to one that is.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Segments and pre-tokens that a worker remembers; both tables start anew when they are full.
-REMEMBERED = 150_000
+#: Segments and pre-tokens of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
+REMEMBERED, LONGEST = 300_000, 48
+#: Places of the table of hashes that came up before.
+SEEN = 1 << 22
 #: Characters of text whose new pre-tokens share one queue.
 CHUNK = 1 << 20
 
@@ -89,17 +91,23 @@ class Codec:
         self.decimal = [str(k) for k in range(size)]
         self.numbers = list(range(size))
         self.first = [ranks[bytes([b])] for b in range(256)]
-        #: (left token, right token) as one number -> rank of what they merge to.
-        self.pairs = {
-            (ranks[token[:k]] << 20) | ranks[token[k:]]: rank for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks
-        }
+        #: Rank of what a pair merges to, by its left token and then its right one, and the other way round.
+        self.starting: dict[int, dict[int, int]] = {}
+        self.ending: dict[int, dict[int, int]] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.starting.setdefault(left, {})[right] = rank
+                    self.ending.setdefault(right, {})[left] = rank
         self._byte_pairs = np.full((256, 256), -1, dtype=np.int64)
         for a in range(256):
             for b in range(256):
-                self._byte_pairs[a, b] = self.pairs.get((self.first[a] << 20) | self.first[b], -1)
+                self._byte_pairs[a, b] = self.starting.get(self.first[a], {}).get(self.first[b], -1)
         self._queue = RankQueue(size)
-        self._pretokens: dict[str, tuple[int, ...]] = {}
-        self._segments: dict[str, tuple[int, ...]] = {}
+        #: Ids of segments and pre-tokens that came up in two chunks, and a bit for each hash that came up in one.
+        self._known: dict[str, tuple[int, ...]] = {}
+        self._seen = bytearray(SEEN)
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece, all through one queue."""
@@ -125,7 +133,7 @@ class Codec:
         after[ends - 1] = -1
         before = np.arange(-1, n - 1)
         before[np.concatenate(([0], ends[:-1]))] = -1
-        queue, pairs = self._queue, self.pairs
+        queue = self._queue
         order = np.argsort(ranked, kind="stable")
         order = order[np.searchsorted(ranked[order], 0) :]
         cuts = np.flatnonzero(np.diff(ranked[order], prepend=-2)).tolist() + [len(order)]
@@ -134,35 +142,43 @@ class Codec:
         token = np.array(self.first)[data].tolist()
         for a, b in zip(cuts, cuts[1:]):
             queue.extend(pair[order_list[a]], order_list[a:b])
+        buckets, low = queue.buckets, queue.low
         while queue.high:
             rank, found = queue.pop()
-            found.sort()
+            if len(found) > 1:
+                found.sort()
+            left_of, right_of = self.ending.get(rank), self.starting.get(rank)
             for done, at in enumerate(found):
                 if pair[at] != rank:
                     continue  # stale
                 right = nxt[at]
-                far = nxt[right]
+                nxt[at] = far = nxt[right]
                 token[at] = rank
-                nxt[at] = far
-                pair[right] = -1
-                lowest = rank
+                pair[right] = pair[at] = -1
+                early = False
                 if far >= 0:
                     prv[far] = at
-                    new = pairs.get((rank << 20) | token[far], -1)
-                    pair[at] = new
-                    if new >= 0:
-                        queue.push(new, at)
-                        lowest = min(lowest, new)
-                else:
-                    pair[at] = -1
+                    if right_of and (new := right_of.get(token[far])) is not None:
+                        pair[at] = new
+                        bucket = buckets[new]
+                        if not bucket:
+                            low[new >> 8] |= 1 << (new & 255)
+                            queue.high |= 1 << (new >> 8)
+                        bucket.append(at)
+                        early = new < rank
                 left = prv[at]
                 if left >= 0:
-                    new = pairs.get((token[left] << 20) | rank, -1)
-                    pair[left] = new
-                    if new >= 0:
-                        queue.push(new, left)
-                        lowest = min(lowest, new)
-                if lowest < rank:  # a lower rank comes first now
+                    if left_of and (new := left_of.get(token[left])) is not None:
+                        pair[left] = new
+                        bucket = buckets[new]
+                        if not bucket:
+                            low[new >> 8] |= 1 << (new & 255)
+                            queue.high |= 1 << (new >> 8)
+                        bucket.append(left)
+                        early |= new < rank
+                    else:
+                        pair[left] = -1
+                if early:  # a lower rank comes first now
                     queue.extend(rank, found[done + 1 :])
                     break
         numbers = self.numbers
@@ -174,16 +190,31 @@ class Codec:
             out[k] = tuple(ids)
         return out
 
-    def _learn(self, segments: set[str]) -> None:
-        """Remember the ids of segments that are not known yet."""
-        split = {s: self.pattern.findall(s) for s in segments}
-        if len(self._pretokens) > REMEMBERED:
-            self._pretokens.clear()
-        known = self._pretokens
+    def _learn(self, segments: set[str]) -> list[str]:
+        """Remember the ids of segments that are not known yet, and of their pre-tokens; returns all that is new."""
+        known, findall = self._known, self.pattern.findall
+        split = {s: findall(s) for s in segments}
         new = list({p for found in split.values() for p in found if p not in known})
         known.update(zip(new, self.merge([p.encode("utf-8", "replace") for p in new])))
         for segment, found in split.items():
-            self._segments[segment] = known[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(known.__getitem__, found)))
+            if len(found) != 1:
+                known[segment] = tuple(chain.from_iterable(map(known.__getitem__, found)))
+                new.append(segment)
+        return new
+
+    def _forget(self, new: list[str]) -> None:
+        """Of what a chunk brought only what an earlier chunk had as well stays, and short strings only."""
+        known, seen = self._known, self._seen
+        if len(known) - len(new) > REMEMBERED:
+            known.clear()
+            return
+        for s in new:
+            k = hash(s) % SEEN
+            if not seen[k]:
+                seen[k] = 1
+                known.pop(s, None)
+            elif len(s) > LONGEST:
+                known.pop(s, None)
 
     def encode_all(self, texts: list[str | None]):
         """The ids of each text, in order."""
@@ -194,12 +225,11 @@ class Codec:
                 chunk.append(_SEGMENT.findall(texts[k]) if texts[k] else [])
                 size += len(texts[k] or "")
                 k += 1
-            if len(self._segments) > REMEMBERED:
-                self._segments.clear()
-            known = self._segments
-            self._learn({s for found in chunk for s in found if s not in known})
+            known = self._known
+            new = self._learn({s for found in chunk for s in found if s not in known})
             for found in chunk:
                 yield list(chain.from_iterable(map(known.__getitem__, found)))
+            self._forget(new)
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_all([text]))
