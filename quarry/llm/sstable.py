@@ -20,7 +20,6 @@ empty table writes no shard.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -28,7 +27,6 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -42,8 +40,10 @@ ENTRY = struct.Struct("<9sQI")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-#: Words and pieces of words that a worker remembers; the tables start anew when they are full.
-REMEMBERED = 500_000
+#: Words of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
+REMEMBERED, LONGEST = 400_000, 48
+#: Places of the table of hashes that came up before.
+SEEN = 1 << 22
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -179,55 +179,51 @@ class Reader:
 class WordCodec:
     """The tokenizers library's ids of whole texts, each different word encoded once.
 
-    Its vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words; a word of Latin-1 letters is likewise split as the library's own pre-tokenizer does.
+    Its vocabulary drops white space and never joins across it, so a text's ids are those of its words.
+    Many new words go to the library as one text, parted by a special token, and its id parts their ids.
+    Texts that hold the string of such a token go to the library as they are.
     """
 
-    _pieces_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    _plain = re.compile("[!-~¡-¬®-ÿ]*")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        vocabulary = self.tokenizer.get_vocab()
-        #: Ids that end a piece.
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, k in vocabulary.items():
-            self.ends[k] = token.endswith("</w>")
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        parting = [(t.content, k) for k, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.between, self.between_id = parting[0] if parting else (None, None)
         self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        #: A byte for each hash of a word that came up before.
+        self._seen = bytearray(SEEN)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, pieces: list[str]) -> list[bytes]:
-        """The library's ids of each piece: many pieces to a text, cut after the ids that end one."""
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """The library's ids of each word."""
+        if self.between is None:
+            return self._library(words)
         out = []
-        parts = [pieces[at : at + 128] for at in range(0, len(pieces), 128)]
-        for part, raw in zip(parts, self._library([" ".join(part) for part in parts])):
-            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._library(part)
+        for raw in self._library([self.between.join(words[at : at + 256]) for at in range(0, len(words), 256)]):
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.between_id)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            if self._plain.fullmatch(w):
-                plain[w] = self._pieces_of.findall(w.lower())
-            else:
-                other.append(w)
-        if len(self._pieces) > REMEMBERED:
-            self._pieces.clear()
-        known = self._pieces
-        new = list({p for found in plain.values() for p in found if p not in known})
-        known.update(zip(new, self._apart(new)))
-        for w, found in plain.items():
-            self._words[w] = b"".join(map(known.__getitem__, found))
-        self._words.update(zip(other, self._library(other)))
+    def _forget(self, new: list[str]) -> None:
+        """Of the words a chunk brought only those that an earlier one had as well stay, and short ones only."""
+        known, seen = self._words, self._seen
+        if len(known) - len(new) > REMEMBERED:
+            known.clear()
+            return
+        for w in new:
+            k = hash(w) % SEEN
+            if not seen[k]:
+                seen[k] = 1
+                del known[w]
+            elif len(w) > LONGEST:
+                del known[w]
 
     def encode_all(self, texts: list[str | None], chunk: int = 1 << 20):
         """The ids of each text as little-endian 32-bit bytes."""
@@ -236,15 +232,16 @@ class WordCodec:
             held, size = [], 0
             while k < len(texts) and (not held or size < chunk):
                 text = texts[k] or ""
-                held.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                whole = any(t in text for t in self.added)
+                held.append(text if whole else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 size += len(text)
                 k += 1
-            if len(self._words) > REMEMBERED:
-                self._words.clear()
             known = self._words
-            self._learn({w for found in held for w in found if w not in known})
+            new = list({w for found in held if isinstance(found, list) for w in found if w not in known})
+            known.update(zip(new, self._apart(new)))
             for found in held:
-                yield b"".join(map(known.__getitem__, found))
+                yield b"".join(map(known.__getitem__, found)) if isinstance(found, list) else self._library([found])[0]
+            self._forget(new)
 
 
 _codecs: dict[str, WordCodec] = {}
