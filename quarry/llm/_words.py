@@ -1,18 +1,24 @@
-"""Vectorised word splitting and 64-bit hashing of UTF-8 text (helper of the tasks).
+"""Words of UTF-8 text and hashes of them and of runs of them (helper of the tasks).
 
-Words are maximal runs of word bytes.  Every splitting rule used here treats all bytes from
-0x80 up alike, so working on UTF-8 bytes equals working on characters.  A word's hash is a
-polynomial over randomised byte values modulo 2**64, finished by a bit mixer; sequences of
-words are hashed the same way over the word hashes.
+Words are maximal runs of word bytes.  Every splitting rule used here treats all bytes from 0x80 up
+alike, so working on UTF-8 bytes equals working on characters.  A word's hash is its BLAKE2 digest of
+128 bits, used whole or its first half; a run's hash mixes those of its two overlapping halves, level by level,
+so that neither words nor runs can be made up to have equal hashes by solving equations.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_ODD = U64(0x9E3779B97F4A7C15)
+#: Words of at most LONGEST bytes that a worker remembers the digests of; the table starts anew when it is full.
+REMEMBERED, LONGEST = 200_000, 64
+#: Bytes to lower case (A-Z), by default and with all bytes but letters, digits and those of non-ASCII characters as blanks.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+ALNUM = bytes(LOWER[b] if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,86 +30,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-_POW = np.ones(1, dtype=U64)
-_INV = np.ones(1, dtype=U64)
+def words(text: str | None, table: bytes | None = None) -> list[bytes]:
+    """The words of a text, between space and 0x09-0x0D once its bytes went through the table; none of a null text."""
+    raw = text.encode("utf-8", "replace") if text else b""
+    return raw.translate(table).split() if table else raw.split()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("_POW", _BASE), ("_INV", inverse)):
-            table = np.full(size, base & _MASK, dtype=U64)
-            table[0] = 1
-            globals()[name] = np.multiply.accumulate(table)
-    return _POW, _INV
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        digest = blake2b(word, digest_size=16).digest()
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = digest
+        return digest
 
 
-def _is_word(separators: bytes | None) -> np.ndarray:
-    flags = np.ones(256, dtype=bool)
-    flags[list(separators)] = False
-    return flags
+_digests = _Digests()
 
 
-#: Space and 0x09-0x0D separate.
-SPACED = _is_word(bytes([0x20, *range(0x09, 0x0E)]))
-#: ASCII letters, digits and all non-ASCII characters are word characters.
-ALNUM = _is_word(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+def hashed(found: list[bytes]) -> np.ndarray:
+    """The digests of words: two numbers a row."""
+    return np.frombuffer(b"".join(map(_digests.__getitem__, found)), U64).reshape(-1, 2)
 
 
-def words(buffer: bytes, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte offsets and hashes of the words of a buffer."""
-    data = np.frombuffer(buffer, dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(kind[data].view(np.int8), prepend=0, append=0))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.empty(0, dtype=U64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * _ODD + y)
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` consecutive words, one for each start."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=U64)
-    out = np.zeros(n, dtype=U64)
-    for k in range(size):
-        out = out * U64(_BASE) + hashes[k : k + n]
-    return mix(out)
-
-
-def split_batch(texts: list[str | None], kind: np.ndarray, lower: bool = False, most: int = 1 << 20):
-    """Yield (index, bytes, starts, ends, hashes) of each text; short texts share one pass.
-
-    Null texts have no words.  `most` only bounds how many bytes are handled at once.
-    """
-    group: list[tuple[int, bytes]] = []
-    held = 0
-
-    def flush():
-        joined = b"\n".join(raw for _, raw in group)
-        starts, ends, hashed = words(joined, kind)
-        offset = 0
-        for index, raw in group:
-            a, b = np.searchsorted(starts, (offset, offset + len(raw) + 1))
-            b = max(a, b)
-            yield index, raw, starts[a:b] - offset, ends[a:b] - offset, hashed[a:b]
-            offset += len(raw) + 1
-
-    for index, text in enumerate(texts):
-        raw = text.encode("utf-8", "replace") if text else b""
-        if lower:
-            raw = raw.lower()
-        if group and held + len(raw) > most:
-            yield from flush()
-            group, held = [], 0
-        group.append((index, raw))
-        held += len(raw) + 1
-    if group:
-        yield from flush()
+    """Hashes of all runs of `size` consecutive rows, one for each start; columns are hashed apart."""
+    if len(hashes) < size:
+        return hashes[:0].copy()
+    out, width = mix(hashes + U64(size)), 1
+    while 2 * width <= size:
+        out, width = _joined(out[: len(out) - width], out[width:]), 2 * width
+    rest = size - width
+    return _joined(out[: len(out) - rest], out[rest:]) if rest else out

@@ -5,14 +5,17 @@ also starts anywhere else, in the same document or another, are removed.
 
 1. Anchors.  Of the `anchor`-word grams in every window the one with the least hash is the window's
    anchor, so equal windows have equal anchors; about one gram in ten is chosen.  Only windows
-   whose anchor occurs twice can recur.
-2. Confirmed passages.  The windows of such anchors are counted by their hash.  Of every window that
-   recurs the first instance is kept; runs of such windows are the recurring passages, and each
-   recurring window stands in exactly one of them.
+   whose anchor occurs twice can recur.  Anchors with more than 1 / HOT of all occurrences, fewer than HOT, are
+   joined by broadcast, so that none of them meets in one task.
+2. Confirmed passages.  The windows of such anchors are counted by 128 bits made from the BLAKE2 digests of
+   their words.  Of every window that recurs the first instance is kept; runs of such windows, cut into pieces
+   that overlap, are the recurring passages, and each recurring window stands in exactly one of them.
 3. Automata.  Documents that could hold a passage are dealt into shards of bounded text, and each
-   passage goes to the shards whose documents share one of its anchors.  Blocks of a shard's passages,
+   passage goes to the shards whose documents share a key with it: an anchor or, where an anchor occurs more
+   than COMMON times, the hash of a window round it.  So what an anchor adds to the shards is bounded by COMMON for each
+   occurrence, and a common line brings a shard only passages that stand in it.  Blocks of a shard's passages,
    chosen so that every window holds a whole one, are compiled into an Aho-Corasick automaton
-   over words; the shard's documents stream through it, and each block found is extended to the
+   over words; the shard's documents stream through it, and each block found is extended, word by word, to the
    longest common run with its passage.  Runs of at least a window are removed.
 
 Edge cases: null texts have no words; documents shorter than a window lose nothing; texts of any length
@@ -24,6 +27,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -31,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 from ._streams import pieces
-from ._words import SPACED, U64, grams, split_batch
+from ._words import U64, grams, hashed, words
 
 WINDOW = 35
 ANCHOR = 18
+#: Anchors above this share of all occurrences are broadcast (fewer than HOT); above so many they are told apart by windows.
+HOT, COMMON = 5000, 256
+#: Windows of a passage at most.
+PIECE = 128
 #: Characters of candidate documents in a shard, about.
 SHARD_CHARS = 6_000_000
 #: Ids that may be broadcast; more are joined by shuffle.
@@ -45,7 +53,7 @@ BROADCAST_IDS = 200_000
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """The anchor's place for each window of a document, and the hash of the gram at each place."""
-    found = grams(hashes, anchor)
+    found = grams(hashes[:, 0], anchor)
     if len(hashes) < window:
         return np.empty(0, np.int64), found
     seen = np.lib.stride_tricks.sliding_window_view(found, window - anchor + 1)
@@ -53,57 +61,76 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> t
 
 
 def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
-    """rid, anchor and place of each chosen gram."""
+    """rid and anchor of each chosen gram."""
 
     def run(batches):
         for batch in pieces(batches):
-            rid, value, place = [], [], []
-            ids = batch.column(0).to_pylist()
-            for index, _, _, _, hashes in split_batch(batch.column(1).to_pylist(), SPACED):
-                chosen, found = anchors(hashes, window)
+            rid, value = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chosen, found = anchors(hashed(words(text)), window)
                 chosen = np.unique(chosen)
-                rid.append(np.full(len(chosen), ids[index], dtype=np.int64))
+                rid.append(np.full(len(chosen), key, dtype=np.int64))
                 value.append(found[chosen].astype(np.int64))
-                place.append(chosen.astype(np.int32))
-            if rid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rid, value, place)], ["rid", "anchor", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rid, value)], ["rid", "anchor"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, anchor long, place int")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, anchor long")
 
 
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
-    """wh (hash), rid and start of the windows whose anchor is at one of the row's places."""
+    """wa and wb (hash), rid and start of the windows whose anchor is one of the row's."""
 
     def run(batches):
-        for batch in pieces(batches):
-            ids, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for index, _, _, _, hashes in split_batch(batch.column(1).to_pylist(), SPACED):
-                chosen, _ = anchors(hashes, window)
-                start = np.flatnonzero(np.isin(chosen, np.array(places[index])))
-                if len(start):
-                    value = grams(hashes, window)[start].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.full(len(start), ids[index], dtype=np.int64)), pa.array(start.astype(np.int32))], ["wh", "rid", "start"])
+        for batch in pieces(batches, 100):
+            hashes, rid, first = [], [], []
+            for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                own = hashed(words(text))
+                chosen, found = anchors(own, window)
+                start = np.flatnonzero(np.isin(found[chosen].astype(np.int64), np.array(wanted)))
+                hashes.append(grams(own, window)[start].astype(np.int64))
+                rid.append(np.full(len(start), key, dtype=np.int64))
+                first.append(start.astype(np.int32))
+            wa, wb = np.concatenate(hashes).T.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wa, wb, np.concatenate(rid), np.concatenate(first))], ["wa", "wb", "rid", "start"])
 
-    return rows.select("rid", "text", "places").mapInArrow(run, "wh long, rid long, start int")
+    return rows.select("rid", "text", "anchors").mapInArrow(run, "wa long, wb long, rid long, start int")
 
 
 def _passage_rows(rows: DataFrame, window: int) -> DataFrame:
-    """passage (text) with its anchors, for each run of the row's starts."""
+    """passage (text) with its keys, for each run of the row's starts.
+
+    A start counts only if the window there has the hash that was counted, so that rows whose rid is equal by chance do no harm.
+    """
 
     def run(batches):
-        for batch in pieces(batches):
-            starts = batch.column(1).to_pylist()
-            text, keys = [], []
-            for index, raw, first, last, hashes in split_batch(batch.column(0).to_pylist(), SPACED):
-                at = np.unique(np.array(starts[index]))
+        for batch in pieces(batches, 100):
+            out, keys = [], []
+            for text, starts, common in zip(*(c.to_pylist() for c in batch.columns)):
+                own = words(text)
+                hashes = hashed(own)
+                value = grams(hashes, window)
+                at = np.array([x["start"] for x in starts])
+                wanted = np.array([(x["wa"], x["wb"]) for x in starts]).astype(U64)
+                inside = at < len(value)
+                at, wanted = at[inside], wanted[inside]
+                at = np.unique(at[(value[at] == wanted).all(axis=1)])
                 chosen, found = anchors(hashes, window)
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    a, b = int(part[0]), int(part[-1]) + window
-                    text.append(b" ".join(raw[i:j] for i, j in zip(first[a:b].tolist(), last[a:b].tolist())).decode())
-                    keys.append(np.unique(found[chosen[part]]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["passage", "anchors"])
+                key = found[chosen].astype(np.int64)
+                key = np.where(np.isin(key, np.array(common, dtype=np.int64)), value[:, 0].astype(np.int64), key)
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                    for lo in range(0, len(part), PIECE):
+                        piece = part[lo : lo + PIECE]
+                        out.append(b" ".join(own[int(piece[0]) : int(piece[-1]) + window]).decode())
+                        keys.append(np.unique(key[piece]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["passage", "keys"])
+
+    return rows.select("text", "starts", "common").mapInArrow(run, "passage string, keys array<long>")
 
-    return rows.select("text", "starts").mapInArrow(run, "passage string, anchors array<long>")
+
+class _Numbers(dict):
+    """Words to numbers from 1; 0 for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
 
 
 class Automaton:
@@ -112,9 +139,9 @@ class Automaton:
     def __init__(self, passages: list[str], window: int = WINDOW):
         self.window = window
         self.block = (window + 1) // 2
-        self.passages = [h for _, _, _, _, h in split_batch(passages, SPACED)]
-        self.vocabulary = np.unique(np.concatenate(self.passages)) if self.passages else np.empty(0, U64)
-        self.numbers = [(np.searchsorted(self.vocabulary, h) + 1).tolist() for h in self.passages]
+        self.vocabulary = _Numbers()
+        self.numbers = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(p)] for p in passages]
+        self.passages = [np.array(x, dtype=np.int32) for x in self.numbers]
         places: dict[tuple, list[tuple[int, int]]] = {}
         for k, numbers in enumerate(self.numbers):
             windows = len(numbers) - window + 1
@@ -127,32 +154,32 @@ class Automaton:
         if places:
             self.automaton.make_automaton()
 
-    def covered(self, hashes: np.ndarray) -> np.ndarray:
+    def covered(self, own: list[bytes]) -> np.ndarray:
         """For each word of a document whether a run shared with a passage covers it."""
-        gone = np.zeros(len(hashes), dtype=bool)
-        if len(hashes) < self.window or not len(self.automaton):
+        gone = np.zeros(len(own), dtype=bool)
+        if len(own) < self.window or not len(self.automaton):
             return gone
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        numbers = np.where(self.vocabulary[at] == hashes, at + 1, 0).tolist()
+        numbers = tuple(map(self.vocabulary.__getitem__, own))
+        every = np.array(numbers, dtype=np.int32)
         more = self.window - self.block
         seen: dict[tuple[int, int], int] = {}  # (passage, shift) -> end of the last run
-        for end, found in self.automaton.iter(tuple(numbers)):
+        for end, found in self.automaton.iter(numbers):
             first = end - self.block + 1
             for k, place in found:
                 shift = first - place
                 if seen.get((k, shift), -1) > end:
                     continue
-                own = self.numbers[k]
-                lo, hi = max(0, shift), min(len(numbers), shift + len(own))
+                other = self.numbers[k]
+                lo, hi = max(0, shift), min(len(numbers), shift + len(other))
                 a, b = first, end + 1
-                while a > lo and first - a < more and numbers[a - 1] == own[a - 1 - shift]:
+                while a > lo and first - a < more and numbers[a - 1] == other[a - 1 - shift]:
                     a -= 1
-                while b < hi and b - a < self.window and numbers[b] == own[b - shift]:
+                while b < hi and b - a < self.window and numbers[b] == other[b - shift]:
                     b += 1
                 if b - a < self.window:  # the run round this block is too short
                     seen[k, shift] = b
                     continue
-                differ = np.flatnonzero(hashes[lo:hi] != self.passages[k][lo - shift : hi - shift]) + lo
+                differ = np.flatnonzero(every[lo:hi] != self.passages[k][lo - shift : hi - shift]) + lo
                 cut = int(np.searchsorted(differ, first))
                 a = int(differ[cut - 1]) + 1 if cut else lo
                 b = int(differ[cut]) if cut < len(differ) else hi
@@ -161,11 +188,8 @@ class Automaton:
         return gone
 
 
-def _kept(raw: bytes, first, last, gone: np.ndarray | None) -> str:
-    if gone is None or not gone.any():
-        return hashlib.sha256(b" ".join(raw.split())).hexdigest()
-    left = np.flatnonzero(~gone)
-    return hashlib.sha256(b" ".join([raw[i:j] for i, j in zip(first[left].tolist(), last[left].tolist())])).hexdigest()
+def _kept(own: list[bytes], gone: np.ndarray | None = None) -> str:
+    return hashlib.sha256(b" ".join(own if gone is None else compress(own, (~gone).tolist()))).hexdigest()
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -182,8 +206,8 @@ def _whole(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            ids = batch.column(0).to_pylist()
-            yield _result([(ids[index], len(h), 0, _kept(raw, a, b, None)) for index, raw, a, b, h in split_batch(batch.column(1).to_pylist(), SPACED)])
+            found = map(words, batch.column(1).to_pylist())
+            yield _result([(doc, len(own), 0, _kept(own)) for doc, own in zip(batch.column(0).to_pylist(), found)])
 
     return rows.select("doc_id", "text").mapInArrow(run, _RESULT)
 
@@ -194,27 +218,18 @@ def _stream(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         shard, passages, automaton = None, [], None
         for batch in pieces(batches):
-            out, texts, ids = [], [], []
-
-            def flush():
-                for index, raw, a, b, h in split_batch(texts, SPACED):
-                    gone = automaton.covered(h)
-                    out.append((ids[index], len(h), int(gone.sum()), _kept(raw, a, b, gone)))
-                texts.clear()
-                ids.clear()
-
+            out = []
             for number, kind, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != shard:
-                    flush()
                     shard, passages, automaton = number, [], None
                 if kind == 0:
                     passages.append(text)
-                else:
-                    if automaton is None:
-                        automaton, passages = Automaton(passages, window), []
-                    ids.append(doc)
-                    texts.append(text)
-            flush()
+                    continue
+                if automaton is None:
+                    automaton, passages = Automaton(passages, window), []
+                own = words(text)
+                gone = automaton.covered(own)
+                out.append((doc, len(own), int(gone.sum()), _kept(own, gone)))
             yield _result(out)
 
     return rows.select("shard", "kind", "doc_id", "text").mapInArrow(run, _RESULT)
@@ -224,25 +239,31 @@ def remove(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     """doc_id, n_words, n_removed and kept_sha256 (of the words that stay, joined by a space) of each row."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     chosen = written(_anchor_rows(rows, window), "anchors")
-    twice = chosen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = written(chosen.join(twice, "anchor", "left_semi").distinct(), "shared-anchors")
-    places = shared.groupBy("rid").agg(F.collect_list("place").alias("places"))
+    counts = written(chosen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+    hot = F.broadcast(counts.where(F.col("n") > max(COMMON, chosen.count() // HOT)))
+    rest = chosen.join(hot.select("anchor"), "anchor", "left_anti").join(counts, "anchor")
+    twice = chosen.join(hot, "anchor").select(rest.columns).union(rest).withColumn("common", F.col("n") > COMMON)
+    shared = written(twice.select("rid", "anchor", "common").distinct(), "shared-anchors")
+    forget(chosen, counts)
+    places = shared.groupBy("rid").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("common"))
     ids = written(shared.select("rid").distinct(), "candidates")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     held = rows.join(ids, "rid", "left_semi")
+    placed = held.join(places, "rid")
 
-    windows = _window_rows(held.join(places, "rid"), window)
-    first = windows.groupBy("wh").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("at")).where("n > 1").select("at.*")
-    starts = first.groupBy("rid").agg(F.collect_list("start").alias("starts"))
-    passages = written(_passage_rows(held.select("rid", "text").dropDuplicates(["rid"]).join(starts, "rid"), window).distinct(), "passages")
+    windows = _window_rows(placed, window)
+    first = windows.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("at")).where("n > 1")
+    starts = first.groupBy("at.rid").agg(F.collect_list(F.struct("at.start", "wa", "wb")).alias("starts"))
+    passages = written(_passage_rows(placed.join(starts, "rid"), window).distinct(), "passages")
 
     chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(chars) // shard_chars))
     shard = F.pmod(F.xxhash64("rid", F.lit("shard")), F.lit(shards)).cast("int")
-    where = shared.select("anchor", shard.alias("shard")).distinct()
+    round_common = _window_rows(placed.where(F.size("common") > 0).select("rid", "text", F.col("common").alias("anchors")), window)
+    where = shared.where("not common").select(F.col("anchor").alias("key"), shard.alias("shard")).union(round_common.select("wa", shard.alias("shard"))).distinct()
     named = passages.withColumn("pid", F.xxhash64("passage", F.lit("passage")))
-    routes = named.select("pid", F.explode("anchors").alias("anchor")).join(where, "anchor").select("pid", "shard").distinct()
+    routes = named.select("pid", F.explode("keys").alias("key")).join(where, "key").select("pid", "shard").distinct()
     routed = routes.join(named.select("pid", "passage"), "pid").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("passage").alias("text"))
     streams = routed.union(held.select(shard.alias("shard"), F.lit(1), "doc_id", "text")).repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind")
     return _stream(streams, window).union(_whole(rows.join(ids, "rid", "left_anti")))

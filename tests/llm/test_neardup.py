@@ -5,6 +5,8 @@ import duckdb
 
 from quarry.llm import components, neardup, queries
 
+from .test_text_operators import thue_morse
+
 
 def brute(documents):
     """component by doc_id of documents [(doc_id, text)] with different ids."""
@@ -102,3 +104,12 @@ def test_few_pairs_at_the_limit_are_dropped():
     n, p = neardup.BANDS * neardup.ROWS, neardup.SIMILARITY / 100
     dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < neardup.AGREEMENT)
     assert dropped < 1e-5 and dropped + (1 - p**neardup.ROWS) ** neardup.BANDS < 1e-4
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two long words with equal polynomial hashes modulo 2 ** 64 make different shingles."""
+    rows = []
+    for at, letters in enumerate((1024, 4096)):
+        x, y = thue_morse(letters)
+        rows += [(10 * at + 1, f"one {x} two three four"), (10 * at + 2, f"one {y} two three four"), (10 * at + 3, f"one {x} two THREE four")]
+    check(neardup.find(spark.createDataFrame(rows, "doc_id long, text string")), rows)

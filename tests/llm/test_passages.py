@@ -6,6 +6,8 @@ import duckdb
 
 from quarry.llm import passages, queries
 
+from .test_text_operators import thue_morse
+
 
 def brute(rows, window=35):
     split = [(d, (t or "").encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ")) for d, t in rows]
@@ -47,6 +49,25 @@ def test_made_cases(spark):
     assert rows_of(passages.remove(df, shard_chars=2000)) == brute(rows)
 
 
+def test_common_anchors_and_long_words(spark, monkeypatch):
+    """A line in many passages, many copies, and words that polynomial hashes confuse; with anchors told apart by windows."""
+    x, y = thue_morse(4096)
+    draw = random.Random(5)
+    own = lambda n: [f"u{draw.randrange(10**9)}" for _ in range(n)]
+    line, para, copy = own(22), own(300), own(60)
+    pairs = [own(20) + line + own(20) for _ in range(30)]
+    rows = [own(10) + p + own(10) for p in pairs for _ in range(2)] + [own(5) + line + own(30) for _ in range(20)] + [copy] * 40 + [own(4) + para + own(4), para[:150] + own(3) + para[120:], para[100:140]]
+    rows += [own(17) + [x] + copy[:17], copy[:17] + [x] + own(17), copy[:17] + [y] + copy[17:34], copy[:17] + [x] + copy[17:34]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(passages.remove(df)) == brute(rows)
+    monkeypatch.setattr(passages, "COMMON", 4)
+    monkeypatch.setattr(passages, "PIECE", 7)
+    assert rows_of(passages.remove(df, shard_chars=3000)) == brute(rows)
+    monkeypatch.setattr(passages, "HOT", 100)
+    assert rows_of(passages.remove(df, shard_chars=3000)) == brute(rows)
+
+
 def test_odd(spark, odd, empty):
     assert rows_of(passages.remove(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert passages.remove(empty).count() == 0

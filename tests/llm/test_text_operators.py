@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, decontaminate, language, queries, sstable, topk
 
 
+def thue_morse(letters):
+    """Two different words of as many letters whose polynomial hashes modulo 2 ** 64 are equal for any base."""
+    bits = [bin(k).count("1") % 2 for k in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def texts(folder):
     return dict(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
 
@@ -66,9 +72,7 @@ def test_rank_queue_with_random_merges(tiktoken_encoding):
 def word_tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def expected_shards(pairs, tokenizer):
@@ -96,6 +100,17 @@ def test_shards_odd(odd, empty, word_tokenizer):
     assert sstable.read(sstable.write(empty, path, 1)).count() == 0
 
 
+def test_texts_with_added_tokens(word_tokenizer):
+    codec = sstable.WordCodec(public_tokenizers.path("word_bpe_49k.json"))
+    given = [
+        "<|endoftext|>", "hello <|endoftext|> world", "in<|startoftext|>side a<|endoftext|>", "<|endoftext|><|endoftext|> twice", "<|EndOfText|> other case", "<| endoftext |>", "x<|endoftext|>\ny", "a|b <|b|> it's",
+        "\u3000wide\u2028line\x0bvertical\x1cgap\u00a0", "E\u0301 \u0301 e\u0301x ﬁ İ ẞ", "", " ", None, "w" * 3000, "1234 五六 \u0661\u0662",
+    ]
+    for _ in range(3):  # new, seen once, remembered
+        for text, raw in zip(given, codec.encode_all(given)):
+            assert [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw), 4)] == word_tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 # --- top-k ------------------------------------------------------------------------------------
 
 
@@ -131,7 +146,7 @@ def brute(documents, items, window=10):
     for item, text in items:
         w = lowered(text)
         for k in range(max(1, len(w) - window + 1)) if w else ():
-            wanted.setdefault(tuple(w[k : k + window]), set()).add(item)
+            wanted.setdefault(tuple(w[k : k + window]), set()).add("" if item is None else item)
     sizes = {len(w) for w in wanted}
     out = []
     for doc, text in documents:
@@ -156,13 +171,13 @@ def test_decontaminate_equals_brute_force(spark, data):
 
 @pytest.mark.parametrize("slice_words", [2_000_000, 8])
 def test_decontaminate_odd(spark, odd, empty, slice_words):
-    items = [("a", "one"), ("b", "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11"), ("c", None), ("d", ""), ("e", "b's 12 345"), ("e", "no id here"), ("f", "no id here"), ("g", "Z z z z z z z z z z z z")]
+    items = [("a", "one"), ("b", "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11"), ("c", None), ("d", ""), ("e", "b's 12 345"), ("e", "no id here"), ("f", "no id here"), (None, "other text same id"), ("g", "Z z z z z z z z z z z z")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     rows = odd.select("doc_id", "text").union(spark.createDataFrame([(50, "z " * 40 + "y one"), (51, "one")], "doc_id long, text string"))
     got = decontaminate.digest(decontaminate.find(rows, bench, slice_words=slice_words, shard_words=5000))
     assert sorted(map(tuple, got.collect()), key=str) == brute([(r.doc_id, r.text) for r in rows.collect()], items)
     kept = decontaminate.clean(odd, bench)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 9}
+    assert kept.columns == odd.columns and [r.doc_id for r in kept.orderBy("doc_id").collect()] == [1, 2, 3, 8, 9]
     assert decontaminate.find(empty, bench).count() == 0
     assert decontaminate.find(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -174,6 +189,16 @@ def test_decontaminate_spans(spark):
     assert [tuple(s) for s in row.spans] == [(1, 14, "7", 1)] and row.n_hit == 14
 
 
+def test_decontaminate_made_words(spark):
+    """Long words that polynomial hashes confuse, long repeats, and an item of 20,000 words."""
+    x, y = thue_morse(1024)
+    long = " ".join(f"v{k % 700}" for k in range(20_000))
+    items = [("t", f"a b c d {x} e f g h i"), ("l", long), ("r", "z " * 30), ("s", "q " * 9)]
+    docs = [(1, f"a b c d {y} e f g h i"), (2, f"0 a b c d {x} e f g h i 0"), (3, long[100:]), (4, "z " * 500 + "y " + "q " * 20), (5, long.replace("v350", "v"))]
+    got = decontaminate.digest(decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
+
+
 # --- language ---------------------------------------------------------------------------------
 
 
