@@ -2,21 +2,23 @@
 
 The kernel counts common subsequences of three letters (a word's start is one), gaps allowed: each occurrence that spans
 s letters weighs decay ** s, and spans over `SPAN` letters count as 0.  So `idxiot` or `i.d.i.o.t` stay
-near `idiot`.  Landmark words give the Nyström map of the kernel, in which a linear machine
-(squared hinge loss) is trained on the words of sentences that carry their document's label.  Because the
-map is linear in the kernel values, the machine folds into one weight for each subsequence, and a
-word's decision is exactly the sum over landmarks of its normalised kernel values.
+near `idiot`.  Landmarks give the Nyström map of the kernel: first the words that most sentences of either label hold,
+then in each round the examples that the machine of the round before got most wrong, its support vectors.
+
+The machine (linear in that map, squared hinge loss) is trained on labelled sentences: a sentence's decision is the highest
+of its words' ones.  Every word of a sentence labelled 0 is an example of that label.  A sentence
+labelled 1 gives its witness, the highest word by the machine of the round before (in the first round by how much more often
+sentences of that label hold it), and each word as far as that label surely holds it more often.  Because the map is
+linear in the kernel values, the machine folds into one weight for each subsequence.  A logistic
+function of the sentence's decision, fitted on the same sentences, is its score.
 
 No letter is cut off.  A token's letters are tried joined and, where signs part them, in parts; a stretch
 of more than `WORD_LETTERS` letters (run-on text, scripts without blanks) is tried in windows that begin at
 each of its letters, and its decision is the highest.  Tokens of one or two letters in a row are tried
 joined too, so that `i d i o t` stays near `idiot`.
 
-A document's score is a logistic function of how many of its words the machine takes for insults and
-how surely, fitted on the same labelled rows.
-
-Edge cases: null and empty texts, and texts without words, get the score of a document without
-insults; very long texts are scored whole; labels that are null or of no document are not learnt
+Edge cases: null and empty texts, and texts without words, get the lowest decision, -1; very long texts are
+scored whole; labels that are null or of no document are not learnt
 from; a document labelled twice counts twice; without both labels every score is 0; an empty table gives
 an empty result; further columns are ignored.
 """
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import forget, written
 from ._streams import pieces
 
 DECAY = 0.7
@@ -39,10 +42,15 @@ SPAN = 6
 WORD_LETTERS = 40
 #: Letters of the windows, one of each width at every letter, and windows that are held at once.
 WIDTHS, HELD = (6, 9, 12), 4000
-#: Labelled rows of each label that may be fitted on, about; words and landmarks of the fit.
-FIT_ROWS, FIT_WORDS, LANDMARKS = 3000, 20_000, 400
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Labelled rows of each label that may be fitted on, about; first landmarks, and support vectors of either label added in a round.
+FIT_ROWS, LANDMARKS, HARD = 1500, 240, (200, 100)
+#: Rounds of witnesses, and steps of Newton's method in each at most.
+ROUNDS, STEPS = 3, 10
+PENALTY = 0.001
+#: Tables of the fit, which is on a bounded sample, go to as many partitions.
+FIT_PARTS = 12
+#: Tokens of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
+REMEMBERED, LONGEST = 400_000, 48
 #: Stands before every word, so that its beginning counts; the code before that of `a`.
 START = "`"
 _CODES = 64
@@ -111,207 +119,286 @@ def kernel(x: str, y: str) -> float:
 
 
 class Machine:
-    """The fitted machine: weights of subsequences, offset, and the coefficients of documents."""
+    """The fitted machine: weights of subsequences, offset, and slope and place of the logistic function."""
 
-    def __init__(self, weights: np.ndarray, offset: float, coefficients: np.ndarray):
-        self.weights, self.offset, self.coefficients = weights, offset, coefficients
+    def __init__(self, weights: np.ndarray, offset: float, slope: float = 0.0, place: float = -30.0):
+        self.weights, self.offset, self.slope, self.place = weights, offset, slope, place
+        #: Highest decisions of tokens, and the letters of short ones.
         self._known: dict[str, float] = {}
-        #: the decisions of parts, where they say more than the joined letters, and the letters of short tokens
-        self._parts: dict[str, list[float]] = {}
         self._short: dict[str, str] = {}
-        #: the decisions of short tokens in a row
-        self._runs: dict[str, float] = {}
 
     def __getstate__(self):
         at = np.flatnonzero(self.weights)
-        return at, self.weights[at], self.offset, self.coefficients
+        return at, self.weights[at], self.offset, self.slope, self.place
 
     def __setstate__(self, state):
-        at, values, offset, coefficients = state
+        at, values, *rest = state
         weights = np.zeros(_DIM)
         weights[at] = values
-        self.__init__(weights, offset, coefficients)
+        self.__init__(weights, *rest)
 
-    def decisions(self, tokens: list[str]) -> np.ndarray:
+    def decisions(self, words: list[str]) -> np.ndarray:
         """The machine's decision of each word; words too short for the kernel get the offset."""
-        if not tokens:
+        if not words:
             return np.empty(0)
-        word, key, value = _features(tokens)
-        return np.bincount(word, weights=value * self.weights[key], minlength=len(tokens)) + self.offset
+        word, key, value = _features(words)
+        return np.bincount(word, weights=value * self.weights[key], minlength=len(words)) + self.offset
 
     def highest(self, word: str) -> float:
         """The highest decision of the windows of a long stretch of letters."""
-        best, seen, held = -np.inf, set(), []
+        best, held = -np.inf, set()
         for width in WIDTHS:
             for at in range(len(word) - width + 1):
-                window = word[at : at + width]
-                if window not in seen:
-                    seen.add(window)
-                    held.append(window)
+                held.add(word[at : at + width])
                 if len(held) == HELD:
-                    best, held, seen = max(best, float(self.decisions(held).max())), [], set()
-        return max(best, float(self.decisions(held).max())) if held else best
+                    best, held = max(best, float(self.decisions(list(held)).max())), set()
+        return max(best, float(self.decisions(list(held)).max())) if held else best
 
-    def _whole(self, words: list[str]) -> list[float]:
-        """The decision of each word over all its letters."""
-        found = iter(self.decisions([w for w in words if len(w) <= WORD_LETTERS]).tolist())
-        return [next(found) if len(w) <= WORD_LETTERS else self.highest(w) for w in words]
+    def _readings(self, groups: list[list[str]]) -> list[float]:
+        """The highest decision of each group of words, over all their letters."""
+        flat = [w for group in groups for w in group]
+        usual = [w for w in flat if len(w) <= WORD_LETTERS]
+        found = iter(np.concatenate([self.decisions(usual[at : at + HELD]) for at in range(0, len(usual), HELD)]).tolist() if usual else ())
+        each = iter([next(found) if len(w) <= WORD_LETTERS else self.highest(w) for w in flat])
+        return [max(next(each) for _ in group) for group in groups]
 
     def _learn(self, tokens: list[str]) -> None:
-        words = [letters_of(t) for t in tokens]
-        self._known.update(zip(tokens, self._whole(words)))
-        self._short.update((t, w) for t, w in zip(tokens, words) if len(w) < 3)
-        parted = [(t, p) for t in tokens if (p := parts_of(t)) and (len(p) > 1 or len(p[0]) < len(letters_of(t)))]
-        found = iter(self._whole([w for _, p in parted for w in p]))
-        for token, p in parted:
-            each = [next(found) for _ in p]
-            if max(each) > max(0.0, self._known[token]):
-                self._parts[token] = each
-
-    def _gapped(self, tokens: list[str]) -> list[float]:
-        """The positive decisions of short tokens in a row, joined; signs between them don't count."""
-        rows = []
+        letters = list(map(letters_of, tokens))
+        self._short.update((t, w) for t, w in zip(tokens, letters) if len(w) < 3)
+        rest = [(t, [w, *parts_of(t)]) for t, w in zip(tokens, letters) if len(w) > 2]
+        self._known.update((t, -1.0) for t, w in zip(tokens, letters) if len(w) < 3)
+        self._known.update(zip((t for t, _ in rest), self._readings([g for _, g in rest])))
+
+    def _runs(self, tokens: list[str]) -> list[list[str]]:
+        """What short tokens in a row spell, whole and in windows; signs between them don't count."""
+        out = []
         for short, run in groupby(map(self._short.get, tokens), lambda w: w is not None):
             if short and len(run := [w for w in run if w]) > 1 and len(word := "".join(run)) > 2:
-                rows.append(word)
-        new = [w for w in set(rows) if w not in self._runs]
-        tried = [(w, [w] + [w[at : at + width] for width in WIDTHS for at in range(len(w) - width + 1)]) for w in new if len(w) <= WORD_LETTERS]
-        found = self.decisions([x for _, all_ in tried for x in all_])
-        at = 0
-        for word, all_ in tried:
-            self._runs[word] = float(found[at : at + len(all_)].max())
-            at += len(all_)
-        self._runs.update((w, self.highest(w)) for w in new if len(w) > WORD_LETTERS)
-        return [self._runs[w] for w in rows if self._runs[w] > 0]
-
-    def document(self, text: str | None) -> np.ndarray:
-        """1, the positive decisions' count and sum (both damped), the highest decision, and the share of positive words."""
-        tokens = (text or "").split()
-        if not tokens:
-            return np.array([1.0, 0.0, 0.0, -1.0, 0.0])
-        if len(self._known) + len(self._runs) > REMEMBERED:
-            for remembered in (self._known, self._parts, self._short, self._runs):
-                remembered.clear()
-        known, parts = self._known, self._parts
-        new = list({t for t in tokens if t not in known})
+                out.append([word] + [word[at : at + width] for width in WIDTHS for at in range(len(word) - width + 1)] if len(word) <= WORD_LETTERS else [word])
+        return out
+
+    def sentences(self, texts: list[str | None]) -> list[float]:
+        """The decision of each text: the highest of its words' ones, at least -1."""
+        split = [(t or "").split() for t in texts]
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+            self._short.clear()
+        new = list({t for tokens in split for t in tokens if t not in known})
         for lo in range(0, len(new), HELD):
             self._learn(new[lo : lo + HELD])
-        each = list(map(known.__getitem__, tokens))
-        if not parts.keys().isdisjoint(tokens):
-            each = [d for t, joined in zip(tokens, each) for d in parts.get(t, (joined,))]
-        found = np.array(each + self._gapped(tokens))
-        sure = found[found > 0]
-        return np.array([1.0, np.log1p(len(sure)), np.log1p(sure.sum()), max(-1.0, float(found.max())), 10.0 * min(0.2, len(sure) / len(found))])
+        best = [max(map(known.__getitem__, tokens), default=-1.0) for tokens in split]
+        runs = [(k, group) for k, tokens in enumerate(split) if not self._short.keys().isdisjoint(tokens) for group in self._runs(tokens)]
+        different = {tuple(group) for _, group in runs}
+        of = dict(zip(different, self._readings(list(map(list, different)))))
+        for k, group in runs:
+            best[k] = max(best[k], of[tuple(group)])
+        for t in new:
+            if len(t) > LONGEST:
+                del known[t]
+                self._short.pop(t, None)
+        return [max(-1.0, d) for d in best]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        z = np.clip(self.slope * np.array(self.sentences(texts)) + self.place, -30, 30)
+        return (1.0 / (1.0 + np.exp(-z))).tolist()
 
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.document(text) @ self.coefficients, -30, 30))))
-
-
-def _svm(x: np.ndarray, bad: np.ndarray, good: np.ndarray, penalty: float, rounds: int = 30, rows: int = 2000) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton's method; the last entry is the offset.
-
-    Each row of x is an example of both labels with the weights `bad` and `good`; few rows are copied at a time.
+        return self.scores([text])[0]
+
+
+class Map:
+    """The Nyström map of words: one row of `matrix` for each subsequence of a landmark."""
+
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        word, key, value = _features(landmarks)
+        self.codes = np.unique(key)
+        table = np.zeros((len(self.codes), len(landmarks)))
+        table[np.searchsorted(self.codes, key), word] = value
+        values, vectors = np.linalg.eigh(table.T @ table)
+        keep = values > 1e-6 * values.max()
+        self.root = vectors[:, keep] / np.sqrt(values[keep])
+        self.matrix = (table @ self.root).astype(np.float32)
+
+    def moved(self, w: np.ndarray, other: Map) -> np.ndarray:
+        """The weights (and offset) of the same machine in another map that has all landmarks of this one."""
+        return np.concatenate((other(self.landmarks).T @ (self.root @ w[:-1]), w[-1:]))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.matrix.shape[1]), dtype=np.float32)
+        for lo in range(0, len(words), 200):  # so that few rows of the matrix are copied at a time
+            word, key, value = _features(words[lo : lo + 200])
+            at = np.minimum(np.searchsorted(self.codes, key), len(self.codes) - 1)
+            known = np.flatnonzero(self.codes[at] == key)
+            if len(known):
+                word, first = np.unique(word[known], return_index=True)
+                out[lo + word] = np.add.reduceat(self.matrix[at[known]] * value[known, None].astype(np.float32), first, axis=0)
+        return out
+
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence in a machine that is linear in the map."""
+        out = np.zeros(_DIM)
+        out[self.codes] = self.matrix @ w
+        return out
+
+
+def _step(x: np.ndarray, weight: np.ndarray, sign: float, w: np.ndarray) -> np.ndarray:
+    """The squared hinge loss over examples of one label and the sums of its Newton step: one array, a row for each weight of w.
+
+    The columns are the sums of products, those of the weights, and the loss (in the first row).
     """
-    w = np.zeros(x.shape[1] + 1)
-    ridge = np.eye(len(w)) * penalty
-    ridge[-1, -1] = 1e-6
-    for _ in range(rounds):
-        left, right = ridge.copy(), np.zeros(len(w))
-        for lo in range(0, len(x), rows):
-            part = np.hstack((x[lo : lo + rows], np.ones((len(x[lo : lo + rows]), 1))))
-            z = part @ w
-            up, down = np.where(z < 1, bad[lo : lo + rows], 0.0), np.where(-z < 1, good[lo : lo + rows], 0.0)
-            left += part.T @ (part * (up + down)[:, None])
-            right += part.T @ (up - down)
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-8):
-            break
-        w = new
-    return w
+    x = np.hstack((x, np.ones((len(x), 1), dtype=x.dtype)))
+    slack = 1 - sign * (x @ w.astype(x.dtype)).astype(np.float64)
+    short = np.flatnonzero((slack > 0) & (weight > 0))
+    x, weight, slack = x[short], weight[short], slack[short]
+    out = np.zeros((len(w), len(w) + 2))
+    weight = weight.astype(x.dtype)
+    out[:, :-2], out[:, -2], out[0, -1] = x.T @ (x * weight[:, None]), sign * (x.T @ weight), weight @ slack**2
+    return out
+
+
+def _train(start: np.ndarray, sums, penalty: float, steps: int) -> np.ndarray:
+    """Newton's method with halved steps; the last entry of w is the offset."""
+    ridge = np.full(len(start), penalty)
+    ridge[-1] = 1e-6
+    best, least, size = start, np.inf, 1.0
+    w = start
+    for _ in range(steps):
+        found = sums(w)
+        loss = found[0, -1] + ridge @ w**2
+        if loss < least * (1 - 1e-12):
+            better = loss < least * (1 - 1e-4)
+            best, least, size = w, loss, 1.0
+            if not better:
+                break
+            step = np.linalg.solve(found[:, :-2] + np.diag(ridge), found[:, -2]) - w
+        else:
+            size /= 2
+        w = best + size * step
+    return best
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 100) -> np.ndarray:
-    """Logistic regression by Newton's method with halved steps."""
+def _logistic(d: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 100) -> tuple[float, float]:
+    """Slope and place of a logistic function by Newton's method with halved steps; both labels weigh the same."""
+    x = np.column_stack((d, np.ones(len(d))))
+    each = np.ones(len(y))
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - (z * y).sum() + penalty / 2 * (w @ w)
+        return (each * (np.logaddexp(0, z) - z * y)).sum() + penalty / 2 * (w @ w)
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]) * penalty, x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(2) * penalty, x.T @ (each * (p - y)) + penalty * w)
         while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0]), float(w[1])
+
 
+def units(text: str | None) -> list[str]:
+    """The words of a sentence that the machine learns from."""
+    return sorted(set().union(*map(words_of, set((text or "").split()))))
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS, landmarks: int = LANDMARKS) -> Machine:
-    """Fit on labelled rows: about `fit_rows` of each label, chosen by a hash of the text, at most.
 
-    Word counts by label are summed on the executors; what comes to the driver has at most
-    `fit_words` rows, and then five numbers for each row of the fit.
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Machine:
+    """Fit on labelled rows: about `fit_rows` of each label, chosen by a hash of the text, at most, with all their words.
+
+    Words are counted, mapped and summed up on the executors.  The driver gets landmarks, a witness and a decision for each
+    sentence of the sample, and the sums of each step from FIT_PARTS partitions.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Machine(np.zeros(_DIM), -1.0, np.array([-30.0, 0, 0, 0, 0]))
-    share = {k: min(1.0, fit_rows / n) for k, n in sizes.items()}
+        return Machine(np.zeros(_DIM), -1.0)
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(part < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    share = {k: min(1.0, fit_rows / n) for k, n in sizes.items()}
+    chosen = rows.where(part < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).repartition(FIT_PARTS)
+    chosen = written(chosen.withColumn("sid", F.monotonically_increasing_id()), "toxicity-sentences")
+    n_bad, n_good = (max(1, chosen.where(F.col("label") == k).count()) for k in (1, 0))
 
     def words(batches):
+        for batch in pieces(batches, 100):
+            found = list(map(units, batch.column(0).to_pylist()))
+            each = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()), *(pa.array(np.repeat(batch.column(k).to_numpy(), each)) for k in (1, 2))], ["word", "label", "sid"])
+
+    held = written(chosen.mapInArrow(words, "word string, label int, sid long"), "toxicity-words")
+    counted = held.groupBy("word").agg(F.sum("label").cast("double").alias("bad"), F.sum(1 - F.col("label")).cast("double").alias("good"))
+    lean = F.log((F.col("bad") + 0.5) / (n_bad + 1) / ((F.col("good") + 2) / (n_good + 4))) * F.sqrt(F.col("bad") + F.col("good"))
+    surely = F.greatest(F.lit(0.0), (F.col("bad") - 2 * F.sqrt("bad")) / n_bad - (F.col("good") + 2 * F.sqrt("good")) / n_good)
+    counted = written(counted.repartition(FIT_PARTS).select("word", "bad", "good", lean.alias("lean"), surely.alias("up"), (F.col("good") / n_good).alias("down")), "toxicity-counts")
+    top = [r.word for side in ("bad", "good") for r in counted.orderBy(F.desc(side), "word").limit(landmarks // 2).collect()]
+    if not top:
+        return Machine(np.zeros(_DIM), -1.0)
+    first = held.where("label = 1").join(counted.select("word", "lean"), "word").groupBy("sid").agg(F.max(F.struct("lean", "word")).alias("best"))
+    witnesses = [r.word for r in first.select("best.word").collect()]
+    mapped = Map(list(dict.fromkeys(top)))
+    w = np.zeros(mapped.matrix.shape[1] + 1)
+    for turn in range(ROUNDS):
+        examples = written(_projected(counted, mapped), "toxicity-examples")
+        own = mapped(witnesses)
+        w = _train(w, lambda w, own=own: _sums(examples, w) + _step(own, np.full(len(own), 1 / n_bad), 1.0, w), PENALTY, STEPS)
+        forget(examples)
+        machine = Machine(mapped.weights(w[:-1]), float(w[-1]))
+        if turn + 1 < ROUNDS:
+            d = F.col("d")
+            decided = counted.mapInArrow(_deciding(machine), "word string, up double, down double, d double")
+            wrong = [r.word for side, sign, n in (("down", 1, HARD[0]), ("up", -1, HARD[1])) for r in decided.orderBy(F.desc(F.col(side) * F.greatest(F.lit(0.0), 1 + sign * d) ** 2), "word").limit(n).collect()]
+            witnesses = [r.word for r in held.where("label = 1").mapInArrow(_deciding(machine, ("word", "sid")), "word string, sid long, d double").groupBy("sid").agg(F.max(F.struct("d", "word")).alias("best")).select("best.word").collect()]
+            before, mapped = mapped, Map(list(dict.fromkeys(mapped.landmarks + wrong)))
+            w = before.moved(w, mapped)
+
+    def decide(batches):
         for batch in pieces(batches):
-            for text_, label_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted(set().union(*map(words_of, set((text_ or "").split()))))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label_] * len(found), pa.int32())], ["word", "label"])
-
-    counted = chosen.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    top = counted.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(fit_words).collect()
-    tokens = [r.word for r in top]
-    bad, good = np.array([r.bad for r in top], float), np.array([r.good for r in top], float)
-    n_bad, n_good = sizes[1] * share[1], sizes[0] * share[0]
-    # rates with a prior, so that a rare word says little
-    lean = (bad + 0.5) / (n_bad + 1) / ((good + 2.0) / (n_good + 4))
-    evidence = np.sqrt(bad + good)
-    order = np.lexsort((tokens, -np.log(lean) * evidence))
-    chosen_words = list(dict.fromkeys([tokens[k] for k in order[: landmarks // 2]] + [tokens[k] for k in np.lexsort((tokens, -good))[: landmarks - landmarks // 2]]))
-
-    # landmarks by code, so that all kernel values with them come from one gather
-    lw, lk, lv = _features(chosen_words)
-    codes = np.unique(lk)
-    table = np.zeros((len(codes) + 1, len(chosen_words)))
-    table[np.searchsorted(codes, lk), lw] = lv
-    word, key, value = _features(tokens)
-    at = np.searchsorted(codes, key)
-    at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != key)] = len(codes)
-    against = np.zeros((len(tokens), len(chosen_words)))
-    for lo in range(0, len(word), 5000):
-        hi = lo + 5000
-        np.add.at(against, word[lo:hi], table[at[lo:hi]] * value[lo:hi, None])
-    gram = table.T @ table
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    x = against @ root
-    # a word is an example of each label in the share of sentences that it is seen in
-    w = _svm(x, bad / n_bad, 2.0 * (good + 0.5) / n_good, penalty=0.004)
-    alpha = root @ w[:-1]
-    weights = np.zeros(_DIM)
-    weights[codes] = table[:-1] @ alpha
-    machine = Machine(weights, float(w[-1]), np.zeros(5))
-
-    def seen(batches):
-        for batch in pieces(batches):
-            rows_ = np.array([machine.document(t) for t in batch.column(0).to_pylist()]).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([pa.array(rows_.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(machine.sentences(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["d", "label"])
+
+    found = chosen.select("text", "label").mapInArrow(decide, "d double, label int").collect()
+    machine.slope, machine.place = _logistic(np.array([r.d for r in found]), np.array([r.label for r in found], float))
+    forget(chosen, held, counted)
+    return machine
+
+
+def _projected(counted: DataFrame, mapped: Map) -> DataFrame:
+    """x (the map's row of each word) with the weights up and down of the word as an example of either label."""
+
+    def run(batches):
+        for batch in pieces(batches, 2000):
+            x = mapped(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "up", "down"])
+
+    return counted.select("word", "up", "down").mapInArrow(run, "x binary, up double, down double")
+
+
+def _sums(examples: DataFrame, w: np.ndarray) -> np.ndarray:
+    """The sums of a step over all examples: one array from each partition."""
+
+    def run(batches):
+        total = np.zeros((len(w), len(w) + 2))
+        for batch in pieces(batches, 2000):
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, len(w) - 1)
+            total += _step(x, batch.column(1).to_numpy(), 1.0, w) + _step(x, batch.column(2).to_numpy(), -1.0, w)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    total = np.zeros((len(w), len(w) + 2))
+    for r in examples.coalesce(FIT_PARTS).mapInArrow(run, "total binary").collect():
+        total += np.frombuffer(r.total).reshape(total.shape)
+    return total
+
+
+def _deciding(machine: Machine, keep: tuple[str, ...] = ("word", "up", "down")):
+    """A function for mapInArrow: the `keep` columns and d, the decision of the word."""
+
+    def run(batches):
+        for batch in pieces(batches, HELD):
+            d = machine.decisions(batch.column(batch.schema.get_field_index("word")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(d)], [*keep, "d"])
 
-    found = chosen.mapInArrow(seen, "x array<double>, label int").collect()
-    coefficients = _logistic(np.array([r.x for r in found]), np.array([r.label for r in found], float))
-    return Machine(weights, float(w[-1]), coefficients)
+    return run
 
 
 def score(documents: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -321,7 +408,7 @@ def score(documents: DataFrame, machine: Machine, text: str = "text", keep: tupl
 
     def run(batches):
         for batch in pieces(batches):
-            found = [machine.score(t) for t in batch.column(len(keep)).to_pylist()]
+            found = machine.scores(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + [pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())], schema.names)
 
     return chosen.mapInArrow(run, schema)

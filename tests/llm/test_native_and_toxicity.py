@@ -1,8 +1,10 @@
 import math
+import random
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,61 @@ def test_kernel_by_definition():
     assert toxicity.kernel("idiot", "i.d.i.o.t") == pytest.approx(1) and toxicity.kernel("at", "xy") == 0
 
 
+def brute_machine(sentences, rounds):
+    """Decisions of all words by a dense fit on explicit subsequences: {word: decision} of sentences [(words, label)]."""
+    vocabulary = sorted({w for ws, _ in sentences for w in ws})
+
+    def grams(w):
+        w, out = toxicity.START + w, Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+        size = math.sqrt(sum(v * v for v in out.values()))
+        return {g: v / size for g, v in out.items()}
+
+    rows = [grams(w) for w in vocabulary]
+    names = sorted({g for r in rows for g in r})
+    x = np.array([[r.get(g, 0.0) for g in names] + [1.0] for r in rows])
+    n = {k: sum(1 for _, label in sentences if label == k) for k in (0, 1)}
+    bad = np.array([sum(w in ws for ws, k in sentences if k == 1) for w in vocabulary], float)
+    good = np.array([sum(w in ws for ws, k in sentences if k == 0) for w in vocabulary], float)
+    order = np.log((bad + 0.5) / (n[1] + 1) / ((good + 2) / (n[0] + 4))) * np.sqrt(bad + good)
+    up = np.maximum(0, (bad - 2 * np.sqrt(bad)) / n[1] - (good + 2 * np.sqrt(good)) / n[0])
+    ridge = np.diag([toxicity.PENALTY] * len(names) + [1e-6])
+    for _ in range(rounds):
+        best = [max(ws, key=lambda w: (order[vocabulary.index(w)], w)) for ws, k in sentences if k == 1]
+        plus = up + np.array([best.count(w) / n[1] for w in vocabulary])
+        minus = good / n[0]
+
+        def loss(w):
+            return plus @ np.maximum(0, 1 - x @ w) ** 2 + minus @ np.maximum(0, 1 + x @ w) ** 2 + w @ ridge @ w
+
+        w = np.zeros(x.shape[1])
+        for _ in range(200):
+            a, b = plus * (x @ w < 1), minus * (x @ w > -1)
+            step = np.linalg.solve((x * (a + b)[:, None]).T @ x + ridge, x.T @ (a - b)) - w
+            while loss(w + step) > loss(w) and np.abs(step).max() > 1e-12:
+                step = step / 2
+            w = w + step
+        order = x @ w
+    return dict(zip(vocabulary, x @ w))
+
+
+def test_fit_equals_dense_fit(spark, monkeypatch):
+    draw = random.Random(9)
+    plain = ["".join(draw.choice("abdeilmnorst") for _ in range(draw.randint(3, 8))) for _ in range(60)]
+    sentences = [(sorted({*draw.sample(plain, 8), *(draw.sample(["idiot", "moron", "stupidly", "stupider"], draw.randint(1, 2)) if k < 30 else ())}), int(k < 30)) for k in range(80)]
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rows = [(" ".join(ws), k) for ws, k in sentences]
+    machine = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), landmarks=400)
+    want = brute_machine(sentences, 2)
+    got = dict(zip(want, machine.decisions(list(want)).tolist()))
+    assert max(abs(got[w] - want[w]) for w in want) < 0.03
+    assert machine.sentences([t for t, _ in rows]) == pytest.approx([max(max(want[w] for w in ws), -1.0) for ws, _ in sentences], abs=0.03)
+
+
 def test_toxicity_accuracy(spark, data):
     folder = data.replace("sf0.01", "sf0.1")
     got = queries.op7_toxicity(spark, folder)
@@ -163,7 +220,7 @@ def test_toxicity_accuracy(spark, data):
     assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
     right = (both.predicted == both.toxic).mean()
     caught = both[both.toxic == 1].predicted.mean()
-    assert right >= 0.95 and caught >= 0.7 and both.score.between(0, 1).all()
+    assert right >= 0.95 and caught >= 0.9 and both.score.between(0, 1).all()
 
 
 def test_toxicity_odd(spark, odd, empty):
