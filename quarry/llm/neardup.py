@@ -11,7 +11,7 @@ pairs.  Universal hash minima are cut into bands; documents that agree on a band
    on full sets.  Members of one component aren't compared any more, so a large group of near
    copies costs what its members cost, not its pairs.  No bucket is capped.
 
-Links are 100 * intersection >= similarity * union.  Shingles are told apart by 64 bits made from the BLAKE2 digests
+Links are 100 * intersection >= similarity * union.  Shingles are told apart by 64 bits mixed from SipHashes
 of their words, so the sets of a compared pair are wrong only if two of their own shingles collide (a chance
 below 1e-9 for two texts of 100,000 words).  With 28 bands of 4 minima a pair at 0.75 shares no
 band with probability 2e-5; the signature test drops a pair at 0.75 with probability below 1e-5.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 from ._streams import groups, pieces
-from ._words import LOWER, U64, grams, hashed, mix, words
+from ._words import LOWER, U64, grams, mix, quick, words
 from .components import components
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ _B = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=U64)
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted set of shingle hashes of a text."""
-    hashes = hashed(words(text, LOWER))[:, 0]
+    hashes = quick(words(text, LOWER))
     return np.unique(grams(hashes, min(size, len(hashes)))) if len(hashes) else np.empty(0, U64)
 
 

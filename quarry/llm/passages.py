@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._shared import forget, written
 from ._streams import pieces
-from ._words import U64, grams, hashed, words
+from ._words import U64, grams, hashed, quick, words
 
 WINDOW = 35
 ANCHOR = 18
@@ -45,19 +45,29 @@ ANCHOR = 18
 HOT, COMMON = 5000, 256
 #: Windows of a passage at most.
 PIECE = 128
+_PLACES = 1 << 20
 #: Characters of candidate documents in a shard, about.
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 5_000_000
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """The anchor's place for each window of a document, and the hash of the gram at each place."""
-    found = grams(hashes[:, 0], anchor)
+    found = grams(hashes, anchor)
     if len(hashes) < window:
         return np.empty(0, np.int64), found
-    seen = np.lib.stride_tricks.sliding_window_view(found, window - anchor + 1)
-    return np.concatenate([seen[at : at + 65536].argmin(axis=1) for at in range(0, len(seen), 65536)]) + np.arange(len(seen)), found
+    many = window - anchor + 1
+    if len(found) > _PLACES:
+        seen = np.lib.stride_tricks.sliding_window_view(found >> U64(20), many)
+        return np.concatenate([seen[at : at + 65536].argmin(axis=1) for at in range(0, len(seen), 65536)]) + np.arange(len(seen)), found
+    # the place stands in the low bits, so that a minimum says where it is; minima of longer runs come from those of shorter ones
+    least, width = found >> U64(20) << U64(20) | np.arange(len(found), dtype=U64), 1
+    while 2 * width <= many:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
+    rest = many - width
+    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return (least & U64(_PLACES - 1)).astype(np.int64), found
 
 
 def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -67,7 +77,7 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
         for batch in pieces(batches):
             rid, value = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chosen, found = anchors(hashed(words(text)), window)
+                chosen, found = anchors(quick(words(text)), window)
                 chosen = np.unique(chosen)
                 rid.append(np.full(len(chosen), key, dtype=np.int64))
                 value.append(found[chosen].astype(np.int64))
@@ -76,6 +86,15 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "rid long, anchor long")
 
 
+def window_hashes(own: list[bytes], start: np.ndarray, window: int) -> np.ndarray:
+    """The 128-bit hashes of the windows at these ascending places: two numbers a row."""
+    out = np.empty((len(start), 2), dtype=np.int64)
+    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start) > window) + 1) if len(start) else ():
+        a, b = int(start[part[0]]), int(start[part[-1]])
+        out[part] = grams(hashed(own[a : b + window]), window)[start[part] - a].astype(np.int64)
+    return out
+
+
 def _window_rows(rows: DataFrame, window: int) -> DataFrame:
     """wa and wb (hash), rid and start of the windows whose anchor is one of the row's."""
 
@@ -83,10 +102,10 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
         for batch in pieces(batches, 100):
             hashes, rid, first = [], [], []
             for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                own = hashed(words(text))
-                chosen, found = anchors(own, window)
+                own = words(text)
+                chosen, found = anchors(quick(own), window)
                 start = np.flatnonzero(np.isin(found[chosen].astype(np.int64), np.array(wanted)))
-                hashes.append(grams(own, window)[start].astype(np.int64))
+                hashes.append(window_hashes(own, start, window))
                 rid.append(np.full(len(start), key, dtype=np.int64))
                 first.append(start.astype(np.int32))
             wa, wb = np.concatenate(hashes).T.copy()
@@ -96,30 +115,22 @@ def _window_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _passage_rows(rows: DataFrame, window: int) -> DataFrame:
-    """passage (text) with its keys, for each run of the row's starts.
-
-    A start counts only if the window there has the hash that was counted, so that rows whose rid is equal by chance do no harm.
-    """
+    """passage (text) with its keys, for each piece of a run of the row's starts."""
 
     def run(batches):
         for batch in pieces(batches, 100):
             out, keys = [], []
             for text, starts, common in zip(*(c.to_pylist() for c in batch.columns)):
                 own = words(text)
-                hashes = hashed(own)
-                value = grams(hashes, window)
-                at = np.array([x["start"] for x in starts])
-                wanted = np.array([(x["wa"], x["wb"]) for x in starts]).astype(U64)
-                inside = at < len(value)
-                at, wanted = at[inside], wanted[inside]
-                at = np.unique(at[(value[at] == wanted).all(axis=1)])
-                chosen, found = anchors(hashes, window)
-                key = found[chosen].astype(np.int64)
-                key = np.where(np.isin(key, np.array(common, dtype=np.int64)), value[:, 0].astype(np.int64), key)
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                at = np.unique(np.array(starts))
+                chosen, found = anchors(quick(own), window)
+                key = found[chosen[at]].astype(np.int64)
+                apart = np.isin(key, np.array(common, dtype=np.int64))
+                key[apart] = window_hashes(own, at[apart], window)[:, 0]
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1):
                     for lo in range(0, len(part), PIECE):
                         piece = part[lo : lo + PIECE]
-                        out.append(b" ".join(own[int(piece[0]) : int(piece[-1]) + window]).decode())
+                        out.append(b" ".join(own[int(at[piece[0]]) : int(at[piece[-1]]) + window]).decode())
                         keys.append(np.unique(key[piece]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["passage", "keys"])
 
@@ -237,16 +248,16 @@ def _stream(rows: DataFrame, window: int) -> DataFrame:
 
 def remove(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the words that stay, joined by a space) of each row."""
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    rows = _numbered(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     chosen = written(_anchor_rows(rows, window), "anchors")
     counts = written(chosen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
     hot = F.broadcast(counts.where(F.col("n") > max(COMMON, chosen.count() // HOT)))
     rest = chosen.join(hot.select("anchor"), "anchor", "left_anti").join(counts, "anchor")
     twice = chosen.join(hot, "anchor").select(rest.columns).union(rest).withColumn("common", F.col("n") > COMMON)
-    shared = written(twice.select("rid", "anchor", "common").distinct(), "shared-anchors")
+    places = twice.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("common"), F.col("anchor"))).alias("common"))
+    places = written(places.withColumn("lead", F.array_min("anchors")), "shared-anchors")
     forget(chosen, counts)
-    places = shared.groupBy("rid").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("common"))
-    ids = written(shared.select("rid").distinct(), "candidates")
+    ids = places.select("rid")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     held = rows.join(ids, "rid", "left_semi")
@@ -254,16 +265,30 @@ def remove(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", win
 
     windows = _window_rows(placed, window)
     first = windows.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("at")).where("n > 1")
-    starts = first.groupBy("at.rid").agg(F.collect_list(F.struct("at.start", "wa", "wb")).alias("starts"))
+    starts = first.groupBy("at.rid").agg(F.collect_list("at.start").alias("starts"))
     passages = written(_passage_rows(placed.join(starts, "rid"), window).distinct(), "passages")
 
-    chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-int(chars) // shard_chars))
-    shard = F.pmod(F.xxhash64("rid", F.lit("shard")), F.lit(shards)).cast("int")
-    round_common = _window_rows(placed.where(F.size("common") > 0).select("rid", "text", F.col("common").alias("anchors")), window)
-    where = shared.where("not common").select(F.col("anchor").alias("key"), shard.alias("shard")).union(round_common.select("wa", shard.alias("shard"))).distinct()
+    # documents with the same least anchor, copies for the most part, share a shard, or several if their text is too much for one
+    groups = written(placed.groupBy("lead").agg(F.sum(F.length("text")).alias("chars")), "groups")
+    shards = max(1, -(-int(groups.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]) // shard_chars))
+    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("chars") / shard_chars))
+    dealt = places.join(groups, "lead").withColumn("shard", F.pmod(F.xxhash64("lead", part), F.lit(shards)).cast("int"))
+    dealt = written(dealt.select("rid", "shard", F.array_except("anchors", "common").alias("anchors"), "common"), "dealt")
+    round_common = _window_rows(held.join(dealt.where(F.size("common") > 0).select("rid", F.col("common").alias("anchors")), "rid"), window)
+    round_common = round_common.join(dealt.select("rid", "shard"), "rid").select(F.col("wa").alias("key"), "shard")
+    where = dealt.select(F.explode("anchors").alias("key"), "shard").union(round_common).distinct()
     named = passages.withColumn("pid", F.xxhash64("passage", F.lit("passage")))
     routes = named.select("pid", F.explode("keys").alias("key")).join(where, "key").select("pid", "shard").distinct()
     routed = routes.join(named.select("pid", "passage"), "pid").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("passage").alias("text"))
-    streams = routed.union(held.select(shard.alias("shard"), F.lit(1), "doc_id", "text")).repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind")
+    streams = routed.union(held.join(dealt.select("rid", "shard"), "rid").select("shard", F.lit(1), "doc_id", "text")).repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind")
     return _stream(streams, window).union(_whole(rows.join(ids, "rid", "left_anti")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds rid, the same for equal rows and different for different texts: tried by SHA-256, and drawn anew if two texts share one."""
+    for seed in range(100):
+        found = rows.withColumn("rid", F.xxhash64("doc_id", "text", F.lit(seed)))
+        texts = found.where("text is not null").select("rid", F.xxhash64(F.sha2("text", 256)).alias("digest")).groupBy("rid").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+        if not texts.where("lo <> hi").take(1):
+            return found
+    raise ValueError("texts can't be told apart")
