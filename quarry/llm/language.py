@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._streams import pieces
 
 UNKNOWN = "und"
+#: Stands for a word's edge; no letter.
+EDGE = 1
 #: n-grams kept of each profile and of each document.
 PROFILE_SIZE = 300
 #: Expected number of labelled rows of each language that profiles are fitted on, at most.
@@ -39,20 +41,18 @@ def _letter_table() -> np.ndarray:
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram codes of a text (three code points of 21 bits, 0 as word boundary) and their counts."""
+    """The n-gram codes of a text (three code points of 21 bits, EDGE as word boundary) and their counts."""
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     letter = _letter_table()[codes]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes = np.where(letter, codes, 0)
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    codes = np.concatenate(([0], codes[keep], [0]))
+    codes = np.concatenate(([EDGE], np.where(letter, codes, EDGE), [EDGE]))
+    codes = codes[np.concatenate(([True], (codes[1:] != EDGE) | (codes[:-1] != EDGE)))]
     pairs = (codes[:-1] << 21) | codes[1:]
     triples = (pairs[:-1] << 21) | codes[2:]
-    grams = np.concatenate((codes[codes != 0], pairs[pairs != 0], triples[codes[1:-1] != 0]))
+    grams = np.concatenate((codes[codes != EDGE], pairs, triples[codes[1:-1] != EDGE]))
     grams.sort()
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     return grams[starts], np.diff(starts, append=len(grams))

@@ -12,7 +12,8 @@ the smaller vec_id.
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part as query or
 candidate, as do those without a vec_id; a query has no candidate with its own vec_id, so repeated
 rows of a query don't find each other, while repeated candidates are listed each; a repeated query
-is answered once, for the least of its vectors; empty tables give an empty result; further columns are ignored.
+is answered once, for the least of its vectors; components so large that a score could need more than 63 bits raise
+an OverflowError; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and queries of a block, about.
-ROW_BLOCK = 8192
-QUERY_BLOCK = 512
+#: Rows and queries of a block, at most about.  Rows are copied once for each block of queries, so these are large.
+ROW_BLOCK = 65_536
+QUERY_BLOCK = 16_384
 
 
 def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -41,6 +42,8 @@ def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embed
 def _accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores of all queries and rows: for each term, weights times postings are added up."""
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+    if bound >= 1 << 63:
+        raise OverflowError("scores need more than 63 bits")
     kind = np.int32 if bound < 1 << 31 else np.int64
     queries = queries.astype(kind)
     scores = np.zeros((len(queries), len(rows)), dtype=kind)
@@ -83,6 +86,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, row_block: int = RO
     """query_id, rank, vec_id and score; rows and queries have vec_id and weights."""
     queries = queries.groupBy("vec_id").agg(F.min("weights").alias("weights"))
     n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
+    # as many groups as there are shuffle partitions at least, by smaller blocks of rows
+    n_rows = max(n_rows, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_queries))
     # each row goes to its block of every query block, each query to its block of every row block
     left = rows.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
     right = queries.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"))

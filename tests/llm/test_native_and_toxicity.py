@@ -50,6 +50,47 @@ def test_secrets_without_a_name_before(spark):
     assert {r.b for r in befores.where("doc_id in (100, 103, 106, 109, 112)").collect()} == {"api_key", "token", "password", "secret", "key"}
 
 
+def brute_secrets(text, trees, least=0.5):
+    """[(value, before, score)] of a text by Python's own patterns and arithmetic."""
+    out, end, previous = [], 0, ""
+    for m in re.finditer(secrets.CANDIDATE, text):
+        gap = previous[-secrets.REACH :] + text[end : m.start()][-secrets.REACH :]
+        end, previous = m.end(), m[0]
+        near = re.search(secrets.NEIGHBOUR.replace("]?$", "]?\\Z"), gap)
+        value, before = m[0], near[1] if near else ""
+        if named := re.search(secrets.NAMED, value):
+            before, value = named[1], named[2]
+        low, n = value.lower(), max(len(value), 1)
+        changes = re.sub("[A-Z]++|[0-9]++", "b", re.sub("[a-z]++|[^A-Za-z0-9]++", "a", value))
+        left = lambda x, pattern: (len(x) - len(re.sub(pattern, "", x))) / n
+        seen = [
+            float(len(value)), left(value, "[0-9]"), left(value, "[A-Z]"), left(value, "[a-z]"), left(value, "[^A-Za-z0-9]"), len(changes) / n, len(set(value)) / n,
+            left(low, "|".join(sorted(secrets.DICTIONARY, key=len, reverse=True))), bool(re.search("^[0-9a-f]++$", low)), bool(re.search("^[0-9:./_-]++$", value)),
+            bool(re.search(r"@[a-z0-9-]++\.|^https?:|^www\.|/.*/|\.(?:com|org|net|io|html?|py|txt|md|json)$", low)), bool(re.search("^(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|eyJ|AIza)", value)),
+            before.lower() in secrets.NAMES, before.lower() in secrets.HARMLESS, bool(re.search("(.)\\1{3}", value)),
+        ]
+
+        def leaf(tree):
+            while isinstance(tree, tuple):
+                tree = tree[2] if seen[tree[0]] <= tree[1] else tree[3]
+            return tree
+
+        score = sum(map(leaf, trees)) / len(trees)
+        if score >= least:
+            out.append((value, before, pytest.approx(score)))
+    return out
+
+
+def test_secrets_equal_brute_force(spark, data):
+    """Every candidate's value, neighbour and score over all documents, also of those that the forest rejects."""
+    trees = secrets.fitted(spark)
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall())
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: [tuple(f) for f in r.findings] for r in secrets.scan(documents, trees, least=-1.0).collect()}
+    assert sum(map(len, got.values())) > 100
+    assert got == {d: brute_secrets(t or "", trees, -1.0) for d, t in texts.items()}
+
+
 def test_forest_accuracy(spark):
     made = secrets.labelled_findings(spark, per_kind=30).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(5)))
     trees = secrets.trees_of(secrets.fit(made.where("part <> 0")))

@@ -127,6 +127,9 @@ def test_topk_odd(spark):
     given = topk.quantised(spark.createDataFrame(rows, schema))
     got = [tuple(r) for r in topk.search(given, given.where("vec_id % 20 = 0"), k=3, row_block=2, query_block=1).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 8192), (0, 2, 1, 4096), (0, 3, 2, 4096), (20, 1, 0, 8192), (20, 2, 1, 8192), (20, 3, 2, 8192)]
+    huge = topk.quantised(spark.createDataFrame([(0, [2.0**55]), (1, [2.0**3])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="63 bits"):
+        topk.search(huge, huge).collect()
     none = given.where("vec_id < 0")
     assert topk.search(none, none).count() == 0
     assert topk.search(given, none).count() == 0
@@ -210,6 +213,46 @@ def test_language_accuracy(spark, data):
     assert held[0] >= 0.95 and 0 <= held[1] <= held[2] <= 1
 
 
+def test_language_equals_brute_force(spark, data):
+    """Profiles and predictions by plain counting on some hundred texts."""
+    from collections import Counter
+
+    def grams(text):
+        words, out = re.findall(r"[^\W\d_]+", (text or "").lower()), Counter()
+        joined = "\1" + "\1".join(words) + "\1"
+        for n in (1, 2, 3):
+            for k in range(len(joined) - n + 1):
+                g = joined[k : k + n]
+                if g.strip("\1") and (n < 3 or g[1] != "\1"):
+                    out[g] += 1
+        return out
+
+    def code(g):
+        n = 0
+        for c in g:
+            n = n << 21 | ord(c)
+        return n
+
+    def top(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: language.PROFILE_SIZE]]
+
+    rows = [(d, t, name) for d, t, name in duckdb.sql(f"SELECT doc_id, text, lang FROM '{data}/documents.parquet' ORDER BY doc_id LIMIT 160").fetchall() if t is None or t.isascii() or all(c.isalpha() or ord(c) < 128 for c in t)]
+    counts = {}
+    for _, t, name in rows[::2]:
+        counts.setdefault(name, Counter()).update(grams(t))
+    want_profiles = {name: top(c) for name, c in counts.items() if name}
+    df = spark.createDataFrame(rows[::2], "doc_id long, text string, lang string")
+    profiles = language.fit_profiles(df)
+    assert profiles == {name: [code(g) for g in found] for name, found in sorted(want_profiles.items())}
+    want = {}
+    for d, t, _ in rows:
+        own = top(grams(t))
+        best = min(((sum(abs(p.index(g) - k) if g in p else language.PROFILE_SIZE for k, g in enumerate(own)), name) for name, p in want_profiles.items()), default=None) if own else None
+        want[d] = (best[1], pytest.approx(1 - best[0] / (language.PROFILE_SIZE * len(own)))) if best else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), profiles).collect()}
+    assert got == want
+
+
 def test_language_odd(spark, odd, empty):
     train = spark.createDataFrame([(1, "the cat and the dog", "en", 1), (2, "der hund und die katze", "de", 2), (3, None, "en", 3), (4, "zzz", None, 4), (5, "12", "en", 5)], "doc_id long, text string, lang string, gram long")
     profiles = language.fit_profiles(train)
