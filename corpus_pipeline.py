@@ -1,6 +1,11 @@
 """A corpus pipeline: each stage takes what the one before it kept.
 
 Every stage is (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of docs.
+
+Edge cases: null texts and texts without a letter go in the first stage, so do all documents if no row has a language to
+learn; rows with the same doc_id stay or go together in near-dedup and are judged each by itself in the other
+stages; of equal documents the one with the smallest doc_id stays, rows with a null doc_id always do; long texts
+are used whole; further columns are passed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, language, neardup, secrets
-from quarry.llm._shared import packed, unpacked
+from quarry.llm._shared import forget, packed, unpacked, written
 from quarry.llm.queries import held_out
 
 
@@ -50,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages in turn; each one's result but the last is written before the next reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, "stage")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
