@@ -20,6 +20,7 @@ empty table writes no shard.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,6 +41,8 @@ ENTRY = struct.Struct("<9sQI")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
+#: Characters that lower case and composition leave single: Latin-1 without its controls and soft hyphen.
+_LATIN = re.compile("[!-~¡-¬®-ÿ]+")
 #: Words of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
 REMEMBERED, LONGEST = 400_000, 48
 #: Places of the table of hashes that came up before.
@@ -211,6 +214,27 @@ class WordCodec:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         return out
 
+    def _learn(self, words: set[str]) -> list[str]:
+        """Remember the ids of words that are not known yet; returns all that is new.
+
+        Words of Latin-1 go to the library in lower case, as it would make them, and without a full stop or comma after their
+        last letter, which it takes apart.
+        """
+        known = self._words
+        parts = {}
+        for w in words:
+            base = w.lower() if _LATIN.fullmatch(w) else w
+            if any(t in base for t in self.added):  # of another case, so no such token
+                base = w
+            parts[w] = (base[:-1], base[-1]) if base is not w and base[-2:-1].isalpha() and base[-1] in ".," else (base, "")
+        new = list({p for both in parts.values() for p in both if p not in known})
+        known.update(zip(new, self._apart(new)))
+        for w, (base, mark) in parts.items():
+            if w not in known:
+                known[w] = known[base] + known[mark]
+                new.append(w)
+        return new
+
     def _forget(self, new: list[str]) -> None:
         """Of the words a chunk brought only those that an earlier one had as well stay, and short ones only."""
         known, seen = self._words, self._seen
@@ -237,8 +261,7 @@ class WordCodec:
                 size += len(text)
                 k += 1
             known = self._words
-            new = list({w for found in held if isinstance(found, list) for w in found if w not in known})
-            known.update(zip(new, self._apart(new)))
+            new = self._learn({w for found in held if isinstance(found, list) for w in found if w not in known})
             for found in held:
                 yield b"".join(map(known.__getitem__, found)) if isinstance(found, list) else self._library([found])[0]
             self._forget(new)

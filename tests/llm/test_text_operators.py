@@ -104,7 +104,7 @@ def test_texts_with_added_tokens(word_tokenizer):
     codec = sstable.WordCodec(public_tokenizers.path("word_bpe_49k.json"))
     given = [
         "<|endoftext|>", "hello <|endoftext|> world", "in<|startoftext|>side a<|endoftext|>", "<|endoftext|><|endoftext|> twice", "<|EndOfText|> other case", "<| endoftext |>", "x<|endoftext|>\ny", "a|b <|b|> it's",
-        "\u3000wide\u2028line\x0bvertical\x1cgap\u00a0", "E\u0301 \u0301 e\u0301x ﬁ İ ẞ", "", " ", None, "w" * 3000, "1234 五六 \u0661\u0662",
+        "\u3000wide\u2028line\x0bvertical\x1cgap\u00a0", "E\u0301 \u0301 e\u0301x ﬁ İ ẞ", "", " ", None, "w" * 3000, "1234 五六 \u0661\u0662", "Word, word. WORD; \u00c9t\u00e9. \u00c9T\u00c9, don'T. x., .. a.. 1, 1. \u00d7. \u00b5, \u00df. \u00aa. \u00ba,",
     ]
     for _ in range(3):  # new, seen once, remembered
         for text, raw in zip(given, codec.encode_all(given)):
