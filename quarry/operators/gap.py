@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, is_finite
 
 
+#: Parts of a descriptor's range.
+PARTS = 64
+
+
 def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, std (of all), q05, q50 and q95 of the finite values of each group."""
     kept = rows.where(is_finite(value))
@@ -17,13 +23,21 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 def distances(rows: DataFrame, value: str, side: str = "side", by: str = "descriptor") -> DataFrame:
     """wasserstein and energy distance of side `a` and `b` for each descriptor.
 
-    Values are counted first, so the running distribution has a row for each different value.
+    Values are counted first, so the running distribution has a row for each different value.  It runs within
+    parts of a descriptor's range that hold about as many values each; sums of the parts before, a
+    row each, are added.
     """
     kept = rows.where(is_finite(value) & F.col(side).isin("a", "b"))
     n = kept.groupBy(by).agg(*(F.sum((F.col(side) == s).cast("long")).alias(f"n_{s}") for s in "ab"))
     counts = kept.groupBy(by, F.col(value).alias("v")).agg(*(F.sum((F.col(side) == s).cast("long")).alias(s) for s in "ab"))
-    order = Window.partitionBy(by).orderBy("v")
-    run = counts.select(by, "v", F.sum("a").over(order).alias("a"), F.sum("b").over(order).alias("b"), (F.lead("v").over(order) - F.col("v")).alias("w"))
+    edges = counts.groupBy(by).agg(F.array_distinct(F.percentile_approx("v", [k / PARTS for k in range(1, PARTS)], 10_000)).alias("edges"))  # a row a descriptor
+    placed = counts.join(F.broadcast(edges), by).withColumn("part", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+    parts, before = Window.partitionBy(by).orderBy("part"), Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(by, "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("v").alias("v"))
+    sums = sums.select(by, "part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.lead("v").over(parts).alias("after"))
+    order = Window.partitionBy(by, "part").orderBy("v")
+    run = placed.join(F.broadcast(sums), [by, "part"])  # PARTS rows a descriptor
+    run = run.select(by, "v", (F.col("a0") + F.sum("a").over(order)).alias("a"), (F.col("b0") + F.sum("b").over(order)).alias("b"), (F.coalesce(F.lead("v").over(order), "after") - F.col("v")).alias("w"))
     gap = F.col("a") / F.col("n_a") - F.col("b") / F.col("n_b")
     out = run.join(F.broadcast(n), by).where("w is not null and n_a > 0 and n_b > 0")
     return out.groupBy(by).agg(F.sum(F.abs(gap) * F.col("w")).alias("wasserstein"), F.sqrt(2.0 * F.sum(gap * gap * F.col("w"))).alias("energy"))
@@ -54,3 +68,44 @@ def kernel_discrepancy(rows: DataFrame, values: tuple[str, ...], key: str, n: in
     k = F.exp(-F.col("d2") / (2.0 * F.col("bw")))
     same = lambda s: F.avg(F.when((F.col(side) == s) & (F.col("__o") == s), k))
     return pairs.crossJoin(F.broadcast(width)).agg((same("a") + same("b") - 2.0 * F.avg(F.when((F.col(side) == "a") & (F.col("__o") == "b"), k))).alias("mmd"))
+
+
+def descriptors(geometry: DataFrame, scene: str = "scene_id", point: str = "point_id", limit: float = 3.0) -> DataFrame:
+    """scene, point, descriptor and value: what a sensor can observe of each point, from local_geometry joined with intensity."""
+    scaled = F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("residual") / F.greatest("radius", F.lit(1e-6))))
+    kinds = {
+        "density_per_m2": F.col("density"), "normal_tilt_rad": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("nz")))), "pca_curvature": F.col("curvature"), "height_residual_m": F.abs("residual"),
+        "signed_height_residual_over_radius": scaled,
+    }
+    if "intensity" in geometry.columns:
+        kinds["intensity"] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("intensity")))
+    each = F.array(*(F.struct(F.lit(name).alias("descriptor"), value.cast("double").alias("v")) for name, value in kinds.items()))
+    return geometry.select(scene, point, F.explode(each).alias("x")).select(scene, point, "x.*").where(is_finite("v"))
+
+
+def compare(rows: DataFrame, names: tuple[str, ...], key: str, n: int = 512, side: str = "side", by: str = "descriptor", value: str = "v", seed: int = 42) -> DataFrame:
+    """The domain report: for each descriptor available, a row's summaries of both sides, wasserstein, energy and mmd; and joint.
+
+    rows is long (side `a` or `b`, key of a point, descriptor, value).  A descriptor that a side lacks has summaries of 0 there and null
+    distances.  The row `joint` has the kernel discrepancy over all available descriptors at once.
+    """
+    spark = rows.sparkSession
+    rows = rows.where(is_finite(value) & F.col(side).isin("a", "b") & F.col(by).isin(*names))
+    found = summary(rows.withColumn("__sample", F.struct(by, side)), "__sample", value)
+    figures = ("n", "mean", "std", "q05", "q50", "q95")
+    out = spark.createDataFrame([(name,) for name in names], f"{by} string")
+    for s in "ab":
+        one = found.where(F.col(f"__sample.{side}") == s).select(F.col(f"__sample.{by}").alias(by), *(F.col(c).alias(f"{s}_{c}") for c in figures))
+        out = out.join(F.broadcast(one), by, "left").na.fill(0, [f"{s}_{c}" for c in figures])  # a row a descriptor
+    have = {r[by] for r in rows.groupBy(by).agg(F.countDistinct(side).alias("k")).where("k = 2").collect()}
+    common = [name for name in names if name in have]
+    apart = distances(rows, value, side, by)
+    kernels = [kernel_discrepancy(rows.where(F.col(by) == name), (value,), key, n, side, seed).select(F.lit(name).alias(by), "mmd") for name in common]
+    for frame in (apart, reduce(DataFrame.union, kernels) if kernels else spark.createDataFrame([], f"{by} string, mmd double")):
+        out = out.join(F.broadcast(frame), by, "left")
+    out = out.select(by, F.col(by).isin(*common).alias("available") if common else F.lit(False).alias("available"), *(f"{s}_{c}" for s in "ab" for c in figures), "wasserstein", "energy", "mmd")
+    if not common:
+        return out
+    wide = rows.where(F.col(by).isin(*common)).groupBy(side, key).pivot(by, common).agg(F.first(value))
+    joint = kernel_discrepancy(wide, tuple(common), key, n, side, seed).select(F.lit("joint").alias(by), F.lit(True).alias("available"), "mmd")
+    return out.unionByName(joint, allowMissingColumns=True)

@@ -88,11 +88,21 @@ def thresholds(spark, start: float = 0.05, end: float = 0.95, step: float = 0.01
 def threshold_scan(rows: DataFrame, grid: DataFrame, prob: str = "prob", target: str = "target") -> DataFrame:
     """iou, precision and recall of class 1 at each threshold (prob >= threshold).
 
-    The grid is small and broadcast; points are counted map-side for each threshold.
+    Each point is counted once, by how many thresholds it reaches; what is left is a running sum over
+    the thresholds, a row each.
     """
-    both = rows.where(F.col(target).isin(0, 1)).select(prob, target).crossJoin(F.broadcast(grid))
-    hit, real = F.col(prob) >= F.col("threshold"), F.col(target) == 1
-    sums = both.groupBy("threshold").agg(*(F.sum(w.cast("long")).alias(a) for a, w in (("tp", hit & real), ("fp", hit & ~real), ("fn", ~hit & real))))
+    order = Window.orderBy("threshold")
+    steps = grid.select("threshold", F.row_number().over(order).alias("place"))
+    every = steps.agg(F.array_sort(F.collect_list("threshold")).alias("__t"))
+    # thresholds ascend, so those that a point reaches come first
+    reached = F.coalesce(F.array_position(F.transform("__t", lambda t: t > F.col(prob)), True) - 1, F.lit(-1))
+    reached = F.when(reached < 0, F.size("__t")).otherwise(reached).cast("int")
+    binned = rows.where(F.col(target).isin(0, 1)).select(prob, target).crossJoin(F.broadcast(every)).groupBy(reached.alias("place")).agg(F.sum(F.col(target).cast("long")).alias("ones"), F.count("*").alias("all"))
+    totals = binned.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("total"))
+    after = Window.orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sums = steps.join(F.broadcast(binned), "place", "left").na.fill(0, ["ones", "all"])
+    sums = sums.select("threshold", F.sum("ones").over(after).alias("tp"), (F.sum("all").over(after) - F.sum("ones").over(after)).alias("fp")).crossJoin(F.broadcast(totals))
+    sums = sums.withColumn("fn", F.col("total") - F.col("tp"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     one = lambda c: F.greatest(c, F.lit(1)).cast("double")
     return sums.select("threshold", "tp", "fp", "fn", (tp / one(tp + fp + fn)).alias("iou"), (tp / one(tp + fp)).alias("precision"), (tp / one(tp + fn)).alias("recall"))
@@ -112,6 +122,50 @@ def split_leading(rows: DataFrame, n: int, scene: str = "scene_id") -> DataFrame
     return rows.join(F.broadcast(first), scene, "left").withColumn("part", F.when(F.col("__first"), "calibrate").otherwise("evaluate")).drop("__first")
 
 
+def _drawn(spark, n: int, replicates: int, seed: int) -> DataFrame:
+    """replicate, slot and how many times it was drawn, of n draws with replacement from n slots in each replicate."""
+    draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("k"))
+    return draws.groupBy("replicate", (draw(seed, F.col("replicate"), F.col("k")) % n).alias("slot")).agg(F.count("*").alias("times"))
+
+
+def bootstrap_metrics(by_scene: DataFrame, classes: int, tail: tuple[int, ...] = (), replicates: int = 200, seed: int = 42, alpha: float = 0.05, min_support: int = 1, scene: str = "scene_id") -> DataFrame:
+    """metric, point_estimate, mean, lower and upper of supported_miou, foreground_iou and (with tail labels) tail_miou.
+
+    by_scene has counts of (scene, target, pred); whole scenes are drawn with replacement.  Each scene becomes a row a class with
+    its sums and one for the foreground (class -1), so a replicate is a sum of those.  With fewer than
+    two scenes, or no replicates, mean and bounds are null.
+    """
+    spark = by_scene.sparkSession
+    t, p, n = F.col("target"), F.col("pred"), F.col("n")
+    sides = F.array(F.struct(t.alias("label"), F.lit(1).alias("is_target"), n.alias("c"), (t == p).alias("hit")), F.struct(p.alias("label"), F.lit(0).alias("is_target"), n.alias("c"), F.lit(False).alias("hit")))
+    fore = F.array(F.struct(F.when(t > 0, -1).alias("label"), F.lit(1).alias("is_target"), n.alias("c"), (p > 0).alias("hit")), F.struct(F.when(p > 0, -1).alias("label"), F.lit(0).alias("is_target"), n.alias("c"), F.lit(False).alias("hit")))
+    sums = (F.sum(F.when(F.col("is_target") == 1, F.col("c")).otherwise(0)).alias("s"), F.sum(F.when(F.col("is_target") == 0, F.col("c")).otherwise(0)).alias("p"), F.sum(F.when(F.col("hit"), F.col("c")).otherwise(0)).alias("tp"))
+    long = by_scene.select(scene, F.explode(F.concat(sides, fore)).alias("x")).select(scene, "x.*").where("label is not null and label <> 0").groupBy(scene, "label").agg(*sums)
+
+    def metrics(per: DataFrame, by: list[str]) -> DataFrame:
+        """supported_miou, foreground_iou and tail_miou of each replicate."""
+        tp, s, q = F.col("tp"), F.col("s"), F.col("p")
+        iou = tp / F.greatest(s + q - tp, F.lit(1)).cast("double")
+        tails = F.col("label").isin(*tail) if tail else F.lit(False)
+        one = per.groupBy(*by).agg(
+            F.coalesce(F.avg(F.when((F.col("label") > 0) & (s >= min_support), iou)), F.lit(0.0)).alias("supported_miou"), F.coalesce(F.max(F.when(F.col("label") == -1, iou)), F.lit(0.0)).alias("foreground_iou"),
+            F.when(F.lit(bool(tail)), F.coalesce(F.sum(F.when(tails, iou)), F.lit(0.0)) / max(1, len(tail))).alias("tail_miou"),
+        )
+        kinds = ["supported_miou", "foreground_iou"] + (["tail_miou"] if tail else [])
+        return one.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in kinds))).alias("x")).select(*by, "x.*")
+
+    total = long.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("s", "p", "tp")))
+    point = metrics(total, []).withColumnRenamed("value", "point_estimate")
+    scenes = by_scene.select(scene).distinct()
+    n_scenes = scenes.count()
+    if n_scenes < 2 or replicates <= 0:
+        return point.withColumns({c: F.lit(None).cast("double") for c in ("mean", "lower", "upper")})
+    numbered = scenes.withColumn("slot", (F.row_number().over(Window.orderBy(scene)) - 1).cast("long"))  # a row for each scene
+    drawn = _drawn(spark, n_scenes, replicates, seed).join(numbered, "slot").join(long, scene).groupBy("replicate", "label").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("s", "p", "tp")))
+    values = metrics(drawn, ["replicate"]).groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper"))
+    return point.join(F.broadcast(values), "metric")  # a row a metric
+
+
 def bootstrap(by_scene: DataFrame, metric: Column, replicates: int = 200, seed: int = 42, alpha: float = 0.05, scene: str = "scene_id", scenes: int | None = None) -> DataFrame:
     """Scene-block bootstrap: mean and percentile bounds of a metric of summed counts.
 
@@ -124,9 +178,7 @@ def bootstrap(by_scene: DataFrame, metric: Column, replicates: int = 200, seed:
         point = by_scene.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).select(metric.alias("mean"))
         return point.select("mean", F.col("mean").alias("lower"), F.col("mean").alias("upper"))
     numbered = by_scene.withColumn("slot", (F.row_number().over(Window.orderBy(scene)) - 1).cast("long"))  # a row for each scene
-    draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    draws = draws.select("replicate", (draw(seed, F.col("replicate"), F.col("k")) % n).alias("slot"))
-    sums = draws.join(F.broadcast(numbered), "slot").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    sums = _drawn(spark, n, replicates, seed).join(numbered, "slot").groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")))
     values = sums.select(metric.alias("value"))
     return values.agg(F.avg("value").alias("mean"), F.percentile("value", alpha / 2).alias("lower"), F.percentile("value", 1 - alpha / 2).alias("upper"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,20 @@ def damage_first(points: DataFrame, n: int, seed: int = 42, label: str = "label"
 
 
 def protected(points: DataFrame, n: int, target: Column, share: float = 0.1, seed: int = 42, label: str = "label", scene: str = "scene_id", point: str = "point_id") -> DataFrame:
-    """n points of each scene, of which the target label has at least its points or share * n, whichever is less."""
-    quota = -int(-(share * n) // 1)
-    own = (F.col(label) == target).cast("int")
+    """n points of each scene, of which the target label keeps share * n (rounded up, one at least) if it has so many.
+
+    Its other points stay out as long as the rest of the scene fills the n places; else all that is left is drawn from alike.
+    """
+    quota = max(1, math.ceil(share * n))
+    own = F.coalesce(F.col(label) == target, F.lit(False))
     inner = Window.partitionBy(scene, "__own").orderBy("__draw", point)
-    out = points.withColumn("__own", own).withColumn("__draw", draw(seed, F.col(scene), F.col(point)))
-    out = out.withColumn("__late", 1 - ((F.col("__own") == 1) & (F.row_number().over(inner) <= quota)).cast("int"))
+    whole = Window.partitionBy(scene)
+    out = points.withColumn("__own", own.cast("int")).withColumn("__draw", draw(seed, F.col(scene), F.col(point)))
+    out = out.withColumn("__place", F.row_number().over(inner)).withColumns({"__mine": F.sum("__own").over(whole), "__others": F.sum(1 - F.col("__own")).over(whole)})
+    enough = F.col("__others") >= n - F.least(F.col("__mine"), F.lit(quota))
+    late = F.when((F.col("__own") == 1) & (F.col("__place") <= quota), 0).when((F.col("__own") == 1) & enough, 2).otherwise(1)
     order = Window.partitionBy(scene).orderBy("__late", "__draw", point)
-    return out.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).drop("__own", "__draw", "__late", "__rank")
+    return out.withColumn("__late", late).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).select(*points.columns)
 
 
 def fill_up(points: DataFrame, n: int, seed: int = 42, scene: str = "scene_id", point: str = "point_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Neighbours, local geometry, transfer, voxels and rasters.
 
-Pairs are only formed between points whose cells of a grid touch, or within a scene in the
-brute-force form, which is for small scenes; `local_geometry` is the one for large clouds.
+Pairs are only formed between points whose cells of a grid touch.  `local_geometry` and `ransac_planes` take a scene as one
+group of a task, in NumPy: they are for scans of bounded size, however many there are.
 """
 
 from __future__ import annotations
@@ -16,17 +16,52 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, norm
 
 
-def knn(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """scene, point, neighbour, rank and d2 of the k nearest other points of the scene (ties to the smaller id).
+#: Widths of the cells in which neighbours are looked for, as multiples of the first guess; what is still open then is compared with its whole scene.
+RINGS = (1.0, 4.0)
+
+
+def neighbours(points: DataFrame, sources: DataFrame, k: int, scene: str, point: str, source: str, dims: tuple[str, ...], prefix: str, others_only: bool = False) -> DataFrame:
+    """The points' scene, point and dims with source, its dims (prefixed), d2 and rank of the k nearest sources of the scene (ties to the smaller id).
 
-    Compares all points of a scene, so it is for scenes of a few thousand points.
+    A point meets the sources of its own and the touching cells of a grid.  It is settled if its k-th source is
+    no farther than a cell is wide, for then no other source can be nearer; the others go on to wider
+    cells, and the few that are open after those (outliers, mostly) meet all sources of their scene.
     """
-    a = points.select(scene, point, *dims)
-    b = points.select(F.col(scene), F.col(point).alias("neighbour"), *(F.col(d).alias(f"n_{d}") for d in dims))
-    d2 = sum(((F.col(d) - F.col(f"n_{d}")) * (F.col(d) - F.col(f"n_{d}")) for d in dims), F.lit(0.0))
-    pairs = a.join(b, scene).where(F.col(point) != F.col("neighbour")).withColumn("d2", d2)
-    order = Window.partitionBy(scene, point).orderBy("d2", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    own = [scene, point, *dims]
+    size = sources.groupBy(scene).agg(F.count("*").alias("__n"), F.greatest(*(F.max(d) - F.min(d) for d in dims), F.lit(1e-9)).alias("__e"))
+    size = size.select(scene, (F.col("__e") * F.sqrt(F.lit(float(k)) / F.col("__n"))).alias("__size"))
+    left = points.select(*own).join(size, scene)
+    right = sources.select(scene, F.col(source).alias("__s"), *(F.col(d).alias(f"{prefix}{d}") for d in dims)).join(size.select(scene, F.col("__size").alias("__w")), scene)
+    d2 = sum(((F.col(d) - F.col(f"{prefix}{d}")) * (F.col(d) - F.col(f"{prefix}{d}")) for d in dims), F.lit(0.0))
+    order = Window.partitionBy(scene, point).orderBy("d2", "__s")
+    near = F.struct("d2", F.col("__s").alias("s"), *(f"{prefix}{d}" for d in dims))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        if others_only:
+            pairs = pairs.where(F.col(point) != F.col("__s"))
+        ranked = pairs.withColumn("d2", d2).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+        return ranked.groupBy(scene, point).agg(F.array_sort(F.collect_list(near)).alias("__near"))  # k at most
+
+    done, open_ = [], left
+    for ring in RINGS:
+        at = lambda column, width: F.floor(column / (F.col(width) * ring)).cast("long")
+        here = open_.withColumns({f"__c{d}": at(F.col(d), "__size") for d in dims})
+        there = right.withColumns({f"__c{d}": at(F.col(f"{prefix}{d}"), "__w") for d in dims})
+        for d in dims:
+            there = there.withColumn(f"__c{d}", F.explode(F.array(*(F.col(f"__c{d}") + step for step in (-1, 0, 1)))))
+        found = open_.join(best(here.join(there, [scene, *(f"__c{d}" for d in dims)])), [scene, point], "left")
+        last = F.get("__near", F.lit(k - 1))["d2"]
+        settled = F.coalesce(last <= F.col("__size") * F.col("__size") * (ring * ring), F.lit(False))
+        done.append(found.where(settled).select(*own, "__near"))
+        open_ = found.where(~settled).select(*own, "__size")
+    done.append(open_.join(best(open_.join(right, scene)), [scene, point]).select(*own, "__near"))
+    out = done[0].union(done[1]).union(done[2]).select(*own, F.posexplode("__near").alias("__p", "__x"))
+    return out.select(*own, F.col("__x.s").alias(source), *(F.col(f"__x.{prefix}{d}").alias(f"{prefix}{d}") for d in dims), F.col("__x.d2").alias("d2"), (F.col("__p") + 1).cast("int").alias("rank"))
+
+
+def knn(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """scene, point, neighbour, rank and d2 of the k nearest other points of the scene (ties to the smaller id)."""
+    return neighbours(points, points.withColumnRenamed(point, "neighbour"), k, scene, point, "neighbour", dims, "n_", others_only=True)
 
 
 def smallest_eigen_share(a, b, c, d, e, f) -> Column:
@@ -96,7 +131,7 @@ GEOMETRY = ("curvature", "nx", "ny", "nz", "residual", "radius", "density")
 
 
 def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
-    """scene, point and the columns of GEOMETRY; a scene is one group of a task, in NumPy."""
+    """scene, point and the columns of GEOMETRY; a scene is one group of a task, in NumPy, and compares all its points."""
     schema = f"{scene} long, {point} long, " + ", ".join(f"{c} double" for c in GEOMETRY)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -134,14 +169,8 @@ def nearest_within(points: DataFrame, sources: DataFrame, radius: float, scene:
 
 
 def nearest(points: DataFrame, sources: DataFrame, scene: str = "scene_id", point: str = "point_id", source: str = "source_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """scene, point, the nearest source of the scene and its distance, by comparing all of the scene's.
-
-    For few sources a scene (seeds, poles); an aggregate with map-side combining, no group is gathered.
-    """
-    right = sources.select(scene, source, *(F.col(d).alias(f"s_{d}") for d in dims))
-    d2 = sum(((F.col(d) - F.col(f"s_{d}")) * (F.col(d) - F.col(f"s_{d}")) for d in dims), F.lit(0.0))
-    pairs = points.select(scene, point, *dims).join(right, scene).withColumn("d2", d2)
-    return pairs.groupBy(scene, point).agg(F.min(F.struct("d2", source)).alias("m")).select(scene, point, F.col(f"m.{source}").alias(source), F.sqrt("m.d2").alias("distance"))
+    """scene, point, the nearest source of the scene (ties to the smaller id) and its distance."""
+    return neighbours(points, sources, 1, scene, point, source, dims, "s_").select(scene, point, source, F.sqrt("d2").alias("distance"))
 
 
 def voxels(points: DataFrame, size: float, scene: str = "scene_id", point: str = "point_id", values: tuple[str, ...] = ("x", "y", "z", "intensity"), label: str = "label") -> DataFrame:
@@ -291,12 +320,15 @@ def nearest_raster(points: DataFrame, value: str, size: int, scene: str = "scene
 
 
 def hard_core(points: DataFrame, radius: float, mark: str, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
-    """The points that no point of a lower mark stands nearer to than radius (Matérn's second process)."""
-    other = points.select(scene, F.col(point).alias("__p"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(mark).alias("__m"))
+    """The points that no point of a lower mark stands nearer to than radius (Matérn's second process); a range join by cells."""
+    other = cells(points.select(scene, F.col(point).alias("__p"), "x", "y", F.col(mark).alias("__m")), radius)
+    for d in ("x", "y"):
+        other = other.withColumn(f"c_{d}", F.explode(F.array(*(F.col(f"c_{d}") + k for k in (-1, 0, 1)))))
+    other = other.select(F.col(scene).alias("__s"), "__p", F.col("x").alias("__x"), F.col("y").alias("__y"), "__m", F.col("c_x").alias("__cx"), F.col("c_y").alias("__cy"))
     apart = (F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2
     lower = (F.col("__m") < F.col(mark)) | ((F.col("__m") == F.col(mark)) & (F.col("__p") < F.col(point)))
-    on = (points[scene] == other[scene]) & lower & (apart < radius * radius)
-    return points.join(other, on, "left_anti")
+    on = (F.col(scene) == F.col("__s")) & (F.col("c_x") == F.col("__cx")) & (F.col("c_y") == F.col("__cy")) & lower & (apart < radius * radius)
+    return cells(points, radius).join(other, on, "left_anti").select(*points.columns)
 
 
 def mix_edges(points: DataFrame, chosen: Column, k: int = 5, scene: str = "scene_id", point: str = "point_id") -> DataFrame:

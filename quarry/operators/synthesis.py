@@ -159,7 +159,8 @@ def fill_quota(spark: SparkSession, folder: str, labels: list[int], scenes: int,
     first, tried = 0, dict.fromkeys(labels, 0)
     try:
         have = spark.read.parquet(folder)
-        first = (have.agg(F.max("scene_id")).first()[0] or -1) + 1
+        highest = have.agg(F.max("scene_id")).first()[0]
+        first = 0 if highest is None else highest + 1
     except Exception as why:  # nothing there yet
         if "PATH_NOT_FOUND" not in str(why):
             raise

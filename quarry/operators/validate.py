@@ -49,9 +49,28 @@ def report(validated: DataFrame, most: int = 50, scene: str = "scene_id") -> Dat
     return sums.crossJoin(F.broadcast(first)).withColumn("valid", (F.col("error_count") == 0) & (F.col("scenes") > 0))
 
 
-def contract_errors(scenes: DataFrame, scene: str = "scene_id") -> DataFrame:
-    """Registered scenes whose features can't be used as they are: another schema, or another width."""
-    return scenes.where(~F.col("feature_schema").eqNullSafe(FEATURE_SCHEMA) | ~F.col("feature_width").eqNullSafe(3)).select(scene, F.lit("feature schema or shape missing or different").alias("error"))
+def contract_errors(scenes: DataFrame, points: DataFrame | None = None, scene: str = "scene_id", features: tuple[str, ...] = ("intensity_n", "curvature", "residual")) -> DataFrame:
+    """Registered scenes whose features can't be used as they are: another schema, another width, or values that aren't finite."""
+    wrong = ~F.col("feature_schema").eqNullSafe(FEATURE_SCHEMA) | ~F.col("feature_width").eqNullSafe(3)
+    out = scenes.where(wrong).select(scene, F.lit("feature schema or shape missing or different").alias("error"))
+    if points is None:
+        return out
+    fine = F.coalesce(is_finite(features[0]), F.lit(False))
+    for c in features[1:]:
+        fine = fine & F.coalesce(is_finite(c), F.lit(False))
+    odd = points.where(~fine).select(scene).distinct()
+    return out.union(scenes.where(~wrong).join(odd, scene, "left_semi").select(scene, F.lit("features not finite").alias("error")))
+
+
+def reconstruction_errors(points: DataFrame, expected: DataFrame, scene: str = "scene_id", point: str = "point_id", features: tuple[str, ...] = ("intensity_n", "curvature", "residual"), relative: float = 3e-5, absolute: float = 3e-6) -> DataFrame:
+    """scene and max_abs of the scenes with a feature that differs from what is computed anew (expected) by more than the tolerance.
+
+    Points that either side lacks count as infinitely far.
+    """
+    both = points.select(scene, point, *features).join(expected.select(scene, point, *(F.col(c).alias(f"__{c}") for c in features)), [scene, point], "full")
+    gap = [F.abs(F.col(c) - F.col(f"__{c}")).cast("double") for c in features]
+    gap = F.greatest(F.lit(-1.0), *(F.when(g.isNull() | F.isnan(g), float("inf")).otherwise(g - absolute - relative * F.abs(F.col(f"__{c}"))) for g, c in zip(gap, features))), F.greatest(F.lit(0.0), *(F.coalesce(g, F.lit(float("inf"))) for g in gap))
+    return both.select(scene, gap[0].alias("over"), gap[1].alias("gap")).groupBy(scene).agg(F.max("over").alias("over"), F.max("gap").alias("max_abs")).where("over > 0").select(scene, "max_abs")
 
 
 def quarantine(points: DataFrame, rule, reason: str) -> tuple[DataFrame, DataFrame]:

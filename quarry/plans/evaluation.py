@@ -106,6 +106,19 @@ def bootstrap_ci(spark, folder):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
+@query(f"""WITH {PRED}, c AS (SELECT scene_id, target, pred, count(*) AS n FROM scored WHERE target BETWEEN 0 AND 9 GROUP BY ALL), s AS (SELECT row_number() OVER (ORDER BY scene_id) - 1 AS slot, scene_id FROM (SELECT DISTINCT scene_id FROM c)),
+  d AS (SELECT r, CAST('0x' || substr(md5('42|' || r || '|' || k), 1, 8) AS BIGINT) % 20 AS slot FROM range(200) a(r), range(20) b(k)),
+  m AS (SELECT -1 AS r, target, pred, sum(n) AS n FROM c GROUP BY ALL UNION ALL SELECT r, target, pred, sum(n) AS n FROM d JOIN s USING (slot) JOIN c USING (scene_id) GROUP BY ALL),
+  k AS (SELECT r, l AS label, coalesce(sum(n) FILTER (target = l), 0) AS sup, sum(n) FILTER (target = l AND pred = l) AS tp, sum(n) FILTER (target = l OR pred = l) AS u FROM m, range(1, 10) t(l) GROUP BY ALL),
+  f AS (SELECT r, sum(n) FILTER (target > 0 AND pred > 0) / greatest(sum(n) FILTER (target > 0 OR pred > 0), 1) AS v FROM m GROUP BY r),
+  v AS (SELECT r, 'supported_miou' AS metric, avg(coalesce(tp, 0) / greatest(u, 1)) FILTER (sup >= 1) AS v FROM k GROUP BY r UNION ALL SELECT r, 'tail_miou', sum(coalesce(tp, 0) / greatest(coalesce(u, 0), 1)) / 3 FROM k WHERE label IN (7, 8, 9) GROUP BY r UNION ALL SELECT r, 'foreground_iou', v FROM f)
+  SELECT metric, {q6("max(v) FILTER (r = -1)")} AS point_estimate, {q6("avg(v) FILTER (r >= 0)")} AS mean, {q6("quantile_cont(v, 0.025) FILTER (r >= 0)")} AS lower, {q6("quantile_cont(v, 0.975) FILTER (r >= 0)")} AS upper FROM v GROUP BY metric""")
+def bootstrap_metrics(spark, folder):
+    by_scene = M.confusion(scored(spark, folder), 10, by=("scene_id",))
+    out = M.bootstrap_metrics(by_scene, 10, tail=(7, 8, 9))
+    return out.select("metric", *(r6(c).alias(c) for c in ("point_estimate", "mean", "lower", "upper")))
+
+
 @query(f"WITH {PRED} SELECT {q6('avg(pow(1 - greatest(pt, 1e-12), 2) * -ln(greatest(pt, 1e-12)))')} AS focal_loss FROM scored WHERE target >= 0")
 def focal_loss(spark, folder):
     return M.focal_loss(V.predictions(spark, folder)).select(r6("focal_loss").alias("focal_loss"))

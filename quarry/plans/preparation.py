@@ -250,7 +250,8 @@ def damage_first_sample(spark, folder):
     return S.damage_first(lpoints(spark, folder), 128).select("scene_id", "point_id", "label")
 
 
-@query(f"""WITH {LPOINTS}, r AS (SELECT *, {_draw(42, 'scene_id', 'point_id')} AS d FROM pts), o AS (SELECT *, CASE WHEN label = 1 AND row_number() OVER (PARTITION BY scene_id, label = 1 ORDER BY d, point_id) <= 10 THEN 0 ELSE 1 END AS late FROM r)
+@query(f"""WITH {LPOINTS}, r AS (SELECT *, {_draw(42, 'scene_id', 'point_id')} AS d FROM pts), k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, label = 1 ORDER BY d, point_id) AS k, count(*) FILTER (label = 1) OVER s AS mine, count(*) FILTER (label <> 1) OVER s AS others FROM r WINDOW s AS (PARTITION BY scene_id)),
+  o AS (SELECT *, CASE WHEN label <> 1 THEN 1 WHEN k <= 10 THEN 0 WHEN others >= 100 - least(mine, 10) THEN 2 ELSE 1 END AS late FROM k)
   SELECT scene_id, point_id, label FROM o QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY late, d, point_id) <= 100""")
 def protected_sample(spark, folder):
     return S.protected(lpoints(spark, folder), 100, F.lit(1)).select("scene_id", "point_id", "label")

@@ -179,14 +179,19 @@ def window_pairs(spark, folder):
     return S.window_pairs(P.windows3d(small(spark, folder), 8)).groupBy("scene_id", "point_id").agg(F.count("*").alias("partners"))
 
 
-SIDES = """sides AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS side, l_orderkey * 10 + l_linenumber AS key, unnest([struct_pack(d := 'discount', v := l_discount), struct_pack(d := 'price', v := l_extendedprice), struct_pack(d := 'quantity', v := l_quantity), struct_pack(d := 'tax', v := l_tax)]) AS u FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+SIDES = """sides AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS side, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, unnest([struct_pack(d := 'discount', v := l_discount), struct_pack(d := 'price', v := l_extendedprice), struct_pack(d := 'quantity', v := l_quantity), struct_pack(d := 'tax', v := l_tax)]) AS u FROM lineitem),
   long AS (SELECT side, key, u.d AS descriptor, u.v AS v FROM sides)"""
 
 
+def line_key():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def sides(spark, folder):
-    line = V.table(spark, folder, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    """Descriptors of all points: side a has one return flag, side b the others."""
+    line = V.table(spark, folder, "lineitem")
     kinds = F.array(*(F.struct(F.lit(n).alias("descriptor"), F.col(c).alias("v")) for n, c in (("discount", "l_discount"), ("price", "l_extendedprice"), ("quantity", "l_quantity"), ("tax", "l_tax"))))
-    return line.select(F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("side"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.explode(kinds).alias("u")).select("side", "key", "u.*")
+    return line.select(F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("side"), line_key().alias("key"), F.explode(kinds).alias("u")).select("side", "key", "u.*")
 
 
 @query(f"WITH {SIDES} SELECT descriptor || '/' || side AS sample, count(*) AS n, {q6('avg(v)')} AS mean, {q6('stddev_pop(v)')} AS std, {q6('quantile_cont(v, 0.05)')} AS q05, {q6('quantile_cont(v, 0.5)')} AS q50, {q6('quantile_cont(v, 0.95)')} AS q95 FROM long GROUP BY 1")
@@ -201,12 +206,45 @@ def domain_distances(spark, folder):
     return rounded(G.distances(sides(spark, folder), "v"), "wasserstein", "energy")
 
 
-@query(f"""WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS side, l_orderkey * 10 + l_linenumber AS key, l_quantity AS u, l_extendedprice AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')),
-  s AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY side ORDER BY CAST('0x' || substr(md5('42|' || side || '|' || key), 1, 8) AS BIGINT), key) <= 128),
-  z AS (SELECT side, (u - (SELECT avg(u) FROM s)) / (SELECT stddev_pop(u) FROM s) AS u, (v - (SELECT avg(v) FROM s)) / (SELECT stddev_pop(v) FROM s) AS v FROM s),
-  d AS (SELECT a.side AS s1, b.side AS s2, (a.u-b.u)*(a.u-b.u)+(a.v-b.v)*(a.v-b.v) AS d2 FROM z a, z b), w AS (SELECT quantile_cont(d2, 0.5) AS bw FROM d WHERE d2 > 0)
-  SELECT {q6("avg(exp(-d2/(2*bw))) FILTER (s1='a' AND s2='a') + avg(exp(-d2/(2*bw))) FILTER (s1='b' AND s2='b') - 2 * avg(exp(-d2/(2*bw))) FILTER (s1='a' AND s2='b')")} AS mmd FROM d, w""")
+def mmd_sql(name: str, columns: tuple[str, ...], n: int = 512) -> str:
+    """CTEs that end in `name` with one row, mmd, of the lineitem columns; {name}_... are steps."""
+    d2 = "+".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in columns)
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-8) AS {c}" for c in columns)
+    k = "exp(-d2/(2*bw))"
+    return f"""{name}_s AS (SELECT * FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS side, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, {", ".join(columns)} FROM lineitem)
+      QUALIFY row_number() OVER (PARTITION BY side ORDER BY CAST('0x' || substr(md5('42|' || side || '|' || key), 1, 8) AS BIGINT), key) <= {n}),
+    {name}_z AS (SELECT side, {scaled} FROM {name}_s), {name}_d AS (SELECT a.side AS s1, b.side AS s2, {d2} AS d2 FROM {name}_z a, {name}_z b), {name}_w AS (SELECT greatest(quantile_cont(d2, 0.5), 1e-8) AS bw FROM {name}_d WHERE d2 > 0),
+    {name} AS (SELECT avg({k}) FILTER (s1='a' AND s2='a') + avg({k}) FILTER (s1='b' AND s2='b') - 2 * avg({k}) FILTER (s1='a' AND s2='b') AS mmd FROM {name}_d, {name}_w)"""
+
+
+@query(f"WITH {mmd_sql('m', ('l_quantity', 'l_extendedprice'))} SELECT {q6('mmd')} AS mmd FROM m")
 def kernel_discrepancy(spark, folder):
-    line = V.table(spark, folder, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    rows = line.select(F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("side"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_quantity").alias("u"), F.col("l_extendedprice").alias("v"))
-    return rounded(G.kernel_discrepancy(rows, ("u", "v"), "key", n=128), "mmd")
+    line = V.table(spark, folder, "lineitem")
+    rows = line.select(F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("side"), line_key().alias("key"), F.col("l_quantity").alias("u"), F.col("l_extendedprice").alias("v"))
+    return rounded(G.kernel_discrepancy(rows, ("u", "v"), "key"), "mmd")
+
+
+FIGURES = ("n", "mean", "std", "q05", "q50", "q95")
+KINDS = {"discount": "l_discount", "price": "l_extendedprice", "quantity": "l_quantity", "tax": "l_tax"}
+
+
+@query(f"""WITH {SIDES}, {", ".join(mmd_sql(f"m_{d}", (c,)) for d, c in KINDS.items())}, {mmd_sql("m_joint", tuple(KINDS.values()))},
+  mm AS ({" UNION ALL ".join(f"SELECT '{d}' AS descriptor, mmd FROM m_{d}" for d in (*KINDS, "joint"))}),
+  n AS (SELECT descriptor, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM long GROUP BY 1), c AS (SELECT descriptor, v, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM long GROUP BY ALL),
+  r AS (SELECT descriptor, sum(a) OVER w / na - sum(b) OVER w / nb AS g, lead(v) OVER w - v AS dx FROM c JOIN n USING (descriptor) WINDOW w AS (PARTITION BY descriptor ORDER BY v)), dist AS (SELECT descriptor, sum(abs(g) * dx) AS wasserstein, sqrt(2 * sum(g * g * dx)) AS energy FROM r WHERE dx IS NOT NULL GROUP BY 1),
+  f AS (SELECT descriptor, side, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.95) AS q95 FROM long GROUP BY ALL),
+  names AS (SELECT unnest(['discount', 'gradient', 'price', 'quantity', 'tax', 'joint']) AS descriptor)
+  SELECT descriptor, mmd IS NOT NULL AS available, {", ".join(f"CASE WHEN descriptor <> 'joint' THEN coalesce({s}.n, 0) END AS {s}_n, " + ", ".join(f"CASE WHEN descriptor <> 'joint' THEN {q6(f'coalesce({s}.{c}, 0)')} END AS {s}_{c}" for c in FIGURES[1:]) for s in "ab")},
+  {q6("wasserstein")} AS wasserstein, {q6("energy")} AS energy, {q6("mmd")} AS mmd FROM names LEFT JOIN mm USING (descriptor) LEFT JOIN dist USING (descriptor) LEFT JOIN (SELECT * FROM f WHERE side = 'a') a USING (descriptor) LEFT JOIN (SELECT * FROM f WHERE side = 'b') b USING (descriptor)""")
+def domain_report(spark, folder):
+    """All descriptors of both sides; one that neither side has is listed without distances."""
+    out = G.compare(sides(spark, folder), ("discount", "gradient", "price", "quantity", "tax"), "key")
+    return rounded(out, *(f"{s}_{c}" for s in "ab" for c in FIGURES[1:]), "wasserstein", "energy", "mmd")
+
+
+@query()
+def scene_descriptors(spark, folder):
+    """Descriptors of all points of the large cloud, summed up by scene."""
+    cloud = V.cloud_l(spark, folder)
+    geometry = S.local_geometry(cloud).join(cloud.select("scene_id", "point_id", "intensity"), ["scene_id", "point_id"])
+    return G.descriptors(geometry).groupBy("scene_id", "descriptor").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, making, more, preparation, space  # noqa: F401  (they register their queries)
+from .plans import evaluation, files, making, more, preparation, space  # noqa: F401  (they register their queries)
 from .plans.registry import QUERIES, SQL
 
 

@@ -24,8 +24,8 @@ NORMALS = (("nx", "ny", "nz"), ("normal_x", "normal_y", "normal_z"))
 
 SCHEMA = "path string, name string, point_id long, x double, y double, z double, label int, intensity double, nx double, ny double, nz double"
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
-# Fixed values of the LAS format: byte offsets of optional groups don't matter here, only record lengths of formats 0 to 3.
-_LAS_LENGTH = {0: 20, 1: 28, 2: 26, 3: 34}
+# Fixed values of the LAS format: byte offsets of optional groups don't matter here, only the least record lengths of point formats.
+_LAS_LENGTH = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
 
 
 class CloudError(ValueError):
@@ -150,7 +150,7 @@ def parse_pcd(data: bytes) -> dict[str, np.ndarray]:
 
 
 def parse_las(data: bytes) -> dict[str, np.ndarray]:
-    """LAS 1.0 to 1.2 with point formats 0 to 3; the classification is the label."""
+    """LAS 1.0 to 1.4 with point formats 0 to 10; the classification is the label."""
     if data[:4] != b"LASF":
         raise CloudError("no LAS signature")
     start, kind, length, count = struct.unpack_from("<I", data, 96)[0], data[104], *struct.unpack_from("<HI", data, 105)
@@ -158,11 +158,13 @@ def parse_las(data: bytes) -> dict[str, np.ndarray]:
         raise CloudError("compressed LAS (LAZ) isn't read; decompress it first")
     if kind not in _LAS_LENGTH or length < _LAS_LENGTH[kind]:
         raise CloudError(f"point format {kind} isn't read")
+    if data[25] >= 4 and not count:  # counts of 64 bits
+        count = struct.unpack_from("<Q", data, 247)[0]
     scale, offset = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
-    dtype = np.dtype({"names": ["x", "y", "z", "intensity", "classification"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 15], "itemsize": length})
+    dtype = np.dtype({"names": ["x", "y", "z", "intensity", "classification"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 16 if kind > 5 else 15], "itemsize": length})
     rows = np.frombuffer(data, dtype, count, start)
     fields = {a: rows[a] * scale[k] + offset[k] for k, a in enumerate("xyz")}
-    return _from_fields(fields | {"intensity": rows["intensity"], "classification": rows["classification"] & 31}, ("classification",))
+    return _from_fields(fields | {"intensity": rows["intensity"], "classification": rows["classification"] if kind > 5 else rows["classification"] & 31}, ("classification",))
 
 
 PARSERS = {".npz": parse_npz, ".npy": parse_npy, ".ply": parse_ply, ".pcd": parse_pcd, ".las": parse_las, ".laz": parse_las}
@@ -269,6 +271,77 @@ def export_npz(points: DataFrame, folder: str) -> DataFrame:
     return points.groupBy("split", "scene_id").applyInPandas(one, "path string, written boolean")
 
 
+def cloud_bytes(frame: pd.DataFrame, ending: str) -> bytes:
+    """Points with x, y, z, label, intensity and normals as a file: .npy (named fields), .ply (binary), .pcd (ASCII) or .las (millimetres, format 0)."""
+    n, xyz = len(frame), frame[["x", "y", "z"]].to_numpy(float)
+    if ending in (".npy", ".ply"):
+        fields = [("x", "x", "<f8"), ("y", "y", "<f8"), ("z", "z", "<f8"), ("nx", "nx", "<f8"), ("ny", "ny", "<f8"), ("nz", "nz", "<f8"), ("intensity", "intensity", "<f8"), ("label", "label", "<i4")]
+        rows = np.zeros(n, dtype=[(name, kind) for name, _, kind in fields])
+        for name, column, _ in fields:
+            rows[name] = frame[column].to_numpy()
+        if ending == ".npy":
+            out = io.BytesIO()
+            np.save(out, rows)
+            return out.getvalue()
+        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property {'double' if kind == '<f8' else 'int'} {name}\n" for name, _, kind in fields) + "end_header\n"
+        return head.encode("ascii") + rows.tobytes()
+    if ending == ".pcd":
+        head = f"VERSION .7\nFIELDS x y z intensity label\nSIZE 8 8 8 8 4\nTYPE F F F F I\nCOUNT 1 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nPOINTS {n}\nDATA ascii\n"
+        lines = (f"{x!r} {y!r} {z!r} {i!r} {label}" for (x, y, z), i, label in zip(xyz.tolist(), frame["intensity"].astype(float).tolist(), frame["label"].astype(int).tolist()))
+        return (head + "\n".join(lines) + "\n").encode("ascii")
+    if ending == ".las":
+        head = bytearray(227)
+        head[:4], head[24:26], head[104] = b"LASF", bytes([1, 2]), 0
+        struct.pack_into("<HI", head, 94, 227, 227)
+        struct.pack_into("<HI", head, 105, 20, n)
+        struct.pack_into("<6d", head, 131, 0.001, 0.001, 0.001, 0, 0, 0)
+        rows = np.zeros(n, dtype={"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 15], "itemsize": 20})
+        for k, a in enumerate("xyz"):
+            rows[a] = np.rint(xyz[:, k] * 1000)
+        rows["i"], rows["c"] = np.rint(frame["intensity"].to_numpy(float) * 65535), frame["label"].to_numpy()
+        return bytes(head) + rows.tobytes()
+    raise CloudError(f"{ending} isn't written")
+
+
+def export_clouds(points: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Writes a file for each scene, folder/scan_<id><ending> (any of pyarrow's file systems); returns path and points of each."""
+    from pyarrow import fs
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        system, base = fs.FileSystem.from_uri(folder)
+        path = f"{base}/scan_{int(frame['scene_id'].iloc[0]):06d}{ending}"
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(path + ".part") as sink:
+            sink.write(cloud_bytes(frame.sort_values("point_id"), ending))
+        system.move(path + ".part", path)
+        return pd.DataFrame({"path": [path], "points": [len(frame)]})
+
+    return points.groupBy("scene_id").applyInPandas(one, "path string, points long")
+
+
+def write_sidecars(metadata: DataFrame, folder: str) -> DataFrame:
+    """Writes folder/<name>.json for each row of name and metadata, whose units and intensity scale must be known ones; returns the paths."""
+    from pyarrow import fs
+
+    from ..operators.prepare import FULL_SCALE, UNITS
+
+    wrong = metadata.where(~F.col("coordinate_units").isin(*UNITS) | ~F.col("intensity_scale").isin(*FULL_SCALE, "range"))
+    if wrong.take(1):
+        raise CloudError("metadata with units or an intensity scale that aren't known")
+
+    def write(frames):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            paths = [f"{base}/{name}.json" for name in frame["name"]]
+            for path, row in zip(paths, frame.drop(columns="name").to_dict("records")):
+                with system.open_output_stream(path) as sink:
+                    sink.write(json.dumps({k: v for k, v in row.items() if v is not None and v == v}).encode())
+            yield pd.DataFrame({"path": paths})
+
+    return metadata.mapInPandas(write, "path string")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report (one row, nested) as JSON."""
     report.coalesce(1).write.mode("overwrite").json(path)
