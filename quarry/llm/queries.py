@@ -44,7 +44,8 @@ FROM s QUALIFY rank <= 20
 
 
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"), secrets.fitted(spark))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(documents, secrets.fitted(spark, documents))
     return found.select("doc_id", F.posexplode("findings").alias("place", "finding")).select("doc_id", "place", "finding.*")
 
 

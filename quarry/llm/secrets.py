@@ -3,8 +3,10 @@
 A candidate is a run of at least 16 characters of keys and encodings, whatever stands before it; the word
 before it, if one stands near, is looked for apart.  The forest judges its length, its character classes and the
 transitions between them, how much of it dictionary words cover, whether it looks like a path, an
-address or a number, and its neighbouring word.  It is fitted with Spark ML on labelled findings, and
-its trees become one column expression, so that scanning is a map over the rows with built-in
+address or a number, and its neighbouring word.  It is fitted with Spark ML on labelled findings: some made by rule, of usual
+kinds of keys and of what is taken for them, and, where documents are given, candidates of a bounded sample of
+their own texts, labelled by rule as well (no table has labels of secrets), which are hard negatives for the most part.
+Its trees become one column expression, so that scanning is a map over the rows with built-in
 functions only: no shuffle and no Python on the executors.
 
 Edge cases: null and empty texts have no findings; texts are scanned whole, however long; the same
@@ -21,6 +23,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import forget, written
+
 BODY = r"[A-Za-z0-9+/_=.@:-]"
 #: The candidate alone; a run that begins earlier is never entered, and gives back nothing.
 CANDIDATE = rf"(?<!{BODY}){BODY}{{16,}}+"
@@ -31,6 +35,10 @@ NAMED = "^([A-Za-z_]{1,24})[0-9]{0,4}[=:]([^=:]{16,}={0,2})$"
 #: Characters before a candidate in which its neighbouring word is looked for: more than NEIGHBOUR can match.
 REACH = 48
 MARK = "[SECRET]"
+#: Documents whose candidates the forest is fitted on, about.
+FIT_DOCUMENTS = 2000
+#: A candidate of a sampled text counts as a secret if it is named as one and looks like this: letters and digits without words.
+KEYLIKE = "^(?=[^0-9]*[0-9][^0-9]*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]{16,}$"
 #: Fixed words: what a leaked value is usually called, and what names something harmless.
 NAMES = ("token", "secret", "key", "apikey", "api_key", "access_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "private_key", "client_secret")
 HARMLESS = ("commit", "sha", "checksum", "digest", "hash", "etag", "revision", "md5", "uuid", "id", "version", "see", "file", "url", "card", "from", "by")
@@ -106,10 +114,31 @@ def labelled_findings(spark: SparkSession, per_kind: int = 60) -> DataFrame:
     return made.select(F.explode(every).alias("x")).select("x.*")
 
 
+def candidates(text: Column) -> Column:
+    """The candidates of a text, in order: array of (value, before)."""
+    whole = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
+    # what stands before each candidate: the text since the one before, and the end of that one, which may be its name
+    gaps = F.zip_with(F.concat(F.array(F.lit("")), found), F.split(whole, CANDIDATE, -1), lambda x, gap: F.concat(F.right(x, F.lit(REACH)), F.right(gap, F.lit(REACH))))
+    split = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda x, gap: F.struct(x.alias("value"), F.regexp_extract(gap, NEIGHBOUR, 1).alias("before")))
+    # a candidate that runs from its name to its value (name=value, name:value) is cut after the sign
+    return F.transform(split, lambda x: F.when(F.rlike(x["value"], F.lit(NAMED)), F.struct(F.regexp_extract(x["value"], NAMED, 2).alias("value"), F.regexp_extract(x["value"], NAMED, 1).alias("before"))).otherwise(x))
+
+
+def drawn_findings(documents: DataFrame, text: str = "text", rows: int = FIT_DOCUMENTS) -> DataFrame:
+    """value, before and label of the candidates of about `rows` documents, chosen by a hash of their texts; equal ones once."""
+    total = max(1, documents.count())
+    chosen = documents.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < max(1, min(1 << 20, (rows << 20) // total)))
+    found = chosen.select(F.explode(candidates(F.col(text))).alias("x")).select("x.*").distinct()
+    words = F.length(F.regexp_replace(F.lower("value"), "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", "")) < 0.7 * F.length("value")
+    return found.withColumn("label", (F.lower("before").isin(*NAMES) & F.rlike("value", F.lit(KEYLIKE)) & ~words).cast("double"))
+
+
 def fit(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
-    """A random forest on findings with value, before and label (1.0 for a secret)."""
-    rows = findings.where("value is not null and label is not null").select("label", array_to_vector(features(F.col("value"), F.coalesce("before", F.lit("")))).alias("features"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows.coalesce(1))
+    """A random forest on findings with value, before, label (1.0 for a secret) and, if they have it, weight."""
+    weight = F.col("weight") if "weight" in findings.columns else F.lit(1.0)
+    rows = findings.where("value is not null and label is not null").select("label", weight.alias("weight"), array_to_vector(features(F.col("value"), F.coalesce("before", F.lit("")))).alias("features"))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(rows.coalesce(1))
 
 
 def trees_of(model: RandomForestClassificationModel) -> list:
@@ -140,14 +169,7 @@ def probability(trees: list, seen: Column) -> Column:
 
 def scan(documents: DataFrame, trees: list, text: str = "text", least: float = 0.5, into: str = "findings") -> DataFrame:
     """Adds the findings of each row, in order: array of (value, before, score)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
-    # what stands before each candidate: the text since the one before, and the end of that one, which may be its name
-    gaps = F.zip_with(F.concat(F.array(F.lit("")), found), F.split(whole, CANDIDATE, -1), lambda x, gap: F.concat(F.right(x, F.lit(REACH)), F.right(gap, F.lit(REACH))))
-    split = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda x, gap: F.struct(x.alias("value"), F.regexp_extract(gap, NEIGHBOUR, 1).alias("before")))
-    # a candidate that runs from its name to its value (name=value, name:value) is cut after the sign
-    cut = F.transform(split, lambda x: F.when(F.rlike(x["value"], F.lit(NAMED)), F.struct(F.regexp_extract(x["value"], NAMED, 2).alias("value"), F.regexp_extract(x["value"], NAMED, 1).alias("before"))).otherwise(x))
-    seen = F.transform(cut, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), features(x["value"], x["before"]).alias("seen")))
+    seen = F.transform(candidates(F.col(text)), lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), features(x["value"], x["before"]).alias("seen")))
     scored = F.transform(seen, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), probability(trees, x["seen"]).alias("score")))
     return documents.withColumn(into, F.filter(scored, lambda x: x["score"] >= least))
 
@@ -160,12 +182,14 @@ def redact(documents: DataFrame, trees: list, text: str = "text") -> DataFrame:
     return scanned.select("__row.*", clean.alias("__clean")).select(*(F.col("__clean").alias(c) if c == text else F.col(c) for c in documents.columns))
 
 
-_fitted: dict[str, list] = {}
-
-
-def fitted(spark: SparkSession) -> list:
-    """The forest of the labelled findings, fitted once for each application."""
-    key = spark.sparkContext.applicationId
-    if key not in _fitted:
-        _fitted[key] = trees_of(fit(labelled_findings(spark)))
-    return _fitted[key]
+def fitted(spark: SparkSession, documents: DataFrame | None = None, text: str = "text") -> list:
+    """The forest of the findings made by rule and of those drawn from the documents; both kinds weigh the same in all."""
+    made = labelled_findings(spark)
+    if documents is not None:
+        drawn = written(drawn_findings(documents, text), "findings")
+        share = made.count() / max(1, drawn.count())
+        made = made.select("value", "before", "label", F.lit(1.0).alias("weight")).union(drawn.select("value", "before", "label", F.lit(share).alias("weight")))
+    found = trees_of(fit(made))
+    if documents is not None:
+        forget(drawn)
+    return found

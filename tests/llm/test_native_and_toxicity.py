@@ -91,6 +91,15 @@ def test_secrets_equal_brute_force(spark, data):
     assert got == {d: brute_secrets(t or "", trees, -1.0) for d, t in texts.items()}
 
 
+def test_drawn_findings(spark, data, empty):
+    """Candidates of the documents themselves are hard negatives but for named keys, and none are drawn from an empty table."""
+    drawn = secrets.drawn_findings(spark.read.parquet(f"{data}/documents.parquet"))
+    rows = drawn.collect()
+    assert len(rows) > 100 and 0 < sum(r.label for r in rows) < len(rows) / 2
+    assert all(r.before.lower() in secrets.NAMES for r in rows if r.label)
+    assert secrets.drawn_findings(empty).count() == 0 and len(secrets.fitted(spark, empty)) == 15
+
+
 def test_forest_accuracy(spark):
     made = secrets.labelled_findings(spark, per_kind=30).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(5)))
     trees = secrets.trees_of(secrets.fit(made.where("part <> 0")))
