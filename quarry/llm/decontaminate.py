@@ -176,9 +176,9 @@ def find(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("item_id", pa.string()), ("item_first", pa.int32())]))
 
     for slices, items in item_slices(benchmark, slice_words=slice_words):
+        suite = Suite(items, window)
 
-        def scan(batches, items=items):
-            suite = Suite(items, window)
+        def scan(batches, suite=suite):
             held, numbers, size = [], [], 0
 
             def flush():
