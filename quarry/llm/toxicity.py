@@ -43,7 +43,7 @@ WORD_LETTERS = 40
 #: Letters of the windows, one of each width at every letter, and windows that are held at once.
 WIDTHS, HELD = (6, 9, 12), 4000
 #: Labelled rows of each label that may be fitted on, about; first landmarks, and support vectors of either label added in a round.
-FIT_ROWS, LANDMARKS, HARD = 1500, 240, (200, 100)
+FIT_ROWS, LANDMARKS, HARD = 1000, 240, (150, 75)
 #: Rounds of witnesses, and steps of Newton's method in each at most.
 ROUNDS, STEPS = 3, 10
 PENALTY = 0.001
@@ -364,12 +364,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
 
 
 def _projected(counted: DataFrame, mapped: Map) -> DataFrame:
-    """x (the map's row of each word) with the weights up and down of the word as an example of either label."""
+    """x (the map's row of each word, in 16 bits) with the weights up and down of the word as an example of either label."""
 
     def run(batches):
         for batch in pieces(batches, 2000):
             x = mapped(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "up", "down"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), batch.column(1), batch.column(2)], ["x", "up", "down"])
 
     return counted.select("word", "up", "down").mapInArrow(run, "x binary, up double, down double")
 
@@ -380,7 +380,7 @@ def _sums(examples: DataFrame, w: np.ndarray) -> np.ndarray:
     def run(batches):
         total = np.zeros((len(w), len(w) + 2))
         for batch in pieces(batches, 2000):
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, len(w) - 1)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float16).reshape(-1, len(w) - 1).astype(np.float32)
             total += _step(x, batch.column(1).to_numpy(), 1.0, w) + _step(x, batch.column(2).to_numpy(), -1.0, w)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
