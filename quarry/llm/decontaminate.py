@@ -31,7 +31,7 @@ WINDOW = 10
 #: Words of benchmark items that go to the tasks at once.
 SLICE_WORDS = 2_000_000
 #: Words of documents in a suffix array, about, and bytes of their rows.
-SHARD_WORDS, SHARD_BYTES = 1_000_000, 32 << 20
+SHARD_WORDS, SHARD_BYTES = 500_000, 12 << 20
 
 
 class _Numbers(dict):
