@@ -59,8 +59,8 @@ def op6_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    machine = toxicity.fit(documents.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"))
+    labels = toxicity.sampled(table(spark, folder, "labels").where(~held_out()), "toxic")
+    machine = toxicity.fit(documents.where(~held_out()).select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
     return toxicity.score(documents.withColumn("held_out", held_out()), machine, keep=("doc_id", "held_out"))
 
 

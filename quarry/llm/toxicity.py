@@ -305,6 +305,14 @@ def units(text: str | None) -> list[str]:
     return sorted(set().union(*map(words_of, set((text or "").split()))))
 
 
+def sampled(labels: DataFrame, label: str = "label", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id and label of about `fit_rows` rows of each label at most, chosen by a hash of the doc_id: few enough to broadcast to the texts."""
+    rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    limit = {k: min(1 << 20, (fit_rows << 20) // max(1, sizes.get(k, 0))) for k in (0, 1)}
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, limit[1]).otherwise(limit[0]))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Machine:
     """Fit on labelled rows: about `fit_rows` of each label, chosen by a hash of the text, at most, with all their words.
 
