@@ -48,7 +48,7 @@ FIT_ROWS, LANDMARKS, HARD = 1000, 240, (150, 75)
 ROUNDS, STEPS = 3, 10
 PENALTY = 0.001
 #: Tables of the fit, which is on a bounded sample, go to as many partitions.
-FIT_PARTS = 12
+FIT_PARTS = 8
 #: Tokens of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
 REMEMBERED, LONGEST = 400_000, 48
 #: Stands before every word, so that its beginning counts; the code before that of `a`.
@@ -219,7 +219,9 @@ class Map:
         values, vectors = np.linalg.eigh(table.T @ table)
         keep = values > 1e-6 * values.max()
         self.root = vectors[:, keep] / np.sqrt(values[keep])
-        self.matrix = (table @ self.root).astype(np.float32)
+        self.matrix = np.empty((len(table), self.root.shape[1]), dtype=np.float32)
+        for lo in range(0, len(table), 2048):  # the driver holds no second table
+            self.matrix[lo : lo + 2048] = table[lo : lo + 2048] @ self.root
 
     def moved(self, w: np.ndarray, other: Map) -> np.ndarray:
         """The weights (and offset) of the same machine in another map that has all landmarks of this one."""
