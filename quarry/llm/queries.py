@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, neardup, passages, secrets, sstable, topk, toxicity
+from . import alignment, bpe, collocations, decontaminate, language, licenses, neardup, packing, passages, secrets, sstable, topk, toxicity
+from ._shared import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,10 +81,55 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents.withColumn("held_out", held_out()), profiles, keep=("doc_id", "held_out"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    phrases = written(collocations.frequent_phrases(table(spark, folder, "documents")), "phrases")
+    return collocations.top(collocations.scored(phrases)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, range(1, 5) sizes(k) WHERE len(w) >= k
+  ) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM candidates, range(1, 4) places(k) WHERE k < size
+), best AS (
+  SELECT c.lang, c.phrase, c.a, min(struct_pack(score := (CAST(2000000 AS HUGEINT) * c.a) // (h.f + t.f), k := k, l := h.f, r := t.f)) AS cut
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail GROUP BY ALL
+), within AS (
+  SELECT lang, phrase, max(f) AS longest FROM (
+    SELECT lang, f, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM candidates, range(2, 4) parts(m) WHERE m < size
+  ) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY cut.score DESC, a DESC, b.phrase) AS rank, b.phrase, a, cut.l AS l, cut.r AS r, n, CAST(cut.score AS BIGINT) AS score
+FROM best b JOIN totals USING (lang) LEFT JOIN within i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE NOT coalesce(CAST(100 AS HUGEINT) * longest >= CAST(80 AS HUGEINT) * a, FALSE) QUALIFY rank <= 2000
+"""
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def queries() -> dict:
-    found = (op1_near_dedup, op2_substring_dedup, op3_topk, op4_secrets, op5_bpe, op6_token_shards, op7_toxicity, op8_decontaminate, op9_licenses, op10_language)
+    found = (
+        op1_near_dedup, op2_substring_dedup, op3_topk, op4_secrets, op5_bpe, op6_token_shards, op7_toxicity, op8_decontaminate, op9_licenses, op10_language,
+        op11_alignment, op12_collocations, op13_packing,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "op12_collocations": OP12_SQL}
