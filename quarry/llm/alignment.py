@@ -19,7 +19,9 @@ null one, are rows of their own, and each counts as a document; further columns
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections import Counter
 from itertools import chain
 from typing import NamedTuple
@@ -34,8 +36,18 @@ from ._streams import pieces
 
 #: At most so many groups are broadcast.
 HOT = 20_000
-#: Groups that a worker remembers; the table starts anew when it is full.
-REMEMBERED = 300_000
+#: Groups, and segments of at most LONGEST characters, that a worker remembers; a table starts anew when it is full.
+REMEMBERED, LONGEST = 250_000, 48
+#: Places of the table of hashes of segments that came up before.
+SEEN = 1 << 22
+#: White space but the blank.
+_SIGNS = "\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a text can't be cut at each single blank, and the segments of such a text: blanks and what follows them, up to the next
+#: blank that comes right after a character that isn't white space.
+_UNEVEN = re.compile(f"\\A |[{_SIGNS} ] | \\Z")
+_SEGMENT = re.compile(f" +(?:[^ ]*[{_SIGNS}] +)*[^ ]*(?: +\\Z)?")
+#: New segments that are encoded as one text.
+JOINED = 256
 #: Characters of text that are encoded at once.
 CHUNK = 1 << 20
 
@@ -56,6 +68,15 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _cuts_at_blanks(a_path: str, pieces_b: list[str]) -> bool:
+    """Whether a's file asks for nothing but the usual split of byte-level BPE, and no piece of b has a blank after something else."""
+    with open(a_path, encoding="utf-8") as file:
+        asked = json.load(file)
+    split = asked.get("pre_tokenizer") or {}
+    plain = asked.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain) and not any("▁" in p.lstrip("▁") or " " in p for p in pieces_b)
+
+
 class Encoders:
     """The two tokenizers and the bytes of their tokens."""
 
@@ -74,26 +95,89 @@ class Encoders:
         pieces_b = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces_b)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        #: Whether both cut before each blank that comes after a character that isn't white space.
+        self.apart = _cuts_at_blanks(a_path, pieces_b)
+        self._known: dict[str, tuple | None] = {}
+        self._seen = bytearray(SEEN)
         #: The group of each packed key, and the different pairs that a group links.
         self._names: dict[bytes, str] = {}
         self._pairs: dict[str, tuple[int, ...]] = {}
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of each text by both; None for texts without tokens."""
-        at = [k for k, t in enumerate(texts) if t]
-        given = [texts[k] for k in at]
-        out: list = [None] * len(texts)
-        if given:
-            for k, text, a, b in zip(at, given, self.a.encode_batch_fast([" " + t for t in given], add_special_tokens=False), self.b.encode(given, num_threads=1)):
-                raw = b" " + text.encode("utf-8", "replace")
-                if b"".join(map(self.a_bytes.__getitem__, a.ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b)):
-                    out[k] = a.ids, b
+    def _encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """The ids of each text (not empty, without its leading blank) by both."""
+        coded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [(a.ids, b) for a, b in zip(coded, self.b.encode(texts, num_threads=1))]
+
+    def _same(self, text: str, ids: tuple[list[int], list[int]]) -> bool:
+        raw = b" " + text.encode("utf-8", "replace")
+        return b"".join(map(self.a_bytes.__getitem__, ids[0])) == raw == b"".join(map(self.b_bytes.__getitem__, ids[1]))
+
+    def _entries(self, texts: list[str]) -> list[tuple | None]:
+        """(number of a's tokens, of b's, groups, groups as one string) of each text; None where a tokenizer changes it."""
+        coded = self._encoded(texts) if texts else []
+        fit = [self._same(t, ids) for t, ids in zip(texts, coded)]
+        listed = iter(self.groups([ids for ids, ok in zip(coded, fit) if ok]))
+        return [(len(ids[0]), len(ids[1]), g := next(listed), ";".join(g)) if ok else None for ids, ok in zip(coded, fit)]
+
+    def aligned(self, texts: list[str | None]) -> list[tuple | None]:
+        """What _entries gives for each whole text; None for null and empty ones too.
+
+        Where neither tokenizer joins a blank to what comes before it, both cut there, and each different segment is encoded once.
+        """
+        if not self.apart:
+            found = iter(self._entries([t for t in texts if t]))
+            return [next(found) if t else None for t in texts]
+        cut = [[] if not t else [x[1:] for x in _SEGMENT.findall(" " + t)] if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        known = self._known
+        new = list({s for found in cut for s in found if s not in known})
+        known.update(self._segments(new))
+        out = []
+        for text, found in zip(texts, cut):
+            entries = list(map(known.__getitem__, found))
+            if None in entries:
+                out += self._entries([text])
+            elif entries:
+                a, b, groups, joined = zip(*entries)
+                out.append((sum(a), sum(b), list(chain.from_iterable(groups)), ";".join(joined)))
+            else:
+                out.append(None)
+        if len(known) - len(new) > REMEMBERED:
+            known.clear()
+        else:
+            seen = self._seen
+            for s in new:  # only what came up in two chunks stays
+                k = hash(s) % SEEN
+                if not seen[k] or len(s) > LONGEST:
+                    seen[k] = 1
+                    del known[s]
         return out
 
-    def groups(self, found: list[tuple[list[int], list[int]]]) -> list[list[str]]:
-        """The groups of each pair of id lists, in order."""
-        if not found:
-            return []
+    def _segments(self, segments: list[str]) -> dict[str, tuple | None]:
+        """What _entries gives for each segment; many are encoded as one text, whose groups end where a segment does."""
+        ends_open = [s for s in segments if not s or s[-1].isspace()]
+        rest = [s for s in segments if s and not s[-1].isspace()]
+        blocks = [rest[at : at + JOINED] for at in range(0, len(rest), JOINED)]
+        texts = [" ".join(b) for b in blocks]
+        coded = self._encoded(texts) if texts else []
+        fit = [self._same(t, ids) for t, ids in zip(texts, coded)]
+        apart = ends_open + [s for b, ok in zip(blocks, fit) if not ok for s in b]
+        out = dict(zip(apart, self._entries(apart)))
+        whole = [s for b, ok in zip(blocks, fit) if ok for s in b]
+        if whole:
+            listed, ends, a_cut, b_cut = self._cut([ids for ids, ok in zip(coded, fit) if ok])
+            goal = np.cumsum(np.fromiter((len(s.encode("utf-8", "replace")) for s in whole), dtype=np.int64, count=len(whole)) + 1)
+            at = np.searchsorted(ends, goal)
+            if (ends[at] != goal).any():
+                raise ValueError("a token goes over a blank after a character that isn't white space")
+            n_a, n_b = np.diff(a_cut[at], prepend=0).tolist(), np.diff(b_cut[at], prepend=0).tolist()
+            at = (at + 1).tolist()
+            for s, a, b, lo, hi in zip(whole, n_a, n_b, [0, *at], at):
+                g = listed[lo:hi]
+                out[s] = (a, b, g, ";".join(g))
+        return out
+
+    def _cut(self, found: list[tuple[list[int], list[int]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The groups of pairs of id lists, one list after the other, and after each group: bytes, tokens of a, and tokens of b."""
         a, b = (np.fromiter(chain.from_iterable(x[k] for x in found), dtype=np.int64) for k in (0, 1))
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         place = np.searchsorted(b_ends, a_ends)
@@ -116,7 +200,13 @@ class Encoders:
             if key not in names:
                 n, *ids = np.frombuffer(key, "<i4").tolist()
                 names[key] = f"{','.join(map(str, ids[:n]))}|{','.join(map(str, ids[n:]))}"
-        listed = list(map(names.__getitem__, keys))
+        return list(map(names.__getitem__, keys)), a_ends[a_cut - 1], a_cut, b_cut
+
+    def groups(self, found: list[tuple[list[int], list[int]]]) -> list[list[str]]:
+        """The groups of each pair of id lists, in order."""
+        if not found:
+            return []
+        listed, _, a_cut, _ = self._cut(found)
         per = np.searchsorted(a_cut, np.cumsum([len(x[0]) for x in found]), side="right").tolist()
         return [listed[s:e] for s, e in zip([0, *per], per)]
 
@@ -177,16 +267,14 @@ def grouped(documents: DataFrame, a_path: str, b_path: str, text: str = "text",
     def run(batches):
         own = encoders(a_path, b_path)
         for batch, texts in _chunks(batches):
-            found = own.tokens(texts)
-            listed = iter(own.groups([x for x in found if x]))
             n_a, n_b, n_groups, digest, groups, times, repeats = ([] for _ in range(7))
-            for x in found:
-                each = next(listed) if x else []
+            for found in own.aligned(texts):
+                a, b, each, joined = found or (0, 0, (), "")
                 counted = Counter(each)
-                n_a.append(len(x[0]) if x else 0)
-                n_b.append(len(x[1]) if x else 0)
+                n_a.append(a)
+                n_b.append(b)
                 n_groups.append(len(each))
-                digest.append(hashlib.sha256(";".join(each).encode()).hexdigest() if x else "")
+                digest.append(hashlib.sha256(joined.encode()).hexdigest() if found else "")
                 groups.append(list(counted))
                 times.append(list(counted.values()))
                 repeats.append(own.repeats(counted))
