@@ -19,9 +19,11 @@ empty table writes no shard.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -43,10 +45,10 @@ BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 #: Characters that lower case and composition leave single: Latin-1 without its controls and soft hyphen.
 _LATIN = re.compile("[!-~¡-¬®-ÿ]+")
+#: What is in a text that isn't all of such characters and blanks, tabs and line ends.
+_BEYOND = re.compile("[^\t\n\r -~¡-¬®-ÿ]")
 #: Words of at most LONGEST characters that a worker remembers; the table starts anew when it is full.
-REMEMBERED, LONGEST = 400_000, 48
-#: Places of the table of hashes that came up before.
-SEEN = 1 << 22
+REMEMBERED, LONGEST = 250_000, 48
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -179,11 +181,33 @@ class Reader:
         self.file.close()
 
 
+def latin_splitter(path: str) -> re.Pattern | None:
+    """The pattern of a tokenizer file's pre-tokens, for texts of Latin-1 in lower case; None if the file asks for more.
+
+    Such texts are in NFC, and lower case is one character for one, so after these steps only the split is left.
+    """
+    with open(path, encoding="utf-8") as file:
+        asked = json.load(file)
+    steps = (asked.get("normalizer") or {}).get("normalizers", [])
+    split, *rest = (asked.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    known = [(n.get("type"), n.get("pattern"), n.get("content")) for n in steps] == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    known &= split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    known &= [(r.get("type"), r.get("use_regex"), r.get("add_prefix_space")) for r in rest] == [("ByteLevel", False, False)]
+    model = asked["model"]
+    if not known or model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    pattern = split["pattern"].get("Regex", "")
+    for kind in "LN":
+        pattern = pattern.replace(rf"\p{{{kind}}}", "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind))
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
 class WordCodec:
     """The tokenizers library's ids of whole texts, each different word encoded once.
 
-    Its vocabulary drops white space and never joins across it, so a text's ids are those of its words.
-    Many new words go to the library as one text, parted by a special token, and its id parts their ids.
+    Its vocabulary drops white space and never joins across it, so a text's ids are those of its words.  Texts of Latin-1 are taken
+    apart into pre-tokens by the pattern of the tokenizer's file; many new ones go to the library as one text, and the
+    tokens that end a word part their ids.  Words of other texts are parted by a special token there.
     Texts that hold the string of such a token go to the library as they are.
     """
 
@@ -197,9 +221,11 @@ class WordCodec:
         self.added = [t.content for t in added.values()]
         parting = [(t.content, k) for k, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.between, self.between_id = parting[0] if parting else (None, None)
+        self.split = latin_splitter(path)
+        #: Whether a word ends with each id.
+        self._last = np.zeros(self.size, dtype=bool)
+        self._last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._words: dict[str, bytes] = {}
-        #: A byte for each hash of a word that came up before.
-        self._seen = bytearray(SEEN)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -214,6 +240,17 @@ class WordCodec:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
         return out
 
+    def _learn_parts(self, parts: list[str]) -> list[str]:
+        """Remember the ids of pre-tokens that are not known yet."""
+        groups = [parts[at : at + 256] for at in range(0, len(parts), 256)]
+        for group, raw in zip(groups, self._library([" ".join(g) for g in groups])):
+            cuts = (4 * (np.flatnonzero(self._last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(raw):
+                self._words.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:
+                self._words.update(zip(group, self._library(group)))
+        return parts
+
     def _learn(self, words: set[str]) -> list[str]:
         """Remember the ids of words that are not known yet; returns all that is new.
 
@@ -236,32 +273,34 @@ class WordCodec:
         return new
 
     def _forget(self, new: list[str]) -> None:
-        """Of the words a chunk brought only those that an earlier one had as well stay, and short ones only."""
-        known, seen = self._words, self._seen
-        if len(known) - len(new) > REMEMBERED:
-            known.clear()
+        """Short strings stay until the table is full."""
+        if len(self._words) > REMEMBERED:
+            self._words.clear()
             return
         for w in new:
-            k = hash(w) % SEEN
-            if not seen[k]:
-                seen[k] = 1
-                del known[w]
-            elif len(w) > LONGEST:
-                del known[w]
+            if len(w) > LONGEST:
+                self._words.pop(w, None)
 
     def encode_all(self, texts: list[str | None], chunk: int = 1 << 20):
         """The ids of each text as little-endian 32-bit bytes."""
         k = 0
         while k < len(texts):
-            held, size = [], 0
+            held, simple, mixed, size = [], [], [], 0
             while k < len(texts) and (not held or size < chunk):
                 text = texts[k] or ""
-                whole = any(t in text for t in self.added)
-                held.append(text if whole else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                if any(t in text for t in self.added):
+                    held.append(text)
+                elif self.split and not _BEYOND.search(text):
+                    held.append(self.split.findall(text.lower()))
+                    simple.append(held[-1])
+                else:
+                    held.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                    mixed.append(held[-1])
                 size += len(text)
                 k += 1
             known = self._words
-            new = self._learn({w for found in held if isinstance(found, list) for w in found if w not in known})
+            new = self._learn_parts(list({p for found in simple for p in found if p not in known}))
+            new += self._learn({w for found in mixed for w in found if w not in known})
             for found in held:
                 yield b"".join(map(known.__getitem__, found)) if isinstance(found, list) else self._library([found])[0]
             self._forget(new)
