@@ -38,8 +38,6 @@ from ._streams import pieces
 HOT = 20_000
 #: Groups, and segments of at most LONGEST characters, that a worker remembers; a table starts anew when it is full.
 REMEMBERED, LONGEST = 250_000, 48
-#: Places of the table of hashes of segments that came up before.
-SEEN = 1 << 22
 #: White space but the blank.
 _SIGNS = "\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a text can't be cut at each single blank, and the segments of such a text: blanks and what follows them, up to the next
@@ -98,7 +96,6 @@ class Encoders:
         #: Whether both cut before each blank that comes after a character that isn't white space.
         self.apart = _cuts_at_blanks(a_path, pieces_b)
         self._known: dict[str, tuple | None] = {}
-        self._seen = bytearray(SEEN)
         #: The group of each packed key, and the different pairs that a group links.
         self._names: dict[bytes, str] = {}
         self._pairs: dict[str, tuple[int, ...]] = {}
@@ -141,15 +138,12 @@ class Encoders:
                 out.append((sum(a), sum(b), list(chain.from_iterable(groups)), ";".join(joined)))
             else:
                 out.append(None)
-        if len(known) - len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
         else:
-            seen = self._seen
-            for s in new:  # only what came up in two chunks stays
-                k = hash(s) % SEEN
-                if not seen[k] or len(s) > LONGEST:
-                    seen[k] = 1
-                    del known[s]
+            for x in new:
+                if len(x) > LONGEST:
+                    del known[x]
         return out
 
     def _segments(self, segments: list[str]) -> dict[str, tuple | None]:

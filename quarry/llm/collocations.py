@@ -27,11 +27,11 @@ from ._streams import groups as runs_of
 from ._streams import pieces
 from ._words import LOWER, U64, grams, hashed, mix, quick
 
-BITS = 25
+BITS = 24
 #: Buckets of a block of counts, and in how many parts the tasks' counts of a block are added up first.
-BLOCK, PARTS = 1 << 16, 8
+BLOCK, PARTS = 1 << 14, 8
 #: Bytes of text of one language whose phrases are told apart at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A-Z in lower case, the signs that end a piece as line ends, and tabs as blanks.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else LOWER[b] for b in range(256))
 END = b"\n"
@@ -39,8 +39,11 @@ END = b"\n"
 
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text, with END after each piece."""
-    raw = text.encode("utf-8", "replace").translate(TABLE).replace(b"\n", b" \n ") if text else b""
-    return [*filter(None, raw.split(b" ")), END]
+    return _split(text.encode("utf-8", "replace").translate(TABLE) if text else b"")
+
+
+def _split(raw: bytes) -> list[bytes]:
+    return [*filter(None, raw.replace(b"\n", b" \n ").split(b" ")), END]
 
 
 def _seed(lang: str) -> np.uint64:
@@ -93,17 +96,20 @@ def _chunks(batches):
     """The chunks of (lang, text) batches: texts of one language in order, about CHUNK bytes each, a longer text whole."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
+
+    def made(lang):
+        del sizes[lang]
+        return lang, Chunk(lang, _split(b"\n".join(held.pop(lang))))
+
     for batch in pieces(batches, 200):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                held.setdefault(lang, []).extend(words_of(text))
-                sizes[lang] = sizes.get(lang, 0) + len(text)
+                held.setdefault(lang, []).append(text.encode("utf-8", "replace").translate(TABLE))
+                sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
                 if sizes[lang] >= CHUNK or sum(sizes.values()) >= 4 * CHUNK:
-                    largest = max(sizes, key=sizes.__getitem__)
-                    del sizes[largest]
-                    yield largest, Chunk(largest, held.pop(largest))
-    for lang, found in held.items():
-        yield lang, Chunk(lang, found)
+                    yield made(max(sizes, key=sizes.__getitem__))
+    for lang in [*held]:
+        yield made(lang)
 
 
 class Bitmaps:
