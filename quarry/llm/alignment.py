@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 from ._streams import pieces
+from ._words import byte_level
 
 #: At most so many groups are broadcast.
 HOT = 20_000
@@ -59,13 +60,6 @@ class Alignment(NamedTuple):
     pairs: DataFrame
 
 
-def byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def _cuts_at_blanks(a_path: str, pieces_b: list[str]) -> bool:
     """Whether a's file asks for nothing but the usual split of byte-level BPE, and no piece of b has a blank after something else."""
     with open(a_path, encoding="utf-8") as file:

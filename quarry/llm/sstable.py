@@ -26,6 +26,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import fresh_path, written
+from ._words import byte_level
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<8Q8s")
@@ -206,8 +208,8 @@ class WordCodec:
     """The tokenizers library's ids of whole texts, each different word encoded once.
 
     Its vocabulary drops white space and never joins across it, so a text's ids are those of its words.  Texts of Latin-1 are taken
-    apart into pre-tokens by the pattern of the tokenizer's file; many new ones go to the library as one text, and the
-    tokens that end a word part their ids.  Words of other texts are parted by a special token there.
+    apart into pre-tokens by the pattern of the tokenizer's file, and new ones go to the library's merges.  Many new words of other
+    texts go to the library as one text, parted by a special token there.
     Texts that hold the string of such a token go to the library as they are.
     """
 
@@ -222,9 +224,8 @@ class WordCodec:
         parting = [(t.content, k) for k, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
         self.between, self.between_id = parting[0] if parting else (None, None)
         self.split = latin_splitter(path)
-        #: Whether a word ends with each id.
-        self._last = np.zeros(self.size, dtype=bool)
-        self._last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        #: The vocabulary's character for each byte.
+        self._char = {b: c for c, b in byte_level().items()}
         self._words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -241,14 +242,10 @@ class WordCodec:
         return out
 
     def _learn_parts(self, parts: list[str]) -> list[str]:
-        """Remember the ids of pre-tokens that are not known yet."""
-        groups = [parts[at : at + 256] for at in range(0, len(parts), 256)]
-        for group, raw in zip(groups, self._library([" ".join(g) for g in groups])):
-            cuts = (4 * (np.flatnonzero(self._last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-            if len(cuts) == len(group) and cuts[-1] == len(raw):
-                self._words.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
-            else:
-                self._words.update(zip(group, self._library(group)))
+        """Remember the ids of pre-tokens that are not known yet: the library's merges, without the steps before them."""
+        merge, known = self.tokenizer.model.tokenize, self._words
+        for p in parts:
+            known[p] = array("I", [t.id for t in merge(p if p.isascii() else "".join(map(self._char.__getitem__, p.encode())))]).tobytes()
         return parts
 
     def _learn(self, words: set[str]) -> list[str]:
