@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
+
 
 def sinkhorn(matrix: DataFrame, rounds: int = 5, eps: float = 1e-6) -> DataFrame:
     """exp of the entries, then rows and columns divided by their sums in turn: nearly doubly stochastic."""
@@ -25,3 +27,26 @@ def apply(matrix: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """y = x + H r for vectors in rows (key, i, x, r): a join and a sum."""
     moved = vectors.select(key, F.col("i").alias("j"), "r").join(F.broadcast(matrix), "j").groupBy(key, "i").agg(F.sum(F.col("v") * F.col("r")).alias("h"))
     return vectors.join(moved, [key, "i"]).select(key, "i", (F.col("x") + F.col("h")).alias("y"))
+
+
+def spectral_norm(matrix: DataFrame, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """norm: the largest singular value of a matrix in rows (i, j, v), by power iteration with its transpose; a zero matrix has 0.
+
+    Each step is two joins and sums over the entries, and its vector is kept in the shared folder.  It ends after `steps`, or
+    when the value changes by less than the tolerance's share.
+    """
+    entries = settled(matrix.select("i", "j", F.col("v").cast("double").alias("v")).where("v <> 0"))
+    x = entries.select("j").distinct().withColumn("x", F.lit(1.0))
+    last = 0.0
+    for _ in range(steps):
+        length = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
+        if length == 0:
+            break
+        y = entries.join(x, "j").groupBy("i").agg((F.sum(F.col("v") * F.col("x")) / length).alias("y"))
+        x = settled(entries.join(y, "i").groupBy("j").agg(F.sum(F.col("v") * F.col("y")).alias("x")))
+        now = (x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0) ** 0.5
+        if abs(now - last) <= tolerance * now:
+            last = now
+            break
+        last = now
+    return matrix.sparkSession.range(1).select(F.lit(last).alias("norm"))

@@ -89,14 +89,14 @@ def threshold_scan(rows: DataFrame, grid: DataFrame, prob: str = "prob", target:
     """iou, precision and recall of class 1 at each threshold (prob >= threshold).
 
     Each point is counted once, by how many thresholds it reaches; what is left is a running sum over
-    the thresholds, a row each.
+    the thresholds, a row each.  A probability that is null or NaN reaches none.
     """
     order = Window.orderBy("threshold")
     steps = grid.select("threshold", F.row_number().over(order).alias("place"))
     every = steps.agg(F.array_sort(F.collect_list("threshold")).alias("__t"))
     # thresholds ascend, so those that a point reaches come first
     reached = F.coalesce(F.array_position(F.transform("__t", lambda t: t > F.col(prob)), True) - 1, F.lit(-1))
-    reached = F.when(reached < 0, F.size("__t")).otherwise(reached).cast("int")
+    reached = F.when(F.col(prob).isNull() | F.isnan(prob), 0).when(reached < 0, F.size("__t")).otherwise(reached).cast("int")
     binned = rows.where(F.col(target).isin(0, 1)).select(prob, target).crossJoin(F.broadcast(every)).groupBy(reached.alias("place")).agg(F.sum(F.col(target).cast("long")).alias("ones"), F.count("*").alias("all"))
     totals = binned.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("total"))
     after = Window.orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing)

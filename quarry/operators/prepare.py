@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, col, draw, is_finite, norm
+from ..functions.settle import settled
 
 # Metres in a unit, and the full scale of stored intensities.
 UNITS = {"m": 1.0, "cm": 0.01, "mm": 0.001}
@@ -183,15 +184,32 @@ def conv3(rows: DataFrame, value: str, weights: tuple[float, float, float], orde
     return rows.withColumn("conv", F.coalesce(F.lag(value).over(w), F.lit(0.0)) * a + F.col(value) * b + F.coalesce(F.lead(value).over(w), F.lit(0.0)) * c)
 
 
-def decay_scan(rows: DataFrame, value: str, order: str, alpha: float, scene: str = "scene_id") -> DataFrame:
-    """scene and states: s[t] = x[t] + alpha s[t-1] along the order, as an array of (order, state).
+def decay_scan(rows: DataFrame, value: str, order: str, alpha: float, scene: str = "scene_id", block: int = 64, levels: int = 2) -> DataFrame:
+    """scene, order and state: s[t] = x[t] + alpha s[t-1] along the order, as an associative scan.
 
-    The recurrence is sequential, so a scene's values are folded in one row; a scene is what fits.
+    Places are numbered, and blocks of `block` places are folded each by itself from 0.  What the blocks end with is a scan again, with
+    alpha ** block, and tells what each of them begins with; after `levels` such steps the few numbers left of a scene are one fold.
+    So arrays hold a block's rows, never a scene's.  A row's state is its own one and its block's beginning, decayed to its place.
     """
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x[order].alias("at"), (x[value] + alpha * F.coalesce(F.get(acc, F.size(acc) - 1)["state"], F.lit(0.0))).alias("state"))))
-    kind = f"cast(array() as array<struct<at:{dict(rows.dtypes)[order]},state:double>>)"
-    listed = rows.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    return listed.select(scene, F.explode(F.aggregate("v", F.expr(kind), step)).alias("s")).select(scene, F.col("s.at").alias(order), F.col("s.state").alias("state"))
+    at = F.row_number().over(Window.partitionBy(scene).orderBy(order)) - 1
+    placed = rows.select(scene, at.cast("long").alias("__at"), F.col(order).alias("__o"), F.col(value).cast("double").alias("__x"))
+    return _scanned(placed, float(alpha), scene, block, levels).select(scene, F.col("__o").alias(order), F.col("__s").alias("state"))
+
+
+def _scanned(placed: DataFrame, alpha: float, scene: str, block: int, levels: int) -> DataFrame:
+    """scene, __at, __o and the state __s of rows (scene, __at, __o, __x)."""
+    size = block if levels else 1 << 62
+    blocks = placed.groupBy(scene, F.floor(F.col("__at") / size).cast("long").alias("__b")).agg(F.array_sort(F.collect_list(F.struct("__at", "__o", "__x"))).alias("__v"))
+    states = F.aggregate("__v", F.expr("cast(array() as array<double>)"), lambda all_, v: F.concat(all_, F.array(v["__x"] + alpha * F.coalesce(F.get(all_, F.size(all_) - 1), F.lit(0.0)))))
+    blocks = blocks.withColumn("__t", states)
+    if not levels:
+        return blocks.select(scene, F.explode(F.arrays_zip("__v", "__t")).alias("r")).select(scene, "r.__v.__at", "r.__v.__o", F.col("r.__t").alias("__s"))
+    blocks = settled(blocks)
+    ends = blocks.select(scene, F.col("__b").alias("__at"), F.lit(None).cast("long").alias("__o"), F.element_at("__t", -1).alias("__x"))
+    before = _scanned(ends, alpha**block, scene, block, levels - 1).select(scene, (F.col("__at") + 1).alias("__b"), F.col("__s").alias("__begin"))
+    out = blocks.join(before, [scene, "__b"], "left").select(scene, "__begin", F.posexplode(F.arrays_zip("__v", "__t")).alias("__k", "r"))
+    begin = F.coalesce("__begin", F.lit(0.0)) * F.pow(F.lit(alpha), F.col("__k") + 1)
+    return out.select(scene, "r.__v.__at", "r.__v.__o", (F.col("r.__t") + begin).alias("__s"))
 
 
 def augment(points: DataFrame, seed: int = 42, scene: str = "scene_id") -> DataFrame:

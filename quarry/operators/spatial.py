@@ -1,7 +1,7 @@
 """Neighbours, local geometry, transfer, voxels and rasters.
 
-Pairs are only formed between points whose cells of a grid touch.  `local_geometry` and `ransac_planes` take a scene as one
-group of a task, in NumPy: they are for scans of bounded size, however many there are.
+Pairs are only formed between points whose cells of a grid touch.  `local_geometry` takes a scene as one
+group of a task, in NumPy: it is for scans of bounded size, however many there are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, norm
+from ..functions.columns import clip, draw, norm
+from ..functions.settle import settled
 
 
 #: Widths of the cells in which neighbours are looked for, as multiples of the first guess; what is still open then is compared with its whole scene.
@@ -25,13 +26,18 @@ def neighbours(points: DataFrame, sources: DataFrame, k: int, scene: str, point:
 
     A point meets the sources of its own and the touching cells of a grid.  It is settled if its k-th source is
     no farther than a cell is wide, for then no other source can be nearer; the others go on to wider
-    cells, and the few that are open after those (outliers, mostly) meet all sources of their scene.
+    cells, and the few that are open after those (outliers, mostly) meet all sources of their scene.  Cells follow the range of the middle
+    nine tenths of the sources, so that a stray return doesn't widen them.  Both sides and what each ring found are kept in the
+    shared folder, so a ring is computed once.
     """
     own = [scene, point, *dims]
-    size = sources.groupBy(scene).agg(F.count("*").alias("__n"), F.greatest(*(F.max(d) - F.min(d) for d in dims), F.lit(1e-9)).alias("__e"))
-    size = size.select(scene, (F.col("__e") * F.sqrt(F.lit(float(k)) / F.col("__n"))).alias("__size"))
-    left = points.select(*own).join(size, scene)
-    right = sources.select(scene, F.col(source).alias("__s"), *(F.col(d).alias(f"{prefix}{d}") for d in dims)).join(size.select(scene, F.col("__size").alias("__w")), scene)
+    middle = lambda d: F.percentile_approx(d, [0.05, 0.95], 1000)
+    spread = sources.groupBy(scene).agg(F.count("*").alias("__n"), F.greatest(*(F.max(d) - F.min(d) for d in dims), F.lit(1e-9)).alias("__e"), *(middle(d).alias(f"__q{d}") for d in dims))
+    inner = F.greatest(*(F.get(f"__q{d}", F.lit(1)) - F.get(f"__q{d}", F.lit(0)) for d in dims)) / 0.9
+    extent = F.when(inner > 0, F.least(inner, F.col("__e"))).otherwise(F.col("__e"))
+    size = settled(spread.select(scene, (extent * F.sqrt(F.lit(float(k)) / F.col("__n"))).alias("__size")))
+    left = settled(points.select(*own).join(size, scene))
+    right = settled(sources.select(scene, F.col(source).alias("__s"), *(F.col(d).alias(f"{prefix}{d}") for d in dims)).join(size.select(scene, F.col("__size").alias("__w")), scene))
     d2 = sum(((F.col(d) - F.col(f"{prefix}{d}")) * (F.col(d) - F.col(f"{prefix}{d}")) for d in dims), F.lit(0.0))
     order = Window.partitionBy(scene, point).orderBy("d2", "__s")
     near = F.struct("d2", F.col("__s").alias("s"), *(f"{prefix}{d}" for d in dims))
@@ -49,11 +55,11 @@ def neighbours(points: DataFrame, sources: DataFrame, k: int, scene: str, point:
         there = right.withColumns({f"__c{d}": at(F.col(f"{prefix}{d}"), "__w") for d in dims})
         for d in dims:
             there = there.withColumn(f"__c{d}", F.explode(F.array(*(F.col(f"__c{d}") + step for step in (-1, 0, 1)))))
-        found = open_.join(best(here.join(there, [scene, *(f"__c{d}" for d in dims)])), [scene, point], "left")
+        found = settled(open_.join(best(here.join(there, [scene, *(f"__c{d}" for d in dims)])), [scene, point], "left"))
         last = F.get("__near", F.lit(k - 1))["d2"]
-        settled = F.coalesce(last <= F.col("__size") * F.col("__size") * (ring * ring), F.lit(False))
-        done.append(found.where(settled).select(*own, "__near"))
-        open_ = found.where(~settled).select(*own, "__size")
+        near_enough = F.coalesce(last <= F.col("__size") * F.col("__size") * (ring * ring), F.lit(False))
+        done.append(found.where(near_enough).select(*own, "__near"))
+        open_ = found.where(~near_enough).select(*own, "__size")
     done.append(open_.join(best(open_.join(right, scene)), [scene, point]).select(*own, "__near"))
     out = done[0].union(done[1]).union(done[2]).select(*own, F.posexplode("__near").alias("__p", "__x"))
     return out.select(*own, F.col("__x.s").alias(source), *(F.col(f"__x.{prefix}{d}").alias(f"{prefix}{d}") for d in dims), F.col("__x.d2").alias("d2"), (F.col("__p") + 1).cast("int").alias("rank"))
@@ -235,31 +241,32 @@ def ground(points: DataFrame, limit: float = 0.15, scene: str = "scene_id") -> D
 
 
 def ransac_planes(points: DataFrame, limit: float = 0.15, tries: int = 64, least_nz: float = 0.7, seed: int = 42, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
-    """scene, nx, ny, nz, d and retained of the plane with most points within limit, found by seeded RANSAC.
+    """scene, nx, ny, nz, d and retained of the plane with most points within limit, by seeded RANSAC.
 
-    Scenes without a plane that is flat enough (abs(nz) >= least_nz), or with fewer than four points on it, have no row.
+    The scene's first `tries` points in the order of a hash are drawn, each with the two after it (in a circle) gives a plane, and one
+    aggregate counts the points within limit of all these planes at once, so that a scene is never in one task.  The first plane with
+    the most points wins.  Scenes without a plane that is flat enough (abs(nz) >= least_nz) and holds four points have no row.
     """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(point)
-        xyz = frame[["x", "y", "z"]].to_numpy(float)
-        rng = np.random.default_rng([seed, int(frame[scene].iloc[0])])
-        best = None
-        for _ in range(tries if len(xyz) >= 4 else 0):
-            p, q, r = xyz[rng.choice(len(xyz), 3, replace=False)]
-            normal = np.cross(q - p, r - p)
-            size = np.linalg.norm(normal)
-            if size < 1e-12:
-                continue
-            normal = normal / size * (-1 if normal[2] < 0 else 1)
-            inside = np.abs((xyz - p) @ normal) <= limit
-            if abs(normal[2]) >= least_nz and inside.sum() >= 4 and (best is None or inside.sum() > best[0]):
-                best = (int(inside.sum()), normal, float(-p @ normal))
-        if best is None:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in (scene, "nx", "ny", "nz", "d", "retained")}).astype({scene: "int64"})
-        return pd.DataFrame({scene: [int(frame[scene].iloc[0])], "nx": best[1][0], "ny": best[1][1], "nz": best[1][2], "d": best[2], "retained": best[0] / len(xyz)})
-
-    return points.select(scene, point, "x", "y", "z").groupBy(scene).applyInPandas(one, f"{scene} long, nx double, ny double, nz double, d double, retained double")
+    rank = F.row_number().over(Window.partitionBy(scene).orderBy(draw(seed, F.col(scene), F.col(point)), point))
+    drawn = points.select(scene, point, "x", "y", "z").withColumn("__r", rank).where(F.col("__r") <= tries)
+    pool = drawn.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("__r", "x", "y", "z"))).alias("__p")).where(F.size("__p") >= 4)
+    n = F.size("__p")
+    at = lambda k: F.get("__p", (k % n).cast("int"))
+    less = lambda p, q: F.struct(*((p[a] - q[a]).alias(a) for a in "xyz"))
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), at(k).alias("o"), less(at(k + 1), at(k)).alias("u"), less(at(k + 2), at(k)).alias("v")))
+    minor = lambda s, a, b: s["u"][a] * s["v"][b] - s["u"][b] * s["v"][a]
+    crossed = F.transform("__s", lambda s: F.struct(s["k"].alias("k"), s["o"].alias("o"), minor(s, "y", "z").alias("x"), minor(s, "z", "x").alias("y"), minor(s, "x", "y").alias("z")))
+    length = lambda s: F.sqrt(s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"])
+    upward = lambda s, a: s[a] / length(s) * F.when(s["z"] < 0, -1.0).otherwise(1.0)
+    normals = F.transform(F.filter("__c", lambda s: length(s) >= 1e-12), lambda s: F.struct(s["k"].alias("k"), s["o"].alias("o"), *(upward(s, a).alias(a) for a in "xyz")))
+    planes = F.transform(F.filter("__n", lambda s: s["z"] >= least_nz), lambda s: F.struct(s["x"].alias("nx"), s["y"].alias("ny"), s["z"].alias("nz"), (-(s["o"]["x"] * s["x"] + s["o"]["y"] * s["y"] + s["o"]["z"] * s["z"])).alias("d")))
+    planes = pool.withColumn("__s", sides).withColumn("__c", crossed).withColumn("__n", normals).select(scene, planes.alias("__h")).where(F.size("__h") > 0)
+    h = lambda k: F.get("__h", F.lit(k))
+    inside = lambda k: F.abs(F.col("x") * h(k)["nx"] + F.col("y") * h(k)["ny"] + F.col("z") * h(k)["nz"] + h(k)["d"]) <= limit
+    counts = points.join(planes, scene).groupBy(scene).agg(F.count("*").alias("__all"), F.array(*(F.sum(F.when(inside(k), 1).otherwise(0)) for k in range(tries))).alias("__in"))
+    best = F.array_max(F.transform("__h", lambda p, k: F.struct(F.get("__in", k).alias("n"), (-k).alias("first"), p.alias("p"))))
+    found = counts.join(planes, scene).select(scene, "__all", best.alias("b")).where("b.n >= 4")
+    return found.select(scene, "b.p.nx", "b.p.ny", "b.p.nz", "b.p.d", (F.col("b.n") / F.col("__all")).alias("retained"))
 
 
 def chamfer(a: DataFrame, b: DataFrame, scene: str = "scene_id", point: str = "point_id") -> DataFrame:

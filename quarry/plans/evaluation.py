@@ -69,13 +69,15 @@ def calibration_summary(spark, folder):
     return out.select("n", *(r6(c).alias(c) for c in ("ece", "brier", "nll")))
 
 
-SCAN = V.BINARY + """, scan AS (SELECT threshold, tp, fp, fn, tp / greatest(tp + fp + fn, 1) AS iou, tp / greatest(tp + fp, 1) AS prec, tp / greatest(tp + fn, 1) AS rec FROM (
-  SELECT threshold, CAST(count(*) FILTER (prob >= threshold AND target = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (prob >= threshold AND target = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (prob < threshold AND target = 1) AS BIGINT) AS fn
-  FROM binary_predictions CROSS JOIN (SELECT CAST(0.05 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) AS threshold FROM range(91) t(k)) GROUP BY threshold))"""
+#: Every 97th probability is missing, every 101st isn't a number: both are below each threshold.
+SCAN = V.BINARY + """, partly AS (SELECT target, CASE WHEN point_id % 97 = 0 THEN NULL WHEN point_id % 101 = 0 THEN 'nan'::DOUBLE ELSE prob END AS prob FROM binary_predictions), scan AS (SELECT threshold, tp, fp, fn, tp / greatest(tp + fp + fn, 1) AS iou, tp / greatest(tp + fp, 1) AS prec, tp / greatest(tp + fn, 1) AS rec FROM (
+  SELECT threshold, CAST(count(*) FILTER (reached AND target = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (reached AND target = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (NOT reached AND target = 1) AS BIGINT) AS fn
+  FROM (SELECT *, coalesce(NOT isnan(prob) AND prob >= threshold, FALSE) AS reached FROM partly CROSS JOIN (SELECT CAST(0.05 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) AS threshold FROM range(91) t(k))) GROUP BY threshold))"""
 
 
 def scan(spark, folder):
-    return M.threshold_scan(V.binary_predictions(spark, folder), M.thresholds(spark))
+    prob = F.when(F.col("point_id") % 97 == 0, None).when(F.col("point_id") % 101 == 0, float("nan")).otherwise(F.col("prob"))
+    return M.threshold_scan(V.binary_predictions(spark, folder).withColumn("prob", prob), M.thresholds(spark))
 
 
 @query(f"WITH {SCAN} SELECT {q6('threshold')} AS threshold, tp, fp, fn, {q6('iou')} AS iou, {q6('prec')} AS \"precision\", {q6('rec')} AS recall FROM scan")

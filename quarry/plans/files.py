@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.settle import shared_root
 from ..sources import clouds as C
 from . import views as V
 from .preparation import SMALL, rounded, small
@@ -16,13 +16,7 @@ from .registry import r6 as q6
 
 def fresh_folder(spark, name: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or on this machine if all tasks run on it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="shared-")
-    found = found if "://" in found or found.startswith("file:") else f"file://{found}"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def scans(spark, folder):

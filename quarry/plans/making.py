@@ -17,20 +17,19 @@ from .registry import query
 from .registry import r6 as q6
 
 
-def grid(spark):
-    """A regular grid of 60 x 60 points, 4 cm apart, on a tilted plane."""
-    k = F.col("id")
-    x, y = (k % 60) * 0.04, F.floor(k / 60) * 0.04
-    return spark.range(3600).select(k.alias("point_id"), x.alias("x"), y.alias("y"), (x * 0.2 - y * 0.1).alias("z"))
+def grid(spark, folder):
+    """The orders as points of a survey on a tilted plane: places 4 cm apart by customer and price."""
+    x, y = (F.col("o_custkey") % 60) * 0.04, (F.floor("o_totalprice") % 60) * 0.04
+    return V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("point_id"), x.alias("x"), y.alias("y"), (x * 0.2 - y * 0.1).alias("z"))
 
 
-GRID = "grid AS (SELECT k AS point_id, (k % 60) * 0.04::DOUBLE AS x, (k // 60) * 0.04::DOUBLE AS y, (k % 60) * 0.04::DOUBLE * 0.2::DOUBLE - (k // 60) * 0.04::DOUBLE * 0.1::DOUBLE AS z FROM range(3600) t(k))"
+GRID = "grid AS (SELECT point_id, x, y, x * 0.2::DOUBLE - y * 0.1::DOUBLE AS z FROM (SELECT o_orderkey AS point_id, (o_custkey % 60) * 0.04::DOUBLE AS x, (CAST(floor(o_totalprice) AS BIGINT) % 60) * 0.04::DOUBLE AS y FROM orders))"
 R = "sqrt((x-1.2)*(x-1.2)+(y-1.1)*(y-1.1))"
 
 
-def shaped(spark, shape):
+def shaped(spark, folder, shape):
     height, label = shape
-    return grid(spark).select("point_id", r6(height).alias("dz"), label.alias("labelled"))
+    return grid(spark, folder).select("point_id", r6(height).alias("dz"), label.alias("labelled"))
 
 
 def _sql(height, label):
@@ -39,12 +38,12 @@ def _sql(height, label):
 
 @query(_sql(f"CASE WHEN {R}/0.515 <= 1 THEN -0.05 * sqrt(greatest(1 - pow({R}/0.515, 2), 0)) ELSE 0 END", f"{R}/0.515 <= 1"))
 def shape_pothole(spark, folder):
-    return shaped(spark, H.pothole("x", "y", 1.2, 1.1, 0.515, 0.05))
+    return shaped(spark, folder, H.pothole("x", "y", 1.2, 1.1, 0.515, 0.05))
 
 
 @query(_sql(f"-0.03 * exp(-{R}*{R} / (2 * pow(0.9 / 3, 2)))", f"0.03 * exp(-{R}*{R} / (2 * pow(0.9 / 3, 2))) > 0.01 * 0.03"))
 def shape_depression(spark, folder):
-    return shaped(spark, H.depression("x", "y", 1.2, 1.1, 0.9, 0.03))
+    return shaped(spark, folder, H.depression("x", "y", 1.2, 1.1, 0.9, 0.03))
 
 
 RUT = "0.02 * (exp(-pow(x - (1.2 - 0.85 / 2), 2) / (2 * pow(0.6 / 3, 2))) + exp(-pow(x - (1.2 + 0.85 / 2), 2) / (2 * pow(0.6 / 3, 2)))) * (1 + 0.2 * sin(2 * pi() * y / (0.5 * 2.4)))"
@@ -52,7 +51,7 @@ RUT = "0.02 * (exp(-pow(x - (1.2 - 0.85 / 2), 2) / (2 * pow(0.6 / 3, 2))) + exp(
 
 @query(_sql(f"-({RUT})", f"abs({RUT}) > 0.05 * 0.02"))
 def shape_rutting(spark, folder):
-    return shaped(spark, H.rutting("x", "y", 1.2, 0.85, 0.6, 0.02, 2.4))
+    return shaped(spark, folder, H.rutting("x", "y", 1.2, 0.85, 0.6, 0.02, 2.4))
 
 
 WAVE = "0.02 * cos(2 * pi() * (x * cos(0.3) + y * sin(0.3)) / 0.45)"
@@ -60,7 +59,7 @@ WAVE = "0.02 * cos(2 * pi() * (x * cos(0.3) + y * sin(0.3)) / 0.45)"
 
 @query(_sql(WAVE, f"abs({WAVE}) > 0.1 * 0.02"))
 def shape_corrugation(spark, folder):
-    return shaped(spark, H.corrugation("x", "y", 0.45, 0.02, 0.3))
+    return shaped(spark, folder, H.corrugation("x", "y", 0.45, 0.02, 0.3))
 
 
 SC = "abs(-(x - 1.2) * sin(0.7) + (y - 1.1) * cos(0.7))"
@@ -68,17 +67,17 @@ SC = "abs(-(x - 1.2) * sin(0.7) + (y - 1.1) * cos(0.7))"
 
 @query(_sql(f"-0.015 * exp(-{SC} / (2 * 0.0083))", f"{SC} <= 2 * 0.0083"))
 def shape_slab_crack(spark, folder):
-    return shaped(spark, H.slab_crack("x", "y", 1.2, 1.1, 0.7, 0.015, 0.0083))
+    return shaped(spark, folder, H.slab_crack("x", "y", 1.2, 1.1, 0.7, 0.015, 0.0083))
 
 
 @query(_sql("CASE WHEN abs(x - 1.19) <= 5 * 0.0213 THEN sign(x - 1.19) * 0.02 / 2 ELSE 0 END", "abs(x - 1.19) <= 5 * 0.0213"))
 def shape_faulting(spark, folder):
-    return shaped(spark, H.faulting("x", 1.19, 0.02, 0.0213))
+    return shaped(spark, folder, H.faulting("x", 1.19, 0.02, 0.0213))
 
 
 @query(_sql(f"CASE WHEN {R}/0.433 <= 1 THEN -0.05 * sqrt(greatest(1 - ({R}/0.433)*({R}/0.433), 0)) ELSE 0 END", f"{R}/0.433 <= 1"))
 def shape_pitting(spark, folder):
-    return shaped(spark, H.pitting("x", "y", 1.2, 1.1, 0.433, 0.05))
+    return shaped(spark, folder, H.pitting("x", "y", 1.2, 1.1, 0.433, 0.05))
 
 
 BLOW = f"0.06 * pow(cos(pi() * least({R}/0.8, 1.5) / 2), 2)"
@@ -86,7 +85,7 @@ BLOW = f"0.06 * pow(cos(pi() * least({R}/0.8, 1.5) / 2), 2)"
 
 @query(_sql(BLOW, f"{BLOW} > 0.1 * 0.06"))
 def shape_blow_up(spark, folder):
-    return shaped(spark, H.blow_up("x", "y", 1.2, 1.1, 0.8, 0.06))
+    return shaped(spark, folder, H.blow_up("x", "y", 1.2, 1.1, 0.8, 0.06))
 
 
 CB = "((abs(x - 0.0) + abs(y - 0.0) - 0.613) / sqrt(2))"
@@ -94,12 +93,12 @@ CB = "((abs(x - 0.0) + abs(y - 0.0) - 0.613) / sqrt(2))"
 
 @query(_sql(f"CASE WHEN {CB} <= 0 THEN -0.5 * 0.03 ELSE 0 END - 0.03 * exp(-abs({CB}) / (2 * 0.0083))", f"{CB} <= 0 OR abs({CB}) <= 2 * 0.0083"))
 def shape_corner_break(spark, folder):
-    return shaped(spark, H.corner_break("x", "y", 0.0, 0.0, 0.613, 0.03, 0.0083))
+    return shaped(spark, folder, H.corner_break("x", "y", 0.0, 0.0, 0.613, 0.03, 0.0083))
 
 
 @query(_sql("0.0", "x BETWEEN 0.61 AND 1.33"))
 def shape_bleeding(spark, folder):
-    return shaped(spark, H.bleeding("x", 0.61, 1.33))
+    return shaped(spark, folder, H.bleeding("x", 0.61, 1.33))
 
 
 JD = "least(abs(x - floor(x / 0.77 + 0.5) * 0.77), abs(y - floor(y / 0.91 + 0.5) * 0.91))"
@@ -107,18 +106,18 @@ JD = "least(abs(x - floor(x / 0.77 + 0.5) * 0.77), abs(y - floor(y / 0.91 + 0.5)
 
 @query(_sql(f"CASE WHEN {JD} <= 0.043 THEN -0.01 * exp(-pow({JD} / (0.5 * 0.043), 2)) ELSE 0 END", f"{JD} <= 0.043"))
 def shape_joint_damage(spark, folder):
-    return shaped(spark, H.joint_damage(H.joint_distance("x", "y", 0.77, 0.91), 0.01, 0.043))
+    return shaped(spark, folder, H.joint_damage(H.joint_distance("x", "y", 0.77, 0.91), 0.01, 0.043))
 
 
 @query(_sql("0.0", f"{JD} <= 8 * 0.0083"))
 def shape_pumping(spark, folder):
-    return shaped(spark, H.pumping(H.joint_distance("x", "y", 0.77, 0.91), 0.0083))
+    return shaped(spark, folder, H.pumping(H.joint_distance("x", "y", 0.77, 0.91), 0.0083))
 
 
 @query(f"WITH {GRID} SELECT point_id, CAST(floor(x / 0.77) AS BIGINT) AS slab_x, CAST(floor(y / 0.91) AS BIGINT) AS slab_y, {q6(JD)} AS joint_distance FROM grid")
 def slab_places(spark, folder):
     a, b = H.slab_index("x", "y", 0.77, 0.91)
-    return grid(spark).select("point_id", a.alias("slab_x"), b.alias("slab_y"), r6(H.joint_distance("x", "y", 0.77, 0.91)).alias("joint_distance"))
+    return grid(spark, folder).select("point_id", a.alias("slab_x"), b.alias("slab_y"), r6(H.joint_distance("x", "y", 0.77, 0.91)).alias("joint_distance"))
 
 
 U, W = "((x-1.2)*cos(0.4)+(y-1.1)*sin(0.4))", "(-(x-1.2)*sin(0.4)+(y-1.1)*cos(0.4))"
@@ -130,13 +129,13 @@ TT = f"least(greatest(-{SD} / 0.11, 0), 1)"
 @query(_sql(f"{TT}*{TT}*(3-2*{TT}) * (0.2*x - 0.1*y + 0.01 - z)", f"{SD} <= 0"))
 def shape_patch(spark, folder):
     """A repair patch: the rounded rectangle blends into the surface's plane, raised by a centimetre."""
-    return shaped(spark, H.patch("x", "y", "z", 1.2, 1.1, 0.5, 0.6, 0.1, 0.4, (0.2, -0.1, 0.0), 0.01, 0.11))
+    return shaped(spark, folder, H.patch("x", "y", "z", 1.2, 1.1, 0.5, 0.6, 0.1, 0.4, (0.2, -0.1, 0.0), 0.01, 0.11))
 
 
 @query(f"WITH {GRID} SELECT point_id, {R} <= 0.515 AS disc, {R} BETWEEN 0.8 * 0.515 AND 1.2 * 0.515 AS ring, x BETWEEN 0.31 AND 1.51 AND y BETWEEN 0.31 AND 0.91 AS box FROM grid")
 def region_masks(spark, folder):
     r = F.sqrt((F.col("x") - 1.2) * (F.col("x") - 1.2) + (F.col("y") - 1.1) * (F.col("y") - 1.1))
-    return grid(spark).select("point_id", (r <= 0.515).alias("disc"), r.between(0.8 * 0.515, 1.2 * 0.515).alias("ring"), (F.col("x").between(0.31, 1.51) & F.col("y").between(0.31, 0.91)).alias("box"))
+    return grid(spark, folder).select("point_id", (r <= 0.515).alias("disc"), r.between(0.8 * 0.515, 1.2 * 0.515).alias("ring"), (F.col("x").between(0.31, 1.51) & F.col("y").between(0.31, 0.91)).alias("box"))
 
 
 RS = "(sqrt(x*x+y*y+z*z) / (SELECT max(sqrt(x*x+y*y+z*z)) FROM grid))"
@@ -146,14 +145,19 @@ RS = "(sqrt(x*x+y*y+z*z) / (SELECT max(sqrt(x*x+y*y+z*z)) FROM grid))"
 def scanner_probabilities(spark, folder):
     """Chance of a lost return, and of being seen by one of the scan lines 10 cm apart."""
     size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    far = grid(spark).agg(F.max(size).alias("far"))
-    rows = grid(spark).crossJoin(F.broadcast(far)).withColumn("share", size / F.col("far")).withColumn("line", F.abs(F.col("y") - F.floor(F.col("y") / 0.1 + 0.5) * 0.1))
+    far = grid(spark, folder).agg(F.max(size).alias("far"))
+    rows = grid(spark, folder).crossJoin(F.broadcast(far)).withColumn("share", size / F.col("far")).withColumn("line", F.abs(F.col("y") - F.floor(F.col("y") / 0.1 + 0.5) * 0.1))
     return rows.select("point_id", r6(H.dropout("share")).alias("lost"), r6(H.scan_line_keep("y", "line", 0.1, "share")).alias("seen"))
 
 
-@query(f"WITH r AS (SELECT label, CASE WHEN label = 19 THEN 0.2 WHEN label IN (11, 12) THEN -0.1 WHEN label = 36 THEN -0.08 WHEN label IN (20, 37) THEN 0.15 WHEN label = 29 THEN 0.12 WHEN label = 34 THEN -0.05 WHEN label BETWEEN 1 AND 8 THEN -0.05 WHEN label IN (9, 10) THEN -0.08 ELSE 0 END AS d FROM {DIM}) SELECT label, {q6('least(greatest(0.2 + d, 0), 1)')} AS reflectance FROM r")
+SHIFT = "CASE WHEN label = 19 THEN 0.2 WHEN label IN (11, 12) THEN -0.1 WHEN label = 36 THEN -0.08 WHEN label IN (20, 37) THEN 0.15 WHEN label = 29 THEN 0.12 WHEN label = 34 THEN -0.05 WHEN label BETWEEN 1 AND 8 THEN -0.05 WHEN label IN (9, 10) THEN -0.08 ELSE 0 END"
+
+
+@query(f"WITH {V.LABELLED}, r AS (SELECT label, least(greatest((line_no % 8) * 0.04::DOUBLE + ({SHIFT}), 0), 1) AS v FROM labelled) SELECT label, count(*) AS points, {q6('avg(v)')} AS reflectance FROM r GROUP BY label")
 def reflectance_model(spark, folder):
-    return L.label_dim(spark).select("label", r6(H.reflectance(F.lit(0.2), "label")).alias("reflectance"))
+    """Mean reflectance of the points of each label, by a base that changes from point to point."""
+    rows = V.labelled(spark, folder).withColumn("v", H.reflectance((F.col("line_no") % 8) * 0.04, "label"))
+    return rounded(rows.groupBy("label").agg(F.count("*").alias("points"), F.avg("v").alias("reflectance")), "reflectance")
 
 
 PARTS = "lineitem JOIN part ON l_partkey = p_partkey"
@@ -248,15 +252,16 @@ def first_scenes(spark, folder):
     return V.scene_log(spark, folder).withColumn("place", F.row_number().over(order)).where("place <= 20").select("place", "split", "scene_id")
 
 
-KINDS = "(VALUES (1, 'crack'), (2, 'rutting'), (3, 'unknown'), (4, 'pothole'), (5, 'patching'), (6, 'raveling'), (7, 'concrete_damage')) k(id, kind)"
+NAMES = ("crack", "rutting", "unknown", "pothole", "patching", "raveling", "concrete_damage")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY coalesce(o, 99), id) AS INTEGER) AS place, kind FROM " + KINDS + " LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in L.APPLY_ORDER.items()) + ") a(name, o) ON name = kind")
+@query("WITH k AS (SELECT p_partkey % 50 AS scene_id, p_partkey AS id, [" + ", ".join(f"'{n}'" for n in NAMES) + "][p_size % 7 + 1] AS kind FROM part) SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY coalesce(o, 99), id) AS INTEGER) AS place, id, kind FROM k LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in L.APPLY_ORDER.items()) + ") a(name, o) ON name = kind")
 def apply_order(spark, folder):
-    kinds = spark.createDataFrame([(1, "crack"), (2, "rutting"), (3, "unknown"), (4, "pothole"), (5, "patching"), (6, "raveling"), (7, "concrete_damage")], "id int, kind string")
+    """The damages of each scene in the order in which they are applied; unknown kinds come last, ties keep their order."""
+    kind = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_size") % 7 + 1).cast("int"))
+    rows = V.table(spark, folder, "part").select((F.col("p_partkey") % 50).alias("scene_id"), F.col("p_partkey").alias("id"), kind.alias("kind"))
     order = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in L.APPLY_ORDER.items() for x in kv)), F.col("kind")), F.lit(99))
-    listed = kinds.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "id", "kind"))).alias("v"))
-    return listed.select(F.posexplode("v").alias("p", "x")).select((F.col("p") + 1).alias("place"), "x.kind")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy(order, "id"))).select("scene_id", "place", "id", "kind")
 
 
 @query("WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45), b AS (SELECT l_partkey AS k FROM lineitem WHERE l_discount < 0.02) SELECT 'both' AS part, count(*) AS n FROM (SELECT k FROM a UNION ALL SELECT k FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'distinct', count(DISTINCT k) FROM a")
@@ -267,7 +272,7 @@ def set_operations(spark, folder):
     return count(a.unionAll(b), "both").union(count(a.distinct().join(b, "l_partkey", "left_anti"), "only_a")).union(count(a.distinct(), "distinct"))
 
 
-MAT = "h0 AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, exp(sin(i * 3.0 + j)) AS v FROM range(6) a(i), range(6) b(j))"
+MAT = "g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 20 * avg(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)) AS v FROM embeddings, range(6) a(i), range(6) b(j) GROUP BY ALL), h0 AS (SELECT i, j, exp(v) AS v FROM g)"
 
 
 def _sink():
@@ -279,25 +284,31 @@ def _sink():
     return ", ".join(parts)
 
 
-def matrix(spark):
-    k = F.col("id")
-    return X.sinkhorn(spark.range(36).select(F.floor(k / 6).cast("int").alias("i"), (k % 6).cast("int").alias("j"), F.sin(F.floor(k / 6) * 3.0 + k % 6).alias("v")))
+def products(spark, folder):
+    """The mean products of the embeddings' first six components with each other, times 20."""
+    e = F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double"))
+    rows = V.table(spark, folder, "embeddings").select(e.alias("e")).select("e", F.posexplode("e").alias("i", "p")).select("i", "p", F.posexplode("e").alias("j", "q"))
+    return rows.groupBy("i", "j").agg((20.0 * F.avg(F.col("p") * F.col("q"))).alias("v"))
+
+
+def matrix(spark, folder):
+    return X.sinkhorn(products(spark, folder))
 
 
 @query(f"WITH {_sink()} SELECT i, j, {q6('v')} AS v FROM h10")
 def sinkhorn_matrix(spark, folder):
-    return rounded(matrix(spark), "v")
+    return rounded(matrix(spark, folder), "v")
 
 
 @query(f"WITH {_sink()} SELECT (SELECT {q6('max(abs(s - 1))')} FROM (SELECT sum(v) AS s FROM h10 GROUP BY i)) AS row_error, (SELECT {q6('max(abs(s - 1))')} FROM (SELECT sum(v) AS s FROM h10 GROUP BY j)) AS column_error, (SELECT {q6('min(v)')} FROM h10) AS least")
 def stochastic_error(spark, folder):
-    return rounded(X.stochastic_error(matrix(spark)), "row_error", "column_error", "least")
+    return rounded(X.stochastic_error(matrix(spark, folder)), "row_error", "column_error", "least")
 
 
 @query(f"WITH {_sink()}, x AS (SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(embedding[i + 1] AS DOUBLE) AS x, CAST(embedding[i + 11] AS DOUBLE) AS r FROM embeddings, range(6) t(i)) SELECT a.vec_id, a.i, {q6('a.x + sum(h.v * b.r)')} AS y FROM x a JOIN h10 h ON h.i = a.i JOIN x b ON b.vec_id = a.vec_id AND b.i = h.j GROUP BY a.vec_id, a.i, a.x")
 def mixed_residuals(spark, folder):
     e = V.table(spark, folder, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 6)).alias("i", "x"), F.slice("embedding", 11, 6).alias("rs"))
-    return rounded(X.apply(matrix(spark), e.select("vec_id", "i", F.col("x").cast("double").alias("x"), F.get("rs", F.col("i")).cast("double").alias("r")), "vec_id"), "y")
+    return rounded(X.apply(matrix(spark, folder), e.select("vec_id", "i", F.col("x").cast("double").alias("x"), F.get("rs", F.col("i")).cast("double").alias("r")), "vec_id"), "y")
 
 
 @query(f"WITH {SMALL}, p AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) AS k FROM cloud_s) SELECT scene_id, {q6('avg(sqrt(x*x+y*y))')} AS mean_range, count(*) FILTER (k % 2 = 0) AS even FROM p GROUP BY 1")
@@ -306,3 +317,11 @@ def scene_means(spark, folder):
     return rounded(small(spark, folder).withColumn("k", k).groupBy("scene_id").agg(F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("mean_range"), F.sum((F.col("k") % 2 == 0).cast("long")).alias("even")), "mean_range")
 
 
+PRODUCTS = MAT.split(", h0 AS")[0]
+STEPS = ", ".join(f"y{k} AS (SELECT i, sum(v * x) AS y FROM g JOIN x{k} ON j = place GROUP BY i), x{k + 1} AS (SELECT i AS place, y / sqrt((SELECT sum(y * y) FROM y{k})) AS x FROM y{k})" for k in range(60))
+
+
+@query(f"WITH {PRODUCTS}, x0 AS (SELECT CAST(k AS INTEGER) AS place, 1 / sqrt(6.0) AS x FROM range(6) t(k)), {STEPS} SELECT {q6('sqrt(sum(y * y))')} AS norm FROM (SELECT i, sum(v * x) AS y FROM g JOIN x60 ON j = place GROUP BY i)")
+def spectral_norm(spark, folder):
+    """The largest singular value of the products' matrix, which is symmetric."""
+    return rounded(X.spectral_norm(products(spark, folder)), "norm")

@@ -182,10 +182,12 @@ def balance_summary(spark, folder):
     return B.summary(rounded(weighted(spark, folder), "weight"))
 
 
-@query(f"SELECT c4 AS class, {q6('avg(CAST(priority AS DOUBLE))')} AS weight FROM {DIM} GROUP BY 1")
+@query(f"WITH {V.LABELLED}, n AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1) SELECT c4 AS class, {q6('avg(1.0 / greatest(coalesce(n, 0), 1))')} AS weight FROM {DIM} LEFT JOIN n USING (label) GROUP BY 1")
 def stage_weights(spark, folder):
-    """Weights of 38 labels averaged over the classes of a stage (here: of the priorities)."""
-    return rounded(L.label_dim(spark).groupBy(F.col("four").alias("class")).agg(F.avg(F.col("priority").cast("double")).alias("weight")), "weight")
+    """Weights of the labels (one over the points of each) averaged over the classes of a stage."""
+    n = V.labelled(spark, folder).groupBy("label").agg(F.count("*").alias("n"))  # a row a label
+    weight = 1.0 / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
+    return rounded(L.label_dim(spark).join(F.broadcast(n), "label", "left").groupBy(F.col("four").alias("class")).agg(F.avg(weight).alias("weight")), "weight")
 
 
 @query(f"WITH {V.LABELLED}, p AS (SELECT DISTINCT scene_id, label FROM labelled) SELECT label, count(*) AS scenes, {q6('100.0 * count(*) / (SELECT count(DISTINCT scene_id) FROM p)')} AS percent FROM p GROUP BY label")
@@ -281,18 +283,25 @@ def decay_scan(spark, folder):
     return rounded(P.decay_scan(small(spark, folder), "z", "point_id", 0.5), "state")
 
 
-@query(f"WITH c AS (SELECT unnest(range(33)) / 32.0 AS t) SELECT {q6('t')} AS t, {q6('pow(1-t,3)*0 + 3*pow(1-t,2)*t*1 + 3*(1-t)*t*t*3 + pow(t,3)*4')} AS x, {q6('pow(1-t,3)*0 + 3*pow(1-t,2)*t*2 + 3*(1-t)*t*t*-1 + pow(t,3)*1')} AS y FROM c")
+BEZIER = {a: " + ".join(f"{c} * pow(1 - t, {3 - n}) * pow(t, {n}) * CAST(embedding[{first + n}] AS DOUBLE)" for n, c in enumerate((1, 3, 3, 1))) for a, first in (("x", 1), ("y", 5))}
+
+
+@query(f"WITH c AS (SELECT vec_id, embedding, k / 16.0::DOUBLE AS t FROM embeddings, range(17) r(k)) SELECT vec_id, {q6('t')} AS t, {q6(BEZIER['x'])} AS x, {q6(BEZIER['y'])} AS y FROM c")
 def bezier_curve(spark, folder):
-    t = F.col("id") / 32.0
-    return spark.range(33).select(r6(t).alias("t"), r6(P.bezier(0.0, 1.0, 3.0, 4.0, t)).alias("x"), r6(P.bezier(0.0, 2.0, -1.0, 1.0, t)).alias("y"))
+    """A cubic curve for each embedding, whose first eight components are its control points, at 17 places."""
+    rows = V.table(spark, folder, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("k")).withColumn("t", F.col("k") / 16.0)
+    at = lambda first: P.bezier(*(F.get("embedding", F.lit(first + n)).cast("double") for n in range(4)), F.col("t"))
+    return rounded(rows.select("vec_id", "t", at(0).alias("x"), at(4).alias("y")), "t", "x", "y")
 
 
-@query("SELECT DISTINCT CAST(k AS INTEGER) AS label FROM range(38) t(k) WHERE k BETWEEN 1 AND 8 OR k IN (20, 37)")
+@query("WITH s AS (SELECT o_custkey % 40 AS a, o_orderkey AS k FROM orders), l AS (SELECT k, unnest(range(a, a + 3)) AS label FROM s UNION ALL SELECT k, 20 FROM s) SELECT CAST(label AS INTEGER) AS label, count(DISTINCT k) AS scenes FROM l WHERE label BETWEEN 1 AND 37 GROUP BY 1")
 def parsed_labels(spark, folder):
-    """The label list `1-8,20,37`."""
-    parts = spark.createDataFrame([("1-8,20,37",)], "said string").select(F.explode(F.split("said", ",")).alias("p"))
+    """Label lists such as `1-3,20` of scenes, taken apart; how many scenes ask for each label."""
+    first = F.col("o_custkey") % 40
+    said = V.table(spark, folder, "orders").select("o_orderkey", F.concat(first, F.lit("-"), first + 2, F.lit(",20")).alias("said"))
     ends = F.split(F.trim("p"), "-")
-    return parts.select(F.explode(F.sequence(ends[0].cast("int"), F.element_at(ends, -1).cast("int"))).alias("label")).distinct()
+    listed = said.select("o_orderkey", F.explode(F.split("said", ",")).alias("p")).select("o_orderkey", F.explode(F.sequence(ends[0].cast("int"), F.element_at(ends, -1).cast("int"))).alias("label"))
+    return listed.where("label between 1 and 37").distinct().groupBy("label").agg(F.count("*").alias("scenes"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_full_match(name, 'scene_([0-9]+)\\.npz') THEN CAST(regexp_extract(name, 'scene_([0-9]+)\\.npz', 1) AS BIGINT) END AS scene_id FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'scene_' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.npz' ELSE url END AS name FROM pages)")
@@ -301,9 +310,12 @@ def scene_ids_of_files(spark, folder):
     return V.table(spark, folder, "pages").select("page_id", F.nullif(F.regexp_extract(name, r"^scene_(\d+)\.npz$", 1), F.lit("")).cast("long").alias("scene_id"))
 
 
-@query(f"SELECT s, k AS classes FROM (VALUES ('binary', 2), ('four', 4), ('eight', 8), ('full38', 38)) t(s, k) WHERE (SELECT count(*) FROM {DIM}) = 38")
+STAGES = {"binary": "b2", "four": "c4", "eight": "c8", "full38": "c38"}
+
+
+@query(f"WITH {V.LABELLED}, n AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{s}' AS s, {c} AS class, count(*) AS labels, CAST(coalesce(sum(n), 0) AS BIGINT) AS points FROM {DIM} LEFT JOIN n USING (label) GROUP BY {c}" for s, c in STAGES.items()))
 def label_stages(spark, folder):
-    """The stages whose classes cover every label exactly once, with their number of classes."""
-    dim = L.label_dim(spark)
-    kinds = dim.select(F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.col(s).alias("c")) for s in L.STAGE_SIZE))).alias("x"), "label").select("x.*", "label")
-    return kinds.groupBy("s").agg(F.countDistinct("c").cast("int").alias("classes"), F.countDistinct("label").alias("n")).where("n = 38").select("s", "classes")
+    """The labels and points of each class of every stage: a stage's classes cover each label once."""
+    n = V.labelled(spark, folder).groupBy("label").agg(F.count("*").alias("n"))  # a row a label
+    kinds = L.label_dim(spark).select("label", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.col(s).alias("class")) for s in L.STAGE_SIZE))).alias("x")).select("label", "x.*")
+    return kinds.join(F.broadcast(n), "label", "left").groupBy("s", "class").agg(F.count("*").alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))

@@ -8,7 +8,7 @@ from ..operators import gap as G
 from ..operators import prepare as P
 from ..operators import spatial as S
 from . import views as V
-from .preparation import BOX, SMALL, _cell, rounded, small
+from .preparation import BOX, SMALL, _cell, _draw, rounded, small
 from .registry import query
 from .registry import r6 as q6
 
@@ -156,9 +156,18 @@ def ground_points(spark, folder):
     return rounded(S.ground(V.cloud_l(spark, folder), 0.05).select("scene_id", "point_id", "plane_distance"), "plane_distance")
 
 
-@query()
+#: The planes through each drawn point and the two drawn after it, with the points within 15 cm.
+RANSAC = V.CLOUD_L + f""", r AS (SELECT scene_id, x, y, z, row_number() OVER (PARTITION BY scene_id ORDER BY {_draw(42, 'scene_id', 'point_id')}, point_id) - 1 AS k FROM cloud_l QUALIFY k < 64),
+  m AS (SELECT scene_id, count(*) AS m FROM r GROUP BY 1 HAVING count(*) >= 4),
+  s AS (SELECT o.scene_id, o.k, o.x, o.y, o.z, p.x - o.x AS ux, p.y - o.y AS uy, p.z - o.z AS uz, q.x - o.x AS vx, q.y - o.y AS vy, q.z - o.z AS vz FROM r o JOIN m USING (scene_id) JOIN r p ON p.scene_id = o.scene_id AND p.k = (o.k + 1) % m JOIN r q ON q.scene_id = o.scene_id AND q.k = (o.k + 2) % m),
+  c AS (SELECT *, uy*vz - uz*vy AS cx, uz*vx - ux*vz AS cy, ux*vy - uy*vx AS cz FROM s), l AS (SELECT *, sqrt(cx*cx + cy*cy + cz*cz) AS l, CASE WHEN cz < 0 THEN -1.0 ELSE 1.0 END AS sg FROM c),
+  pl AS (SELECT scene_id, k, cx/l*sg AS nx, cy/l*sg AS ny, cz/l*sg AS nz, -(x*(cx/l*sg) + y*(cy/l*sg) + z*(cz/l*sg)) AS d FROM l WHERE l >= 1e-12 AND cz/l*sg >= 0.7),
+  n AS (SELECT pl.scene_id, pl.k, nx, ny, nz, d, count(*) FILTER (abs(x*nx + y*ny + z*nz + d) <= 0.15) AS n, count(*) AS total FROM pl JOIN cloud_l USING (scene_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {RANSAC} SELECT scene_id, {q6('nx')} AS nx, {q6('ny')} AS ny, {q6('nz')} AS nz, {q6('d')} AS d, {q6('n / total')} AS retained FROM n WHERE n >= 4 QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, k) = 1")
 def ransac_planes(spark, folder):
-    return S.ransac_planes(V.cloud_l(spark, folder))
+    return rounded(S.ransac_planes(V.cloud_l(spark, folder)), "nx", "ny", "nz", "d", "retained")
 
 
 @query(f"""WITH {SMALL}, a AS (SELECT * FROM cloud_s WHERE point_id % 2 = 0), b AS (SELECT * FROM cloud_s WHERE point_id % 2 = 1), go AS (SELECT scene_id, avg(d) AS there FROM (SELECT a.scene_id, sqrt(min({D2})) AS d FROM a JOIN b USING (scene_id) GROUP BY a.scene_id, a.point_id) GROUP BY 1),

@@ -192,3 +192,46 @@ def test_intensity_scales(spark):
     with pytest.raises(Exception, match="unknown unit"):
         spark.range(1).select(prepare.to_metres(F.lit(3.0), F.lit("yd"))).collect()
     assert math.isclose(spark.range(1).select(prepare.tilt(F.lit(1.0))).first()[0], 0.0)
+
+
+def test_missing_probabilities_reach_no_threshold(spark):
+    rows = spark.createDataFrame([(0.9, 1), (None, 0), (float("nan"), 0), (0.1, 0), (None, 1), (0.6, 0)], "prob double, target int")
+    scan = {round(r.threshold, 1): (r.tp, r.fp, r.fn) for r in metrics.threshold_scan(rows, metrics.thresholds(spark, 0.5, 0.9, 0.1)).collect()}
+    assert scan == {0.5: (1, 1, 1), 0.6: (1, 1, 1), 0.7: (1, 0, 1), 0.8: (1, 0, 1), 0.9: (1, 0, 1)}
+
+
+def test_neighbours_with_stray_points(spark):
+    """Strays far away, equal places and a scene of few points change nothing: brute force says the same."""
+    rng = np.random.default_rng(4)
+    xyz = np.vstack([rng.normal(size=(300, 3)), [[1500.0, 0, 0], [0, -900.0, 3]], np.zeros((4, 3))])
+    rows = [(0, k, *map(float, p)) for k, p in enumerate(xyz)] + [(1, k, float(k), 0.0, 0.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double")
+    got = {(r.scene_id, r.point_id, r["rank"]): r.neighbour for r in spatial.knn(df, 5).collect()}
+    want = {}
+    for scene, n in ((0, len(xyz)), (1, 3)):
+        own = np.array([r[2:] for r in rows if r[0] == scene])
+        for k in range(n):
+            order = sorted((j for j in range(n) if j != k), key=lambda j: (((own[k] - own[j]) ** 2).sum(), j))
+            want |= {(scene, k, at + 1): j for at, j in enumerate(order[:5])}
+    assert got == want
+
+
+def test_decay_scan_over_blocks(spark):
+    values = np.random.default_rng(1).normal(size=500)
+    df = spark.createDataFrame([(s, k * 3, float(v)) for s in (1, 2) for k, v in enumerate(values[: 500 if s == 1 else 5])], "scene_id long, place long, v double")
+    for alpha in (0.5, 0.95):
+        got = {(r.scene_id, r.place): r.state for r in prepare.decay_scan(df, "v", "place", alpha, block=4, levels=3).collect()}
+        state, want = 0.0, {}
+        for k, v in enumerate(values):
+            state = v + alpha * state
+            want[1, k * 3] = state
+            if k < 5:
+                want[2, k * 3] = state
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_spectral_norm(spark):
+    a = np.random.default_rng(2).normal(size=(7, 4))
+    df = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(7) for j in range(4)], "i int, j int, v double")
+    assert abs(matrices.spectral_norm(df).first().norm - np.linalg.norm(a, 2)) < 1e-6
+    assert matrices.spectral_norm(df.withColumn("v", F.lit(0.0))).first().norm == 0
