@@ -73,15 +73,10 @@ def micro_texture(points: DataFrame, amplitude: float = 0.001, hurst: float = 0.
     return points.withColumn("z", F.col("z") + amplitude * total)
 
 
-def damage(points: DataFrame, width: float, length: float, step: float, seed: int = 42) -> DataFrame:
-    """Applies each scene's target damage: changes z and sets label where it is (0 elsewhere)."""
-    spark, s = points.sparkSession, F.col("scene_id")
-    recipe = label_dim(spark).select(F.col("label").alias("target_label"), "disease", "severity", "variant")
-    rows = points.join(F.broadcast(recipe), "target_label")
-    severe = F.col("severity") == "severe"
+def shapes_of(severe: Column, cx: Column, cy: Column, angle: Column, z: Column | str, width: float, length: float, step: float, seed: int) -> dict[tuple[str, str | None], shapes.Shape]:
+    """Height change and place of the label of each (disease, variant) at x and y; z is the height that the damage meets."""
+    s = F.col("scene_id")
     pick = lambda light, heavy: F.when(severe, heavy).otherwise(light)
-    cx, cy = uniform("cx", 0.4 * width, 0.6 * width, seed, s), uniform("cy", 0.4 * length, 0.6 * length, seed, s)
-    angle = uniform("turn", 0, math.pi, seed, s)
     slab_w, slab_l = width / 2, length / 2
     joint = max(0.008, step)
     near = shapes.joint_distance("x", "y", slab_w, slab_l)
@@ -93,15 +88,14 @@ def damage(points: DataFrame, width: float, length: float, step: float, seed: in
     inner = F.col("x").between(0.1 * width, 0.9 * width) & F.col("y").between(0.1 * length, 0.9 * length)
     sx, sy = shapes.slab_index("x", "y", slab_w, slab_l)
     one_slab = (sx == 0) & (sy == 0)
-    zero = F.lit(0.0)
     groove = lambda d: shapes.crack_profile(d, pick(0.004, 0.012), pick(0.015, 0.04), 2.0 * step)
-    kinds = {
+    return {
         ("crack", "alligator"): groove(web), ("crack", "block"): groove(web), ("crack", "longitudinal"): groove(along), ("crack", "transverse"): groove(across),
         ("pothole", None): shapes.pothole("x", "y", cx, cy, pick(0.15, 0.30), pick(0.025, 0.10)),
         ("raveling", None): (-0.3 * pick(0.002, 0.005) * (1 + hit("deep")), inner & (hit("gone") < pick(0.15, 0.30))),
         ("depression", None): shapes.depression("x", "y", cx, cy, F.lit(0.35 * width), pick(0.02, 0.06)), ("rutting", None): shapes.rutting("x", "y", width / 2, 0.5 * width, 0.3, pick(0.015, 0.04), length),
         ("corrugation", None): shapes.corrugation("x", "y", 0.6, pick(0.015, 0.035)), ("bleeding", None): shapes.bleeding("x", cx - 0.2, cx + 0.2),
-        ("patching", None): shapes.patch("x", "y", "z", cx, cy, 0.5, 0.6, 0.1, angle, (0.0, 0.0, 0.0), 0.015, 0.08), ("concrete_damage", "patching"): shapes.patch("x", "y", "z", cx, cy, 0.5, 0.6, 0.1, angle, (0.0, 0.0, 0.0), 0.015, 0.08),
+        ("patching", None): shapes.patch("x", "y", z, cx, cy, 0.5, 0.6, 0.1, angle, (0.0, 0.0, 0.0), 0.015, 0.08), ("concrete_damage", "patching"): shapes.patch("x", "y", z, cx, cy, 0.5, 0.6, 0.1, angle, (0.0, 0.0, 0.0), 0.015, 0.08),
         ("concrete_damage", "slab_shatter"): (pick(0.01, 0.03) * (F.floor((F.col("x") + F.col("y")) / 0.4) % 3 - 1), one_slab), ("concrete_damage", "slab_crack"): shapes.slab_crack("x", "y", cx, cy, angle, pick(0.015, 0.04), joint),
         ("concrete_damage", "corner_break"): shapes.corner_break("x", "y", 0.0, 0.0, 0.6, pick(0.015, 0.03), joint), ("concrete_damage", "faulting"): shapes.faulting("x", slab_w, pick(0.008, 0.02), joint),
         ("concrete_damage", "pumping"): shapes.pumping(near, joint), ("concrete_damage", "edge_spall"): (-0.02 * F.exp(-near / joint), (near <= 10 * joint) & (hit("spall") < pick(0.3, 0.6))),
@@ -109,12 +103,27 @@ def damage(points: DataFrame, width: float, length: float, step: float, seed: in
         ("concrete_damage", "pitting"): shapes.pitting("x", "y", cx, cy, 0.15, 0.05), ("concrete_damage", "blowup"): shapes.blow_up("x", "y", slab_w, slab_l, 0.8, 0.06),
         ("concrete_damage", "exposed_aggregate"): (0.003 * normal("grain", seed, s, F.col("point_id")), inner & (hit("bare") < 0.3)),
     }
-    dz, where = zero, F.lit(False)
-    for (disease, variant), (height, label) in kinds.items():
-        own = (F.col("disease") == disease) & F.col("variant").eqNullSafe(variant)
-        only = disease in ("raveling",) or variant in ("slab_shatter", "edge_spall", "exposed_aggregate")
-        dz = F.when(own, F.when(label, height).otherwise(0.0) if only else height).otherwise(dz)
-        where = F.when(own, label).otherwise(where)
+
+
+def chosen(kinds: dict, disease: Column, variant: Column) -> shapes.Shape:
+    """The shape of a disease and variant; null and false of none of them count as no change."""
+    dz, where = F.lit(0.0), F.lit(False)
+    for (name, own), (height, label) in kinds.items():
+        fits = (disease == name) & variant.eqNullSafe(own)
+        only = name == "raveling" or own in ("slab_shatter", "edge_spall", "exposed_aggregate")
+        dz = F.when(fits, F.when(label, height).otherwise(0.0) if only else height).otherwise(dz)
+        where = F.when(fits, label).otherwise(where)
+    return dz, where
+
+
+def damage(points: DataFrame, width: float, length: float, step: float, seed: int = 42) -> DataFrame:
+    """Applies each scene's target damage: changes z and sets label where it is (0 elsewhere)."""
+    spark, s = points.sparkSession, F.col("scene_id")
+    recipe = label_dim(spark).select(F.col("label").alias("target_label"), "disease", "severity", "variant")
+    rows = points.join(F.broadcast(recipe), "target_label")
+    cx, cy = uniform("cx", 0.4 * width, 0.6 * width, seed, s), uniform("cy", 0.4 * length, 0.6 * length, seed, s)
+    kinds = shapes_of(F.col("severity") == "severe", cx, cy, uniform("turn", 0, math.pi, seed, s), "z", width, length, step, seed)
+    dz, where = chosen(kinds, F.col("disease"), F.col("variant"))
     return rows.withColumns({"z": F.col("z") + dz, "label": F.when(where, F.col("target_label")).otherwise(0).cast("int")}).drop("disease", "severity", "variant")
 
 
@@ -124,9 +133,9 @@ def merged_label(old: Column, new: Column) -> Column:
     return F.when(F.get(rank, old) > F.get(rank, new), old).otherwise(new)
 
 
-def reflect(points: DataFrame, seed: int = 42) -> DataFrame:
+def reflect(points: DataFrame, seed: int = 42, concrete: Column | None = None) -> DataFrame:
     """Adds intensity: a base of the pavement with noise, shifted by the label."""
-    concrete = F.col("target_label") > 20
+    concrete = F.col("target_label") > 20 if concrete is None else concrete
     base = F.when(concrete, uniform("base", 0.30, 0.50, seed, F.col("scene_id"))).otherwise(uniform("base", 0.10, 0.25, seed, F.col("scene_id")))
     return points.withColumn("intensity", shapes.reflectance(base + 0.02 * normal("shade", seed, F.col("scene_id"), F.col("point_id")), "label"))
 

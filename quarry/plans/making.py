@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.columns import r6
 from ..operators import matrices as X
+from ..operators import scenes as Z
 from ..operators import shapes as H
 from ..operators import validate as C
 from . import views as V
-from .preparation import DIM, SMALL, rounded, small
+from .preparation import DIM, SMALL, _draw, rounded, small
 from .registry import query
 from .registry import r6 as q6
 
@@ -325,3 +326,35 @@ STEPS = ", ".join(f"y{k} AS (SELECT i, sum(v * x) AS y FROM g JOIN x{k} ON j = p
 def spectral_norm(spark, folder):
     """The largest singular value of the products' matrix, which is symmetric."""
     return rounded(X.spectral_norm(products(spark, folder)), "norm")
+
+
+def scene_tasks(spark, folder):
+    """A scene for each supplier; every fifth has no target."""
+    target = F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey") % 37 + 1).cast("int")
+    return V.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("scene_id"), target.alias("target_label"))
+
+
+def _u(*parts):
+    return f"(({_draw(42, *parts)} + 0.5) / 4294967296.0)"
+
+
+PLAN = f"""t AS (SELECT s_suppkey AS scene_id, CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_suppkey % 37 + 1 AS INTEGER) END AS target FROM supplier),
+  s AS (SELECT *, CASE WHEN target > 20 THEN 'concrete' WHEN target > 0 THEN 'asphalt' WHEN {_u("'pavement'", 'scene_id')} < 0.3 THEN 'concrete' ELSE 'asphalt' END AS pave FROM t),
+  k AS (SELECT scene_id, target, label, disease, severity, concat_ws('/', disease, variant) AS kind, coalesce(label = target, FALSE) AS own FROM s JOIN {DIM} ON pavement = pave AND label > 0),
+  f AS (SELECT *, max(CASE WHEN own THEN kind END) OVER (PARTITION BY scene_id) AS same FROM k),
+  c AS (SELECT * FROM f WHERE own OR ((severity = '-' OR disease = 'bleeding' OR severity = CASE WHEN {_u("'severity'", 'scene_id', 'kind')} < 0.4 THEN 'severe' ELSE 'light' END) AND NOT coalesce(kind = same, FALSE))),
+  r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY own DESC, -ln({_u("'choice'", 'scene_id', 'kind')}), label) <= 3)"""
+
+
+@query(f"WITH {PLAN} SELECT scene_id, target AS target_label, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY coalesce(o, 99), label) AS INTEGER) AS place, label, kind FROM r LEFT JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in L.APPLY_ORDER.items()) + ") a(name, o) ON name = disease")
+def scene_plans(spark, folder):
+    """The damages of each scene in the order in which they are applied."""
+    rows = Z.planned(scene_tasks(spark, folder), beside=2).select("scene_id", "target_label", F.posexplode("damages").alias("p", "d"))
+    return rows.select("scene_id", "target_label", (F.col("p") + 1).alias("place"), "d.label", F.concat_ws("/", "d.disease", "d.variant").alias("kind"))
+
+
+@query()
+def scene_synthesis(spark, folder):
+    """A whole scene for each supplier: points, mean height and intensity of each of its labels."""
+    made = Z.generate(scene_tasks(spark, folder), width=2.4, length=2.4, step=0.08, points=600)
+    return made.groupBy("scene_id", "target_label", "label").agg(F.count("*").alias("points"), F.avg("z").alias("z"), F.avg("intensity").alias("intensity"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import labels as L
-from quarry.operators import balance, gap, metrics, prepare, sampling, spatial, synthesis, validate
+from quarry.operators import balance, gap, matrices, metrics, prepare, sampling, scenes, spatial, synthesis, validate
 from quarry.plans import views as V
 
 
@@ -145,23 +145,23 @@ def test_validation_contract(spark):
 
 
 @pytest.fixture(scope="module")
-def scenes(spark, tmp_path_factory):
+def made(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("scenes") / "all")
     synthesis.generate(synthesis.tasks(spark, list(range(1, 38))), points=1024).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
-def test_every_label_reaches_its_scene(scenes):
-    per = scenes.groupBy("scene_id", "target_label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("target_label")).cast("int")).alias("own"), F.countDistinct("label").alias("labels"))
+def test_every_label_reaches_its_scene(made):
+    per = made.groupBy("scene_id", "target_label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("target_label")).cast("int")).alias("own"), F.countDistinct("label").alias("labels"))
     rows = per.collect()
     assert sorted(r.target_label for r in rows) == list(range(1, 38))
     assert all(r.n == 1024 and r.own > 0 and r.labels <= 2 for r in rows), [(r.target_label, r.own) for r in rows if not r.own]
 
 
-def test_scene_values(scenes):
-    r = scenes.agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("far")).first()
+def test_scene_values(made):
+    r = made.agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("far")).first()
     assert 0 <= r.lo < r.hi <= 1 and r.far == pytest.approx(1)
-    back = prepare.from_unit_ball(scenes).agg(F.max("x").alias("x"), F.min("x").alias("lo")).first()
+    back = prepare.from_unit_ball(made).agg(F.max("x").alias("x"), F.min("x").alias("lo")).first()
     assert -0.1 < back.lo and back.x < 3.1
 
 
@@ -235,3 +235,79 @@ def test_spectral_norm(spark):
     df = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(7) for j in range(4)], "i int, j int, v double")
     assert abs(matrices.spectral_norm(df).first().norm - np.linalg.norm(a, 2)) < 1e-6
     assert matrices.spectral_norm(df.withColumn("v", F.lit(0.0))).first().norm == 0
+
+
+# --- whole scenes -----------------------------------------------------------------------------
+
+SIDE = {"width": 2.4, "length": 2.4, "step": 0.08}
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    tasks = synthesis.tasks(spark, list(range(1, 38))).unionAll(spark.createDataFrame([(100 + k, None) for k in range(4)], "scene_id long, target_label int"))
+    return scenes.generate(tasks, points=500, **SIDE).cache()
+
+
+def test_whole_scenes_hold_their_labels(spark, whole):
+    plan = {r.scene_id: r for r in scenes.planned(synthesis.tasks(spark, list(range(1, 38))), 2.4, 2.4).collect()}
+    rows = whole.groupBy("scene_id", "target_label").agg(F.collect_set("label").alias("labels"), F.count("*").alias("n")).collect()
+    assert len(rows) == 41
+    for r in rows:
+        if r.target_label:
+            assert r.target_label in r.labels and set(r.labels) <= {0, *(d.label for d in plan[r.scene_id].damages)}, r
+    assert all(0 < r.n <= 500 for r in rows) and all(len(r.labels) > 1 for r in rows if r.target_label is None)
+
+
+def test_plans_are_in_order(spark):
+    for r in scenes.planned(synthesis.tasks(spark, list(range(1, 38))), beside=3).collect():
+        assert len(r.damages) == 4 and sum(d.label == r.target_label for d in r.damages) == 1
+        assert [d.order for d in r.damages] == sorted(d.order for d in r.damages)
+        assert len({(d.disease, d.variant) for d in r.damages}) == 4 and {L.RECIPES[d.label][0] for d in r.damages} == {r.pavement}
+
+
+def test_fold_is_one_damage_after_the_other(spark):
+    """Folding over three damages equals three folds over one each, which carry height, label and gone."""
+    plan = scenes.planned(synthesis.tasks(spark, [10, 12, 22, 37, 20]), 2.4, 2.4, beside=2)
+    points = synthesis.surface(plan, 2.4, 2.4, 0.08).cache()
+    args = (2.4, 2.4, 0.08)
+    at_once = scenes.applied(points, *args)
+    rows = points
+    for k in range(3):
+        one = F.expr(f"slice(everything, {k + 1}, 1)")
+        rows = scenes.applied((rows if k else rows.withColumn("everything", F.col("damages"))).withColumn("damages", one), *args).cache()
+    take = lambda df: {(r.scene_id, r.point_id): (round(r.z, 9), r.label, r.gone) for r in df.collect()}
+    whole = take(at_once)
+    assert whole == take(rows) and len({v[1] for v in whole.values()}) > 5
+
+
+def test_ravelled_points_go_and_their_label_spreads(spark):
+    plan = scenes.planned(synthesis.tasks(spark, [12]), 2.4, 2.4)
+    hit = scenes.applied(synthesis.surface(plan, 2.4, 2.4, 0.08), 2.4, 2.4, 0.08).cache()
+    gone, n = hit.where("gone").count(), hit.where("x between 0.24 and 2.16 and y between 0.24 and 2.16").count()
+    assert 0.2 < gone / n < 0.4
+    labelled = lambda df: df.where("label = 12 and not gone").count()
+    assert labelled(scenes.spread_ravelling(hit, 0.24)) > labelled(hit) > 0
+
+
+def test_labels_are_carried_without_noise(spark):
+    plan = scenes.planned(synthesis.tasks(spark, [2, 10]), 2.4, 2.4, beside=1)
+    before = synthesis.reflect(scenes.applied(synthesis.surface(plan, 2.4, 2.4, 0.08), 2.4, 2.4, 0.08).drop("damages", "gone"), 42, F.col("pavement") == "concrete").cache()
+    still = scenes.scanned(before, sigma=0.0, jitter=0.0, rate=0.0, mixing=0.0)
+    take = lambda df: {(r.scene_id, r.point_id): (r.label, round(r.intensity, 9)) for r in df.collect()}
+    carried = take(scenes.carried_labels(still, before, 0.0))
+    assert carried and all(take(before)[k] == v for k, v in carried.items())
+    noisy = scenes.carried_labels(scenes.scanned(before, sigma=0.5, mixing=0.0), before, 0.002)
+    assert noisy.where("label between 1 and 8").count() < before.where("label between 1 and 8").count()
+
+
+def test_scan_lines_thin_out_but_leave_small_scenes(spark):
+    points = synthesis.surface(synthesis.tasks(spark, [1]), 2.4, 2.4, 0.08)
+    n = scenes.scan_lines(points, 0.4).count()
+    assert 10 < n < 0.9 * points.count()
+    assert scenes.scan_lines(points.where("point_id < 8"), 0.4).count() == 8
+
+
+def test_scenes_by_voxels(spark):
+    found = scenes.generate(synthesis.tasks(spark, [9, 33]), density=30.0, mixing=0.0, **SIDE)
+    n = found.groupBy("scene_id").count().collect()
+    assert len(n) == 2 and all(50 < r["count"] <= (2.4 / (1 / 30) ** 0.5 + 2) ** 2 for r in n)
