@@ -57,7 +57,8 @@ def planned(tasks: DataFrame, width: float = 3.0, length: float = 3.0, extra: in
 def applied(points: DataFrame, width: float, length: float, step: float, seed: int = 42) -> DataFrame:
     """Folds each point over its scene's damages: z and label change, and gone tells the points that break out.
 
-    points has label and gone, or starts with label 0 and nothing gone.
+    points has label and gone, or starts with label 0 and nothing gone.  The result is kept in the shared folder: the optimiser would
+    repeat the fold wherever a later step names the label.
     """
     if "label" not in points.columns:
         points = points.withColumns({"label": F.lit(0), "gone": F.lit(False)})
@@ -76,7 +77,7 @@ def applied(points: DataFrame, width: float, length: float, step: float, seed: i
 
     start = F.struct(F.col("z").cast("double").alias("z"), F.col("label").cast("int").alias("label"), F.col("gone").alias("gone"))
     folded = points.withColumn("__state", F.aggregate(F.coalesce("damages", F.array().cast(points.schema["damages"].dataType)), start, meet))
-    return folded.withColumns({c: F.col(f"__state.{c}") for c in ("z", "label", "gone")}).drop("__state")
+    return settled(folded.withColumns({c: F.col(f"__state.{c}") for c in ("z", "label", "gone")}).drop("__state"))
 
 
 def scan_lines(points: DataFrame, spacing: float, decay: float = 0.3, seed: int = 42) -> DataFrame:
@@ -140,7 +141,7 @@ def generate(
     made = synthesis.micro_texture(synthesis.surface(plan, width, length, step, roughness, seed), seed=seed)
     if spacing:
         made = scan_lines(made, spacing, seed=seed)
-    made = settled(applied(made, width, length, step, seed).drop("damages"))
+    made = applied(made, width, length, step, seed).drop("damages")
     before = spread_ravelling(made, 3 * step).where(~F.col("gone")).drop("gone")
     before = settled(synthesis.reflect(before, seed, F.col("pavement") == "concrete"))
     noisy = settled(scanned(before, sigma, jitter, rate, mixing, seed=seed))
