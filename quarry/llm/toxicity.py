@@ -2,13 +2,15 @@
 
 The kernel counts common subsequences of three letters (a word's start is one), gaps allowed: each occurrence that spans
 s letters weighs decay ** s, and spans over `SPAN` letters count as 0.  So `idxiot` or `i.d.i.o.t` stay
-near `idiot`.  Landmarks give the Nyström map of the kernel: first the words that most sentences of either label hold,
+near `idiot`; a digit or sign counts as no letter, so `id1ot` is `idot`.  Landmarks give the Nyström map of the kernel: first the words that most sentences of either label hold,
 then in each round the examples that the machine of the round before got most wrong, its support vectors.
 
 The machine (linear in that map, squared hinge loss) is trained on labelled sentences: a sentence's decision is the highest
 of its words' ones.  Every word of a sentence labelled 0 is an example of that label.  A sentence
 labelled 1 gives its witness, the highest word by the machine of the round before (in the first round by how much more often
-sentences of that label hold it), and each word as far as that label surely holds it more often.  Because the map is
+sentences of that label hold it), and each word as far as that label surely holds it more often.  Both come with gapped copies, one
+letter put in or left out, so that the machine learns what a gap costs; a copy that is a word of a sentence labelled 0 isn't
+one.  A word that no sentence holds and that differs from an insult by one letter (`looser`) is taken for its copy.  Because the map is
 linear in the kernel values, the machine folds into one weight for each subsequence.  A logistic
 function of the sentence's decision, fitted on the same sentences, is its score.
 
@@ -25,8 +27,11 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from itertools import groupby
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from ._shared import forget, written
 from ._streams import pieces
 
-DECAY = 0.7
+DECAY = 0.85
 SPAN = 6
 #: Letters of a word; what is longer isn't a word but an encoding or a run-on, and goes through windows.
 WORD_LETTERS = 40
@@ -44,6 +49,8 @@ WORD_LETTERS = 40
 WIDTHS, HELD = (6, 9, 12), 4000
 #: Labelled rows of each label that may be fitted on, about; first landmarks, and support vectors of either label added in a round.
 FIT_ROWS, LANDMARKS, HARD = 1000, 240, (150, 75)
+#: Weight of all gapped copies of a witness against its own, and letters that a word must have to get copies.
+GAPPED, COPIED = 1.0, 5
 #: Rounds of witnesses, and steps of Newton's method in each at most.
 ROUNDS, STEPS = 3, 10
 PENALTY = 0.001
@@ -111,6 +118,15 @@ def _features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, key, total / norm[word]
 
 
+def gapped(word: str) -> list[str]:
+    """Copies of a word with one foreign letter put in (drawn by the word and the place), and with one inner letter left out."""
+    if len(word) < COPIED:
+        return []
+    draw = random.Random(word)
+    foreign = [c for c in ascii_lowercase if c not in word] or list(ascii_lowercase)
+    return [word[:k] + draw.choice(foreign) + word[k:] for k in range(1, len(word))] + [word[:k] + word[k + 1 :] for k in range(1, len(word) - 1)]
+
+
 def kernel(x: str, y: str) -> float:
     """The normalised kernel of two words (0 if one has fewer than three letters)."""
     word, key, value = _features([letters_of(x), letters_of(y)])
@@ -350,14 +366,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
     mapped = Map(list(dict.fromkeys(top)))
     w = np.zeros(mapped.matrix.shape[1] + 1)
     for turn in range(ROUNDS):
-        examples = written(_projected(counted, mapped), "toxicity-examples")
+        pool = counted.select("word", "up", "down").unionByName(_copies(counted, witnesses, n_bad))
+        examples = written(_projected(pool, mapped), "toxicity-examples")
         own = mapped(witnesses)
         w = _train(w, lambda w, own=own: _sums(examples, w) + _step(own, np.full(len(own), 1 / n_bad), 1.0, w), PENALTY, STEPS)
         forget(examples)
         machine = Machine(mapped.weights(w[:-1]), float(w[-1]))
         if turn + 1 < ROUNDS:
             d = F.col("d")
-            decided = counted.mapInArrow(_deciding(machine), "word string, up double, down double, d double")
+            decided = pool.mapInArrow(_deciding(machine), "word string, up double, down double, d double")
             wrong = [r.word for side, sign, n in (("down", 1, HARD[0]), ("up", -1, HARD[1])) for r in decided.orderBy(F.desc(F.col(side) * F.greatest(F.lit(0.0), 1 + sign * d) ** 2), "word").limit(n).collect()]
             witnesses = [r.word for r in held.where("label = 1").mapInArrow(_deciding(machine, ("word", "sid")), "word string, sid long, d double").groupBy("sid").agg(F.max(F.struct("d", "word")).alias("best")).select("best.word").collect()]
             before, mapped = mapped, Map(list(dict.fromkeys(mapped.landmarks + wrong)))
@@ -373,6 +390,22 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_rows:
     return machine
 
 
+def _copies(counted: DataFrame, witnesses: list[str], n_bad: int) -> DataFrame:
+    """word, up and down of the gapped copies of witnesses and of words surely held more often by label 1.
+
+    Copies of a word share `GAPPED` times its weight; those that a sentence labelled 0 holds as words are left out.
+    """
+    own = counted.sparkSession.createDataFrame([(w, n / n_bad) for w, n in sorted(Counter(witnesses).items())], "word string, up double")
+
+    def run(batches):
+        for batch in pieces(batches):
+            found = [(copy, weight / len(copies)) for word, weight in zip(*(c.to_pylist() for c in batch.columns)) if (copies := gapped(word)) for copy in copies]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([GAPPED * x for _, x in found], pa.float64())], ["word", "up"])
+
+    copies = counted.where("up > 0").select("word", "up").unionByName(own).mapInArrow(run, "word string, up double").groupBy("word").agg(F.sum("up").alias("up"))
+    return copies.join(counted.where("down > 0").select("word"), "word", "left_anti").withColumn("down", F.lit(0.0))
+
+
 def _projected(counted: DataFrame, mapped: Map) -> DataFrame:
     """x (the map's row of each word, in 16 bits) with the weights up and down of the word as an example of either label."""
 

@@ -220,7 +220,9 @@ def brute_machine(sentences, rounds):
         size = math.sqrt(sum(v * v for v in out.values()))
         return {g: v / size for g, v in out.items()}
 
-    rows = [grams(w) for w in vocabulary]
+    copies = {w: toxicity.gapped(w) for w in vocabulary}
+    extra = sorted({c for cs in copies.values() for c in cs if not any(c in ws for ws, k in sentences if k == 0)})
+    rows = [grams(w) for w in vocabulary + extra]
     names = sorted({g for r in rows for g in r})
     x = np.array([[r.get(g, 0.0) for g in names] + [1.0] for r in rows])
     n = {k: sum(1 for _, label in sentences if label == k) for k in (0, 1)}
@@ -233,6 +235,11 @@ def brute_machine(sentences, rounds):
         best = [max(ws, key=lambda w: (order[vocabulary.index(w)], w)) for ws, k in sentences if k == 1]
         plus = up + np.array([best.count(w) / n[1] for w in vocabulary])
         minus = good / n[0]
+        shares = Counter()
+        for w, weight in zip(vocabulary, plus):
+            for c in copies[w]:
+                shares[c] += toxicity.GAPPED * weight / len(copies[w])
+        plus, minus = np.concatenate((plus, [shares[c] for c in extra])), np.concatenate((minus, np.zeros(len(extra))))
 
         def loss(w):
             return plus @ np.maximum(0, 1 - x @ w) ** 2 + minus @ np.maximum(0, 1 + x @ w) ** 2 + w @ ridge @ w
@@ -273,6 +280,77 @@ def test_toxicity_accuracy(spark, data):
     assert right >= 0.95 and caught >= 0.9 and both.score.between(0, 1).all()
 
 
+def test_gapped_copies():
+    """One letter more at each inner place, or one inner letter less; short words have none."""
+    found = toxicity.gapped("moron")
+    assert len(found) == len(set(found)) == 7 and found == toxicity.gapped("moron") and toxicity.gapped("scum") == []
+    for copy in found:
+        long, short = ("moron", copy) if len(copy) < 5 else (copy, "moron")
+        assert copy[0] == "m" and copy[-1] == "n" and any(long[:k] + long[k + 1 :] == short for k in range(1, len(long) - 1))
+
+
+def test_toxicity_gaps(spark, data):
+    """Learned insults with one foreign letter or digit put in, or a digit for a letter, are caught; words that are near by letters aren't."""
+    folder = data.replace("sf0.01", "sf0.1")
+    held_out = queries.held_out()
+    labels = toxicity.sampled(spark.read.parquet(f"{folder}/labels.parquet").where(~held_out), "toxic")
+    machine = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet").where(~held_out).select("doc_id", "text").join(labels, "doc_id"))
+    insults = ("trash", "pathetic", "worthless", "idiot", "loser", "disgusting", "clown", "moron", "stupid")
+    draw = random.Random(31)
+    letters = [w[:k] + c + w[k:] for w in insults for k in range(1, len(w)) for c in draw.sample("abcdefghijklmnopqrstuvwxyz", 4)]
+    digits = [w[:k] + "7" + w[k:] for w in insults for k in range(1, len(w))]
+    instead = [w[:k] + "1" + w[k + 1 :] for w in insults for k in range(1, len(w) - 1)]
+    for tried in (letters, digits, instead):
+        assert np.mean([s >= 0.5 for s in machine.scores([f"the house of {w} and" for w in tried])]) >= 0.9
+    for word in ("idiom", "crown", "patriot", "studio", "worth", "strip", "marion", "thrash"):
+        assert machine.score(word) < 0.5, word
+
+
+def brute_decision(machine, text):
+    """A text's decision over explicitly listed subsequences of each reading of its tokens."""
+
+    def decision(word):
+        w, grams = toxicity.START + word, Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    codes = [ord(c) - 96 if "`" <= c <= "z" else 27 + ord(c) % 37 for c in (w[i], w[j], w[k])]
+                    grams[(codes[0] * 64 + codes[1]) * 64 + codes[2]] += toxicity.DECAY ** (k - i + 1)
+        return sum(v * machine.weights[g] for g, v in grams.items()) / math.sqrt(sum(v * v for v in grams.values())) + machine.offset
+
+    def windows(word):
+        return [word[at : at + n] for n in toxicity.WIDTHS for at in range(len(word) - n + 1)]
+
+    found, run = [], ""
+    for token in [*text.split(), "end"]:
+        low = token.lower()
+        letters = "".join(c for c in low if c.isalpha())
+        if len(letters) < 3:
+            run, single = run + letters, len(letters) if not run else -1
+            singles = run and single != len(run)
+            continue
+        if len(run) > 2 and singles:
+            found += ([run] if len(run) <= toxicity.WORD_LETTERS else []) + windows(run)
+        run = ""
+        found.append(letters)
+        if letters != low:
+            found += [p for p in re.split(r"[\W\d_]+", low) if len(p) > 2]
+    found.pop()
+    read = [v for w in found for v in ([w] if len(w) <= toxicity.WORD_LETTERS else windows(w))]
+    return max([-1.0, *map(decision, read)])
+
+
+def test_scores_equal_brute_force(spark):
+    """The score path (cached tokens, parts, runs of short tokens, windows) equals explicit subsequences."""
+    rows = [(f"the {w} and {v}", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house", "garden", "bread"))) for w in ws for v in ws for _ in range(5)]
+    machine = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    draw = random.Random(8)
+    bits = ("idiot", "mo-ron", "id1ot", "i", "d", "io", "t", "-", "3", "m.o", "apple,house", "Straße", "x" * 45 + "moron", "gardenbread" * 5, "的話語", "THE", "a", "idiot!!", "brea_d")
+    texts = ["", "- 3", "i d i o t", *(" ".join(draw.choices(bits, k=draw.randint(1, 12))) for _ in range(150))]
+    for turn in range(2):  # the second time from remembered tokens
+        assert machine.sentences(texts) == pytest.approx([brute_decision(machine, t) for t in texts], abs=1e-9)
+
+
 def test_toxicity_odd(spark, odd, empty):
     rows = [(f"the {w} and {v}", k) for k, ws in ((1, ("idiot", "moron")), (0, ("apple", "house"))) for w in ws for v in ws for _ in range(5)]
     labelled = spark.createDataFrame(rows + [(None, 0), ("x", None)], "text string, label int")
