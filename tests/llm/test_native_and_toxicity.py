@@ -224,13 +224,19 @@ def brute_machine(sentences, rounds):
     extra = sorted({c for cs in copies.values() for c in cs if not any(c in ws for ws, k in sentences if k == 0)})
     rows = [grams(w) for w in vocabulary + extra]
     names = sorted({g for r in rows for g in r})
-    x = np.array([[r.get(g, 0.0) for g in names] + [1.0] for r in rows])
+    place = {g: k for k, g in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for k, r in enumerate(rows):
+        x[k, [place[g] for g in r]] = list(r.values())
+    # the solution lies in the span of the rows: the same products in as many coordinates as there are rows
+    left, size, _ = np.linalg.svd(x, full_matrices=False)
+    x = np.hstack((left * size, np.ones((len(rows), 1))))
     n = {k: sum(1 for _, label in sentences if label == k) for k in (0, 1)}
     bad = np.array([sum(w in ws for ws, k in sentences if k == 1) for w in vocabulary], float)
     good = np.array([sum(w in ws for ws, k in sentences if k == 0) for w in vocabulary], float)
     order = np.log((bad + 0.5) / (n[1] + 1) / ((good + 2) / (n[0] + 4))) * np.sqrt(bad + good)
     up = np.maximum(0, (bad - 2 * np.sqrt(bad)) / n[1] - (good + 2 * np.sqrt(good)) / n[0])
-    ridge = np.diag([toxicity.PENALTY] * len(names) + [1e-6])
+    ridge = np.diag([toxicity.PENALTY] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         best = [max(ws, key=lambda w: (order[vocabulary.index(w)], w)) for ws, k in sentences if k == 1]
         plus = up + np.array([best.count(w) / n[1] for w in vocabulary])
