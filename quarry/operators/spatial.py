@@ -1,20 +1,18 @@
 """Neighbours, local geometry, transfer, voxels and rasters.
 
-Pairs are only formed between points whose cells of a grid touch.  `local_geometry` takes a scene as one
-group of a task, in NumPy: it is for scans of bounded size, however many there are.
+Pairs are only formed between points whose cells of a grid touch.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, draw, norm
 from ..functions.settle import settled
+from .tiles import local_geometry, surface_arrays  # noqa: F401
 
 
 #: Widths of the cells in which neighbours are looked for, as multiples of the first guess; what is still open then is compared with its whole scene.
@@ -90,64 +88,6 @@ def curvature(points: DataFrame, k: int = 16, scene: str = "scene_id", point: st
     return near.select(scene, point, share.alias("curvature"), "radius", (F.col("n") / (F.lit(math.pi) * F.col("radius") * F.col("radius"))).alias("density"))
 
 
-def neighbour_arrays(xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest other points of each point, in blocks of rows."""
-    n = len(xyz)
-    k = min(k, n - 1)
-    near, far = np.empty((n, k), np.int64), np.empty((n, k))
-    square = (xyz**2).sum(axis=1)
-    rows = max(1, 8_000_000 // max(n, 1))
-    for at in range(0, n, rows):
-        block = xyz[at : at + rows]
-        d2 = square[at : at + rows, None] + square[None] - 2.0 * block @ xyz.T
-        d2[np.arange(len(block)), np.arange(at, at + len(block))] = np.inf
-        found = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        exact = ((xyz[found] - block[:, None]) ** 2).sum(axis=2)
-        order = np.lexsort((found, exact), axis=1)
-        near[at : at + rows] = np.take_along_axis(found, order, axis=1)
-        far[at : at + rows] = np.sqrt(np.take_along_axis(exact, order, axis=1))
-    return near, far
-
-
-def surface_arrays(xyz: np.ndarray, k: int = 16) -> dict[str, np.ndarray]:
-    """curvature, normal, residual, radius and density of each point of a scene.
-
-    With fewer than four points everything is neutral: flat, normal up.
-    """
-    n = len(xyz)
-    if k < 3:
-        raise ValueError("local geometry needs at least three neighbours")
-    if n < 4:
-        return {"curvature": np.zeros(n), "nx": np.zeros(n), "ny": np.zeros(n), "nz": np.ones(n), "residual": np.zeros(n), "radius": np.full(n, 1e-6), "density": np.zeros(n)}
-    near, far = neighbour_arrays(xyz, k)
-    points = xyz[near]
-    centre = points.mean(axis=1)
-    off = points - centre[:, None]
-    values, vectors = np.linalg.eigh(np.einsum("nki,nkj->nij", off, off) / max(near.shape[1] - 1, 1))
-    normal = vectors[:, :, 0]
-    normal = np.where(normal[:, 2:] < 0, -normal, normal)
-    radius = np.maximum(far[:, -1], 1e-6)
-    return {
-        "curvature": np.clip(values[:, 0] / np.maximum(values.sum(axis=1), 1e-12), 0, 1), "nx": normal[:, 0], "ny": normal[:, 1], "nz": normal[:, 2],
-        "residual": ((xyz - centre) * normal).sum(axis=1), "radius": radius, "density": near.shape[1] / (np.pi * radius**2),
-    }
-
-
-GEOMETRY = ("curvature", "nx", "ny", "nz", "residual", "radius", "density")
-
-
-def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id") -> DataFrame:
-    """scene, point and the columns of GEOMETRY; a scene is one group of a task, in NumPy, and compares all its points."""
-    schema = f"{scene} long, {point} long, " + ", ".join(f"{c} double" for c in GEOMETRY)
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(point)
-        found = surface_arrays(frame[["x", "y", "z"]].to_numpy(float), k)
-        return pd.DataFrame({scene: frame[scene].to_numpy(), point: frame[point].to_numpy(), **found})
-
-    return points.select(F.col(scene).cast("long").alias(scene), F.col(point).cast("long").alias(point), "x", "y", "z").groupBy(scene).applyInPandas(one, schema)
-
-
 def observable_features(geometry: DataFrame, limit: float = 3.0) -> DataFrame:
     """intensity_n, curvature and the residual in units of the radius within +-limit, as float."""
     return geometry.withColumns({"residual": clip(F.col("residual") / F.col("radius"), -limit, limit).cast("float"), "curvature": F.col("curvature").cast("float"), "intensity_n": F.col("intensity_n").cast("float")})

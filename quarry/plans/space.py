@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import gap as G
 from ..operators import prepare as P
 from ..operators import spatial as S
+from ..operators.tiles import GEOMETRY
 from . import views as V
 from .preparation import BOX, SMALL, _cell, _draw, rounded, small
 from .registry import query
@@ -32,13 +33,31 @@ def local_curvature(spark, folder):
     return rounded(S.curvature(small(spark, folder)), "curvature", "radius", "density")
 
 
-@query()
+def _cross(p, q):
+    return f"({p[1]})*({q[2]})-({p[2]})*({q[1]})", f"({p[2]})*({q[0]})-({p[0]})*({q[2]})", f"({p[0]})*({q[1]})-({p[1]})*({q[0]})"
+
+
+# the smallest eigenvalue v in closed form, made sharper by Newton's steps; its vector stands across two rows of the matrix less v
+_M = (("a-v", "d", "e"), ("d", "b-v", "f"), ("e", "f", "c-v"))
+_ACROSS = ", ".join("struct_pack(s := (({0})**2 + ({1})**2 + ({2})**2), x := {0}, y := {1}, z := {2})".format(*_cross(_M[i], _M[j])) for i, j in ((0, 1), (0, 2), (1, 2)))
+GEOMETRY_L = V.CLOUD_L + f""", near_l AS (SELECT a.*, b.x AS n_x, b.y AS n_y, b.z AS n_z, {D2} AS d2
+  FROM cloud_l a JOIN cloud_l b ON a.scene_id = b.scene_id AND a.point_id <> b.point_id QUALIFY row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {D2}, b.point_id) <= 16),
+  cov AS (SELECT scene_id, point_id, any_value(x) - avg(n_x) AS ox, any_value(y) - avg(n_y) AS oy, any_value(z) - avg(n_z) AS oz, any_value(intensity) AS intensity, covar_samp(n_x, n_x) AS a, covar_samp(n_y, n_y) AS b, covar_samp(n_z, n_z) AS c,
+    covar_samp(n_x, n_y) AS d, covar_samp(n_x, n_z) AS e, covar_samp(n_y, n_z) AS f, greatest(sqrt(max(d2)), 1e-6) AS radius, count(*) AS n FROM near_l GROUP BY ALL),
+  eig AS (SELECT *, (a+b+c)/3 AS q FROM cov), eig2 AS (SELECT *, sqrt(((a-q)*(a-q)+(b-q)*(b-q)+(c-q)*(c-q)+2*(d*d+e*e+f*f))/6) AS p FROM eig),
+  eig3 AS (SELECT *, least(greatest(((a-q)*((b-q)*(c-q)-f*f) - d*(d*(c-q)-f*e) + e*(d*f-(b-q)*e)) / (2*p*p*p), -1), 1) AS r FROM eig2), root0 AS (SELECT *, q + 2*p*cos(acos(r)/3 + 2*pi()/3) AS v FROM eig3),
+  {", ".join(f"root{k + 1} AS (SELECT * REPLACE (v + ((a-v)*((b-v)*(c-v)-f*f) - d*(d*(c-v)-f*e) + e*(d*f-(b-v)*e)) / ((b-v)*(c-v)-f*f + (a-v)*(c-v)-e*e + (a-v)*(b-v)-d*d) AS v) FROM root{k})" for k in range(3))},
+  across AS (SELECT *, list_max([{_ACROSS}]) AS m FROM root3), upward AS (SELECT *, sqrt(m.s) * CASE WHEN m.z < 0 THEN -1 ELSE 1 END AS s FROM across),
+  geometry_l AS (SELECT scene_id, point_id, least(greatest(v / greatest(a+b+c, 1e-12), 0), 1) AS curvature, m.x / s AS nx, m.y / s AS ny, m.z / s AS nz, (ox * m.x + oy * m.y + oz * m.z) / s AS residual, radius, n / (pi() * radius * radius) AS density, intensity FROM upward)"""
+
+
+@query(f"WITH {GEOMETRY_L} SELECT scene_id, point_id, {', '.join(f'{q6(c)} AS {c}' for c in GEOMETRY)} FROM geometry_l")
 def local_geometry(spark, folder):
-    """Geometry of all points of the large cloud, a scene a task group."""
-    return S.local_geometry(V.cloud_l(spark, folder))
+    """Geometry of all points of the large cloud."""
+    return rounded(S.local_geometry(V.cloud_l(spark, folder)), *GEOMETRY)
 
 
-@query()
+@query(f"""WITH {GEOMETRY_L} SELECT scene_id, point_id, least(greatest(intensity, 0), 1)::FLOAT AS intensity_n, curvature::FLOAT AS curvature, least(greatest(residual / radius, -3), 3)::FLOAT AS residual FROM geometry_l""")
 def observable_features(spark, folder):
     cloud = V.cloud_l(spark, folder)
     guarded = P.guard_intensity(cloud).select("scene_id", "point_id", "intensity_n")
@@ -251,9 +270,12 @@ def domain_report(spark, folder):
     return rounded(out, *(f"{s}_{c}" for s in "ab" for c in FIGURES[1:]), "wasserstein", "energy", "mmd")
 
 
-@query()
+@query(f"""WITH {GEOMETRY_L}, kinds AS (SELECT scene_id, unnest([struct_pack(descriptor := 'density_per_m2', v := density), struct_pack(descriptor := 'normal_tilt_rad', v := acos(least(greatest(nz, -1), 1))), struct_pack(descriptor := 'pca_curvature', v := curvature),
+  struct_pack(descriptor := 'height_residual_m', v := abs(residual)), struct_pack(descriptor := 'signed_height_residual_over_radius', v := least(greatest(residual / radius, -3), 3)), struct_pack(descriptor := 'intensity', v := least(greatest(intensity, 0), 1))]) AS k FROM geometry_l)
+  SELECT scene_id, k.descriptor AS descriptor, count(*) AS n, {q6("avg(k.v)")} AS mean, {q6("min(k.v)")} AS low, {q6("max(k.v)")} AS high FROM kinds GROUP BY ALL""")
 def scene_descriptors(spark, folder):
     """Descriptors of all points of the large cloud, summed up by scene."""
     cloud = V.cloud_l(spark, folder)
     geometry = S.local_geometry(cloud).join(cloud.select("scene_id", "point_id", "intensity"), ["scene_id", "point_id"])
-    return G.descriptors(geometry).groupBy("scene_id", "descriptor").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    found = G.descriptors(geometry).groupBy("scene_id", "descriptor").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return rounded(found, "mean", "low", "high")

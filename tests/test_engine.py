@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import labels as L
-from quarry.operators import balance, gap, matrices, metrics, prepare, sampling, scenes, spatial, synthesis, validate
+from quarry.operators import balance, gap, matrices, metrics, prepare, sampling, scenes, spatial, synthesis, tiles, validate
 from quarry.plans import views as V
 
 
@@ -309,3 +309,55 @@ def test_scenes_by_voxels(spark):
     found = scenes.generate(synthesis.tasks(spark, [9, 33]), density=30.0, mixing=0.0, **SIDE)
     n = found.groupBy("scene_id").count().collect()
     assert len(n) == 2 and all(50 < r["count"] <= (2.4 / (1 / 30) ** 0.5 + 2) ** 2 for r in n)
+
+
+def geometry_by_force(rows, k=16):
+    """Geometry of a scene's (point, x, y, z), a point at a time."""
+    rows = sorted(rows)
+    out = {}
+    for p, *at in rows:
+        if len(rows) < 4:
+            out[p] = (0, 0, 0, 1, 0, 1e-6, 0)
+            continue
+        near = sorted((sum((a - b) ** 2 for a, b in zip(at, other)), q, other) for q, *other in rows if q != p)[:k]
+        places = np.array([x for _, _, x in near])
+        values, vectors = np.linalg.eigh(np.cov(places.T))
+        normal = vectors[:, 0] * (-1 if vectors[2, 0] < 0 else 1)
+        radius = max(near[-1][0] ** 0.5, 1e-6)
+        curvature = min(max(values[0] / max(values.sum(), 1e-12), 0), 1)
+        out[p] = (curvature, *normal, float((np.array(at) - places.mean(axis=0)) @ normal), radius, len(near) / (np.pi * radius**2))
+    return out
+
+
+@pytest.mark.parametrize("tile", [24, 2048])
+def test_geometry_by_tiles_equals_brute_force(spark, tile):
+    """Scenes of one tile and of many, a stray return, ties, a place with more points than a tile, scenes with few points."""
+    rng = np.random.default_rng(7)
+    flat = np.column_stack((rng.uniform(0, 20, (300, 2)), rng.normal(0, 0.01, 300)))
+    lattice = np.array([(x / 2, y / 2, (x * y % 3) / 8) for x in range(12) for y in range(12)], float)
+    clusters = np.vstack((rng.normal(0, 1e-3, (120, 3)), rng.normal(0, 1, (20, 3)) ** 3 + 8, np.repeat([[1.0, 2.0, 3.0]], 40, axis=0), np.repeat([[-1.0, 2.0, 3.0]], 6, axis=0)))
+    scenes = {1: np.vstack((flat, [[1500.0, 3.0, 1.0]])), 2: lattice, 3: clusters, 4: flat[:3], 5: flat[:9], 6: np.zeros((30, 3)), 7: flat[:1]}
+    rows = [(s, (37 * k) % len(xyz) if len(xyz) % 37 else k, *map(float, p), "extra") for s, xyz in scenes.items() for k, p in enumerate(xyz)]
+    odd = [(1, 9001, None, 0.0, 0.0, ""), (1, 9002, float("nan"), 0.0, 0.0, ""), (1, 9003, float("inf"), 0.0, 0.0, ""), (None, 5, 0.0, 0.0, 0.0, ""), (1, None, 0.0, 0.0, 0.0, "")]
+    df = spark.createDataFrame(rows + odd, "scene_id long, point_id long, x double, y double, z double, c_x string")
+    got = {(r[0], r[1]): r[2:] for r in map(tuple, tiles.local_geometry(df, tile=tile).collect())}
+    want = {(s, p): v for s in scenes for p, v in geometry_by_force([r[1:5] for r in rows if r[0] == s]).items()}
+    assert got.keys() == want.keys()
+    settled_normal = [key for key in want if want[key][0] > 1e-9 or key[0] == 4]  # the normal of neighbours on a line is any across it
+    assert len(settled_normal) > 400
+    for key in want:
+        columns = range(7) if key in settled_normal else (0, 5, 6)
+        assert np.allclose([got[key][c] for c in columns], [want[key][c] for c in columns], rtol=1e-7, atol=1e-7), key
+    assert tiles.local_geometry(df.where("scene_id < 0"), tile=tile).count() == 0
+
+
+def test_tiles_are_bounded_and_hold_each_point_once(spark):
+    """All points stand in exactly one tile; tiles of the same scene don't overlap and hold at most so many points."""
+    rows = spark.range(4000).selectExpr("1L as scene", "pow(rand(1), 6) * 100 x", "pow(rand(2), 6) * 100 y", "rand(3) z")
+    full = float(1 << tiles.DEPTH)
+    placed = rows.select("*", *(F.floor(F.col(a) / 101 * full).cast("int").alias(f"f_{a}") for a in "xyz"), F.lit(4000).alias("total"))
+    found = tiles.nodes(placed, 50).collect()
+    assert sum(r.n for r in found) == 4000 and max(r.n for r in found) <= 50 and len({r.depth for r in found}) > 3
+    cells = {(r.depth, r.c_x, r.c_y, r.c_z) for r in found}
+    assert len(cells) == len(found)
+    assert not any((d - up, x >> up, y >> up, z >> up) in cells for d, x, y, z in cells for up in range(1, d + 1))
