@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import labels as L
-from quarry.operators import balance, gap, matrices, metrics, prepare, sampling, scenes, spatial, synthesis, tiles, validate
+from quarry.operators import balance, cracks, gap, matrices, metrics, prepare, sampling, scenes, spatial, synthesis, tiles, validate
 from quarry.plans import views as V
 
 
@@ -361,3 +361,50 @@ def test_tiles_are_bounded_and_hold_each_point_once(spark):
     cells = {(r.depth, r.c_x, r.c_y, r.c_z) for r in found}
     assert len(cells) == len(found)
     assert not any((d - up, x >> up, y >> up, z >> up) in cells for d, x, y, z in cells for up in range(1, d + 1))
+
+
+def test_lattice_noise(spark):
+    """Repeats with the lattice, is bounded by the octaves' heights, meets its corners, and doesn't jump."""
+    rows = spark.range(400).selectExpr("id", "id / 97.0D - 1.5 x", "id / 53.0D - 3 y")
+    at = lambda dx: np.array([r.v for r in rows.select("id", cracks.value_noise(F.col("x") + dx, "y", 3).alias("v")).orderBy("id").collect()])
+    first = at(0.0)
+    assert np.abs(first).max() < 1.875 and first.std() > 0.1
+    assert np.allclose(first, at(2.0), atol=1e-9)
+    one = spark.range(50).selectExpr("id / 350.0D x").select(cracks.value_noise("x", F.lit(0.0), 3, octaves=1).alias("v"))
+    v = np.array([r.v for r in one.collect()])
+    assert np.allclose(np.diff(v), np.diff(v)[0], atol=1e-9)  # between two corners it's a straight line
+    assert not np.allclose(first, [r.v for r in rows.select(cracks.value_noise("x", "y", 4).alias("v")).collect()])
+
+
+def test_points_within_reach_of_a_crack_equal_brute_force(spark):
+    """Every point within reach of a curve is found, with the width between knots; odd rows take no part."""
+    rng = np.random.default_rng(3)
+    curves = [(s, c, *map(float, rng.uniform(-2, 2, 8)), "b") for s in (1, 2) for c in range(4)] + [(2, 9, *([0.5] * 8), "b"), (2, 10, None, *([0.5] * 7), "b"), (None, 11, *([0.5] * 8), "b")]
+    curves = spark.createDataFrame(curves, "scene_id long, curve_id long, " + ", ".join(f"{a}{n} double" for a in "xy" for n in range(4)) + ", k string")
+    lines = cracks.segments(curves, 16, width_mean=0.2)
+    points = [(s, p, *map(float, rng.uniform(-2, 2, 2)), "a") for s in (1, 2, 3) for p in range(800)] + [(2, 9000, None, 0.0, "a"), (None, 1, 0.0, 0.0, "a"), (2, None, 0.0, 0.0, "a")]
+    cloud = spark.createDataFrame(points, "scene_id long, point_id long, x double, y double, width string")
+    got = {(r.scene_id, r.point_id, r.curve_id): (r.distance, r.k + r.t, r.width, r.dz) for r in cracks.crack(cloud, lines, 0.05, 0.3).collect()}
+    want, parts = {}, {}
+    for r in lines.collect():
+        parts.setdefault((r.scene_id, r.curve_id), []).append(r)
+    assert {key[1] for key in parts} == {0, 1, 2, 3, 9} and all(len(v) == 16 for v in parts.values())
+    for s, p, x, y, _ in points[:2400]:
+        for (scene, curve), held in parts.items():
+            if scene == s:
+                best = None
+                for r in sorted(held, key=lambda r: r.k):
+                    d, a = np.array([r.bx - r.ax, r.by - r.ay]), np.array([r.ax, r.ay])
+                    t = float(np.clip((np.array([x, y]) - a) @ d / (d @ d), 0, 1)) if d @ d >= 1e-12 else 0.0
+                    far = float(np.hypot(*(np.array([x, y]) - a - t * d)))
+                    if best is None or far < best[0]:
+                        best = (far, r.k + t)
+                knots = [r.aw for r in sorted(held, key=lambda r: r.k)] + [max(held, key=lambda r: r.k).bw]
+                width = float(np.interp(best[1], range(17), knots))
+                if best[0] <= max(width, 0.3) / 2:
+                    want[s, p, curve] = (*best, width, -0.05 * np.exp(-((best[0] / (width / 4)) ** 2)) if best[0] <= width / 2 else 0.0)
+    assert got.keys() == want.keys() and len(want) > 300
+    for key in want:
+        assert np.allclose(got[key][0], want[key][0], atol=1e-9) and np.allclose(got[key][2:], want[key][2:], atol=1e-6), key
+    assert cracks.crack(cloud.where("point_id < 0"), lines, 0.05).count() == 0
+    assert cracks.crack(cloud, lines.where("k < 0"), 0.05).count() == 0
