@@ -31,9 +31,10 @@ def value_noise(x: Column | str, y: Column | str, seed: int | Column = 0, octave
     Each octave has `lacunarity` times the frequency and `persistence` times the height of the one before.
     """
     x, y = col(x), col(y)
-    part = lambda c, o: (c * o["f"] - F.floor(c * o["f"])) * float(LATTICE - 1)
-    levels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(persistence**k).alias("h"), F.lit(lacunarity**k / scale).alias("f")) for k in range(octaves)))
-    places = F.transform(levels, lambda o: F.struct(o["k"].alias("k"), o["h"].alias("h"), part(x, o).alias("u"), part(y, o).alias("v")))
+    # the coordinates stay out of the lambdas: in there a name can mean another column of the same select
+    levels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(persistence**k).alias("h"), (x * (lacunarity**k / scale)).alias("u"), (y * (lacunarity**k / scale)).alias("v")) for k in range(octaves)))
+    part = lambda c: (c - F.floor(c)) * float(LATTICE - 1)
+    places = F.transform(levels, lambda o: F.struct(o["k"].alias("k"), o["h"].alias("h"), part(o["u"]).alias("u"), part(o["v"]).alias("v")))
     low = lambda c: F.least(F.floor(c), F.lit(LATTICE - 2))
     cells = F.transform(places, lambda p: F.struct(p["k"].alias("k"), p["h"].alias("h"), low(p["u"]).alias("i"), low(p["v"]).alias("j"), (p["u"] - low(p["u"])).alias("fu"), (p["v"] - low(p["v"])).alias("fv")))
 

@@ -1,5 +1,6 @@
 """Behaviours that SQL in another engine can't check: invariants, fixtures, contracts."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -376,6 +377,25 @@ def test_lattice_noise(spark):
     assert not np.allclose(first, [r.v for r in rows.select(cracks.value_noise("x", "y", 4).alias("v")).collect()])
 
 
+def noise_by_force(x, y, seed):
+    total = 0.0
+    for k in range(4):
+        u, v = ((c * 2.0**k - math.floor(c * 2.0**k)) * 7 for c in (x, y))
+        i, j = min(math.floor(u), 6), min(math.floor(v), 6)
+        corner = lambda a, b: int(hashlib.md5(f"{seed}|noise|{k}|{i + a}|{j + b}".encode()).hexdigest()[:8], 16) / 2**31 - 1  # noqa: B023, E731
+        total += 0.5**k * sum(w * corner(a, b) for a, b, w in ((0, 0, (1 - u + i) * (1 - v + j)), (1, 0, (u - i) * (1 - v + j)), (0, 1, (1 - u + i) * (v - j)), (1, 1, (u - i) * (v - j))))
+    return total
+
+
+def test_noise_of_both_axes_is_of_the_place_before(spark):
+    """Columns that take the names of the coordinates in the same select don't get into the noise."""
+    rows = spark.range(60).selectExpr("id / 17.0D - 1 x", "cos(id) y")
+    moved = rows.select(F.struct("x", "y").alias("p"), (F.col("x") + cracks.value_noise("x", "y", "ax")).alias("x"), (F.col("y") + cracks.value_noise("x", "y", "ay")).alias("y"))
+    for r in moved.collect():
+        x, y = r.p
+        assert np.allclose((r.x, r.y), (x + noise_by_force(x, y, "ax"), y + noise_by_force(x, y, "ay")), atol=1e-9)
+
+
 def test_points_within_reach_of_a_crack_equal_brute_force(spark):
     """Every point within reach of a curve is found, with the width between knots; odd rows take no part."""
     rng = np.random.default_rng(3)
