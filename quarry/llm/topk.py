@@ -4,7 +4,7 @@ The rows are cut into blocks and the queries into blocks; each pair of blocks is
 In it, every row block has one postings list for each component (term), and each query, a sparse
 row of (component, weight), scatters weight times posting into a dense array of scores, one term
 at a time.  A partition selection keeps the k best of the block for each query, and the blocks'
-winners are merged.  Every row meets every query, in groups whose size is fixed by the parameters.
+winners are merged.  Every row meets every query, in groups of bounded bytes and work, whatever the vectors' length.
 
 Scores are integer inner products of floor(scale * x); missing components count as 0.  Ties go to
 the smaller vec_id.
@@ -19,13 +19,14 @@ an OverflowError; empty tables give an empty result; further columns are ignored
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and queries of a block, at most about.  Rows are copied once for each block of queries, so these are large.
-ROW_BLOCK = 65_536
-QUERY_BLOCK = 16_384
+#: Components of a block of rows, at most about (64 MB as 64-bit numbers), and products of a pair of blocks.  Rows are copied once
+#: for each block of queries, so blocks are large; both are counted in components, so long vectors make blocks of fewer rows.
+BLOCK_COMPONENTS = 1 << 23
+BLOCK_PRODUCTS = 1 << 36
 
 
 def quantised(vectors: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -82,37 +83,58 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen].astype(np.int64)))]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score; rows and queries have vec_id and weights."""
+def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of numbers as rows of a matrix, filled up with zeros."""
+    lists = pa.concat_arrays(column.chunks)
+    ends = lists.offsets.to_numpy()
+    values, lengths = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
+    if len(lengths) and (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width), dtype=np.int64)
+    out[np.arange(width) < lengths[:, None]] = values  # row by row, as the values are
+    return out
+
+
+def blocks(rows: int, queries: int, width: int, row_block: int | None = None, query_block: int | None = None) -> tuple[int, int]:
+    """How many blocks of rows and of queries there are, for vectors of at most width components."""
+    row_block = row_block or max(1, BLOCK_COMPONENTS // max(1, width))
+    query_block = query_block or max(1, BLOCK_PRODUCTS // (max(1, width) * row_block))
+    query_block = min(query_block, max(1, BLOCK_COMPONENTS // max(1, width)))
+    return max(1, -(-rows // row_block)), max(1, -(-queries // query_block))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, row_block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score; rows and queries have vec_id and weights.
+
+    row_block and query_block are rows of a block; left out, they follow from the vectors' lengths.
+    """
     queries = queries.groupBy("vec_id").agg(F.min("weights").alias("weights"))
-    n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
+    sizes = [df.agg(F.count("*"), F.coalesce(F.max(F.size("weights")), F.lit(0))).first() for df in (rows, queries)]
+    n_rows, n_queries = blocks(sizes[0][0], sizes[1][0], max(sizes[0][1], sizes[1][1]), row_block, query_block)
     # as many groups as there are shuffle partitions at least, by smaller blocks of rows
     n_rows = max(n_rows, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_queries))
     # each row goes to its block of every query block, each query to its block of every row block
     left = rows.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
     right = queries.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"))
 
-    def block(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(found) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        found = found.sort_values("vec_id", kind="stable")
-        width = max(max(map(len, found["weights"])), max(map(len, asked["weights"])), 1)
-
-        def dense(column):
-            out = np.zeros((len(column), width), dtype=np.int64)
-            for place, weights in enumerate(column):
-                out[place, : len(weights)] = weights
-            return out
-
-        ids, matrix = found["vec_id"].to_numpy(), dense(found["weights"])
-        out = []
-        for at in range(0, len(asked), 64):  # so that the scores stay small
-            part = asked.iloc[at : at + 64]
-            for q, scores in zip(part["vec_id"].tolist(), _accumulate(dense(part["weights"]), matrix)):
-                best = _best(scores, ids, q, k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": scores[best].astype(np.int64)}))
-        return pd.concat(out)
-
-    winners = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(block, "query_id long, vec_id long, score long")
+    def block(key, found: pa.Table, asked: pa.Table) -> pa.Table:
+        query_ids, vec_ids, kept = [], [], []
+        if found.num_rows and asked.num_rows:
+            width = max(1, *(int(np.diff(pa.concat_arrays(t["weights"].chunks).offsets.to_numpy()).max()) for t in (found, asked)))
+            ids = found["vec_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, matrix = ids[order], _dense(found["weights"], width)[order]
+            own, weights = asked["vec_id"].to_numpy(), _dense(asked["weights"], width)
+            step = max(1, min(64, BLOCK_COMPONENTS // len(ids)))  # so that the scores stay small
+            for at in range(0, len(own), step):
+                for q, scores in zip(own[at : at + step].tolist(), _accumulate(weights[at : at + step], matrix)):
+                    best = _best(scores, ids, q, k)
+                    query_ids.append(np.full(len(best), q, dtype=np.int64))
+                    vec_ids.append(ids[best])
+                    kept.append(scores[best].astype(np.int64))
+        joined = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+        return pa.table({"query_id": joined(query_ids), "vec_id": joined(vec_ids), "score": joined(kept)})
+
+    winners = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(block, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return winners.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,31 @@ def test_topk_odd(spark):
     assert topk.search(given, none).count() == 0
 
 
+def test_topk_blocks_are_bounded():
+    """Longer vectors make blocks of fewer rows, and no pair of blocks has more products than the bound."""
+    for width in (1, 64, 768, 1024, 20_000):
+        n_rows, n_queries = topk.blocks(10**9, 10**7, width)
+        rows, asked = -(-(10**9) // n_rows), -(-(10**7) // n_queries)
+        assert rows * width <= topk.BLOCK_COMPONENTS and asked * width <= topk.BLOCK_COMPONENTS and rows * asked * width <= topk.BLOCK_PRODUCTS
+    assert topk.blocks(0, 0, 0) == (1, 1)
+
+
+def test_topk_of_uneven_vectors_equals_brute_force(spark, monkeypatch):
+    """Vectors of several lengths, repeated rows and ties, in many small blocks."""
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", 64)
+    monkeypatch.setattr(topk, "BLOCK_PRODUCTS", 512)
+    rng = np.random.default_rng(5)
+    rows = [(i % 90, [float(x) for x in rng.integers(-2, 3, int(rng.integers(0, 9))) / 2]) for i in range(100)]
+    given = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = [(r.vec_id, r.weights) for r in given.collect()]
+    want = []
+    for q in {v for v, _ in held if v % 20 == 0}:
+        w = min(x for v, x in held if v == q)
+        scored = sorted((-sum(a * b for a, b in zip(w, x)), v) for v, x in held if v != q)[:7]
+        want += [(q, n + 1, v, -s) for n, (s, v) in enumerate(scored)]
+    assert sorted(map(tuple, topk.search(given, given.where("vec_id % 20 = 0"), k=7).collect())) == sorted(want)
+
+
 # --- benchmark decontamination ----------------------------------------------------------------
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
