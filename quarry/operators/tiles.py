@@ -167,7 +167,9 @@ def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", poin
             each = surface_arrays(xyz, k) if len(xyz) < 4 else surfaces(xyz[asked[sure]], xyz[near[sure]], last[sure])
             for c in GEOMETRY:
                 found[c][sure] = each[c][asked] if len(xyz) < 4 else each[c]
-        lists = [None if s else [{"d2": d, "id": int(ids[j]), "x": xyz[j, 0], "y": xyz[j, 1], "z": xyz[j, 2]} for d, j in zip(ds, js)] for s, ds, js in zip(sure, d2.tolist(), near.tolist())]
+        lists = [None] * len(asked)
+        for at in np.flatnonzero(~sure).tolist():
+            lists[at] = [{"d2": d, "id": int(ids[j]), "x": xyz[j, 0], "y": xyz[j, 1], "z": xyz[j, 2]} for d, j in zip(d2[at].tolist(), near[at].tolist())]
         return pd.DataFrame(out | found | {"near": lists})
 
     columns = ", ".join(f"{c} double" for c in (*AXES, *GEOMETRY))
