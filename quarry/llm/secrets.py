@@ -168,7 +168,7 @@ def probability(trees: list, seen: Column) -> Column:
 
 
 def scan(documents: DataFrame, trees: list, text: str = "text", least: float = 0.5, into: str = "findings") -> DataFrame:
-    """Adds the findings of each row, in order: array of (value, before, score)."""
+    """Adds the findings of each row, in order: array of (value, before, score); a column that is already named so is replaced, so name another `into` to keep it."""
     seen = F.transform(candidates(F.col(text)), lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), features(x["value"], x["before"]).alias("seen")))
     scored = F.transform(seen, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), probability(trees, x["seen"]).alias("score")))
     return documents.withColumn(into, F.filter(scored, lambda x: x["score"] >= least))
