@@ -117,19 +117,9 @@ def cells(points: DataFrame, size: float, dims: tuple[str, ...] = ("x", "y")) ->
 
 
 def nearest_within(points: DataFrame, sources: DataFrame, radius: float, scene: str = "scene_id", dims: tuple[str, ...] = ("x", "y"), point: str = "point_id", source: str = "source_id") -> DataFrame:
-    """scene, point, the nearest source within radius (ties to the smaller id) and its distance.
-
-    A range join: sources are copied to the neighbouring cells of a grid as wide as the radius, then
-    it is an equi-join by cell.
-    """
-    left = cells(points, radius, dims)
-    right = cells(sources.select(scene, source, *(F.col(d).alias(d) for d in dims)), radius, dims)
-    for d in dims:
-        right = right.withColumn(f"c_{d}", F.explode(F.array(*(F.col(f"c_{d}") + k for k in (-1, 0, 1)))))
-    right = right.select(scene, source, *(F.col(d).alias(f"s_{d}") for d in dims), *(f"c_{d}" for d in dims))
-    d2 = sum(((F.col(d) - F.col(f"s_{d}")) * (F.col(d) - F.col(f"s_{d}")) for d in dims), F.lit(0.0))
-    pairs = left.join(right, [scene, *(f"c_{d}" for d in dims)]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return pairs.groupBy(scene, point).agg(F.min(F.struct("d2", source)).alias("m")).select(scene, point, F.col(f"m.{source}").alias(source), F.sqrt("m.d2").alias("distance"))
+    """scene, point, the nearest source within radius (ties to the smaller id) and its distance."""
+    found = neighbours(points, sources, 1, scene, point, source, dims, "s_").where(F.col("d2") <= radius * radius)
+    return found.select(scene, point, source, F.sqrt("d2").alias("distance"))
 
 
 def nearest(points: DataFrame, sources: DataFrame, scene: str = "scene_id", point: str = "point_id", source: str = "source_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
