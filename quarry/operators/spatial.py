@@ -16,6 +16,8 @@ from ..functions.settle import kept
 from .tiles import local_geometry, surface_arrays  # noqa: F401
 
 
+#: Points of a task where a step deals them out, and points of the largest scene that goes to one task.
+ROWS, LARGE = 200_000, 1_000_000
 #: Halvings of a scene's box at most.
 DEPTH = 20
 
@@ -134,20 +136,38 @@ def voxels(points: DataFrame, size: float, scene: str = "scene_id", point: str =
     return placed.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values), F.mode(label, True).alias(label), F.count("*").alias("n"))
 
 
+def dealt(points: DataFrame, scene: str) -> tuple[DataFrame, int]:
+    """The points dealt out by scene to as many partitions as their number asks for, so that a task doesn't grow with the input, and 0.
+
+    If a scene has more than LARGE points, the points stay where they are, and the number of partitions comes with them.
+    """
+    n, most = points.groupBy(scene).count().agg(F.sum("count"), F.max("count")).first()
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // ROWS + 1)
+    return (points.repartition(parts, scene), 0) if (most or 0) <= LARGE else (points, parts)
+
+
+def _gridded(points: DataFrame, value: str, scene: str, place, *made: Column) -> DataFrame:
+    """scene, row, col and the aggregates of v, a value, by the cells that place (row and col from the box's columns) gives."""
+    points, parts = dealt(points.select(scene, "x", "y", F.col(value).alias("v")), scene)
+    box = points.groupBy(F.col(scene).alias("__s")).agg(*(f(a).alias(f"__{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    row, col = place
+    placed = points.join(box, F.col(scene) == F.col("__s")).select(scene, row.alias("row"), col.alias("col"), "v")
+    if parts:
+        placed = placed.repartition(parts, scene, "row", "col")
+    return placed.groupBy(scene, "row", "col").agg(*made)
+
+
 def raster(points: DataFrame, value: str, size: int, scene: str = "scene_id") -> DataFrame:
     """scene, row, col, mean and max of a value on a size x size grid over the scene's xy-box; row 0 is on top."""
-    box = points.groupBy(F.col(scene).alias("__s")).agg(*(f(a).alias(f"__{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     at = lambda a: F.least(F.floor((F.col(a) - F.col(f"__lo{a}")) / (F.col(f"__hi{a}") - F.col(f"__lo{a}") + 1e-9) * size).cast("int"), F.lit(size - 1))
-    placed = points.join(box, F.col(scene) == F.col("__s")).select(scene, (F.lit(size - 1) - at("y")).alias("row"), at("x").alias("col"), F.col(value).alias("v"))
-    return placed.groupBy(scene, "row", "col").agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
+    return _gridded(points, value, scene, (F.lit(size - 1) - at("y"), at("x")), F.avg("v").alias("mean"), F.max("v").alias("max"))
 
 
 def bev(points: DataFrame, value: str, size: int = 200, scene: str = "scene_id") -> DataFrame:
     """scene, row, col and mean of a value on a grid that keeps the aspect; the longer side has `size` cells."""
-    box = points.groupBy(F.col(scene).alias("__s")).agg(*(f(a).alias(f"__{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     span = F.greatest(F.greatest(F.col("__hix") - F.col("__lox"), F.col("__hiy") - F.col("__loy")), F.lit(1e-6))
     at = lambda a: F.floor((F.col(a) - F.col(f"__lo{a}")) / span * (size - 1)).cast("int")
-    return points.join(box, F.col(scene) == F.col("__s")).select(scene, at("y").alias("row"), at("x").alias("col"), F.col(value).alias("v")).groupBy(scene, "row", "col").agg(F.avg("v").alias("mean"))
+    return _gridded(points, value, scene, (at("y"), at("x")), F.avg("v").alias("mean"))
 
 
 def _shifted(grid: DataFrame, reach: int, value: str, keys: list[str]) -> DataFrame:
@@ -157,18 +177,23 @@ def _shifted(grid: DataFrame, reach: int, value: str, keys: list[str]) -> DataFr
     return sent.select(*keys, (F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", "v")
 
 
+def _own() -> Column:
+    """Whether a cell that _shifted has sent to is one of the grid's own: it has then sent to itself."""
+    return F.max((F.col("dr") == 0) & (F.col("dc") == 0))
+
+
 def sobel(grid: DataFrame, value: str = "mean", scene: str = "scene_id") -> DataFrame:
     """scene, row, col and edge (gradient size) of the grid's own cells; cells that are missing count as 0."""
     gx = F.col("dc") * (F.lit(2) - F.abs("dr")) * F.col("v")
     gy = F.col("dr") * (F.lit(2) - F.abs("dc")) * F.col("v")
-    sums = _shifted(grid, 1, value, [scene]).groupBy(scene, "row", "col").agg(F.sum(gx).alias("gx"), F.sum(gy).alias("gy"))
-    return grid.select(scene, "row", "col").join(sums, [scene, "row", "col"]).select(scene, "row", "col", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1e-8).alias("edge"))
+    sums = _shifted(grid, 1, value, [scene]).groupBy(scene, "row", "col").agg(F.sum(gx).alias("gx"), F.sum(gy).alias("gy"), _own().alias("__own"))
+    return sums.where("__own").select(scene, "row", "col", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1e-8).alias("edge"))
 
 
 def dilate(grid: DataFrame, flag: str, reach: int = 2, scene: str = "scene_id") -> DataFrame:
     """The grid's cells with flag set where any cell within reach has it."""
-    near = _shifted(grid, reach, flag, [scene]).groupBy(scene, "row", "col").agg(F.max("v").alias(flag))
-    return grid.drop(flag).join(near, [scene, "row", "col"])
+    near = _shifted(grid, reach, flag, [scene]).groupBy(scene, "row", "col").agg(F.max("v").alias(flag), _own().alias("__own"))
+    return near.where("__own").drop("__own")
 
 
 def fit_plane(points: DataFrame, scene: str = "scene_id") -> DataFrame:
