@@ -129,6 +129,43 @@ def nearest(points: DataFrame, sources: DataFrame, scene: str = "scene_id", poin
     return neighbours(points, sources, 1, scene, point, source, dims, "s_").select(scene, point, source, F.sqrt("d2").alias("distance"))
 
 
+def ridges(points: DataFrame, seeds: DataFrame, scene: str = "scene_id", point: str = "point_id", seed: str = "seed_id", k: int = 16) -> DataFrame:
+    """scene, point, its nearest seed (in x and y, ties to the smaller id) and the distance to the boundary of that seed's Voronoi cell.
+
+    The boundary to a seed at distance d is no nearer than (d - r) / 2, where r is the distance of the point's own seed.  So the least
+    distance to a boundary among the k nearest seeds tells how far other seeds can matter; if that is farther than the last of the k, the
+    point meets all seeds of the cells that are so near, and only the least is kept.  Of seeds at one place two are enough, for between
+    them there is no boundary.
+    """
+    copy = F.row_number().over(Window.partitionBy(scene, "x", "y").orderBy(seed))
+    seeds = kept(seeds.select(scene, seed, "x", "y").where(is_finite("x") & is_finite("y")).withColumn("__r", copy).where(F.col("__r") <= 2).drop("__r"))
+    near = neighbours(points, seeds, k, scene, point, seed, ("x", "y"), "s_")
+    near = near.groupBy(scene, point, "x", "y").agg(F.array_sort(F.collect_list(F.struct("d2", seed, "s_x", "s_y"))).alias("__near"))  # k
+    ridge = lambda d2, x, y, f: F.try_divide(d2 - f["d2"], 2.0 * F.sqrt((x - f["s_x"]) ** 2 + (y - f["s_y"]) ** 2))
+    near = near.withColumn("__f", F.get("__near", F.lit(0)))
+    near = near.withColumn("ridge", F.array_min(F.transform("__near", lambda s: ridge(s["d2"], s["s_x"], s["s_y"], F.col("__f")))))
+    near = near.withColumn("__reach", (F.sqrt("__f.d2") + 2.0 * F.col("ridge")) * (1 + 1e-9))
+    sure = (F.size("__near") < k) | F.coalesce(F.sqrt(F.element_at("__near", -1)["d2"]) >= F.col("__reach"), F.lit(False))
+    found = kept(near.where(F.size("__near") > 1).select(scene, point, "x", "y", "__f", "ridge", "__reach", sure.alias("__sure")))
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    deep = F.least(F.lit(DEPTH), F.ceil(F.log2(F.count("*") + 1.0))).cast("int")
+    box = kept(seeds.groupBy(scene).agg(F.min("x").alias("__lox"), F.min("y").alias("__loy"), extent.alias("__span"), deep.alias("__deep")))
+    at = lambda value, d: F.floor((value - F.col(f"__lo{d}")) / F.col("__span") * F.pow(F.lit(2.0), F.col("__depth")))
+    there = seeds.join(box, scene).withColumn("__depth", F.explode(F.sequence(F.lit(0), F.col("__deep"))))
+    there = there.select(scene, "__depth", *(at(F.col(d), d).alias(f"__c{d}") for d in "xy"), F.col(seed).alias("__s"), F.col("x").alias("s_x"), F.col("y").alias("s_y"))
+    here = found.where("not __sure").join(box, scene)
+    here = here.withColumn("__depth", F.greatest(F.lit(0), F.least("__deep", F.floor(F.log2(F.col("__span") / F.greatest("__reach", F.col("__span") * 1e-9))))).cast("int"))
+    for d in "xy":
+        # seeds stand in the box and at its upper edge
+        last = F.pow(F.lit(2.0), F.col("__depth")).cast("long")
+        ends = (F.greatest(F.lit(0), F.least(last, at(F.col(d) + sign * F.col("__reach"), d))) for sign in (-1, 1))
+        here = here.withColumn(f"__c{d}", F.explode(F.sequence(*ends)))
+    pairs = here.join(there, [scene, "__depth", "__cx", "__cy"])
+    pairs = pairs.where(F.col("__s") != F.col(f"__f.{seed}")).withColumn("d2", (F.col("x") - F.col("s_x")) * (F.col("x") - F.col("s_x")) + (F.col("y") - F.col("s_y")) * (F.col("y") - F.col("s_y")))
+    more = pairs.groupBy(scene, point).agg(F.first(f"__f.{seed}").alias(seed), F.min(ridge(F.col("d2"), F.col("s_x"), F.col("s_y"), F.col("__f"))).alias("ridge"))
+    return found.where("__sure").select(scene, point, f"__f.{seed}", "ridge").union(more)
+
+
 def voxels(points: DataFrame, size: float, scene: str = "scene_id", point: str = "point_id", values: tuple[str, ...] = ("x", "y", "z", "intensity"), label: str = "label") -> DataFrame:
     """One row for each occupied xy-voxel of a scene: means, the most frequent label (ties to the lowest) and n."""
     placed = cells(points, size)
