@@ -9,8 +9,8 @@ to the name that sorts first.  A document without one inherits from the nearest
 that has a licence file.  A licence file gives its licence if it is named so or begins with it; if a directory
 has several, that of the path that sorts first counts.
 
-Only lines, blocks and licence files that a cue selects are exploded into words, so the shuffles carry
-these and paths, never other texts.  The templates are a fixed small table.  Built-in functions only.
+Only lines, blocks and licence files that a cue selects are exploded into words; the texts that hold a cue are dealt out once, before
+that, so the shuffles carry these and paths, never other texts or single words.  The templates are a fixed small table.  Built-in functions only.
 
 Edge cases: null and empty texts have no licence of their own and may inherit; texts are searched
 whole; rows with a null path neither give nor inherit; rows with the same path are joined as one file
@@ -26,6 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import written
 from .license_texts import TEXTS
 
 #: Licences with their SPDX ids, as titles and headings write them.
@@ -89,22 +90,29 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
     return rows, math.log((1 + len(templates)) / 2) + 1
 
 
-def _idf_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    seen = Counter(w for _, text in templates for w in set(re.findall(WORD, text.lower())))
-    return spark.createDataFrame([(w, math.log((1 + len(templates)) / (1 + n)) + 1) for w, n in seen.items()], "word string, idf double")
+def _scored(units: DataFrame, least: float) -> DataFrame:
+    """row, line, license and score of every template that a unit (row, line, said) comes near.
 
-
-def _scored(units: DataFrame, against: list[tuple[str, str]], least: float) -> DataFrame:
-    """row, line, license and score of every template that a unit (row, line, said) comes near."""
+    Lines are compared with TEMPLATES and blocks, whose numbers are negative, with BLOCKS.  Every step groups by row and more, so rows that
+    come dealt out by row are not dealt again.
+    """
     spark = units.sparkSession
-    weights, unknown = template_weights(against)
-    templates = F.broadcast(spark.createDataFrame(weights, "template int, license string, word string, weight double"))
-    idf = F.broadcast(_idf_table(spark, against))
-    words = units.distinct().select("row", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("row", "line", "word").agg(F.count("*").alias("n")).join(idf, "word", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norms = counted.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = counted.join(templates, "word").groupBy("row", "line", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    return dots.join(norms, ["row", "line"]).select("row", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    weights, idf, unknown = [], [], {}
+    for block, against in ((False, TEMPLATES), (True, BLOCKS)):
+        found, unknown[block] = template_weights(against)
+        weights += [(block, *row) for row in found]
+        seen = Counter(w for _, text in against for w in set(re.findall(WORD, text.lower())))
+        idf += [(block, w, math.log((1 + len(against)) / (1 + n)) + 1) for w, n in seen.items()]
+    templates = F.broadcast(spark.createDataFrame(weights, "block boolean, template int, license string, word string, weight double"))
+    idf = F.broadcast(spark.createDataFrame(idf, "block boolean, word string, idf double"))
+    words = units.select("row", "line", (F.col("line") < 0).alias("block"), F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))).alias("word"))
+    counted = words.groupBy("row", "line", "block", "word").agg(F.count("*").alias("n")).join(idf, ["block", "word"], "left")
+    counted = counted.withColumn("value", F.col("n") * F.coalesce("idf", F.when(F.col("block"), unknown[True]).otherwise(unknown[False])))
+    known = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "value")))  # no more than the templates have words
+    vectors = counted.groupBy("row", "line", "block").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), known.alias("known"))
+    each = vectors.select("row", "line", "block", "norm", F.explode("known").alias("w")).select("row", "line", "block", "norm", "w.*")
+    dots = each.join(templates, ["block", "word"]).groupBy("row", "line", "norm", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    return dots.select("row", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
 
 
 def _blocks(text: Column, named: Column) -> Column:
@@ -125,12 +133,14 @@ def _blocks(text: Column, named: Column) -> Column:
 
 def own_licenses(documents: DataFrame, row: str, text: str = "text", least: float = LEAST, path: str | None = None) -> DataFrame:
     """row, line (its number; 0 for a block), license and score of the best licence line or block of each text that has one."""
-    chosen = documents.where(F.col(text).rlike(CUE))
-    lines = chosen.select(F.col(row).alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
     named = F.coalesce(F.rlike(F.col(path), F.lit(NAMED)), F.lit(False)) if path else F.lit(False)
+    # the texts that speak of a licence are dealt out once, by row; rows alike count once
+    chosen = documents.where(F.col(text).rlike(CUE)).select(F.col(row).alias("row"), F.col(text).alias("text"), named.alias("named")).dropDuplicates(["row"])
+    unit = lambda x, line: F.struct(line.cast("int").alias("line"), x.alias("said"))
+    lines = F.filter(F.transform(F.split("text", "\n"), unit), lambda u: F.rlike(u["said"], F.lit(CUE)))
     # block and whole text are told apart by -1 and -2 until the best is known
-    blocks = chosen.select(F.col(row).alias("row"), F.posexplode(_blocks(F.col(text), named)).alias("line", "said")).withColumn("line", -1 - F.col("line"))
-    scored = _scored(lines, TEMPLATES, least).unionByName(_scored(blocks, BLOCKS, least))
+    blocks = F.transform(_blocks(F.col("text"), F.col("named")), lambda x, k: unit(x, -1 - k))
+    scored = _scored(chosen.select("row", F.explode(F.concat(lines, blocks)).alias("u")).select("row", "u.*"), least)
     # the best line and licence of a text: a row a text, so no group grows
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("best"))
     return best.select("row", F.greatest(F.col("best.line"), F.lit(0)).alias("line"), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
@@ -144,16 +154,18 @@ def _parents(path: Column) -> Column:
 
 def scan(documents: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST) -> DataFrame:
     """The `keep` columns with license, score, origin (own or inherited) and license_path; null without any."""
-    rows = documents.select(F.struct(*keep).alias("kept"), F.col(path).alias("path"), F.col(text).alias("text"))
-    own = own_licenses(rows.withColumn("row", F.struct("path", F.xxhash64("text").alias("hash"))), "row", "text", least, "path")
-    light = rows.select("kept", "path", F.struct("path", F.xxhash64("text").alias("hash")).alias("row"))
+    rows = documents.select(F.struct(*keep).alias("kept"), F.col(path).alias("path"), F.col(text).alias("text")).withColumn("row", F.struct("path", F.xxhash64("text").alias("hash")))
+    own = written(own_licenses(rows, "row", "text", least, "path"), "licenses")
     # a null path would not join as part of a struct comparison, so compare null-safely
-    judged = light.join(own, light["row"].eqNullSafe(own["row"]), "left").select("kept", "path", "license", "score", "line")
-    files = judged.where(F.col("license").isNotNull() & F.col("path").isNotNull() & ((F.col("line") == 0) | F.rlike("path", F.lit(NAMED)))).select(F.element_at(_parents(F.col("path")), 1).alias("folder"), F.struct("path", "license", "score").alias("file")).groupBy("folder").agg(F.min("file").alias("file"))
-    missing = judged.where("license is null and path is not null").select("path").distinct()
-    above = missing.select("path", F.posexplode(_parents(F.col("path"))).alias("depth", "folder"))
-    nearest = above.join(files, "folder").groupBy("path").agg(F.min(F.struct("depth", "file")).alias("found")).select(F.col("path").alias("__path"), F.col("found.file").alias("file"))
-    joined = judged.join(nearest, F.col("license").isNull() & (F.col("path") == F.col("__path")), "left")
+    light = rows.select("kept", F.col("row").alias("__row"))
+    judged = light.join(own, F.col("__row").eqNullSafe(F.col("row")), "left").select("kept", F.col("__row.path").alias("path"), "license", "score")
+    folder = lambda p: F.element_at(_parents(F.col(p)), 1)
+    files = own.select("row.path", "license", "score", "line").where(F.col("path").isNotNull() & ((F.col("line") == 0) | F.rlike("path", F.lit(NAMED))))
+    files = files.select(folder("path").alias("folder"), F.struct("path", "license", "score").alias("file")).groupBy("folder").agg(F.min("file").alias("file"))
+    # what is above a file is above all files of its directory
+    above = rows.where("path is not null").select(_parents(F.col("path")).alias("parents")).distinct().select(F.element_at("parents", 1).alias("__folder"), F.posexplode("parents").alias("depth", "folder"))
+    nearest = above.join(files, "folder").groupBy("__folder").agg(F.min(F.struct("depth", "file")).alias("found")).select("__folder", F.col("found.file").alias("file"))
+    joined = judged.join(nearest, F.col("license").isNull() & (folder("path") == F.col("__folder")), "left")
     return joined.select(
         "kept.*",
         F.coalesce("license", "file.license").alias("license"),

@@ -186,6 +186,15 @@ def test_licenses_headers_and_whole_texts(spark):
     assert all(got[1000 + n] == (cases[n][0], "inherited", f"d{n}/LICENSE") for n in range(len(whole)))
 
 
+def test_licenses_deal_out_texts_once(spark, data):
+    """Texts with a cue are shuffled once, before they become words; neither words nor sums are shuffled again."""
+    documents = spark.read.parquet(f"{data}/documents.parquet").select(F.struct("doc_id").alias("row"), "text")
+    plan = licenses.own_licenses(documents, "row")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2  # with the weights
+    plan = licenses.own_licenses(documents, "row")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
 
