@@ -1,6 +1,6 @@
 """Local surfaces of scenes of any size, by tiles.
 
-A scene's box is halved along each axis until a tile holds at most TILE points, so a scene, however large
+Scenes of TILE points at most are looked at as a whole, many in a task.  The box of a larger one is halved along each axis until a tile holds at most TILE points, so a scene, however large
 or uneven, is never in one task, and a stray return only makes the tree deeper.  The neighbours of a point are looked for
 in its own tile first, in NumPy.  They are certain if the k-th is nearer than the tile's faces.  The others'
 k-th distance is a bound: these points, with what they found, visit the tiles that the bound reaches, found by an
@@ -11,24 +11,29 @@ place only the k + 1 with the smallest ids are looked at: no more of them can be
 
 Edge cases: rows with a null or non-finite coordinate, or without a scene or point id, take no part and have no row; ties go to the smaller
 id; repeated rows are points of their own; a scene of fewer than four points is flat, with its normal up; an
-empty table gives an empty one; further columns are ignored.
+empty table gives an empty one; further columns are ignored but for those to keep.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_finite
 from ..functions.settle import kept
 
 #: Points of a tile, at most (but for those that DEPTH halvings don't part).
 TILE = 2048
+#: Points of a task where scenes are looked at as a whole.
+ROWS = 200_000
 #: Halvings of a scene's box at most, and how many are counted in one pass.
 DEPTH, PASS = 24, 8
 
@@ -56,12 +61,49 @@ def neighbour_arrays(xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return near, far
 
 
+def nearest_sets(xyz: np.ndarray, k: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k nearest other points of the points asked for (all), in no order, and the squared distance of the last; ties to the lower place.
+
+    k is less than the number of points.  Blocks of rows stay in the processor's cache.
+    """
+    n = len(xyz)
+    asked = np.arange(n) if asked is None else asked
+    near, last = np.empty((len(asked), k), np.int64), np.empty(len(asked))
+    rows = max(1, 32_768 // n)
+    held, part = np.empty((rows, n)), np.empty((rows, n))
+    axes = np.ascontiguousarray(xyz.T)
+    for at in range(0, len(asked), rows):
+        own = asked[at : at + rows]
+        d2, more = held[: len(own)], part[: len(own)]
+        for i, a in enumerate(axes):
+            np.subtract(a[own, None], a[None], out=more if i else d2)
+            np.multiply(more if i else d2, more if i else d2, out=more if i else d2)
+            if i:
+                d2 += more
+        d2[np.arange(len(own)), own] = np.inf
+        np.copyto(more, d2)
+        more.partition(k - 1, axis=1)
+        far = more[:, k - 1]
+        place = np.flatnonzero(d2 <= far[:, None])
+        if len(place) > k * len(own):  # ties
+            row = place // n
+            order = np.lexsort((place, d2.ravel()[place], row))
+            place = place[order[np.searchsorted(row, np.arange(len(own)))[:, None] + np.arange(k)]]
+        near[at : at + rows] = place.reshape(len(own), k) - n * np.arange(len(own))[:, None]
+        last[at : at + rows] = far
+    return near, last
+
+
 def surfaces(xyz: np.ndarray, near: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
     """The columns of GEOMETRY for points (n, 3), their neighbours (n, k, 3) and the last neighbour's squared distance."""
-    k = near.shape[1]
-    centre = near.mean(axis=1)
-    off = near - centre[:, None]
-    values, vectors = np.linalg.eigh(np.einsum("nki,nkj->nij", off, off) / max(k - 1, 1))
+    n, k = near.shape[:2]
+    centre = np.stack([near[:, :, i].mean(axis=1) for i in range(3)], axis=1)
+    off = [np.ascontiguousarray(near[:, :, i]) - centre[:, i, None] for i in range(3)]
+    spread = np.empty((n, 3, 3))
+    for i in range(3):
+        for j in range(i, 3):
+            spread[:, i, j] = spread[:, j, i] = np.einsum("nk,nk->n", off[i], off[j])
+    values, vectors = np.linalg.eigh(spread / max(k - 1, 1))
     normal = vectors[:, :, 0]
     normal = np.where(normal[:, 2:] < 0, -normal, normal)
     radius = np.maximum(np.sqrt(last), 1e-6)
@@ -78,8 +120,55 @@ def surface_arrays(xyz: np.ndarray, k: int = 16) -> dict[str, np.ndarray]:
         raise ValueError("local geometry needs at least three neighbours")
     if n < 4:
         return {"curvature": np.zeros(n), "nx": np.zeros(n), "ny": np.zeros(n), "nz": np.ones(n), "residual": np.zeros(n), "radius": np.full(n, 1e-6), "density": np.zeros(n)}
-    near, far = neighbour_arrays(xyz, k)
-    return surfaces(xyz, xyz[near], far[:, -1])
+    near, last = nearest_sets(xyz, min(k, n - 1))
+    return surfaces(xyz, xyz[near], last)
+
+
+def dealt(rows: DataFrame, n: int, scene: str, *order: str) -> DataFrame:
+    """n rows dealt out by scene to as many partitions as n asks for, so that a task doesn't grow with the input; the rows of a scene stand together."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS + 1)
+    return rows.repartition(parts, scene).sortWithinPartitions(scene, *order)
+
+
+def whole_scenes(batches: Iterable[pa.RecordBatch], scene: str) -> Iterator[pa.Table]:
+    """The batches of a partition, whose scenes stand together, cut anew: no scene is parted."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        ids = table[scene].to_numpy()
+        first = int(np.argmax(ids == ids[-1]))
+        if first:
+            yield table.slice(0, first).combine_chunks()
+        held = table.slice(first)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def scene_slices(ids: np.ndarray) -> list[slice]:
+    """Where each scene's rows stand."""
+    cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)])]
+
+
+def _geometry_of_scenes(rows: DataFrame, n: int, k: int, keep: tuple[str, ...]) -> DataFrame:
+    """scene, id, GEOMETRY and the columns to keep of scenes that are small enough to be looked at as a whole."""
+    columns = ("scene", "id", *keep)
+
+    def each(batches):
+        for table in whole_scenes(batches, "scene"):
+            xyz = np.stack([table[a].to_numpy() for a in AXES], axis=1)
+            out = {c: np.empty(len(xyz)) for c in GEOMETRY}
+            for s in scene_slices(table["scene"].to_numpy()):
+                for c, v in surface_arrays(xyz[s], k).items():
+                    out[c][s] = v
+            made = pa.table({c: table[c] for c in columns} | {c: pa.array(v) for c, v in out.items()})
+            yield from made.to_batches()
+
+    schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(c, T.DoubleType()) for c in GEOMETRY])
+    return dealt(rows, n, "scene", "id").mapInArrow(each, schema)
 
 
 def _cell(value: Column, axis: str) -> Column:
@@ -119,19 +208,32 @@ def nodes(placed: DataFrame, tile: int = TILE) -> DataFrame:
     return small.where("depth = 0").unionByName(under).drop(*(f"p_{a}" for a in AXES))
 
 
-def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id", tile: int = TILE) -> DataFrame:
-    """scene, point and the columns of GEOMETRY, from the k nearest other points of the scene of each point."""
+def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", point: str = "point_id", tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """scene, point, the columns of GEOMETRY, from the k nearest other points of the scene of each point, and the points' columns to keep."""
     if k < 3:
         raise ValueError("local geometry needs at least three neighbours")
     tile = max(tile, k + 1)
-    clean = points.select(F.col(scene).cast("long").alias("scene"), F.col(point).cast("long").alias("id"), *((F.col(a).cast("double") + 0.0).alias(a) for a in AXES))
+    kept_as = tuple(f"keep_{i}" for i in range(len(keep)))
+    clean = points.select(F.col(scene).cast("long").alias("scene"), F.col(point).cast("long").alias("id"), *((F.col(a).cast("double") + 0.0).alias(a) for a in AXES), *(F.col(c).alias(n) for c, n in zip(keep, kept_as)))
     clean = clean.where(F.col("scene").isNotNull() & F.col("id").isNotNull() & reduce(Column.__and__, [is_finite(a) for a in AXES]))
     clean = kept(clean)
-    rank = F.row_number().over(Window.partitionBy("scene", *AXES).orderBy("id"))
-    looked_at = clean.withColumn("r", rank).where(F.col("r") <= k + 1)
     extent = F.greatest(*(F.max(a) - F.min(a) for a in AXES))
     box = clean.groupBy("scene").agg(F.count("*").alias("total"), *(F.min(a).alias(f"lo_{a}") for a in AXES), F.when(extent > 0, extent).otherwise(1.0).alias("span"))
     box = kept(box)
+    finished = lambda rows: rows.select(F.col("scene").alias(scene), F.col("id").alias(point), *GEOMETRY, *(F.col(n).alias(c) for c, n in zip(keep, kept_as)))
+    most, few = box.agg(F.max("total"), F.sum(F.when(F.col("total") <= tile, F.col("total")))).first()
+    large = box.where(F.col("total") > tile)
+    if (most or 0) <= tile:
+        return finished(_geometry_of_scenes(clean, few or 0, k, kept_as))
+    whole = _geometry_of_scenes(clean.join(large.select("scene"), "scene", "left_anti"), few or 0, k, kept_as)
+    parted = clean.join(large.select("scene"), "scene", "left_semi")
+    return finished(whole).union(finished(_geometry_of_tiles(parted, large, k, tile)))
+
+
+def _geometry_of_tiles(clean: DataFrame, box: DataFrame, k: int, tile: int) -> DataFrame:
+    """The rows of scenes of more than `tile` points, whose sizes and boxes are given, with GEOMETRY."""
+    rank = F.row_number().over(Window.partitionBy("scene", *AXES).orderBy("id"))
+    looked_at = clean.withColumn("r", rank).where(F.col("r") <= k + 1)
     placed = looked_at.join(box, "scene").select("scene", "id", "r", *AXES, *(_cell(F.col(a), a).alias(f"f_{a}") for a in AXES), "total")
     placed = kept(placed)
     leaves = kept(nodes(placed, tile))
@@ -215,4 +317,4 @@ def local_geometry(points: DataFrame, k: int = 16, scene: str = "scene_id", poin
 
     done = last.select("scene", *AXES, "near").mapInPandas(finish, f"scene long, {columns}")
     places = first.where(F.col("near").isNull()).select("scene", *AXES, *GEOMETRY).union(done)
-    return clean.join(places, ["scene", *AXES]).select(F.col("scene").alias(scene), F.col("id").alias(point), *GEOMETRY)
+    return clean.join(places, ["scene", *AXES])

@@ -543,3 +543,35 @@ def test_quantiles_are_exact_without_a_task_for_a_group(spark):
     assert " percentile(" not in df._jdf.queryExecution().toString()
     for r in df.collect():
         assert r.n == len(groups[r.g]) and np.allclose([r.q05, r.q50, r.q95], np.quantile(groups[r.g], [0.05, 0.5, 0.95]), atol=1e-12)
+
+
+def test_nearest_sets_equal_sorted_neighbours():
+    rng = np.random.default_rng(7)
+    for n, k in ((5, 4), (40, 16), (900, 16)):
+        xyz = rng.integers(0, 6, (n, 3)).astype(float)  # many ties
+        near, far = tiles.neighbour_arrays(xyz, k)
+        got, last = tiles.nearest_sets(xyz, k)
+        assert (np.sort(got) == np.sort(near)).all() and (last == far[:, -1]).all()
+        assert (tiles.nearest_sets(xyz, k, np.array([n - 1, 0]))[0] == got[[n - 1, 0]]).all()
+
+
+def test_small_scenes_are_looked_at_whole(spark):
+    """Scenes of TILE points at most cost no tree and no group of their own; they may lie across batches, beside a large scene, and keep columns."""
+    rng = np.random.default_rng(5)
+    rows = [(s, k, *map(float, rng.normal(0, 1, 3)), f"{s}/{k}") for s, n in enumerate((1, 3, 4, 17, 60, 250, 33)) for k in range(n)]
+    df = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double, name string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = tiles.local_geometry(df, keep=("name",))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange") == 1
+        for got in (found, tiles.local_geometry(df, tile=100, keep=("name",))):
+            got = {(r.scene_id, r.point_id): r for r in got.collect()}
+            assert len(got) == len(rows) and all(r.name == f"{r.scene_id}/{r.point_id}" for r in got.values())
+            for s in range(7):
+                want = tiles.surface_arrays(np.array([r[2:5] for r in rows if r[0] == s]))
+                for c in tiles.GEOMETRY:
+                    assert np.allclose([got[s, k][c] for k in range(len(want[c]))], want[c], atol=1e-9)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
