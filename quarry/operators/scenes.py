@@ -2,20 +2,24 @@
 
 A scene's damages are an array in the order in which they are applied, and each point folds over it with the state (height, label,
 gone): a damage meets the height that those before it left, labels merge by priority, and points that break out are only marked, so that
-their label can still spread to their surroundings before they go.  Steps that need neighbours are joins by cells.
+their label can still spread to their surroundings before they go.  Steps that need neighbours are joins by cells; for scenes of a tile's size
+they look at a scene as a whole instead, many scenes in a task, without a shuffle, as a scene's points are made where its row lies.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import draw
-from ..functions.settle import settled
+from ..functions.settle import kept, settled
 from ..labels import APPLY_ORDER, label_dim
-from . import prepare, sampling, shapes, spatial, synthesis
+from . import prepare, sampling, shapes, spatial, synthesis, tiles
 from .synthesis import merged_label, normal, uniform
 
 #: Share of severe damages among those that are drawn, of concrete among scenes without a target, and labels of ravelling and cracks.
@@ -60,6 +64,11 @@ def applied(points: DataFrame, width: float, length: float, step: float, seed: i
     points has label and gone, or starts with label 0 and nothing gone.  The result is kept in the shared folder: the optimiser would
     repeat the fold wherever a later step names the label.
     """
+    return settled(_folded(points, width, length, step, seed).withColumns({c: F.col(f"__state.{c}") for c in ("z", "label", "gone")}).drop("__state"))
+
+
+def _folded(points: DataFrame, width: float, length: float, step: float, seed: int) -> DataFrame:
+    """Adds __state: z, label and gone after the scene's damages."""
     if "label" not in points.columns:
         points = points.withColumns({"label": F.lit(0), "gone": F.lit(False)})
     s, point = F.col("scene_id"), F.col("point_id")
@@ -76,8 +85,7 @@ def applied(points: DataFrame, width: float, length: float, step: float, seed: i
         return F.struct((state["z"] + dz).alias("z"), label.cast("int").alias("label"), (state["gone"] | out).alias("gone"))
 
     start = F.struct(F.col("z").cast("double").alias("z"), F.col("label").cast("int").alias("label"), F.col("gone").alias("gone"))
-    folded = points.withColumn("__state", F.aggregate(F.coalesce("damages", F.array().cast(points.schema["damages"].dataType)), start, meet))
-    return settled(folded.withColumns({c: F.col(f"__state.{c}") for c in ("z", "label", "gone")}).drop("__state"))
+    return points.withColumn("__state", F.aggregate(F.coalesce("damages", F.array().cast(points.schema["damages"].dataType)), start, meet))
 
 
 def scan_lines(points: DataFrame, spacing: float, decay: float = 0.3, seed: int = 42) -> DataFrame:
@@ -126,6 +134,85 @@ def carried_labels(noisy: DataFrame, before: DataFrame, sigma: float) -> DataFra
     return out.withColumns({"label": F.when(unsure, 0).otherwise(F.col("__label")), "intensity": F.col("__intensity")}).drop("distance", "__label", "__intensity")
 
 
+#: What stays with each point, and its coordinates before and after the mixing of returns.
+OWN = ("scene_id", "target_label", "pavement", "point_id")
+MIXED = ("mx", "my", "mz")
+
+
+def _spread_and_mixed(rows: DataFrame, reach: float, curved: float) -> DataFrame:
+    """spread_ravelling, points that broke out gone, and the mixed returns of scanned (mx, my, mz; far is the scene's farthest) of whole scenes.
+
+    rows has OWN, x, y, __state and __mix, whether the point is drawn for mixing.  Of curvatures, only those of drawn points are found.
+    """
+
+    def each(batches):
+        for table in tiles.whole_scenes(batches, "scene_id"):
+            state = dict(zip(("z", "label", "gone"), table["__state"].combine_chunks().flatten()))
+            xyz = np.stack([table["x"].to_numpy(), table["y"].to_numpy(), state["z"].to_numpy()], axis=1)
+            label, there_all, mix = state["label"].to_numpy().copy(), ~state["gone"].to_numpy(zero_copy_only=False), table["__mix"].to_numpy()
+            mixed, far = xyz.copy(), np.zeros(len(xyz))
+            for s in tiles.scene_slices(table["scene_id"].to_numpy()):
+                there = np.flatnonzero(there_all[s]) + s.start
+                source, plain = there[np.isin(label[there], RAVELLED)], there[label[there] == 0]
+                if len(source) and len(plain):
+                    d2 = (xyz[plain, None, 0] - xyz[None, source, 0]) ** 2 + (xyz[plain, None, 1] - xyz[None, source, 1]) ** 2
+                    near = d2.argmin(axis=1)  # the first: the smaller id
+                    close = d2[np.arange(len(plain)), near] <= reach * reach
+                    label[plain[close]] = label[source[near[close]]]
+                points, drawn = xyz[there], np.flatnonzero(mix[there])
+                if len(points) > 2 and len(drawn):
+                    near, last = tiles.nearest_sets(points, min(20, len(points) - 1), drawn)
+                    drawn = drawn[tiles.surfaces(points[drawn], points[near], last)["curvature"] > curved]
+                    if len(drawn):
+                        mixed[there[drawn]] = points[tiles.nearest_sets(points, min(5, len(points) - 1), drawn)[0]].mean(axis=1)
+                if len(there):
+                    far[s] = np.sqrt((mixed[there] ** 2).sum(axis=1)).max() + 1e-12
+            made = pa.table({c: table[c] for c in (*OWN, "x", "y")} | {"z": state["z"], "label": label, "far": far} | {c: mixed[:, i] for i, c in enumerate(MIXED)})
+            yield from made.filter(pa.array(there_all)).to_batches()
+
+    schema = T.StructType([rows.schema[c] for c in (*OWN, "x", "y")] + [T.StructField(c, T.IntegerType() if c == "label" else T.DoubleType()) for c in ("z", "label", "far", *MIXED)])
+    return rows.mapInArrow(each, schema)
+
+
+def _carried_whole(rows: DataFrame, sigma: float) -> DataFrame:
+    """carried_labels of whole scenes: OWN, x, y, z, label and intensity of the points that are __kept, at (mx, my, mz)."""
+
+    def each(batches):
+        for table in tiles.whole_scenes(batches, "scene_id"):
+            before, after = (np.stack([table[c].to_numpy() for c in names], axis=1) for names in ("xyz", MIXED))
+            stays, label, intensity = table["__kept"].to_numpy(), table["label"].to_numpy(), table["intensity"].to_numpy()
+            source, distance = np.arange(len(before)), np.zeros(len(before))
+            for s in tiles.scene_slices(table["scene_id"].to_numpy()):
+                asked, old = np.flatnonzero(stays[s]) + s.start, np.ascontiguousarray(before[s].T)
+                rows_ = max(1, 32_768 // (s.stop - s.start))
+                for at in range(0, len(asked), rows_):
+                    own = asked[at : at + rows_]
+                    d2 = sum((after[own, i, None] - old[i]) ** 2 for i in range(3))
+                    near = d2.argmin(axis=1)  # the first: the smaller id
+                    source[own], distance[own] = near + s.start, np.sqrt(d2[np.arange(len(own)), near])
+            found = label[source]
+            if sigma > 0:
+                found = np.where((distance > 3 * sigma) & np.isin(found, CRACKS), 0, found).astype(label.dtype)
+            made = pa.table({c: table[c] for c in OWN} | {c: after[:, i] for i, c in enumerate("xyz")} | {"label": found, "intensity": intensity[source]})
+            yield from made.filter(pa.array(stays)).to_batches()
+
+    return rows.mapInArrow(each, rows.select(*OWN, "x", "y", "z", "label", "intensity").schema)
+
+
+def _whole(made: DataFrame, width: float, length: float, step: float, sigma: float, jitter: float, rate: float, mixing: float, curved: float, seed: int) -> DataFrame:
+    """The steps of generate from the fold to the labels carried over, of scenes of a tile's size whose points stand together, by scene and point."""
+    s, keys = F.col("scene_id"), (F.col("scene_id"), F.col("point_id"))
+    mix = uniform("mixed", 0, 1, seed, *keys) < mixing if mixing > 0 else F.lit(False)
+    rows = _folded(made, width, length, step, seed).select(*OWN, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "__state", mix.alias("__mix"))
+    rows = synthesis.reflect(_spread_and_mixed(rows, 3 * step, curved), seed, F.col("pavement") == "concrete")
+    r, a, e = prepare.spherical(*(F.col(c) for c in MIXED))
+    turn = math.radians(jitter)
+    moved = prepare.cartesian(F.greatest(r + sigma * normal("range", seed, *keys), F.lit(0.0)), a + turn * normal("azimuth", seed, *keys), e + turn * normal("elevation", seed, *keys))
+    stays = uniform("lost", 0, 1, seed, s, F.col("point_id")) > shapes.dropout(F.coalesce(F.try_divide(r, F.col("far")), F.lit(0.0)), rate)
+    rows = rows.select(*OWN, "x", "y", "z", "label", "intensity", *(v.alias(c) for c, v in zip(MIXED, moved)), stays.alias("__kept"))
+    return _carried_whole(rows, sigma)
+
+
 def generate(
     tasks: DataFrame, width: float = 3.0, length: float = 3.0, step: float = 0.04, points: int = 2048, extra: int = 3, beside: int = 0, density: float | None = None, spacing: float | None = None,
     sigma: float = 0.002, jitter: float = 0.02, rate: float = 0.03, mixing: float = 0.1, roughness: str = "A", seed: int = 42,
@@ -137,19 +224,28 @@ def generate(
     density of points a square metre) or `points` of each scene that keep the target; the unit ball.  Each step that several others use is kept
     in the shared folder.  tasks has scene_id and target_label (null for damages drawn freely).
     """
-    plan = settled(planned(tasks, width, length, extra, beside, seed=seed))
-    made = synthesis.micro_texture(synthesis.surface(plan, width, length, step, roughness, seed), seed=seed)
+    plan = settled(planned(tasks, width, length, extra, beside, seed=seed).where("scene_id is not null"))
+    grid = int(width / step) * int(length / step)
+    whole, curved = grid <= tiles.TILE, 0.05
+    most = plan.count() * grid if whole else 0
+    # a scene's points are made where its row lies
+    started = tiles.dealt(plan, most, "scene_id") if whole else plan
+    made = synthesis.micro_texture(synthesis.surface(started, width, length, step, roughness, seed), seed=seed)
     if spacing:
         made = scan_lines(made, spacing, seed=seed)
-    made = applied(made, width, length, step, seed).drop("damages")
-    before = spread_ravelling(made, 3 * step).where(~F.col("gone")).drop("gone")
-    before = settled(synthesis.reflect(before, seed, F.col("pavement") == "concrete"))
-    noisy = settled(scanned(before, sigma, jitter, rate, mixing, seed=seed))
-    out = carried_labels(noisy, before, sigma)
+        made = tiles.dealt(made, most, "scene_id", "point_id") if whole else made
+    if whole:
+        out = _whole(made, width, length, step, sigma, jitter, rate, mixing, curved, seed)
+    else:
+        made = applied(made, width, length, step, seed).drop("damages")
+        before = spread_ravelling(made, 3 * step).where(~F.col("gone")).drop("gone")
+        before = settled(synthesis.reflect(before, seed, F.col("pavement") == "concrete"))
+        noisy = settled(scanned(before, sigma, jitter, rate, mixing, curved, seed))
+        out = carried_labels(noisy, before, sigma)
     if density:
         size = max(math.sqrt(1.0 / density), 1.5 * step)
         one = spatial.voxels(out, size)
         out = one.join(plan.select("scene_id", "target_label", "pavement"), "scene_id").withColumn("point_id", F.col("c_x") * (1 << 20) + F.col("c_y")).drop("c_x", "c_y", "n")
     else:
         out = sampling.protected(out, points, F.col("target_label"), seed=seed)
-    return prepare.unit_ball(settled(out))
+    return prepare.unit_ball(kept(out))

@@ -312,6 +312,20 @@ def test_scenes_by_voxels(spark):
     assert len(n) == 2 and all(50 < r["count"] <= (2.4 / (1 / 30) ** 0.5 + 2) ** 2 for r in n)
 
 
+def test_scenes_as_a_whole_equal_those_by_joins(spark, monkeypatch):
+    """Scenes of a tile's size are made without joins of points: the same points, labels and intensities, one shuffle before the sample."""
+    tasks = synthesis.tasks(spark, [12, 34])
+    found = scenes.generate(tasks, points=200, mixing=0.5, **SIDE)
+    take = lambda df: sorted((r.scene_id, r.point_id, r.label, *(round(r[c], 8) for c in ("x", "y", "z", "intensity"))) for r in df.collect())
+    whole = take(found)
+    made = tiles.dealt(scenes.planned(tasks, 2.4, 2.4), 1800, "scene_id")
+    plan = scenes._whole(synthesis.surface(made, 2.4, 2.4, 0.08), 2.4, 2.4, 0.08, 0.002, 0.02, 0.03, 0.1, 0.05, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("Exchange") > plan.rindex("Generate")
+    monkeypatch.setattr(tiles, "TILE", 0)
+    monkeypatch.setattr(scenes.tiles, "TILE", 0)
+    assert take(scenes.generate(tasks, points=200, mixing=0.5, **SIDE)) == whole and len(whole) == 400
+
+
 def geometry_by_force(rows, k=16):
     """Geometry of a scene's (point, x, y, z), a point at a time."""
     rows = sorted(rows)
