@@ -589,3 +589,19 @@ def test_small_scenes_are_looked_at_whole(spark):
                     assert np.allclose([got[s, k][c] for k in range(len(want[c]))], want[c], atol=1e-9)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_first_draws_hold_the_lowest(spark, monkeypatch):
+    """Few rows are put in order; a side with fewer rows than asked for is whole; a limit that was too low is raised."""
+    rows = spark.range(20_000).selectExpr("id key", "if(id < 30, 'b', 'a') side", "id * 1.0D v")
+    wanted = sorted((r.side, r.key) for r in rows.withColumn("d", gap.draw(42, F.col("side"), F.col("key"))).selectExpr("*", "row_number() over (partition by side order by d, key) r").where("r <= 100").collect())
+    low = gap.first_draws(rows, 100, "key", "side", 42)
+    assert 130 <= low.count() < 1000
+    for margin in (gap.MARGIN, 0):
+        monkeypatch.setattr(gap, "MARGIN", margin)
+        assert sorted((r.side, r.key) for r in gap.capped(rows, 100, "key").collect()) == wanted and len(wanted) == 130
+    # points that lack a descriptor don't count
+    long = rows.selectExpr("side", "key", "explode(if(key % 10 = 0, array('u', 'w'), array('u'))) descriptor", "v")
+    both = lambda df: df.groupBy("side", "key").count().where("count = 2")
+    low = gap.first_draws(long, 100, "key", "side", 42, {"a": 19_970, "b": 30}, both)
+    assert both(low).where("side = 'a'").count() >= 100 and low.count() < 10_000
