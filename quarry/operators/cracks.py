@@ -4,6 +4,7 @@ A curve is a cubic Bézier curve sampled at evenly spaced knots, which lattice n
 width of its own, and the width between knots is interpolated along the curve's parameter.  Points and segments
 meet by an equi-join of grid cells: a segment is copied to the cells that its box, widened by half the curve's greatest
 width, touches, so each point within reach of a curve is found, and a point meets nothing else but segments near it.
+The pairs, of which there are as many as points times curves that reach them, aren't shuffled.
 
 Edge cases: points and curves with a null coordinate, width, scene or id take no part; a curve without length is
 a point; repeated points are kept apart by their ids; of segments that are equally near the first counts; empty tables give an empty one;
@@ -23,6 +24,8 @@ from .shapes import crack_profile
 
 #: Corners of the noise lattice along each axis.
 LATTICE = 8
+#: Shares of a cell's points, which go to different tasks.
+SHARES = 8
 
 
 def value_noise(x: Column | str, y: Column | str, seed: int | Column = 0, octaves: int = 4, lacunarity: float = 2.0, persistence: float = 0.5, scale: float = 1.0) -> Column:
@@ -85,9 +88,13 @@ def along(points: DataFrame, lines: DataFrame, label_width: float = 0.0, scene:
     placed = points.select(scene, point, "x", "y").where(F.col(scene).isNotNull() & F.col(point).isNotNull()).join(size, scene)
     placed = placed.withColumns({f"__c{a}": F.floor(F.col(a) / F.col("__size")) for a in "xy"}).drop("__size")
     distance, t = point_segment("x", "y", "ax", "ay", "bx", "by")
-    near = placed.join(wide, [scene, "__cx", "__cy"]).withColumns({"distance": distance, "t": t}).where(F.col("distance") <= F.col("__r"))
+    # a point stands in one cell and share, where all segments that reach it come, so its pairs are reduced where they are made
+    placed = placed.withColumn("__share", F.pmod(F.xxhash64(point), F.lit(SHARES)).cast("int"))
+    wide = wide.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("merge")
+    cell = [scene, "__cx", "__cy", "__share"]
+    near = placed.join(wide, cell).withColumns({"distance": distance, "t": t}).where(F.col("distance") <= F.col("__r"))
     width = F.col("aw") + F.col("t") * (F.col("bw") - F.col("aw"))
-    best = near.groupBy(scene, point, curve).agg(F.min(F.struct("distance", "k", "t", width.alias("width"))).alias("m"))
+    best = near.groupBy(*cell, point, curve).agg(F.min(F.struct("distance", "k", "t", width.alias("width"))).alias("m"))
     return best.select(scene, point, curve, "m.distance", "m.k", "m.t", "m.width")
 
 

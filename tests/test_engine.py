@@ -605,3 +605,11 @@ def test_first_draws_hold_the_lowest(spark, monkeypatch):
     both = lambda df: df.groupBy("side", "key").count().where("count = 2")
     low = gap.first_draws(long, 100, "key", "side", 42, {"a": 19_970, "b": 30}, both)
     assert both(low).where("side = 'a'").count() >= 100 and low.count() < 10_000
+
+
+def test_pairs_of_points_and_curves_are_not_shuffled(spark):
+    curves = spark.range(3).selectExpr("1L scene_id", "id curve_id", *(f"{k}.0D {a}{k}" for a in "xy" for k in range(4)))
+    cloud = spark.range(50).selectExpr("1L scene_id", "id point_id", "id * 0.05D x", "id * 0.05D y")
+    plan = cracks.along(cloud, cracks.segments(curves, 4), 0.1)._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("SortMergeJoin")]
+    assert "Aggregate" in top and "Exchange" not in top
