@@ -4,7 +4,8 @@ A curve is a cubic Bézier curve sampled at evenly spaced knots, which lattice n
 width of its own, and the width between knots is interpolated along the curve's parameter.  Points and segments
 meet by an equi-join of grid cells: a segment is copied to the cells that its box, widened by half the curve's greatest
 width, touches, so each point within reach of a curve is found, and a point meets nothing else but segments near it.
-The pairs, of which there are as many as points times curves that reach them, aren't shuffled.
+The pairs, of which there are as many as points times curves that reach them, aren't shuffled, and cells are parted by the pairs
+that they hold, so that a task puts its pairs in order in its memory.
 
 Edge cases: points and curves with a null coordinate, width, scene or id take no part; a curve without length is
 a point; repeated points are kept apart by their ids; of segments that are equally near the first counts; empty tables give an empty one;
@@ -13,19 +14,23 @@ further columns of points and curves are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, draw
+from ..functions.settle import kept
 from .prepare import bezier, point_segment
 from .shapes import crack_profile
 
 #: Corners of the noise lattice along each axis.
 LATTICE = 8
-#: Shares of a cell's points, which go to different tasks.
-SHARES = 8
+#: Pairs of points and segments of a cell's share and, on average, of a task.
+PAIRS = 1_000_000
+#: The longest segment of a scene is as long as so many cells.
+LONGEST = 8
 
 
 def value_noise(x: Column | str, y: Column | str, seed: int | Column = 0, octaves: int = 4, lacunarity: float = 2.0, persistence: float = 0.5, scale: float = 1.0) -> Column:
@@ -56,6 +61,8 @@ def segments(curves: DataFrame, samples: int = 100, width_mean: float = 0.005, w
     Knots are moved by up to `sway` times lattice noise; widths are log-normal draws.
     """
     step = 1.0 / samples
+    # a curve's knots are drawn where they are put together
+    curves = curves.repartition(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), scene, curve)
     knots = curves.select(scene, curve, *(f"{a}{n}" for a in "xy" for n in range(4)), F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("k"))
     at = {a: bezier(*(F.col(f"{a}{n}") for n in range(4)), F.col("k") * step) for a in "xy"}
     knots = knots.select(scene, curve, "k", at["x"].alias("x"), at["y"].alias("y"))
@@ -76,11 +83,13 @@ def along(points: DataFrame, lines: DataFrame, label_width: float = 0.0, scene:
 
     A curve reaches as far as half its greatest width, or half the label's least width.
     """
+    lines = kept(lines)  # knots are costly to draw
     reach = F.greatest(F.max(F.greatest("aw", "bw")), F.lit(float(label_width))) / 2.0 * (1 + 1e-9)
     reaches = lines.groupBy(scene, curve).agg(reach.alias("__r"))
     wide = lines.join(reaches, [scene, curve])
     extent = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")))
-    size = wide.groupBy(scene).agg(F.greatest(F.max(extent + 2.0 * F.col("__r")), F.lit(1e-9)).alias("__size"))  # so a segment touches two cells an axis
+    span = extent + 2.0 * F.col("__r")
+    size = wide.groupBy(scene).agg(F.greatest(F.max(span) / LONGEST, F.avg(span) / 2.0, F.lit(1e-9)).alias("__size"))
     wide = wide.join(size, scene)
     for a in "xy":
         low, high = F.least(f"a{a}", f"b{a}") - F.col("__r"), F.greatest(f"a{a}", f"b{a}") + F.col("__r")
@@ -89,10 +98,17 @@ def along(points: DataFrame, lines: DataFrame, label_width: float = 0.0, scene:
     placed = placed.withColumns({f"__c{a}": F.floor(F.col(a) / F.col("__size")) for a in "xy"}).drop("__size")
     distance, t = point_segment("x", "y", "ax", "ay", "bx", "by")
     # a point stands in one cell and share, where all segments that reach it come, so its pairs are reduced where they are made
-    placed = placed.withColumn("__share", F.pmod(F.xxhash64(point), F.lit(SHARES)).cast("int"))
-    wide = wide.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("merge")
-    cell = [scene, "__cx", "__cy", "__share"]
-    near = placed.join(wide, cell).withColumns({"distance": distance, "t": t}).where(F.col("distance") <= F.col("__r"))
+    spot = [scene, "__cx", "__cy"]
+    pairs = F.col("__points") * F.col("__segments")
+    load = placed.groupBy(*spot).agg(F.count("*").alias("__points")).join(wide.groupBy(*spot).agg(F.count("*").alias("__segments")), spot)
+    load = kept(load.select(*spot, pairs.alias("__pairs"), F.ceil(pairs / PAIRS).alias("__shares")))
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((load.agg(F.sum("__pairs")).first()[0] or 0) / PAIRS))
+    load = load.drop("__pairs")
+    placed = placed.join(load, spot).withColumn("__share", F.pmod(F.xxhash64(point), "__shares")).drop("__shares")
+    wide = wide.join(load, spot).withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__shares") - 1))).drop("__shares", "__size")
+    cell = [*spot, "__share"]
+    placed, wide = (df.repartition(parts, *cell) for df in (placed, wide))
+    near = placed.join(wide.hint("merge"), cell).withColumns({"distance": distance, "t": t}).where(F.col("distance") <= F.col("__r"))
     width = F.col("aw") + F.col("t") * (F.col("bw") - F.col("aw"))
     best = near.groupBy(*cell, point, curve).agg(F.min(F.struct("distance", "k", "t", width.alias("width"))).alias("m"))
     return best.select(scene, point, curve, "m.distance", "m.k", "m.t", "m.width")
