@@ -9,6 +9,7 @@ they look at a scene as a whole instead, many scenes in a task, without a shuffl
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.columns import draw
 from ..functions.settle import kept, settled
 from ..labels import APPLY_ORDER, label_dim
-from . import prepare, sampling, shapes, spatial, synthesis, tiles
+from . import prepare, sampling, scene_arrays, shapes, spatial, synthesis, tiles
 from .synthesis import merged_label, normal, uniform
 
 #: Share of severe damages among those that are drawn, of concrete among scenes without a target, and labels of ravelling and cracks.
@@ -27,6 +28,8 @@ SEVERE, CONCRETE = 0.4, 0.3
 RAVELLED, CRACKS = (11, 12), tuple(range(1, 9))
 #: With as few points or fewer left, a scene keeps all of them whatever the scan lines see.
 FEWEST = 10
+#: Scenes whose points stand in memory at once.
+SCENES = 16
 
 
 def planned(tasks: DataFrame, width: float = 3.0, length: float = 3.0, extra: int = 3, beside: int = 0, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
@@ -153,18 +156,9 @@ def _spread_and_mixed(rows: DataFrame, reach: float, curved: float) -> DataFrame
             mixed, far = xyz.copy(), np.zeros(len(xyz))
             for s in tiles.scene_slices(table["scene_id"].to_numpy()):
                 there = np.flatnonzero(there_all[s]) + s.start
-                source, plain = there[np.isin(label[there], RAVELLED)], there[label[there] == 0]
-                if len(source) and len(plain):
-                    d2 = (xyz[plain, None, 0] - xyz[None, source, 0]) ** 2 + (xyz[plain, None, 1] - xyz[None, source, 1]) ** 2
-                    near = d2.argmin(axis=1)  # the first: the smaller id
-                    close = d2[np.arange(len(plain)), near] <= reach * reach
-                    label[plain[close]] = label[source[near[close]]]
-                points, drawn = xyz[there], np.flatnonzero(mix[there])
-                if len(points) > 2 and len(drawn):
-                    near, last = tiles.nearest_sets(points, min(20, len(points) - 1), drawn)
-                    drawn = drawn[tiles.surfaces(points[drawn], points[near], last)["curvature"] > curved]
-                    if len(drawn):
-                        mixed[there[drawn]] = points[tiles.nearest_sets(points, min(5, len(points) - 1), drawn)[0]].mean(axis=1)
+                points, own = xyz[there], label[there]
+                tiles.spread(points, own, RAVELLED, reach)
+                label[there], mixed[there] = own, tiles.mixed(points, np.flatnonzero(mix[there]), curved)
                 if len(there):
                     far[s] = np.sqrt((mixed[there] ** 2).sum(axis=1)).max() + 1e-12
             made = pa.table({c: table[c] for c in (*OWN, "x", "y")} | {"z": state["z"], "label": label, "far": far} | {c: mixed[:, i] for i, c in enumerate(MIXED)})
@@ -183,13 +177,9 @@ def _carried_whole(rows: DataFrame, sigma: float) -> DataFrame:
             stays, label, intensity = table["__kept"].to_numpy(), table["label"].to_numpy(), table["intensity"].to_numpy()
             source, distance = np.arange(len(before)), np.zeros(len(before))
             for s in tiles.scene_slices(table["scene_id"].to_numpy()):
-                asked, old = np.flatnonzero(stays[s]) + s.start, np.ascontiguousarray(before[s].T)
-                rows_ = max(1, 32_768 // (s.stop - s.start))
-                for at in range(0, len(asked), rows_):
-                    own = asked[at : at + rows_]
-                    d2 = sum((after[own, i, None] - old[i]) ** 2 for i in range(3))
-                    near = d2.argmin(axis=1)  # the first: the smaller id
-                    source[own], distance[own] = near + s.start, np.sqrt(d2[np.arange(len(own)), near])
+                asked = np.flatnonzero(stays[s]) + s.start
+                near, distance[asked] = tiles.nearest_places(after[asked], before[s])
+                source[asked] = near + s.start
             found = label[source]
             if sigma > 0:
                 found = np.where((distance > 3 * sigma) & np.isin(found, CRACKS), 0, found).astype(label.dtype)
@@ -213,6 +203,27 @@ def _whole(made: DataFrame, width: float, length: float, step: float, sigma: flo
     return _carried_whole(rows, sigma)
 
 
+def _made(plan: DataFrame, maker: Callable[[], scene_arrays.Scenes], sampled: bool) -> DataFrame:
+    """The scenes of a plan whose rows are dealt out, each made as a whole where its row lies; sampled ones have the inverse of the unit ball."""
+    doubles = ("x", "y", "z", "intensity", *(("cx", "cy", "cz", "scale") if sampled else ()))
+    order = (*OWN, "x", "y", "z", "label", "intensity", *doubles[4:])
+    types = {c: plan.schema[c].dataType for c in OWN[:3]} | {"point_id": T.LongType(), "label": T.IntegerType()} | dict.fromkeys(doubles, T.DoubleType())
+
+    def each(batches):
+        scenes = maker()
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for at in range(0, rows.num_rows, SCENES):
+                some = rows.slice(at, SCENES)
+                made = [scenes.make(*(r[c] for c in (*OWN[:3], "damages"))) for r in some.to_pylist()]
+                n = [len(m["point_id"]) for m in made]
+                own = some.select(OWN[:3]).take(np.repeat(np.arange(len(n)), n))
+                columns = {c: own[c] for c in OWN[:3]} | {c: np.concatenate([m[c] for m in made]) for c in made[0]}
+                yield from pa.table({c: columns[c] for c in order}).combine_chunks().to_batches()
+
+    return plan.select(*OWN[:3], "damages").mapInArrow(each, T.StructType([T.StructField(c, types[c]) for c in order]))
+
+
 def generate(
     tasks: DataFrame, width: float = 3.0, length: float = 3.0, step: float = 0.04, points: int = 2048, extra: int = 3, beside: int = 0, density: float | None = None, spacing: float | None = None,
     sigma: float = 0.002, jitter: float = 0.02, rate: float = 0.03, mixing: float = 0.1, roughness: str = "A", seed: int = 42,
@@ -234,7 +245,13 @@ def generate(
     if spacing:
         made = scan_lines(made, spacing, seed=seed)
         made = tiles.dealt(made, most, "scene_id", "point_id") if whole else made
-    if whole:
+    if whole and not spacing:
+        # the steps, sample and unit ball included, over arrays of a scene's points
+        options = (width, length, step, None if density else points, sigma, jitter, rate, mixing, roughness, seed, curved, RAVELLED, CRACKS)
+        out = _made(started, lambda: scene_arrays.Scenes(*options), not density)
+        if not density:
+            return out
+    elif whole:
         out = _whole(made, width, length, step, sigma, jitter, rate, mixing, curved, seed)
     else:
         made = applied(made, width, length, step, seed).drop("damages")

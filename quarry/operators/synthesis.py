@@ -39,6 +39,14 @@ def tasks(spark: SparkSession, labels: list[int], per_label: int = 1, first_id:
     return spark.range(n * per_label).select((F.col("id") + first_id).alias("scene_id"), F.get(listed, (F.col("id") % n).cast("int")).alias("target_label"))
 
 
+def wave_sizes(width: float, length: float, step: float, roughness: str = "A") -> list[tuple[float, float]]:
+    """Frequency and amplitude of each wave of a rough road: n_k (geometric from 1 / length to the grid's limit) and sqrt(2 G(n_k) dn_k)."""
+    low, high = 1.0 / max(width, length), 0.5 / step
+    factor = (high / low) ** (1.0 / WAVES)
+    each = [low * factor**k for k in range(WAVES)]
+    return [(n, math.sqrt(2.0 * ROUGHNESS[roughness] * 1e-6 * (n / 0.1) ** -2 * n * (factor - 1))) for n in each]
+
+
 def surface(scenes: DataFrame, width: float, length: float, step: float, roughness: str = "A", seed: int = 42) -> DataFrame:
     """The scenes' points on a grid, with heights of a rough road: waves whose power follows the roughness class.
 
@@ -46,12 +54,8 @@ def surface(scenes: DataFrame, width: float, length: float, step: float, roughne
     phase; its amplitude is sqrt(2 G(n_k) dn_k) with G(n) = G0 (n / 0.1)**-2.
     """
     s = F.col("scene_id")
-    low, high = 1.0 / max(width, length), 0.5 / step
-    factor = (high / low) ** (1.0 / WAVES)
     waves = []
-    for k in range(WAVES):
-        n = low * factor**k
-        amplitude = math.sqrt(2.0 * ROUGHNESS[roughness] * 1e-6 * (n / 0.1) ** -2 * n * (factor - 1))
+    for k, (n, amplitude) in enumerate(wave_sizes(width, length, step, roughness)):
         angle = uniform(f"angle{k}", 0, math.pi, seed, s)
         waves.append(F.struct((2 * math.pi * n * F.cos(angle)).alias("kx"), (2 * math.pi * n * F.sin(angle)).alias("ky"), uniform(f"phase{k}", 0, 2 * math.pi, seed, s).alias("p"), F.lit(amplitude).alias("a")))
     cols, rows = int(width / step), int(length / step)

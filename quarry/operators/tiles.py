@@ -113,6 +113,39 @@ def surfaces(xyz: np.ndarray, near: np.ndarray, last: np.ndarray) -> dict[str, n
     }
 
 
+def nearest_places(asked: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each asked point's nearest source, the first at ties, and its distance; blocks stay in the processor's cache."""
+    source, distance, axes = np.empty(len(asked), np.int64), np.empty(len(asked)), np.ascontiguousarray(sources.T)
+    rows = max(1, 32_768 // len(sources))
+    for at in range(0, len(asked), rows):
+        own = asked[at : at + rows]
+        d2 = sum((own[:, i, None] - axes[i]) ** 2 for i in range(3))
+        source[at : at + rows] = near = d2.argmin(axis=1)
+        distance[at : at + rows] = np.sqrt(d2[np.arange(len(own)), near])
+    return source, distance
+
+
+def spread(xyz: np.ndarray, label: np.ndarray, ravelled: tuple[int, ...], reach: float) -> None:
+    """Background within reach of a ravelled point takes the nearest one's label, in place."""
+    source, plain = np.flatnonzero(np.isin(label, ravelled)), np.flatnonzero(label == 0)
+    if len(source) and len(plain):
+        d2 = (xyz[plain, None, 0] - xyz[None, source, 0]) ** 2 + (xyz[plain, None, 1] - xyz[None, source, 1]) ** 2
+        near = d2.argmin(axis=1)  # the first: the smaller id
+        close = d2[np.arange(len(plain)), near] <= reach * reach
+        label[plain[close]] = label[source[near[close]]]
+
+
+def mixed(xyz: np.ndarray, drawn: np.ndarray, curved: float) -> np.ndarray:
+    """The points, those drawn whose surface is curved as the mean of their five nearest."""
+    out = xyz.copy()
+    if len(xyz) > 2 and len(drawn):
+        near, last = nearest_sets(xyz, min(20, len(xyz) - 1), drawn)
+        drawn = drawn[surfaces(xyz[drawn], xyz[near], last)["curvature"] > curved]
+        if len(drawn):
+            out[drawn] = xyz[nearest_sets(xyz, min(5, len(xyz) - 1), drawn)[0]].mean(axis=1)
+    return out
+
+
 def surface_arrays(xyz: np.ndarray, k: int = 16) -> dict[str, np.ndarray]:
     """The columns of GEOMETRY for all points of a scene; with fewer than four everything is neutral."""
     n = len(xyz)
