@@ -27,7 +27,7 @@ from .shapes import crack_profile
 
 #: Corners of the noise lattice along each axis.
 LATTICE = 8
-#: Pairs of points and segments of a cell's share and, on average, of a task.
+#: Pairs of points and segments of a cell's block (as many of the ones as of the others) and, on average, of a task.
 PAIRS = 1_000_000
 #: The longest segment of a scene is as long as so many cells.
 LONGEST = 8
@@ -97,16 +97,17 @@ def along(points: DataFrame, lines: DataFrame, label_width: float = 0.0, scene:
     placed = points.select(scene, point, "x", "y").where(F.col(scene).isNotNull() & F.col(point).isNotNull()).join(size, scene)
     placed = placed.withColumns({f"__c{a}": F.floor(F.col(a) / F.col("__size")) for a in "xy"}).drop("__size")
     distance, t = point_segment("x", "y", "ax", "ay", "bx", "by")
-    # a point stands in one cell and share, where all segments that reach it come, so its pairs are reduced where they are made
-    spot = [scene, "__cx", "__cy"]
-    pairs = F.col("__points") * F.col("__segments")
-    load = placed.groupBy(*spot).agg(F.count("*").alias("__points")).join(wide.groupBy(*spot).agg(F.count("*").alias("__segments")), spot)
-    load = kept(load.select(*spot, pairs.alias("__pairs"), F.ceil(pairs / PAIRS).alias("__shares")))
-    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((load.agg(F.sum("__pairs")).first()[0] or 0) / PAIRS))
-    load = load.drop("__pairs")
-    placed = placed.join(load, spot).withColumn("__share", F.pmod(F.xxhash64(point), "__shares")).drop("__shares")
-    wide = wide.join(load, spot).withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__shares") - 1))).drop("__shares", "__size")
-    cell = [*spot, "__share"]
+    # a cell is cut into blocks: a share of its points meets a share of its curves, so the pairs of a point and a curve are reduced where they are made
+    spot, side = [scene, "__cx", "__cy"], math.isqrt(PAIRS)
+    load = placed.groupBy(*spot).agg(F.count("*").alias("__n")).join(wide.groupBy(*spot).agg(F.count("*").alias("__m")), spot)
+    load = kept(load)
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((load.agg(F.sum(F.col("__n") * F.col("__m"))).first()[0] or 0) / PAIRS))
+    shares = load.select(*spot, *(F.ceil(F.col(n) / side).alias(share) for n, share in (("__n", "__points"), ("__m", "__curves"))))
+    own = lambda key, n: F.pmod(F.xxhash64(key), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    placed = placed.join(shares, spot).withColumn("__p", own(point, "__points")).withColumn("__c", each("__curves")).drop("__points", "__curves")
+    wide = wide.join(shares, spot).withColumn("__c", own(curve, "__curves")).withColumn("__p", each("__points")).drop("__points", "__curves", "__size")
+    cell = [*spot, "__p", "__c"]
     placed, wide = (df.repartition(parts, *cell) for df in (placed, wide))
     near = placed.join(wide.hint("merge"), cell).withColumns({"distance": distance, "t": t}).where(F.col("distance") <= F.col("__r"))
     width = F.col("aw") + F.col("t") * (F.col("bw") - F.col("aw"))
